@@ -7,16 +7,21 @@ Signatures (after Arasu, Ganti and Kaushik, 2006): sizes fall into bands; a set
 a linked partner may be there. Linked sets of a band differ in at most k elements. The domain of shingles is cut
 into n1 parts of N2 sub-parts. Fewer than ``needed`` = k // (K2 + 1) + 1 parts can hold more than K2 differences, so that in some
 part of any ``needed`` parts all but K2 sub-parts agree: each subset of N2 - K2 sub-parts, hashed, is a signature.
-n1 exceeds ``needed`` by SLACK, which lets a set leave out signatures of under LEAST shingles (any two
-sets would share an empty one) while it still has ``needed`` parts whose signatures are all large enough; a set that
-has not gives all its signatures. So no linked pair is lost: a pair with one such set shares a large signature, and
-two sets that lack them share one of the full signatures.
+n1 exceeds ``needed`` by SLACK, so that a set can leave out signatures of few shingles (any two sets would share an empty one): while ``needed`` of
+its parts have large signatures alone, one of these is shared with each linked set. A set for which that fails also gives the
+signatures of the next partition of the domain; where it fails in the last one too, the set gives all of that partition's. So no linked pair is lost:
+if one of the two gives up no signature that it needs in some partition, the other gives the same there, and otherwise both give all of the last.
+The first two partitions are of uncommon shingles alone (sets differ in no more of these than in all), which keeps apart texts that merely share a
+common passage. Common are shingles that two documents of a sample of SAMPLE have, by hash cell; which they are changes no result.
 
 Plan: signatures meet in hash buckets, after each task has kept one document for each signature, so that a signature
 which a third of all documents have sends one entry a task. Documents that share a signature are joined to its
 smallest; the components of these joins ("bundles") hold every linked pair. One document of each set of exact
-copies is compared, exactly, within its bundle; a bundle of over BLOCK shingles is cut into blocks and every pair
-of blocks is compared by a task of its own. The links that are found make the components.
+copies is compared, exactly, within its bundle. Texts that share a long passage may chain many others into one bundle; a
+bundle of over SPLIT shingles is therefore split first, by sketches: numbers of shingles by hash cell. The sum of their differences
+never exceeds the number of shingles that two sets differ in, so pairs above the bound for links can't link; the components of the other
+pairs are the new bundles. One of over BLOCK shingles is cut into blocks, and every pair of blocks is compared by a task of its own,
+as with sketches. The links that are found make the components.
 
 Nulls and edge cases: null and empty texts (and texts without words) have empty sets, which link with nothing; exact
 copies always link; rows with a null doc_id take no part; equal doc_ids are taken as one document for components
@@ -32,7 +37,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.shared import Slice, components, joined, map_slices, partitions, spread, table
 from lodestone.llm.textops import Words, in_doc, mix, repeats, shingles
 
-N2, K2, SLACK, LEAST, GROWTH, BLOCK, FLUSH = 3, 1, 0.25, 2, 1.3, 1 << 20, 1 << 20
+N2, K2, SLACK, LEAST, LAST, GROWTH, BLOCK, FLUSH = 3, 1, 0.25, 2, 6, 1.3, 1 << 20, 1 << 20
+CELLS, SPLIT, SKETCHES, COMMON, SAMPLE = 64, 1 << 17, 1 << 12, 22, 1 << 13
 
 
 def sets(part: Slice, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,36 +68,63 @@ def bands(largest: int, percent: int) -> np.ndarray:
     return np.array([*low, max(low[-1] + 1, int(low[-1] * GROWTH), (low[-1] - 1) * 100 // percent + 1)])
 
 
-def signatures(elements: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signature keys of the sets, and the set that each belongs to."""
+def _scheme(elements: np.ndarray, offsets: np.ndarray, band: np.ndarray, k: np.ndarray, salt: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of sets (one after another, with a band and a bound on differences each) under one partition of the domain: keys, the set that each
+    is of, whether it is large enough, and for each set whether enough of its parts have large signatures alone."""
     n = np.diff(offsets)
-    low = bands(int(n.max(initial=0)), percent)
-    own = np.searchsorted(low, n, side="right") - 1
-    has = np.flatnonzero(n)
-    up = has[n[has] * 100 >= percent * low[own[has] + 1]]
-    owner, band = np.concatenate([has, up]), np.concatenate([own[has], own[up] + 1])
-    if not len(owner):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    k = 2 * (low[np.minimum(band + 1, len(low) - 1)] - 1) * (100 - percent) // (100 + percent)
     needed = k // (K2 + 1) + 1
     n1 = needed + np.ceil(needed * SLACK).astype(np.int64)
     cells = np.concatenate([[0], np.cumsum(n1 * N2)])
-    entry = np.repeat(np.arange(len(owner)), n[owner])
-    place = np.arange(len(entry)) - np.repeat(np.cumsum(n[owner]) - n[owner], n[owner]) + offsets[owner][entry]
-    e = elements[place]
+    entry = np.repeat(np.arange(len(n)), n)
+    e = mix(elements + np.uint64(salt)) if salt else elements
     where = ((e >> np.uint64(32)) * n1[entry].astype(np.uint64)) >> np.uint64(32)
     cell = cells[entry] + where.astype(np.int64) * N2 + ((e & np.uint64(0xFFFFFFFF)) % np.uint64(N2)).astype(np.int64)
     total, many = np.zeros(cells[-1], np.uint64), np.bincount(cell, minlength=cells[-1]).reshape(-1, N2)
     np.add.at(total, cell, mix(e))
     total = total.reshape(-1, N2)
-    part_entry = np.repeat(np.arange(len(owner)), n1)
+    owner = np.repeat(np.arange(len(n)), n1)
     part = np.arange(len(total)) - np.repeat(np.cumsum(n1) - n1, n1)
     without = np.arange(N2)  # K2 = 1: each subset leaves out one sub-part
     sums, sizes = total.sum(1, dtype=np.uint64)[:, None] - total[:, without], many.sum(1)[:, None] - many[:, without]
-    strong = np.bincount(part_entry, (sizes >= LEAST).all(1), len(owner)) >= needed
-    salt = mix((band[part_entry].astype(np.uint64) << np.uint64(40)) + (part.astype(np.uint64) << np.uint64(4)))[:, None] + without.astype(np.uint64)
-    keep = (sizes >= LEAST) | ~strong[part_entry][:, None]
-    return mix(sums + salt)[keep], owner[np.broadcast_to(part_entry[:, None], keep.shape)[keep]]
+    good = np.bincount(owner, (sizes >= least).all(1), len(n)) >= needed
+    own = mix((np.uint64(salt) << np.uint64(56)) + (band[owner].astype(np.uint64) << np.uint64(40)) + (part.astype(np.uint64) << np.uint64(4)))[:, None] + without.astype(np.uint64)
+    return mix(sums + own).ravel(), np.repeat(owner, N2), (sizes >= least).ravel(), good
+
+
+def _subset(elements: np.ndarray, offsets: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The elements and offsets of some of the sets."""
+    n = np.diff(offsets)[some]
+    edge = np.concatenate([[0], np.cumsum(n)])
+    return elements[np.arange(edge[-1]) + np.repeat(offsets[some] - edge[:-1], n)], edge
+
+
+def signatures(elements: np.ndarray, offsets: np.ndarray, percent: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Signature keys of the sets, and the set that each belongs to. ``common``: flags of the cells of common shingles."""
+    n = np.diff(offsets)
+    low = bands(int(n.max(initial=0)), percent)
+    own = np.searchsorted(low, n, side="right") - 1
+    has = np.flatnonzero(n)
+    up = has[n[has] * 100 >= percent * low[own[has] + 1]]
+    owner, band = np.concatenate([has, up]), np.concatenate([own[has], own[up] + 1])
+    k = 2 * (low[np.minimum(band + 1, len(low) - 1)] - 1) * (100 - percent) // (100 + percent)
+    owner, band, k = owner[k > 0], band[k > 0], k[k > 0]  # sets that may differ in nothing are copies
+    keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    if common is not None:
+        rare = ~common[(elements >> np.uint64(64 - COMMON)).astype(np.int64)]
+        kept = np.concatenate([[0], np.cumsum(rare)])
+        schemes = [(elements[rare], kept[offsets], 0, 1), (elements[rare], kept[offsets], 1, 1)]
+    else:
+        schemes = []
+    schemes += [(elements, offsets, salt, least) for salt, least in ((2, LEAST), (3, LEAST), (4, 1), (5, 1), (LAST, 1))]
+    for items, edges, salt, least in schemes:
+        if not len(owner):
+            break
+        key, of, large, good = _scheme(*_subset(items, edges, owner), band, k, salt, least)
+        keep = large | ~good[of] if salt == LAST else large
+        keys.append(key[keep])
+        owners.append(owner[of[keep]])
+        owner, band, k = owner[~good], band[~good], k[~good]
+    return np.concatenate(keys), np.concatenate(owners)
 
 
 def first_of_key(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,9 +139,29 @@ def first_of_key(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndar
     return keys[first], ids[first], np.unique(np.column_stack([ids[other], low[other]]), axis=0)
 
 
+def _forest(pairs: np.ndarray) -> np.ndarray:
+    """Pairs (id, smallest id of its component) that join the same ids as the given pairs, one for each id at most."""
+    if not len(pairs):
+        return pairs.reshape(0, 2)
+    ids, at = np.unique(pairs, return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    label = np.arange(len(ids))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, a, label[b])
+        np.minimum.at(low, b, label[a])
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    out = np.column_stack([ids, ids[label]])
+    return out[out[:, 0] != out[:, 1]]
+
+
 def _links(keys: np.ndarray, ids: np.ndarray, n_buckets: int) -> pa.RecordBatch:
     """Packs what a task sends: one entry for each key, and the pairs that it has found itself."""
     keys, ids, pairs = first_of_key(keys, ids)
+    pairs = _forest(pairs)
     bucket = (keys >> np.uint64(33)).astype(np.int64) % n_buckets
     sent = spread(np.argsort(bucket, kind="stable"), bucket, {"keys": keys, "ids": ids if ids.max(initial=0) >= 2**31 or ids.min(initial=0) < 0 else ids.astype(np.int32)}, n_buckets)
     sent = sent.append_column("pairs", pa.nulls(sent.num_rows, pa.binary()))
@@ -120,16 +173,35 @@ def _links(keys: np.ndarray, ids: np.ndarray, n_buckets: int) -> pa.RecordBatch:
     return sent
 
 
+def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
+    """Flags of 2**COMMON hash cells, true where a cell holds a shingle that two of the sampled documents have."""
+    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")  # at most SAMPLE numbers
+
+    def make():
+        def each(part: Slice) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(sets(part, size)[0].view(np.int64))], ["shingle"])
+
+        return each
+
+    twice = map_slices(texts, make, "shingle long").groupBy("shingle").count().where("count > 1")
+    cells = twice.select(F.shiftrightunsigned("shingle", 64 - COMMON).alias("cell")).distinct().toArrow()["cell"].to_numpy()  # at most 2**COMMON, and those of the sample
+    flags = np.zeros(1 << COMMON, bool)
+    flags[cells] = True
+    return flags
+
+
 def candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) that join each document to the smallest that shares a signature with it."""
+    """Distinct pairs (a, b) that join documents which share a signature, directly or over others that do."""
     n_buckets = 4 * partitions(docs.sparkSession)
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))  # of fixed size
 
     def make():
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def each(part: Slice | None) -> pa.RecordBatch | None:
             if part is not None:
-                keys, owner = signatures(*sets(part, size), percent)
+                keys, owner = signatures(*sets(part, size), percent, common.value)
                 held.append((keys, part.ids[owner]))
                 if sum(len(k) for k, _ in held) < FLUSH:
                     return None
@@ -150,7 +222,7 @@ def candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
         found = [joined(rows["pairs"], np.int64).reshape(-1, 2)]
         if keys:
             found.append(first_of_key(np.concatenate(keys), np.concatenate(ids))[2])
-        found = np.unique(np.concatenate(found), axis=0)
+        found = _forest(np.concatenate(found))
         return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
     sent = map_slices(docs, make, "bucket int, keys binary, ids binary, pairs binary", tail=True)
@@ -184,6 +256,68 @@ def _linked(ids: np.ndarray, packed: list[np.ndarray], percent: int) -> np.ndarr
     return np.column_stack([ids, ids[root]])
 
 
+def sketch(elements: np.ndarray) -> bytes:
+    """Numbers of elements by hash cell, at most 255 each; as many cells (CELLS times a power of two) as a quarter of the elements at least."""
+    cells = CELLS
+    while 4 * cells < len(elements):
+        cells *= 2
+    return np.minimum(np.bincount((elements & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
+
+
+def _folded(cells: np.ndarray, n: int) -> np.ndarray:
+    return np.minimum(cells.reshape(-1, n).sum(0, dtype=np.int64), 255)
+
+
+def _alike(ids: np.ndarray, n: np.ndarray, sketches: list[np.ndarray], percent: int) -> np.ndarray:
+    """Distinct pairs (id, smallest id) that join the sets which the sketches can't tell to be too different."""
+    order = np.argsort(n, kind="stable")
+    ids, n, sketches = ids[order], n[order], [sketches[i] for i in order]
+    coarse = np.array([_folded(s, CELLS) for s in sketches], np.uint8).T.copy()
+    label = np.arange(len(ids))
+    reach = np.searchsorted(n * percent, n * 100, side="right")  # sets up to here aren't too large
+    for i in range(len(ids)):
+        a, b = i + 1, reach[i]
+        if a >= b:
+            continue
+        most = (n[i] + n[a:b]) * (100 - percent) // (100 + percent)
+        x = coarse[:, i : i + 1]
+        apart = np.add.reduce(np.maximum(coarse[:, a:b], x) - np.minimum(coarse[:, a:b], x), axis=0, dtype=np.int32)
+        left = np.flatnonzero(apart <= most)
+        while len(left := left[label[a + left] != label[i]]):  # sets that are joined already aren't compared
+            j, left = left[0], left[1:]
+            cells = min(len(sketches[i]), len(sketches[a + j]))
+            if cells == CELLS or np.abs(_folded(sketches[i], cells) - _folded(sketches[a + j], cells)).sum() <= most[j]:
+                low, high = sorted((label[i], label[a + j]))
+                label[label == high] = low
+    smallest = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(smallest, label, ids)
+    out = np.column_stack([ids, smallest[label]])
+    return out[out[:, 0] != out[:, 1]]
+
+
+def _block_pairs(members: DataFrame) -> DataFrame:
+    """Each member once for every pair of blocks of its bundle that its block is in. Needs root, blocks, first_id."""
+    block = F.pmod(F.xxhash64("first_id"), "blocks")
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.least(x, block).alias("i"), F.greatest(x, block).alias("j")))
+    return members.withColumn("p", F.explode(pairs)).select("*", "p.i", "p.j").drop("p")
+
+
+def _refined(members: DataFrame, percent: int) -> DataFrame:
+    """The bundles (first_id, n_shingles, root) after those of over SPLIT shingles have been split by sketches."""
+    sizes = members.groupBy("root").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("many"))
+    sized = members.join(sizes, "root").where("many > 1")
+    large = sized.where(F.col("total") > SPLIT).withColumn("blocks", F.ceil(F.col("many") / SKETCHES))
+
+    def alike(rows: pa.Table) -> pa.Table:
+        out = _alike(rows["first_id"].to_numpy(), rows["n_shingles"].to_numpy(), [np.frombuffer(x.as_buffer(), np.uint8) for x in rows["sketch"]], percent)
+        return pa.table({"a": out[:, 0], "b": out[:, 1]})
+
+    pairs = _block_pairs(large.select("first_id", "n_shingles", "sketch", "root", "blocks")).select("first_id", "n_shingles", "sketch", "root", "i", "j").groupBy("root", "i", "j").applyInArrow(alike, "a long, b long")
+    split = members.drop("root").join(components(pairs).withColumnRenamed("node", "first_id"), "first_id")
+    columns = ["first_id", "n_shingles", "root"]
+    return sized.where(F.col("total") <= SPLIT).select(*columns).unionByName(split.select(*columns))
+
+
 def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links reach) for every row of docs."""
 
@@ -192,17 +326,20 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
             found, offsets = sets(part, size)
             total = [np.concatenate([[np.uint64(0)], np.cumsum(mix(found + np.uint64(s)))]) for s in (1, 2)]
             h1, h2 = ((t[offsets[1:]] - t[offsets[:-1]]).view(np.int64) for t in total)
-            return pa.RecordBatch.from_arrays([pa.array(part.ids), pa.array(np.diff(offsets)), pa.array(h1), pa.array(h2)], ["doc_id", "n_shingles", "h1", "h2"])
+            sketches = pa.array([sketch(found[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(part.ids), pa.array(np.diff(offsets)), pa.array(h1), pa.array(h2), sketches], ["doc_id", "n_shingles", "h1", "h2", "sketch"])
 
         return each
 
-    about = table(map_slices(docs, describe, "doc_id long, n_shingles long, h1 long, h2 long"), "sets")
+    about = table(map_slices(docs, describe, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary"), "sets")
     same = ["n_shingles", "h1", "h2"]
     classes = about.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("first_id"))
-    bundles = components(candidates(docs, size, percent))
-    members = classes.join(bundles.withColumnRenamed("node", "first_id"), "first_id").select("first_id", "n_shingles", "root")
+    bundles = components(candidates(docs, size, percent)).withColumnRenamed("node", "first_id")
+    members = classes.join(bundles, "first_id").select("first_id", "n_shingles", "root")
+    members = members.join(about.select(F.col("doc_id").alias("first_id"), "sketch").dropDuplicates(["first_id"]), "first_id")
+    members = _refined(table(members, "bundles"), percent)
     sizes = members.groupBy("root").agg(F.count("*").alias("many"), F.ceil(F.sum("n_shingles") / BLOCK).alias("blocks")).where("many > 1")
-    members = table(members.join(sizes, "root").select("first_id", "root", "blocks", F.pmod(F.xxhash64("first_id"), "blocks").alias("block")), "members")
+    members = table(members.join(sizes, "root").select("first_id", "root", "blocks"), "members")
 
     def pack():
         def each(part: Slice) -> pa.RecordBatch:
@@ -217,10 +354,9 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         return pa.table({"a": out[:, 0], "b": out[:, 1]})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.select(F.col("first_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    pairs_of_blocks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "block").alias("i"), F.greatest(x, "block").alias("j")))
-    packed = map_slices(texts, pack, "doc_id long, elements binary")
-    packed = packed.join(members.withColumnRenamed("first_id", "doc_id"), "doc_id").select("doc_id", "elements", "root", F.explode(pairs_of_blocks).alias("p"))
-    links = packed.select("doc_id", "elements", "root", "p.i", "p.j").groupBy("root", "i", "j").applyInArrow(compare, "a long, b long")
+    packed = map_slices(texts, pack, "doc_id long, elements binary").withColumnRenamed("doc_id", "first_id")
+    packed = _block_pairs(packed.join(members, "first_id")).select(F.col("first_id").alias("doc_id"), "elements", "root", "i", "j")
+    links = packed.groupBy("root", "i", "j").applyInArrow(compare, "a long, b long")
     linked = components(links).select(F.col("node").alias("first_id"), "root")
     of_class = classes.join(linked, "first_id", "left").select(*same, F.coalesce("root", "first_id").alias("component_id"))
     return about.join(of_class, same, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
