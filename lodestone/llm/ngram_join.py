@@ -193,7 +193,7 @@ def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
 
 def candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Distinct pairs (a, b) that join documents which share a signature, directly or over others that do."""
-    n_buckets = 4 * partitions(docs.sparkSession)
+    n_buckets = 32 * partitions(docs.sparkSession)
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))  # of fixed size
 
     def make():
