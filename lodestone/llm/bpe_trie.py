@@ -24,8 +24,10 @@ from pyspark.sql import DataFrame
 from lodestone.llm.shared import Slice, map_slices
 from lodestone.llm.textops import span_hashes
 
-#: Distinct words that a worker keeps before it starts anew.
+#: Distinct words that a worker keeps before it starts anew; more only if a single slice has more.
 CACHE = 1 << 20
+#: Pairs of tokens that a worker remembers the verdict on.
+PAIRS = 1 << 19
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 4
 _classes: np.ndarray | None = None
 
@@ -113,8 +115,10 @@ class Bpe:
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.clear()
 
-    def clear(self) -> None:
-        self.slot_key, self.slot_entry = np.zeros(4 * CACHE, np.uint64), np.full(4 * CACHE, -1, np.int32)
+    def clear(self, words: int = 0) -> None:
+        """Forgets all words, and makes room for CACHE of them or as many as asked for."""
+        self.room = max(CACHE, 1 << int(words + len(self.special)).bit_length())
+        self.slot_key, self.slot_entry = np.zeros(4 * self.room, np.uint64), np.full(4 * self.room, -1, np.int32)
         self.entries, self.at, self.length = 0, np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
         self.flat, self.used = np.zeros(1 << 14, np.int32), 0
         self._keep([list(self.special.values())[i : i + 1] for i in range(len(self.special))], np.array([span_hashes(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)]))[0] for t in self.special], np.uint64))
@@ -132,7 +136,7 @@ class Bpe:
     def pair(self, a: bytes, b: bytes) -> bool:
         """Whether a followed by b encodes to just these two tokens."""
         if (known := self.pairs.get((a, b))) is None:
-            if len(self.pairs) > CACHE:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             known = self.pairs[a, b] = self.merged(a + b) == [a, b]
         return known
@@ -219,13 +223,11 @@ class Bpe:
         missing = np.flatnonzero(entry < 0)
         if len(missing):
             new, first = np.unique(keys[missing], return_index=True)
-            if self.entries + len(new) > CACHE and self.entries > len(self.special):
-                self.clear()
+            if self.entries + len(new) > self.room:
                 new, first = np.unique(keys, return_index=True)
+                self.clear(len(new))
                 fresh = self._find(new) < 0
                 new, first, missing = new[fresh], first[fresh], np.arange(len(keys))
-            if len(new) > CACHE:
-                raise ValueError(f"a single text has over {CACHE} distinct words")
             raw = part.buf.tobytes()
             words = [raw[a:b] for a, b in zip(starts[missing[first]].tolist(), ends[missing[first]].tolist(), strict=True)]
             order = sorted(range(len(words)), key=words.__getitem__)
