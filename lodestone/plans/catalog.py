@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from lodestone.functions import normalize as N
 from lodestone.operators import analytics as A
 from lodestone.operators import corpus as C
+from lodestone.operators import evidence as D
 from lodestone.operators import facts as X
 from lodestone.operators import geology as E
+from lodestone.operators import layout as Y
 from lodestone.operators import retrieve as R
 from lodestone.operators import review as W
 from lodestone.operators import validate as V
@@ -202,9 +204,13 @@ def status_counts(t: Tables) -> DataFrame:
     return A.status_counts(documents=t.upload, facts=t.fact, structured_chunks=t.index, geological_facts=t.geo)
 
 
-@query("""SELECT e.field, max(e.period) AS period FROM (SELECT field, period, count(DISTINCT entity) AS n FROM ux GROUP BY 1, 2) e JOIN (SELECT field, count(DISTINCT entity) AS n FROM ux GROUP BY 1) a ON e.field = a.field AND e.n = a.n GROUP BY e.field""")
+ASKED = ["mine 7", "mine 12", "mine 30"]  # a question about three entities
+_ASKED = ", ".join(f"'{e}'" for e in ASKED)
+
+
+@query(f"SELECT field, max(period) AS period FROM (SELECT field, period, count(DISTINCT entity) AS n, any_value(m) AS m FROM (SELECT f.field, f.period, f.entity, (SELECT count(DISTINCT entity) FROM fx g WHERE g.status <> 'rejected' AND g.field = f.field AND g.entity IN ({_ASKED})) AS m FROM fx f WHERE f.status <> 'rejected' AND f.entity IN ({_ASKED})) GROUP BY 1, 2) WHERE n = m GROUP BY field")
 def latest_common_year(t: Tables) -> DataFrame:
-    return A.common_year(t.usable)
+    return A.common_year(X.normalized(t.fact.where("status <> 'rejected'")).where(F.col("entity").isin(ASKED)))
 
 
 @query("""SELECT id, entity, field, period, base_value, before, base_value - before AS change, round((base_value - before) / nullif(before, 0) * 100, 2) AS percent FROM (SELECT *, lag(base_value) OVER (PARTITION BY entity, field ORDER BY period) AS before FROM px)""")
@@ -425,9 +431,12 @@ def cue_scores(t: Tables) -> DataFrame:
     return C.cue_counts(t.page, CUES)
 
 
-@query()
+_LIST = ", ".join(f"(-round({s}, 6), '{n}')" for n, s in _SCORE.items())
+
+
+@query(f"SELECT document_id, CASE WHEN -x[1][1] >= 2.5 THEN x[1][2] ELSE 'other' END AS domain, -x[1][1] AS score FROM (SELECT document_id, list_sort([{_LIST}]) AS x FROM {{v_page}} p)")
 def domain_classes(t: Tables) -> DataFrame:
-    return C.classify(t.page, CUES)
+    return C.classify(t.page, CUES).select("document_id", "domain", "score")
 
 
 @query()
@@ -574,6 +583,135 @@ def document_details(t: Tables) -> DataFrame:
     return rows.select("document_id", F.size("facts").cast("long").alias("facts"), F.concat_ws("|", F.get("facts", 0)["page_number"].cast("string"), F.get("facts", 0)["id"]).alias("first_fact"))
 
 
+# Evidence and reports -------------------------------------------------------------------------------------------
+
+
+@query("SELECT document_id, count(*) AS facts, count(*) FILTER (status = 'high_confidence') AS high, count(*) FILTER (status = 'review_required') AS review, round(avg(confidence_score), 3) AS confidence FROM fx GROUP BY document_id")
+def extraction_stats(t: Tables) -> DataFrame:
+    return D.job_stats(t.fact)
+
+
+@query("SELECT f.id, d.filename, d.version, CASE WHEN f.status IN ('high_confidence', 'approved', 'corrected') THEN 'Verified.' WHEN f.status = 'rejected' THEN 'Rejected by a reviewer.' ELSE 'Pending human review.' END AS note FROM fx f LEFT JOIN {v_document} d ON f.document_id = d.document_id")
+def fact_details(t: Tables) -> DataFrame:
+    return D.fact_detail(t.fact, t.document).select("id", "filename", "version", "note")
+
+
+@query("SELECT id, (SELECT count(*) FROM fx WHERE contains(lower(entity_name), 'mine 1')) AS total FROM fx WHERE contains(lower(entity_name), 'mine 1') ORDER BY period DESC, id LIMIT 50 OFFSET 50")
+def browsed_facts(t: Tables) -> DataFrame:
+    rows = X.normalized(t.fact).where(X.contains_ci("entity_name", "Mine 1"))
+    return D.page_of(rows.select("id", "period"), [F.desc("period"), "id"], 50, 50).select("id", "total")
+
+
+@query("""SELECT id, document_id, borehole_key, metres FROM gx WHERE bucket <> 'rejected' AND kind = 'borehole_depth' QUALIFY row_number() OVER (PARTITION BY document_id, borehole_key, value_num ORDER BY CASE bucket WHEN 'verified' THEN 0 ELSE 1 END, source_page, id) = 1""")
+def borehole_evidence(t: Tables) -> DataFrame:
+    return D.geological_evidence(t.typed, "borehole_depth").select("id", "document_id", "borehole_key", "metres")
+
+
+@query("SELECT id, seam, metres FROM gx WHERE kind = 'seam_thickness' AND seam IS NOT NULL QUALIFY row_number() OVER (PARTITION BY seam ORDER BY CASE bucket WHEN 'verified' THEN 0 ELSE 1 END, value_num DESC, id) = 1")
+def best_seam_thickness(t: Tables) -> DataFrame:
+    return D.best_thickness(t.typed.withColumns({"value_max": F.lit(None).cast("double"), "confidence": F.col("value_num")})).select("id", "seam", "metres")
+
+
+@query("SELECT document_id, avg(length(trim(text))) < 400 AS is_scanned FROM {v_page} p GROUP BY document_id")
+def scanned_documents(t: Tables) -> DataFrame:
+    return Y.scanned(t.page, 400.0).select("document_id", "is_scanned")
+
+
+@query("""SELECT 1 AS spec_id, id AS document_id, round(CAST(1.6 AS DOUBLE) + CASE WHEN period = 'FY1997' THEN 0.2 ELSE -0.15 END, 6) AS score FROM fx WHERE entity = 'mine 7'""")
+def text_evidence(t: Tables) -> DataFrame:
+    spec = t.spark.sql("SELECT 1 AS spec_id, 'the Mine 7' AS entity, 'output' AS metric, 'FY1997' AS period, CAST(NULL AS STRING) AS month")
+    rows = t.fact.select(F.col("id").alias("document_id"), F.concat_ws(" ", "entity_name", F.lit("production in"), "financial_year").alias("content"))
+    return D.text_compatible(rows, spec).select("spec_id", "document_id", "score")
+
+
+@query("""SELECT period AS spec_id, CASE WHEN count(DISTINCT lower(coalesce(unit, ''))) > 1 THEN 'unit_mismatch' ELSE 'ok' END AS status, CASE WHEN count(DISTINCT lower(coalesce(unit, ''))) = 1 THEN arg_max(entity, (numeric_value, entity)) END AS higher FROM px WHERE field = 'production' GROUP BY period""")
+def comparison_verdicts(t: Tables) -> DataFrame:
+    rows = A.trend(t.usable).where("field = 'production'").select(F.col("period").alias("spec_id"), F.col("entity").alias("label"), F.col("numeric_value").alias("value"), "unit", F.lit(False).alias("conflict"))
+    return D.compared(rows).select("spec_id", "status", "higher")
+
+
+@query("SELECT bucket, count(*) AS n FROM gx GROUP BY bucket")
+def report_review_status(t: Tables) -> DataFrame:
+    u = t.usable
+    return D.report_parts(A.trend(u), A.actual_vs_target(u), A.compare_entities(u), t.fact, t.conflict, t.typed)["Audit_Review_Status"]
+
+
+@query("SELECT document_id FROM fx UNION SELECT document_id FROM gx WHERE bucket <> 'rejected'")
+def report_sources(t: Tables) -> DataFrame:
+    u = t.usable
+    return D.report_parts(A.trend(u), A.actual_vs_target(u), A.compare_entities(u), t.fact, t.conflict, t.typed)["Evidence_Sources"]
+
+
+@query("SELECT document_id, formation FROM gx WHERE formation IS NOT NULL GROUP BY ALL")
+def formations_in_texts(t: Tables) -> DataFrame:
+    said = t.geo.groupBy("document_id").agg(F.array_join(F.array_sort(F.collect_set("geological_formation")), ". We met the ").alias("text"))
+    return D.formations_in(said.withColumn("text", F.concat(F.lit("Above the "), "text")))
+
+
+@query("SELECT document_id, content_type, count(*) AS n FROM (SELECT document_id, 'structured_fact' AS content_type FROM ix UNION ALL SELECT document_id, 'verified_fact' FROM ver UNION ALL SELECT document_id, 'text' FROM fx) GROUP BY ALL")
+def corpus_index(t: Tables) -> DataFrame:
+    text = t.fact.select("document_id", F.col("id").alias("content"))
+    rows = D.index_rows(text, t.index.select("document_id", F.col("chunk_id").alias("content")), C.fact_sentences(X.verified(t.fact)).select("document_id", "content"))
+    return rows.groupBy("document_id", "content_type").agg(F.count_distinct("chunk_id").alias("n"))
+
+
+# More evidence -------------------------------------------------------------------------------------------------
+
+
+@query("SELECT document_id, value_num AS latitude, CAST(source_page * 20 AS DOUBLE) AS longitude FROM gx QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY source_page, id) = 1")
+def document_locations(t: Tables) -> DataFrame:
+    rows = t.typed.withColumn("evidence_text", F.concat(F.lit("hole at Latitude: "), F.col("value_num").cast("string"), F.lit(", Longitude: "), (F.col("source_page") * 20).cast("string")))
+    return E.locations(rows, t.document.select("document_id", F.lit(None).cast("string").alias("meta_text")))
+
+
+@query("SELECT document_id, entity_name, period, field, value, 'MT' AS unit FROM (SELECT id AS document_id, entity_name, period, unnest(['production', 'production_target']) AS field, unnest([CAST(value AS DOUBLE), CAST(value AS DOUBLE) + 1]) AS value FROM fx)")
+def facts_from_prose(t: Tables) -> DataFrame:
+    more = (F.col("value").cast("long") + 1).cast("string")
+    text = F.concat(F.col("entity_name"), F.lit(" produced "), F.col("value"), F.lit(" MT during "), F.col("financial_year"), F.lit(" against a target of "), more, F.lit(" MT."))
+    return C.production_facts(t.fact.select(F.col("id").alias("document_id"), text.alias("text")))
+
+
+@query("SELECT id AS document_id, metric_kind, 'Seam ' || seam_name AS seam_name, borehole_id, value_num + CASE metric_kind WHEN 'seam_thickness' THEN 0 ELSE 1 END AS value FROM (SELECT id, unnest(['seam_thickness', 'borehole_depth']) AS metric_kind, seam_name, borehole_id, value_num FROM gx WHERE seam_name IS NOT NULL)")
+def geological_facts_from_prose(t: Tables) -> DataFrame:
+    say = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y.cast("string") for y in x))
+    text = say("Borehole ", F.col("borehole_id"), " met Seam ", F.col("seam_name"), " with a thickness of ", F.col("value_num").cast("int"), " m and a depth of ", F.col("value_num").cast("int") + 1, " m.")
+    pages = t.geo.where("seam_name is not null").select(F.col("id").alias("document_id"), F.lit(1).alias("page_number"), text.alias("text"))
+    return C.geological_facts(pages).select("document_id", "metric_kind", "seam_name", "borehole_id", "value")
+
+
+@query("SELECT id, round(CAST(0.9 AS DOUBLE) + CASE WHEN unit IS NULL THEN 0 ELSE 0.05 END - CASE WHEN page_number = 1 THEN 0.1 ELSE 0 END, 3) AS score, CASE WHEN CAST(0.9 AS DOUBLE) + CASE WHEN unit IS NULL THEN 0 ELSE 0.05 END - CASE WHEN page_number = 1 THEN 0.1 ELSE 0 END >= 0.849 THEN 'high_confidence' ELSE 'review_required' END AS status FROM fx")
+def draft_scores(t: Tables) -> DataFrame:
+    yes = F.lit(True)
+    score = C.confidence(yes, yes, F.col("unit").isNotNull(), yes, F.col("page_number") == 1)
+    return t.fact.select("id", score.alias("score"), C.draft_status(score).alias("status"))
+
+
+@query("SELECT event_id AS id, ts AS created_at, 'type=' || event_type AS details FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")
+def audit_log(t: Tables) -> DataFrame:
+    log = t.events.select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.create_map(F.lit("Password"), F.lit("x"), F.lit("type"), "event_type").alias("details"))
+    return W.audit(log).withColumn("details", F.array_join(F.transform(F.map_entries("details"), lambda e: F.concat_ws("=", e["key"], e["value"])), ","))
+
+
+@query("SELECT 'doc' || CAST(l_suppkey % 7 AS VARCHAR) AS document_id, CAST(l_partkey % 50 AS INT) AS page_number, round(avg(l_quantity * 2), 3) AS mean_confidence FROM lineitem WHERE l_quantity * 2 >= 0 GROUP BY ALL")
+def recognition_quality(t: Tables) -> DataFrame:
+    words = t.lineitem.select(F.concat(F.lit("doc"), (F.col("l_suppkey") % 7).cast("string")).alias("document_id"), (F.col("l_partkey") % 50).cast("int").alias("page_number"), F.col("l_orderkey").alias("place"), F.col("l_returnflag").alias("word"), (F.col("l_quantity") * 2).alias("confidence"))
+    return Y.page_confidence(words).select("document_id", "page_number", "mean_confidence")
+
+
+@query("SELECT doc_id AS id FROM documents QUALIFY row_number() OVER (PARTITION BY source, left(regexp_replace(lower(coalesce(text, '')), '[ \t\n\v\f\r]+', ' ', 'g'), 80) ORDER BY doc_id) = 1")
+def evidence_without_near_copies(t: Tables) -> DataFrame:
+    hits = t.page.select(F.col("doc_id").alias("id"), F.col("source").alias("filename"), F.lit(1).alias("page"), F.col("text").alias("content"), F.lit(1.0).alias("value"), F.lit(1.0).alias("score"))
+    return R.without_near_copies(hits).select("id")
+
+
+@query("SELECT id, tag FROM (SELECT id, 'structured' AS tag, document_id, page_number AS page, value FROM ver UNION ALL SELECT id, 'text', document_id, page_number, value FROM fx WHERE status = 'review_required') QUALIFY row_number() OVER (PARTITION BY document_id, page, value ORDER BY tag, id) = 1")
+def citations(t: Tables) -> DataFrame:
+    rows = t.fact.select("id", "status", F.col("document_id").alias("filename"), F.col("page_number").alias("page"), "value")
+    a = X.verified(t.fact).select("id", F.col("document_id").alias("filename"), F.col("page_number").alias("page"), "value").withColumn("tag", F.lit("structured"))
+    b = rows.where("status = 'review_required'").drop("status").withColumn("tag", F.lit("text"))
+    return R.citations(a, b, b.where("false")).select("id", "tag")
+
+
 # Sources and sinks ---------------------------------------------------------------------------------------------
 
 
