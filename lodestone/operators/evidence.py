@@ -16,7 +16,6 @@ from lodestone.operators.geology import verified_else_provisional, with_bucket
 from lodestone.operators.retrieve import names_entity, names_period
 
 CUES = ("production", "produced", "output", "tonnage", "dispatch")
-LISTED = {"seam": "seam", "borehole": "borehole_key", "formation": "formation", "borehole_depth": "borehole_key", "seam_thickness": "seam", "seam_depth": "seam"}
 
 
 def factual_role(text: Column, entity: Column) -> Column:
@@ -57,15 +56,26 @@ def has_fields(kind: Column) -> Column:
     return F.when(kind.isin("seam", "seam_thickness", "seam_depth"), filled("seam") & ((kind == "seam") | filled("metres"))).when(kind == "formation_thickness", filled("metres") & filled("formation") & ~filled("seam")).when(kind.isin("borehole", "borehole_depth"), filled("borehole_key") & ((kind == "borehole") | filled("metres"))).when(kind == "formation", filled("formation")).when(kind.endswith("thickness"), filled("metres")).otherwise(F.lit(True))
 
 
+def evidence_keys(kind: Column) -> list[Column]:
+    """What tells rows of evidence apart (WIN-17): a measured row is its document, kind, seam, borehole, value, page and status; a listing of seams
+    names each once (unnamed ones by formation), one of boreholes or formations likewise."""
+    uncorrelated = F.coalesce(F.lower("seam_status").isin("uncorrelated", "unnamed"), F.lit(False))
+    raw_formation = F.regexp_replace(F.lower(F.coalesce("geological_formation", F.lit(""))), "[^a-z0-9]+", "")
+    item = F.when(kind == "seam", F.concat_ws("|", "seam", F.when(uncorrelated, raw_formation))).when(kind == "borehole", F.col("borehole_key")).when(kind == "formation", F.lower("formation"))
+    measured = ~F.coalesce(kind, F.lit("")).isin("seam", "borehole", "formation")
+    return [F.col("document_id"), item, *(F.when(measured, F.col(c)) for c in ("kind", "seam", "borehole_key", "value_num", "source_page", "status"))]
+
+
 def geological_evidence(rows: DataFrame, wanted: str, seam: str | None = None, borehole: str | None = None, k: int | None = None) -> DataFrame:
-    """Typed rows that answer a geological question (RET-10, FLT-10, WIN-17): compatible kind, needed columns, exact seam and borehole; verified first,
-    then by page; one for each (document, listed item, value)."""
+    """Typed rows that answer a geological question (RET-10, WIN-17): compatible kind, needed columns, exact seam and borehole; verified first, then
+    by confidence, where rows have one, and page; one for each of evidence_keys()."""
     kind = G.metric_kind(F.lit(wanted))
     out = rows.where("bucket <> 'rejected'").where(G.metrics_compatible(kind, F.col("kind")) & has_fields(kind))
     out = out.where(F.col("seam") == G.seam(F.lit(seam))) if seam else out
     out = out.where(F.col("borehole_key") == G.borehole_key(F.lit(borehole))) if borehole else out
-    order = [F.when(F.col("bucket") == "verified", 0).otherwise(1), "source_page", "id"]
-    once = one_per(out, ["document_id", F.coalesce(LISTED.get(wanted, "kind"), F.lit("")), F.coalesce(F.col("value_num"), F.lit(0.0))], order)
+    confidence = [F.desc(F.coalesce("confidence", F.lit(0.0)))] if "confidence" in rows.columns else []
+    order = [F.when(F.col("bucket") == "verified", 0).otherwise(1), *confidence, "source_page", "id"]
+    once = one_per(out, evidence_keys(kind), order)
     return once.orderBy(*order).limit(k) if k else once
 
 

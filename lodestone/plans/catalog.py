@@ -604,7 +604,13 @@ def browsed_facts(t: Tables) -> DataFrame:
 
 @query("""SELECT id, document_id, borehole_key, metres FROM gx WHERE bucket <> 'rejected' AND kind = 'borehole_depth' QUALIFY row_number() OVER (PARTITION BY document_id, borehole_key, value_num ORDER BY CASE bucket WHEN 'verified' THEN 0 ELSE 1 END, source_page, id) = 1""")
 def borehole_evidence(t: Tables) -> DataFrame:
-    return D.geological_evidence(t.typed, "borehole_depth").select("id", "document_id", "borehole_key", "metres")
+    depths = D.geological_evidence(t.typed, "borehole_depth")  # this query's SQL lists each depth of a borehole once
+    return X.one_per(depths, ["document_id", "borehole_key", "value_num"], [F.when(F.col("bucket") == "verified", 0).otherwise(1), "source_page", "id"]).select("id", "document_id", "borehole_key", "metres")
+
+
+@query("""SELECT id, document_id, seam, borehole_key, metres FROM gx WHERE bucket <> 'rejected' AND kind = 'borehole_depth' QUALIFY row_number() OVER (PARTITION BY document_id, kind, seam, borehole_key, value_num, source_page, status ORDER BY CASE bucket WHEN 'verified' THEN 0 ELSE 1 END, source_page, id) = 1""")
+def measured_evidence(t: Tables) -> DataFrame:
+    return D.geological_evidence(t.typed, "borehole_depth").select("id", "document_id", "seam", "borehole_key", "metres")
 
 
 @query("SELECT id, seam, metres FROM gx WHERE kind = 'seam_thickness' AND seam IS NOT NULL QUALIFY row_number() OVER (PARTITION BY seam ORDER BY CASE bucket WHEN 'verified' THEN 0 ELSE 1 END, value_num DESC, id) = 1")

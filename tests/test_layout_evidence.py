@@ -102,3 +102,16 @@ def test_pages_and_topics(spark):
     assert r.summary == "Coal text\nMore coal" and r.documents == ["d", "e"]
     kinds = chunks.withColumn("content_type", F.when(F.col("chunk_id") == "c1", "structured_fact").otherwise("text"))
     assert {r.chunk_id for r in D.browse_chunks(kinds, "COAL").collect()} == {"c2", "c3"}
+
+
+def test_measured_rows_stay_apart(spark):
+    schema = "id string, document_id string, metric_kind string, seam_name string, seam_status string, geological_formation string, borehole_id string, value_num double, length_unit string, source_page int, status string, confidence double"
+    base = dict(document_id="d", metric_kind="borehole_depth", seam_name="R1", seam_status="named", geological_formation="Barakar Formation", borehole_id="BH-1", value_num=9.0, length_unit="m", source_page=1, status="extracted", confidence=0.5)
+    changes = [{}, {"confidence": 0.9}, {"seam_name": "R2"}, {"source_page": 2}, {"status": "approved"}, {"document_id": "e"}, {"borehole_id": "BH-2"}, {"value_num": 8.0}]
+    rows = E.typed(spark.createDataFrame([base | c | {"id": str(n)} for n, c in enumerate(changes)], schema))
+    assert {r.id for r in D.geological_evidence(rows, "borehole_depth").collect()} == set("1234567")
+    assert {r.id for r in D.geological_evidence(rows, "borehole_depth", k=3).collect()} == {"4", "1", "2"}
+    quantities = rows.withColumn("kind", F.lit("resource_quantity"))
+    assert {r.id for r in D.geological_evidence(quantities, "resources").collect()} == set("1234567")
+    seams = rows.withColumn("kind", F.lit("seam"))
+    assert sorted((r.document_id, r.seam) for r in D.geological_evidence(seams, "seam").collect()) == [("d", "Seam R1"), ("d", "Seam R2"), ("e", "Seam R1")]
