@@ -35,11 +35,11 @@ def factual_role(text: Column, entity: Column) -> Column:
 
 
 def text_compatible(texts: DataFrame, specs: DataFrame) -> DataFrame:
-    """Texts that may support each spec (FLT-9), with score and reasons. Specs (spec_id, entity, metric, period, month; null for any) are a few stated
-    rows; texts have document_id, content. Entity and metric are required where given; lignite is not coal, coking coal is not thermal."""
+    """Texts that may support each spec (FLT-9), with score and reasons. Specs (spec_id, entity, metric, period, month; null for any) may be
+    any number: Spark broadcasts them where they are small, else blocks of texts meet blocks of specs. Texts have document_id, content. Entity and metric are required where given; lignite is not coal, coking coal is not thermal."""
     s = specs.select("spec_id", "entity", N.field(F.col("metric")).alias("metric"), "period", F.lower("month").alias("month"))
     low = F.lower("content")
-    rows = texts.join(F.broadcast(s.limit(1_000)))  # a stated set of specs against all texts
+    rows = texts.crossJoin(s)
     absent = lambda c: F.col(c).isNull()
     entity = absent("entity") | names_entity(F.col("content"), F.col("entity"))
     metric = absent("metric") | F.contains(low, F.replace(F.col("metric"), F.lit("_"), F.lit(" ")))

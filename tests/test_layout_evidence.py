@@ -115,3 +115,16 @@ def test_measured_rows_stay_apart(spark):
     assert {r.id for r in D.geological_evidence(quantities, "resources").collect()} == set("1234567")
     seams = rows.withColumn("kind", F.lit("seam"))
     assert sorted((r.document_id, r.seam) for r in D.geological_evidence(seams, "seam").collect()) == [("d", "Seam R1"), ("d", "Seam R2"), ("e", "Seam R1")]
+
+
+def test_every_spec_meets_every_text(spark):
+    specs = spark.range(2_500).select(F.col("id").alias("spec_id"), F.concat(F.lit("Pit"), F.col("id").cast("string")).alias("entity"), F.lit("production").alias("metric"), F.lit(None).cast("string").alias("period"), F.lit(None).cast("string").alias("month"))
+    texts = spark.range(0, 2_500, 100).select(F.col("id").cast("string").alias("document_id"), F.concat(F.lit("Pit"), F.col("id").cast("string"), F.lit(" production")).alias("content"))
+    want = {(n, str(n)) for n in range(0, 2_500, 100)}
+    assert {(r.spec_id, r.document_id) for r in D.text_compatible(texts, specs).collect()} == want
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {(r.spec_id, r.document_id) for r in D.text_compatible(texts, specs).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
