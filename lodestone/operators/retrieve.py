@@ -24,15 +24,21 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm).otherwise(0.0)
 
 
-def exact_top_k(queries: DataFrame, rows: DataFrame, k: int = 10, least: float = 0.0, most_queries: int = 1_000) -> DataFrame:
-    """The k rows nearest to each query by cosine (RET-1, WIN-9, JN-16). A stated set of at most ``most_queries`` queries is broadcast
-    against all rows; a larger one is refused, as it wants sparse_top_k()."""
-    asked = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
-    if asked.limit(most_queries + 1).count() > most_queries:
+def exact_top_k(queries: DataFrame, rows: DataFrame, k: int = 10, least: float = 0.0, most_queries: int | None = None, block: int = 256) -> DataFrame:
+    """The k rows nearest to each query by cosine (RET-1, WIN-9, JN-16), for any number of queries: they meet rows in blocks of about ``block``,
+    and each query keeps k of a block. Callers may state ``most_queries``; over that the set is refused."""
+    asked = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"), F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("query_norm"))
+    if most_queries is not None and asked.limit(most_queries + 1).count() > most_queries:
         raise ValueError(f"over {most_queries} queries: use sparse_top_k")
-    scored = rows.select("id", "vector").join(F.broadcast(asked)).select("query_id", "id", F.round(cosine(F.col("query_vector"), F.col("vector")), 9).alias("score"))
+    cut = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-rows.count() // block))))
+    blocks = rows.groupBy(cut).agg(F.collect_list(F.struct("id", "vector", F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("norm"))).alias("block"))
+    norm = lambda r: r["norm"] * F.col("query_norm")
+    score = lambda r: F.when((F.size(r["vector"]) == F.size("query_vector")) & (norm(r) > 0), dot(F.col("query_vector"), r["vector"]) / norm(r)).otherwise(0.0)
+    scored = F.transform("block", lambda r: F.struct((-F.round(score(r), 9)).alias("away"), r["id"].alias("id")))
+    near = F.slice(F.array_sort(F.filter(scored, lambda r: -r["away"] >= least)), 1, k)
+    pairs = blocks.crossJoin(asked).select("query_id", F.explode(near).alias("r")).select("query_id", "r.id", (-F.col("r.away")).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.where(F.col("score") >= least).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def sparse_top_k(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:

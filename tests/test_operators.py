@@ -182,3 +182,14 @@ def test_index_facts(spark):
     chunks = spark.createDataFrame([(str(i), "d", m, True, "structured_fact") for i, m in enumerate(meta)], "chunk_id string, document_id string, meta string, is_active boolean, content_type string")
     (r,) = X.index_facts(chunks).collect()
     assert (r.entity_name, r.metric, r.period, r.measure, r.value, r.confidence) == ("Alpha", "production", "FY2023-24", "during", 10.5, 0.9)
+
+
+def test_search_of_any_number_of_queries(spark):
+    import numpy as np
+
+    x = np.random.default_rng(5).normal(size=(1_300, 4)).round(3)
+    rows = spark.createDataFrame([(n, v) for n, v in enumerate(x.tolist())], "id long, vector array<double>")
+    got = {(r.query_id, r["rank"]): r.id for r in R.exact_top_k(rows, rows, 3, -1.0).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.lexsort((np.broadcast_to(np.arange(1_300), (1_300, 1_300)), -(unit @ unit.T).round(9)))[:, :3]
+    assert got == {(q, r + 1): int(i) for q, ids in enumerate(want) for r, i in enumerate(ids)}
