@@ -193,3 +193,12 @@ def test_search_of_any_number_of_queries(spark):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = np.lexsort((np.broadcast_to(np.arange(1_300), (1_300, 1_300)), -(unit @ unit.T).round(9)))[:, :3]
     assert got == {(q, r + 1): int(i) for q, ids in enumerate(want) for r, i in enumerate(ids)}
+
+
+def test_sparse_search_asks_a_hundredth(spark):
+    from lodestone.plans import catalog
+
+    tables = catalog.Tables(spark, "/root/testdata/sf0.001")
+    asked = {r.query_id for r in catalog.QUERIES["sparse_top_k"](spark, "/root/testdata/sf0.001").select("query_id").distinct().collect()}
+    ids = {r.id for r in tables.fact.select("id").collect()}
+    assert asked <= ids and 0.005 * len(ids) < len(asked) < 0.02 * len(ids) and len({i.split("/")[1] for i in asked}) > 10
