@@ -22,7 +22,7 @@ from lodestone.operators import retrieve as R
 from lodestone.operators import review as W
 from lodestone.operators import validate as V
 from lodestone.sources.store import sheets_to_pages, upserted
-from lodestone.sources.views import expanded, table, view
+from lodestone.sources.views import VIEWS, expanded, table, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,13 +30,13 @@ SQL: dict[str, str] = {}
 
 
 class Tables:
-    """The views and tables of one data folder."""
+    """The views and tables of one data folder; ``whole`` for views that don't fold parts and suppliers, where there are such."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, whole: bool = False):
+        self.spark, self.sf_dir, self.whole = spark, sf_dir, whole
 
     def __getattr__(self, name: str) -> DataFrame:
-        return view(self.spark, self.sf_dir, f"v_{name}") if name in ("fact", "document", "upload", "index", "geo", "conflict", "review", "page") else table(self.spark, self.sf_dir, name)
+        return view(self.spark, self.sf_dir, f"v_{name}_whole" if self.whole and f"v_{name}_whole" in VIEWS else f"v_{name}") if name in ("fact", "document", "upload", "index", "geo", "conflict", "review", "page") else table(self.spark, self.sf_dir, name)
 
     @property
     def index_facts(self) -> DataFrame:
@@ -57,11 +57,18 @@ class Tables:
         return E.typed(self.geo)
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, whole: bool = False):
+    """Registers a query and its SQL; with ``whole`` once more as NAME_whole, over the views that don't fold parts and suppliers."""
+
     def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql is not None:
-            SQL[f.__name__] = expanded(PRELUDE + sql if re.search(r"\b(fx|ver|ux|px|ix|cx|gx)\b", sql) else sql)
+        text = PRELUDE + sql if re.search(r"\b(fx|ver|ux|px|ix|cx|gx)\b", sql or "") else sql
+        if text is not None:
+            SQL[f.__name__] = expanded(text)
+        if whole:
+            QUERIES[f"{f.__name__}_whole"] = lambda spark, sf_dir: f(Tables(spark, sf_dir, True))
+            if text is not None:
+                SQL[f"{f.__name__}_whole"] = expanded(re.sub(r"\{(v_\w+)\}", lambda m: f"{{{m[1]}_whole}}" if f"{m[1]}_whole" in VIEWS else m[0], text))
         return f
 
     return add
@@ -97,7 +104,7 @@ def normalized_facts(t: Tables) -> DataFrame:
     return X.normalized(t.fact).select("id", "entity", "field", "period", F.col("unit_norm.canonical").alias("canonical"), F.col("unit_norm.review").alias("review"), "base_value")
 
 
-@query("SELECT v.id, v.document_id, d.filename AS document_name, d.version AS document_version, v.page_number FROM ver v SEMI JOIN latest l ON v.document_id = l.document_id LEFT JOIN {v_document} d ON v.document_id = d.document_id")
+@query("SELECT v.id, v.document_id, d.filename AS document_name, d.version AS document_version, v.page_number FROM ver v SEMI JOIN latest l ON v.document_id = l.document_id LEFT JOIN {v_document} d ON v.document_id = d.document_id", whole=True)
 def latest_verified_facts(t: Tables) -> DataFrame:
     return X.with_document(X.of_latest(X.verified(t.fact), t.document), t.document).select("id", "document_id", "document_name", "document_version", "page_number")
 
@@ -117,7 +124,7 @@ def classified_facts(t: Tables) -> DataFrame:
     return t.classified.select("fact_id", "entity_name", "commodity", "metric", "measure", "storage_metric", "period", "value", "source")
 
 
-@query("SELECT fact_id, entity_name, storage_metric, period, measure, value, source FROM cx QUALIFY row_number() OVER (PARTITION BY lower(entity_name), storage_metric, period, round(value, 6), coalesce(measure, '') ORDER BY CASE source WHEN 'index' THEN 0 ELSE 1 END, fact_id) = 1")
+@query("SELECT fact_id, entity_name, storage_metric, period, measure, value, source FROM cx QUALIFY row_number() OVER (PARTITION BY lower(entity_name), storage_metric, period, round(value, 6), coalesce(measure, '') ORDER BY CASE source WHEN 'index' THEN 0 ELSE 1 END, fact_id) = 1", whole=True)
 def merged_facts(t: Tables) -> DataFrame:
     return X.merged(t.classified).select("fact_id", "entity_name", "storage_metric", "period", "measure", "value", "source")
 
@@ -125,18 +132,18 @@ def merged_facts(t: Tables) -> DataFrame:
 # Analytics -----------------------------------------------------------------------------------------------------
 
 
-@query("SELECT entity, field, period, numeric_value, unit, id, document_id, page_number, status, CASE WHEN count(*) OVER (PARTITION BY entity, field) >= 2 THEN 'line' ELSE 'bar' END AS chart_type FROM px")
+@query("SELECT entity, field, period, numeric_value, unit, id, document_id, page_number, status, CASE WHEN count(*) OVER (PARTITION BY entity, field) >= 2 THEN 'line' ELSE 'bar' END AS chart_type FROM px", whole=True)
 def trend(t: Tables) -> DataFrame:
     return A.trend(t.usable).select("entity", "field", "period", "numeric_value", "unit", "id", "document_id", "page_number", "status", "chart_type")
 
 
-@query("SELECT a.entity, a.period, a.numeric_value AS actual, b.numeric_value AS target, a.id AS actual_id, b.id AS target_id, round(a.numeric_value / nullif(b.numeric_value, 0) * 100, 2) AS achievement FROM px a JOIN px b ON a.entity = b.entity AND a.period = b.period WHERE a.field = 'production' AND b.field = 'production_target'")
+@query("SELECT a.entity, a.period, a.numeric_value AS actual, b.numeric_value AS target, a.id AS actual_id, b.id AS target_id, round(a.numeric_value / nullif(b.numeric_value, 0) * 100, 2) AS achievement FROM px a JOIN px b ON a.entity = b.entity AND a.period = b.period WHERE a.field = 'production' AND b.field = 'production_target'", whole=True)
 def actual_vs_target(t: Tables) -> DataFrame:
     return A.actual_vs_target(t.usable).select("entity", "period", "actual", "target", "actual_id", "target_id", "achievement")
 
 
 @query("""SELECT entity, period, numeric_value, unit, id, (SELECT count(DISTINCT lower(coalesce(unit, ''))) > 1 FROM (SELECT * FROM (SELECT *, max(period) OVER (PARTITION BY entity) AS m FROM ux WHERE field = 'production') WHERE period = m QUALIFY row_number() OVER (PARTITION BY entity ORDER BY confidence_score DESC, id DESC) = 1)) AS withheld
-FROM (SELECT *, max(period) OVER (PARTITION BY entity) AS m FROM ux WHERE field = 'production') WHERE period = m QUALIFY row_number() OVER (PARTITION BY entity ORDER BY confidence_score DESC, id DESC) = 1""")
+FROM (SELECT *, max(period) OVER (PARTITION BY entity) AS m FROM ux WHERE field = 'production') WHERE period = m QUALIFY row_number() OVER (PARTITION BY entity ORDER BY confidence_score DESC, id DESC) = 1""", whole=True)
 def compare_entities(t: Tables) -> DataFrame:
     return A.compare_entities(t.usable).select("entity", "period", "numeric_value", "unit", "id", "withheld")
 
@@ -213,12 +220,12 @@ def latest_common_year(t: Tables) -> DataFrame:
     return A.common_year(X.normalized(t.fact.where("status <> 'rejected'")).where(F.col("entity").isin(ASKED)))
 
 
-@query("""SELECT id, entity, field, period, base_value, before, base_value - before AS change, round((base_value - before) / nullif(before, 0) * 100, 2) AS percent FROM (SELECT *, lag(base_value) OVER (PARTITION BY entity, field ORDER BY period) AS before FROM px)""")
+@query("""SELECT id, entity, field, period, base_value, before, base_value - before AS change, round((base_value - before) / nullif(before, 0) * 100, 2) AS percent FROM (SELECT *, lag(base_value) OVER (PARTITION BY entity, field ORDER BY period) AS before FROM px)""", whole=True)
 def year_changes(t: Tables) -> DataFrame:
     return A.year_changes(t.usable).select("id", "entity", "field", "period", "base_value", "before", "change", "percent")
 
 
-@query("""SELECT entity_name, storage_metric, period, measure, reporting_month, unit, count(*) AS n, min(value) AS low, max(value) AS high, arg_min(fact_id, document_id || '|' || fact_id) AS fact_id, max(value) - min(value) > 1e-6 AS conflict FROM cx GROUP BY ALL""")
+@query("""SELECT entity_name, storage_metric, period, measure, reporting_month, unit, count(*) AS n, min(value) AS low, max(value) AS high, arg_min(fact_id, document_id || '|' || fact_id) AS fact_id, max(value) - min(value) > 1e-6 AS conflict FROM cx GROUP BY ALL""", whole=True)
 def unique_facts(t: Tables) -> DataFrame:
     return A.unique_facts(t.classified)
 
@@ -235,7 +242,7 @@ found AS (SELECT CASE WHEN review THEN left(sha256('unit|' || entity || '|' || f
 """
 
 
-@query(REPS + "SELECT * FROM found")
+@query(REPS + "SELECT * FROM found", whole=True)
 def cross_document_conflicts(t: Tables) -> DataFrame:
     return V.cross_document(t.fact, t.document)
 

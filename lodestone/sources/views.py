@@ -1,7 +1,9 @@
 """Fact, document and chunk views over the star tables.
 
-Each view is portable SQL with ``{table}`` placeholders: Spark fills them with DataFrames, other engines with names. All work
-grows with the tables; ids are made of the grain's keys, so that every row can be told apart."""
+Each view is portable SQL with ``{table}`` placeholders: Spark fills them with DataFrames, other engines with names. ids are made of
+the grain's keys, so that every row can be told apart. v_fact, v_document, v_index and v_conflict fold parts and suppliers into 50 mines
+and 7 documents, so that only their own aggregates grow with the tables; their forms that end in _whole keep a mine for each part and a
+document for each supplier, so that all that is built on them grows as well (most of their groups are of one row, so the status comes from keys)."""
 
 from __future__ import annotations
 
@@ -55,6 +57,13 @@ FROM {events}""",
     "v_page": "SELECT 'd' || CAST(doc_id AS VARCHAR(20)) AS document_id, doc_id, coalesce(text, '') AS text, source FROM {documents}",
 }
 
+VIEWS |= {f"{v}_whole": VIEWS[v].replace("l_suppkey % 7", "l_suppkey").replace("l_partkey % 50", "l_partkey").replace("d = 6", "d % 7 = 6").replace("CASE n % 5", "CASE (d + e + y) % 5") for v in ("v_fact", "v_index", "v_conflict")}
+#: Files of four versions each, so that the latest documents grow with the suppliers too.
+VIEWS["v_document_whole"] = """
+SELECT 'doc' || CAST(d AS VARCHAR(20)) AS document_id, 'Report_' || CAST(CAST((d - d % 4) / 4 AS BIGINT) AS VARCHAR(20)) || '.pdf' AS filename,
+       CAST(d % 4 + 1 AS INT) AS version, CASE d % 3 WHEN 0 THEN 'COMPLETED' WHEN 1 THEN 'PROCESSING' ELSE 'UPLOADED' END AS status, n AS weight
+FROM (SELECT s_suppkey AS d, count(*) AS n FROM {supplier} GROUP BY s_suppkey) b"""
+
 
 def expanded(sql: str) -> str:
     """A query's text for an engine that knows the tables by name: {view} and {table} become their definitions and names."""

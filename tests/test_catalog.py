@@ -36,3 +36,11 @@ def test_query(spark, duck, name):
         assert sorted(names) == columns
         want = sorted([plain(r[names.index(c)]) for c in columns] for r in found.fetchall())
         assert sorted([plain(r[c]) for c in columns] for r in rows) == want
+
+
+def test_whole_views_grow(spark):
+    from lodestone.sources.views import view
+
+    for name in ("v_fact", "v_index", "v_document"):
+        small, large = (view(spark, f"/root/testdata/{sf}", f"{name}_whole").count() for sf in ("sf0.001", "sf0.01"))
+        assert large > 8 * small
