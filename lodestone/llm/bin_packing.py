@@ -3,9 +3,10 @@
 Every document becomes its token ids and an end token; only documents of more than ``room`` tokens are cut, into
 pieces of ``room`` tokens after a first piece that holds the remainder. Lengths are whole numbers up to ``room``, so
 that the problem is the histogram of lengths, whose size doesn't grow with the data. It is solved on the
-driver: best fit decreasing gives the first incumbent; if that needs more bins than the sum of lengths forces,
-branch and bound fills the bin of the largest length left with undominated completions, least waste first, and
-prunes by the waste that an improvement still allows. Equal bins are handled as one pattern with a number of copies.
+driver: best fit decreasing gives the first incumbent; if that needs more bins than a lower bound (``least_bins``),
+a search of limited discrepancy fills the bin of the largest length left, with the fillings of least waste for each largest filler or with
+fewer copies of the first, and prunes by a lower bound. The whole bins of a fractional packing, the rest searched, compete with that. Equal bins
+are handled as one pattern with a number of copies. Both have budgets (``NODES``, ``ROUNDS``), so that the packing may stay above the bound.
 
 Spark then gives each piece its rank among pieces of its length (a running count over hash chunks, so that no task
 holds all pieces of one length) and looks up the bin, place and offset of that rank in the table of patterns.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.bpe_trie import Bpe, vocabulary
 from lodestone.llm.shared import Slice, map_slices, partitions, table
 
-ROOM, END, NODES, WIDTH = 1024, 2, 5_000, 6
+ROOM, END, NODES, WIDTH, TURNS, ROUNDS = 1024, 2, 5_000, 6, 8, 1_000
 Pattern = tuple[int, ...]
 
 
@@ -64,46 +65,121 @@ def best_fit(lengths: dict[int, int], room: int) -> Counter[Pattern]:
     return done
 
 
-def completions(gap: int, lengths: dict[int, int], most: int) -> list[Pattern]:
-    """Undominated fillings of a gap, least waste first: no piece can be added, none can be changed for a larger
-    one that still fits, and no two of its pieces for a single one of their joint length."""
-    sizes = sorted((x for x, n in lengths.items() if n and x <= gap), reverse=True)
-    out: list[Pattern] = []
-    tried = 0
+def copies_of(sums: int, size: int, n: int) -> int:
+    """The sums (bit i for i) that up to ``n`` more pieces of a size make."""
+    step = 1
+    while n > 0:
+        sums |= sums << size * min(step, n)
+        n, step = n - step, 2 * step
+    return sums
 
-    def go(k: int, left: int, chosen: list[int]) -> None:
-        nonlocal tried
-        tried += 1
-        if tried > 40 * most or len(out) >= 4 * most:
-            return
-        while k < len(sizes) and (sizes[k] > left or chosen.count(sizes[k]) >= lengths[sizes[k]]):
-            k += 1
-        if k == len(sizes):
-            free = lambda x: chosen.count(x) < lengths[x]
-            grows = any(free(x) and any(c < x <= c + left for c in chosen) for x in sizes)
-            joint = any(lengths.get(a + b, 0) > chosen.count(a + b) for i, a in enumerate(chosen) for b in chosen[:i])
-            if not grows and not joint:
-                out.append(tuple(chosen))
-            return
-        go(k, left - sizes[k], [*chosen, sizes[k]])
-        go(k + 1 + sum(1 for x in sizes[k + 1 :] if x > left), left, chosen)
 
-    go(0, gap, [])
-    return sorted(set(out), key=lambda c: (gap - sum(c), len(c)))[:most] or [()]
+def completions(gap: int, lengths: dict[int, int], most: int) -> list[Pattern]:
+    """Fillings of a gap, least waste first: for each piece that may be a filling's largest, one of the largest sum. All sums of the pieces
+    from each size down are known as bits, so that no filling is missed for want of steps; of fillings of one sum those of larger pieces go first."""
+    sizes = sorted((x for x, n in lengths.items() if n and x <= gap), reverse=True)
+    sums, below = 1, [1]  # below[-1 - k]: sums of the pieces smaller than sizes[k - 1]
+    found = []
+    for k in range(len(sizes) - 1, -1, -1):
+        size = sizes[k]
+        more = copies_of(sums, size, min(lengths[size], gap // size) - 1) & ((1 << gap - size + 1) - 1)
+        found.append((gap - size - (more.bit_length() - 1), k))
+        sums = copies_of(sums, size, min(lengths[size], gap // size)) & ((1 << gap + 1) - 1)
+        below.append(sums)
+    below.reverse()  # below[k]: sums of sizes[k:]
+    out = []
+    for waste, k in sorted(found)[:most]:
+        left, chosen = gap - waste - sizes[k], [sizes[k]]
+        for j in range(k, len(sizes)):
+            n = min(lengths[sizes[j]] - (j == k), left // sizes[j])
+            while not below[j + 1] >> left - n * sizes[j] & 1:
+                n -= 1
+            chosen += [sizes[j]] * n
+            left -= n * sizes[j]
+        out.append(tuple(chosen))
+    return out or [()]
+
+
+def least_bins(lengths: dict[int, int], room: int) -> int:
+    """A lower bound on bins: pieces of over half a bin share none, and what they leave takes only pieces that fit (Martello and Toth's L2)."""
+    n = np.zeros(room + 1, np.int64)
+    for x, m in lengths.items():
+        n[x] = m
+    number, weight = np.cumsum(n), np.cumsum(n * np.arange(room + 1))
+    half = room // 2
+    k = np.arange(1, half + 1)
+    alone, wide = number[room] - number[room - k], number[room - k] - number[half]
+    rest = weight[half] - weight[k - 1] - (wide * room - (weight[room - k] - weight[half]))
+    return max(-(-int(weight[room]) // room), int((alone + wide + np.maximum(0, -(-rest // room))).max(initial=0)))
+
+
+def relaxed(lengths: dict[int, int], room: int, rounds: int = ROUNDS) -> tuple[Counter[Pattern], int]:
+    """The whole bins of a fractional packing, and a lower bound on bins, by column generation (Gilmore and Gomory): a pattern enters
+    as long as an exact knapsack over all lengths finds one that is worth more than a bin at the prices of the patterns so far."""
+    sizes = np.array(sorted(lengths))
+    need = np.array([lengths[int(x)] for x in sizes], float)
+    basis = np.diag(room // sizes).astype(float)
+    inverse, bound = np.diag(1 / np.diag(basis)), 0
+    for _ in range(rounds):
+        prices = np.maximum(inverse.sum(axis=0), 0)
+        value, last = np.zeros(room + 1), np.full(room + 1, -1)
+        for r in range(int(sizes[0]), room + 1):
+            k = int(np.searchsorted(sizes, r, "right"))
+            worth = value[r - sizes[:k]] + prices[:k]
+            j = int(worth.argmax())
+            value[r], last[r] = (worth[j], j) if worth[j] > value[r - 1] else (value[r - 1], -1)
+        bound = max(bound, int(np.ceil(prices @ need / value[room] - 1e-6)))
+        if value[room] <= 1 + 1e-9:
+            break
+        column, r = np.zeros(len(sizes)), room
+        while r > 0:
+            j = last[r]
+            column[j] += j >= 0
+            r -= int(sizes[j]) if j >= 0 else 1
+        entering, amount = inverse @ column, inverse @ need
+        ratio = np.where(entering > 1e-9, amount / np.where(entering > 1e-9, entering, 1), np.inf)
+        out = int(ratio.argmin())
+        row = inverse[out] / entering[out]
+        inverse -= np.outer(entering, row)
+        inverse[out] = row
+        basis[:, out] = column
+    whole: Counter[Pattern] = Counter()
+    left = need.copy()
+    for k, n in enumerate(np.floor(np.maximum(inverse @ need, 0) + 1e-7)):
+        used = basis[:, k] > 0
+        if (n := int(min(n, (left[used] // basis[used, k]).min()))) > 0:
+            left -= n * basis[:, k]
+            whole[tuple(int(x) for x, c in zip(sizes[::-1], basis[::-1, k], strict=True) for _ in range(int(c)))] += n
+    return whole, bound
 
 
 def pack(lengths: dict[int, int], room: int = ROOM, nodes: int = NODES) -> Counter[Pattern]:
-    """Patterns (lengths in a bin) and the number of bins with each. ``nodes`` bounds the search for better
-    patterns than best fit's; all pieces are packed whatever it is."""
+    """Patterns (lengths in a bin) and the number of bins with each: best fit's, or better ones that a search of ``nodes`` steps
+    or the fractional packing finds. All pieces are packed whatever the budgets are."""
     lengths = {x: n for x, n in lengths.items() if n}
-    best = best_fit(lengths, room)
-    total = sum(x * n for x, n in lengths.items())
-    least = -(-total // room)
-    budget = nodes
-
-    def go(left: dict[int, int], chosen: list[tuple[Pattern, int]], bins: int, rest: int) -> None:
+    best, least = best_fit(lengths, room), least_bins(lengths, room)
+    if sum(best.values()) == least:
+        return best
+    whole, bound = relaxed(lengths, room)
+    left = Counter(lengths)
+    for pattern, n in whole.items():
+        for x in pattern:
+            left[x] -= n
+    rest = {x: n for x, n in left.items() if n}
+    rounded = whole + searched(rest, room, nodes, least_bins(rest, room))
+    best = min(best, rounded, key=lambda p: sum(p.values()))
+    least = max(least, bound)
+    return best if sum(best.values()) == least else min(best, searched(lengths, room, nodes, least), key=lambda p: sum(p.values()))
+
+
+def searched(lengths: dict[int, int], room: int, nodes: int, least: int) -> Counter[Pattern]:
+    """Best fit's packing, or a better one found within ``nodes`` steps."""
+    best, budget = best_fit(lengths, room), nodes
+
+    def go(left: dict[int, int], chosen: list[tuple[Pattern, int]], bins: int, turns: int) -> None:
+        """``turns``: how often the search may still leave the first choice; it does so near the root first."""
         nonlocal best, budget
-        if bins + -(-rest // room) >= sum(best.values()) or budget <= 0:  # the waste so far allows no better packing
+        if budget <= 0 or bins + least_bins(left, room) >= sum(best.values()):  # no better packing from here
             return
         if not left:
             best = Counter()
@@ -113,20 +189,25 @@ def pack(lengths: dict[int, int], room: int = ROOM, nodes: int = NODES) -> Count
         budget -= 1
         largest = max(left)
         others = {x: n - (x == largest) for x, n in left.items()}
-        for fill in completions(room - largest, others, WIDTH):
+        choices = []
+        for fill in completions(room - largest, others, WIDTH if turns else 1):
             pattern = (largest, *fill)
+            choices.append((pattern, min(left[x] // n for x, n in Counter(pattern).items())))
+        pattern, copies = choices[0]
+        choices += [(pattern, n) for n in sorted({copies // 2, copies // 4, 1} - {0, copies}, reverse=True)] if turns else []
+        for k, (pattern, copies) in [*enumerate(choices)][1:] + [(0, choices[0])]:
             need = Counter(pattern)
-            copies = min(left[x] // n for x, n in need.items())
             after = {x: m for x, n in left.items() if (m := n - copies * need[x])}
-            go(after, [*chosen, (pattern, copies)], bins + copies, rest - copies * sum(pattern))
-            if sum(best.values()) == least:
+            go(after, [*chosen, (pattern, copies)], bins + copies, turns - (k > 0))
+            if sum(best.values()) == least or budget <= 0:
                 return
 
     if sum(best.values()) > least:
         deep = sys.getrecursionlimit()
-        sys.setrecursionlimit(deep + 4 * room)  # the search goes one level down for each pattern, at most one a length
+        sys.setrecursionlimit(deep + 8 * room)  # one level down for each pattern: at most one a length, and one for each turn
         try:
-            go(lengths, [], 0, total)
+            for turns in range(TURNS):
+                go(lengths, [], 0, turns)
         finally:
             sys.setrecursionlimit(deep)
     return best

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -347,3 +348,16 @@ def test_digest_columns(spark):
     assert all(rows[d].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest() for d, t in text.items())
     whole = [r for r in op2_lz_dedup(spark, DATA).where(F.col("n_removed") == 0).collect()]
     assert whole and all(r.kept_sha256 == hashlib.sha256(" ".join(WORD.findall(text[r.doc_id])).encode()).hexdigest() for r in whole)
+
+
+def test_packing_near_the_bound():
+    assert bin_packing.completions(504, {300: 1, 210: 2, **dict.fromkeys(range(5, 205), 1)}, 6)[1][0] == 210  # not only fillings of the largest
+    draw = np.random.default_rng(3)
+    lengths = {int(x): int(n) for x, n in zip(draw.choice(np.arange(200, 600), 60, False), draw.integers(1, 400, 60), strict=True)}
+    packed, got = bin_packing.pack(lengths), Counter()
+    for pattern, n in packed.items():
+        assert sum(pattern) <= bin_packing.ROOM
+        for x in pattern:
+            got[x] += n
+    least = bin_packing.relaxed(lengths, bin_packing.ROOM)[1]
+    assert got == lengths and least <= sum(packed.values()) <= 1.01 * least < sum(bin_packing.best_fit(lengths, bin_packing.ROOM).values())
