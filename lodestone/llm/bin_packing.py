@@ -3,10 +3,13 @@
 Every document becomes its token ids and an end token; only documents of more than ``room`` tokens are cut, into
 pieces of ``room`` tokens after a first piece that holds the remainder. Lengths are whole numbers up to ``room``, so
 that the problem is the histogram of lengths, whose size doesn't grow with the data. It is solved on the
-driver: best fit decreasing gives the first incumbent; if that needs more bins than a lower bound (``least_bins``),
-a search of limited discrepancy fills the bin of the largest length left, with the fillings of least waste for each largest filler or with
-fewer copies of the first, and prunes by a lower bound. The whole bins of a fractional packing, the rest searched, compete with that. Equal bins
-are handled as one pattern with a number of copies. Both have budgets (``NODES``, ``ROUNDS``), so that the packing may stay above the bound.
+driver: best fit decreasing gives the first incumbent; if that needs more bins than a lower bound (``least_bins``), the fractional packing
+that column generation finds gives whole bins, and bin completion packs the rest: a branch-and-bound of limited discrepancy fills the bin of
+the largest length left, with the fillings of least waste for each largest filler or with fewer copies of the first, and prunes by the bound. If
+the best is still above the bound, bin completion runs over all lengths too. Equal bins are handled as one pattern with a number of copies.
+
+The two have budgets of steps (``NODES``) and rounds (``ROUNDS``): with up to 1,024 lengths in any number the exact answer is out of reach of any
+bounded time, so a packing may stay above the bound. It is then the best of the three found; ``least_bins`` and ``pack`` tell the gap.
 
 Spark then gives each piece its rank among pieces of its length (a running count over hash chunks, so that no task
 holds all pieces of one length) and looks up the bin, place and offset of that rank in the table of patterns.
@@ -19,6 +22,7 @@ from __future__ import annotations
 import sys
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.bpe_trie import Bpe, vocabulary
 from lodestone.llm.shared import Slice, map_slices, partitions, table
 
-ROOM, END, NODES, WIDTH, TURNS, ROUNDS = 1024, 2, 5_000, 6, 8, 1_000
+ROOM, END, NODES, WIDTH, TURNS, ROUNDS, COLUMNS = 1024, 2, 1_000, 6, 8, 160, 200
 Pattern = tuple[int, ...]
 
 
@@ -113,63 +117,122 @@ def least_bins(lengths: dict[int, int], room: int) -> int:
     return max(-(-int(weight[room]) // room), int((alone + wide + np.maximum(0, -(-rest // room))).max(initial=0)))
 
 
-def relaxed(lengths: dict[int, int], room: int, rounds: int = ROUNDS) -> tuple[Counter[Pattern], int]:
-    """The whole bins of a fractional packing, and a lower bound on bins, by column generation (Gilmore and Gomory): a pattern enters
-    as long as an exact knapsack over all lengths finds one that is worth more than a bin at the prices of the patterns so far."""
+def _most_worth(sizes: np.ndarray, prices: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room up to ``room``: the most that pieces in it are worth, and the place of a size that such a filling holds (-1: none of its own)."""
+    value, last = np.zeros(room + 1), np.full(room + 1, -1)
+    fit = np.searchsorted(sizes, np.arange(room + 1), "right")
+    for r in range(int(sizes[0]), room + 1):
+        worth = value[r - sizes[: fit[r]]] + prices[: fit[r]]
+        j = int(worth.argmax())
+        value[r], last[r] = (worth[j], j) if worth[j] > value[r - 1] else (value[r - 1], -1)
+    return value, last
+
+
+def _filled(sizes: np.ndarray, last: np.ndarray, room: int, first: int) -> np.ndarray:
+    """The pattern (pieces of each size) of ``first`` and the pieces of most worth in the room that it leaves."""
+    column = np.zeros(len(sizes))
+    column[first] = 1
+    r = room - int(sizes[first])
+    while r > 0:
+        j = last[r]
+        column[j] += j >= 0
+        r -= int(sizes[j]) if j >= 0 else 1
+    return column
+
+
+def relaxed(lengths: dict[int, int], room: int, start: Iterable[Pattern] = (), rounds: int = ROUNDS) -> tuple[Counter[Pattern], int]:
+    """The whole bins of a fractional packing, and a lower bound on bins, by column generation (Gilmore and Gomory), which begins with the
+    patterns of ``start``: an exact knapsack at the prices of the patterns so far gives, for each size, the best pattern that holds it; those worth more
+    than a bin enter. Prices are smoothed towards those of the best bound while that still finds patterns (Wentges, 1997)."""
     sizes = np.array(sorted(lengths))
     need = np.array([lengths[int(x)] for x in sizes], float)
+    at = {int(x): i for i, x in enumerate(sizes)}
     basis = np.diag(room // sizes).astype(float)
-    inverse, bound = np.diag(1 / np.diag(basis)), 0
-    for _ in range(rounds):
-        prices = np.maximum(inverse.sum(axis=0), 0)
-        value, last = np.zeros(room + 1), np.full(room + 1, -1)
-        for r in range(int(sizes[0]), room + 1):
-            k = int(np.searchsorted(sizes, r, "right"))
-            worth = value[r - sizes[:k]] + prices[:k]
-            j = int(worth.argmax())
-            value[r], last[r] = (worth[j], j) if worth[j] > value[r - 1] else (value[r - 1], -1)
-        bound = max(bound, int(np.ceil(prices @ need / value[room] - 1e-6)))
-        if value[room] <= 1 + 1e-9:
-            break
-        column, r = np.zeros(len(sizes)), room
-        while r > 0:
-            j = last[r]
-            column[j] += j >= 0
-            r -= int(sizes[j]) if j >= 0 else 1
-        entering, amount = inverse @ column, inverse @ need
-        ratio = np.where(entering > 1e-9, amount / np.where(entering > 1e-9, entering, 1), np.inf)
-        out = int(ratio.argmin())
-        row = inverse[out] / entering[out]
-        inverse -= np.outer(entering, row)
-        inverse[out] = row
-        basis[:, out] = column
+    inverse = np.diag(1 / np.diag(basis))
+    amount, bound, anchor, smooth, steps = inverse @ need, 0.0, None, 0.7, 0
+
+    def enter(pool: np.ndarray) -> None:
+        nonlocal inverse, amount, steps
+        used = np.zeros(len(pool), bool)  # each enters once, so that steps which change nothing can't go round
+        while len(pool):
+            worth = np.where(used, 0, pool @ inverse.sum(axis=0))
+            k = int(worth.argmax())
+            if worth[k] <= 1 + 1e-7:
+                return
+            used[k] = True
+            entering = inverse @ pool[k]
+            ratio = np.where(entering > 1e-5, amount / np.where(entering > 1e-5, entering, 1), np.inf)
+            step = ratio.min()
+            out = int(np.where(ratio <= step + 1e-9, entering, -1).argmax())
+            row = inverse[out] / entering[out]
+            inverse -= np.outer(entering, row)
+            inverse[out] = row
+            amount = np.maximum(amount - step * entering, 0)
+            amount[out] = step
+            basis[:, out] = pool[k]
+            steps += 1
+            if steps % 500 == 0:  # rounding errors grow with every step
+                inverse = np.linalg.inv(basis)
+                amount = np.maximum(inverse @ need, 0)
+
+    first = np.zeros((0, len(sizes)))
+    if start := list(start):
+        first = np.zeros((len(start), len(sizes)))
+        for k, pattern in enumerate(start):
+            np.add.at(first[k], [at[x] for x in pattern], 1)
+    try:
+        enter(first)
+        for _ in range(rounds):
+            prices = np.maximum(inverse.sum(axis=0), 0)
+            asked = prices if anchor is None else smooth * anchor + (1 - smooth) * prices
+            value, last = _most_worth(sizes, asked, room)
+            found = asked @ need / max(value[room], 1)
+            if found > bound:
+                bound, anchor = found, asked / max(value[room], 1)
+            if np.ceil(bound - 1e-6) >= amount.sum():
+                break
+            best = np.argsort(-(asked + value[room - sizes]), kind="stable")[:COLUMNS]
+            columns = np.array([_filled(sizes, last, room, int(f)) for f in best])
+            columns = columns[columns @ prices > 1 + 1e-7]
+            if len(columns):
+                enter(columns)
+            elif smooth == 0:
+                break
+            else:
+                smooth = smooth / 2 if smooth > 0.05 else 0.0
+    except np.linalg.LinAlgError:  # the basis can't be inverted anew; what it holds is checked against the pieces below
+        pass
     whole: Counter[Pattern] = Counter()
     left = need.copy()
-    for k, n in enumerate(np.floor(np.maximum(inverse @ need, 0) + 1e-7)):
+    amount = np.where(np.isfinite(amount), amount, 0)
+    for k, n in enumerate(np.floor(np.maximum(amount, 0) + 1e-7)):
         used = basis[:, k] > 0
         if (n := int(min(n, (left[used] // basis[used, k]).min()))) > 0:
             left -= n * basis[:, k]
             whole[tuple(int(x) for x, c in zip(sizes[::-1], basis[::-1, k], strict=True) for _ in range(int(c)))] += n
-    return whole, bound
+    return whole, int(np.ceil(bound - 1e-6))
 
 
 def pack(lengths: dict[int, int], room: int = ROOM, nodes: int = NODES) -> Counter[Pattern]:
-    """Patterns (lengths in a bin) and the number of bins with each: best fit's, or better ones that a search of ``nodes`` steps
-    or the fractional packing finds. All pieces are packed whatever the budgets are."""
+    """Patterns (lengths in a bin) and the number of bins with each: best fit's, or better ones that the fractional packing or a search of
+    ``nodes`` steps finds. All pieces are packed whatever the budgets are. Pieces that leave no room for another one are bins of their own."""
     lengths = {x: n for x, n in lengths.items() if n}
+    alone = {x: n for x, n in lengths.items() if x + min(lengths) > room}
+    lengths = {x: n for x, n in lengths.items() if x not in alone}
+    done: Counter[Pattern] = Counter({(x,): n for x, n in alone.items()})
+    bins = lambda packing: sum(packing.values())
     best, least = best_fit(lengths, room), least_bins(lengths, room)
-    if sum(best.values()) == least:
-        return best
-    whole, bound = relaxed(lengths, room)
-    left = Counter(lengths)
-    for pattern, n in whole.items():
-        for x in pattern:
-            left[x] -= n
-    rest = {x: n for x, n in left.items() if n}
-    rounded = whole + searched(rest, room, nodes, least_bins(rest, room))
-    best = min(best, rounded, key=lambda p: sum(p.values()))
-    least = max(least, bound)
-    return best if sum(best.values()) == least else min(best, searched(lengths, room, nodes, least), key=lambda p: sum(p.values()))
+    if bins(best) > least:
+        whole, bound = relaxed(lengths, room, best)
+        least, left = max(least, bound), Counter(lengths)
+        for pattern, n in whole.items():
+            for x in pattern:
+                left[x] -= n
+        rest = {x: n for x, n in left.items() if n}
+        best = min(best, whole + searched(rest, room, nodes, least_bins(rest, room)), key=bins)
+    if bins(best) > least:
+        best = min(best, searched(lengths, room, nodes, least), key=bins)
+    return done + best
 
 
 def searched(lengths: dict[int, int], room: int, nodes: int, least: int) -> Counter[Pattern]:
