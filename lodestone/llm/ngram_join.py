@@ -14,14 +14,17 @@ if one of the two gives up no signature that it needs in some partition, the oth
 The first two partitions are of uncommon shingles alone (sets differ in no more of these than in all), which keeps apart texts that merely share a
 common passage. Common are shingles that two documents of a sample of SAMPLE have, by hash cell; which they are changes no result.
 
-Plan: signatures meet in hash buckets, after each task has kept one document for each signature, so that a signature
-which a third of all documents have sends one entry a task. Documents that share a signature are joined to its
-smallest; the components of these joins ("bundles") hold every linked pair. One document of each set of exact
-copies is compared, exactly, within its bundle. Texts that share a long passage may chain many others into one bundle; a
-bundle of over SPLIT shingles is therefore split first, by sketches: numbers of shingles by hash cell. The sum of their differences
-never exceeds the number of shingles that two sets differ in, so pairs above the bound for links can't link; the components of the other
-pairs are the new bundles. One of over BLOCK shingles is cut into blocks, and every pair of blocks is compared by a task of its own,
-as with sketches. The links that are found make the components.
+Plan: a task keeps one document of each set of exact copies that it reads, and of those one for each signature; the pairs that it has found itself
+go out as a signature of their own. So a signature that a third of all documents have sends one row a flush of a task. Rows are dealt and sorted by signature, as
+Spark does it, with spilling; a pass over them, which holds nothing but the last signature, joins each document to the smallest that shares one.
+The components of these joins ("bundles") hold every linked pair. One document of each set of exact copies is compared, exactly, within its bundle.
+
+Texts that share a long passage may chain many others into one bundle, and many near copies of one text make a large one. In a bundle of over SPLIT
+shingles all sets are first compared with one of them, its smallest id: those that link with it ("near") are joined, and needn't be compared with each other. Then it is
+split by sketches: numbers of shingles by hash cell. The sum of their differences never exceeds the number of shingles that two sets differ in, so pairs above the bound
+for links can't link; the components of the other pairs are the new bundles. What is left of over BLOCK shingles is cut into blocks, and every pair of
+blocks but those of two near ones is compared by a task of its own, as with sketches. So a bundle of near copies of one text costs work in proportion to it, and only the
+others in it meet all. The links that are found make the components. Joins by bundle, by node and by exact copy deal the rows of one key over all partitions.
 
 Nulls and edge cases: null and empty texts (and texts without words) have empty sets, which link with nothing; exact
 copies always link; rows with a null doc_id take no part; equal doc_ids are taken as one document for components
@@ -29,12 +32,14 @@ but each row is returned. Extra columns are ignored. An empty table gives no row
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import Slice, components, joined, map_slices, partitions, spread, table
+from lodestone.llm.shared import Slice, components, lookup, map_slices, table
 from lodestone.llm.textops import Words, in_doc, mix, repeats, shingles
 
 N2, K2, SLACK, LEAST, LAST, GROWTH, BLOCK, FLUSH = 3, 1, 0.25, 2, 6, 1.3, 1 << 20, 1 << 20
@@ -158,19 +163,33 @@ def _forest(pairs: np.ndarray) -> np.ndarray:
     return out[out[:, 0] != out[:, 1]]
 
 
-def _links(keys: np.ndarray, ids: np.ndarray, n_buckets: int) -> pa.RecordBatch:
-    """Packs what a task sends: one entry for each key, and the pairs that it has found itself."""
+def _pair_key(pairs: np.ndarray) -> np.ndarray:
+    """A signature of each pair's own."""
+    return mix(mix(pairs[:, 0].astype(np.uint64)) + pairs[:, 1].astype(np.uint64) + np.uint64(77))
+
+
+def _signed(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """What a task sends: one row for each key, and both ends of the pairs that it has found itself under a key of their own."""
     keys, ids, pairs = first_of_key(keys, ids)
     pairs = _forest(pairs)
-    bucket = (keys >> np.uint64(33)).astype(np.int64) % n_buckets
-    sent = spread(np.argsort(bucket, kind="stable"), bucket, {"keys": keys, "ids": ids if ids.max(initial=0) >= 2**31 or ids.min(initial=0) < 0 else ids.astype(np.int32)}, n_buckets)
-    sent = sent.append_column("pairs", pa.nulls(sent.num_rows, pa.binary()))
-    if len(pairs):
-        bucket = pairs[:, 0] % n_buckets
-        own = spread(np.argsort(bucket, kind="stable"), bucket, {"pairs": pairs.astype(np.int64).view("V16").ravel()}, n_buckets)
-        none = pa.nulls(own.num_rows, pa.binary())
-        sent = pa.Table.from_batches([sent, pa.RecordBatch.from_arrays([own["bucket"], none, none, own["pairs"]], sent.schema.names)]).combine_chunks().to_batches()[0]
-    return sent
+    own = _pair_key(pairs)
+    key, id_ = np.concatenate([keys, own, own]), np.concatenate([ids, pairs[:, 0], pairs[:, 1]])
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(id_.astype(np.int64))], ["key", "id"])
+
+
+def identities(elements: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each whole set; with its size they tell sets apart."""
+    total = [np.concatenate([[np.uint64(0)], np.cumsum(mix(elements + np.uint64(s)))]) for s in (1, 2)]
+    return [(t[offsets[1:]] - t[offsets[:-1]]).view(np.int64) for t in total]
+
+
+def _one_of_copies(elements: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Of each set of copies the place of the one with the smallest id; empty sets have none."""
+    n, (h1, h2) = np.diff(offsets), identities(elements, offsets)
+    order = np.lexsort((ids, h2, h1, n))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(n[order]) != 0) | (np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0)
+    return np.sort(order[new & (n[order] > 0)])
 
 
 def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
@@ -193,7 +212,6 @@ def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
 
 def candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Distinct pairs (a, b) that join documents which share a signature, directly or over others that do."""
-    n_buckets = 32 * partitions(docs.sparkSession)
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))  # of fixed size
 
     def make():
@@ -201,42 +219,59 @@ def candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
         def each(part: Slice | None) -> pa.RecordBatch | None:
             if part is not None:
-                keys, owner = signatures(*sets(part, size), percent, common.value)
-                held.append((keys, part.ids[owner]))
+                found, offsets = sets(part, size)
+                one = _one_of_copies(found, offsets, part.ids)
+                keys, owner = signatures(*_subset(found, offsets, one), percent, common.value)
+                held.append((keys, part.ids[one[owner]]))
                 if sum(len(k) for k, _ in held) < FLUSH:
                     return None
             if not held:
                 return None
             keys, ids = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            return _links(keys, ids, n_buckets)
+            return _signed(keys, ids)
 
         return each
 
-    def meet(rows: pa.Table) -> pa.Table:
-        keys, ids = [], []
-        for k, i in zip(rows["keys"], rows["ids"], strict=True):
-            if k.as_py() is not None:
-                keys.append(np.frombuffer(k.as_buffer(), np.uint64))
-                ids.append(np.frombuffer(i.as_buffer(), np.int64 if len(i.as_buffer()) == len(k.as_buffer()) else np.int32).astype(np.int64))
-        found = [joined(rows["pairs"], np.int64).reshape(-1, 2)]
-        if keys:
-            found.append(first_of_key(np.concatenate(keys), np.concatenate(ids))[2])
-        found = _forest(np.concatenate(found))
-        return pa.table({"a": found[:, 0], "b": found[:, 1]})
-
-    sent = map_slices(docs, make, "bucket int, keys binary, ids binary, pairs binary", tail=True)
-    return sent.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
-
-
-def _linked(ids: np.ndarray, packed: list[np.ndarray], percent: int) -> np.ndarray:
-    """The smallest id of each set's component, by exact comparison. Sets that already are in one component aren't
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Over rows sorted by key and id: each later id of a key with its first one."""
+        key, low, found, many = None, 0, [], 0
+
+        def out() -> pa.RecordBatch:
+            pairs = _forest(np.concatenate(found))
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, ids = batch.column("key").to_numpy(), batch.column("id").to_numpy()
+            first = np.ones(len(keys), bool)
+            first[1:] = keys[1:] != keys[:-1]
+            first[0] = key is None or keys[0] != key
+            lows = np.concatenate([[low], ids[first]])[np.cumsum(first)]
+            other = ids != lows
+            found.append(np.unique(np.column_stack([ids[other], lows[other]]), axis=0))
+            key, low, many = keys[-1], lows[-1], many + len(found[-1])
+            if many >= FLUSH:
+                yield out()
+                many = 0
+        if many:
+            yield out()
+
+    signed = map_slices(docs, make, "key long, id long", tail=True)
+    return signed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(meet, "a long, b long").distinct()
+
+
+def _linked(ids: np.ndarray, packed: list[np.ndarray], near: np.ndarray, percent: int) -> np.ndarray:
+    """The smallest id of each set's component, by exact comparison. Sets that already are in one component (as all near ones are) aren't
     compared; a set first meets one set of each component, then all of the others."""
     order = np.argsort(ids, kind="stable")
-    ids, packed = ids[order], [packed[i] for i in order]
+    ids, packed, near = ids[order], [packed[i] for i in order], np.flatnonzero(near[order])
     n, offsets = np.array([len(p) for p in packed]), np.concatenate([[0], np.cumsum([len(p) for p in packed])])
     kinds, coded = np.unique(np.concatenate(packed), return_inverse=True)
     root, marked = np.arange(len(ids)), np.zeros(len(kinds), bool)
+    root[near] = near[:1]
 
     def matches(i: int, among: np.ndarray) -> np.ndarray:
         among = among[(n[among] * 100 >= percent * n[i]) & (n[i] * 100 >= percent * n[among])]
@@ -248,10 +283,10 @@ def _linked(ids: np.ndarray, packed: list[np.ndarray], percent: int) -> np.ndarr
 
     for i in range(1, len(ids)):
         marked[coded[offsets[i] : offsets[i + 1]]] = True
-        for among in (lambda: np.unique(root[:i]), lambda: np.flatnonzero(root[:i] != root[i])):
+        for among in (lambda: np.unique(root[:i][root[:i] != root[i]]), lambda: np.flatnonzero(root[:i] != root[i])):
             for r in np.unique(root[matches(i, among())]):
                 low, high = sorted((r, root[i]))
-                root[: i + 1][root[: i + 1] == high] = low
+                root[root == high] = low
         marked[coded[offsets[i] : offsets[i + 1]]] = False
     return np.column_stack([ids, ids[root]])
 
@@ -268,12 +303,13 @@ def _folded(cells: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(cells.reshape(-1, n).sum(0, dtype=np.int64), 255)
 
 
-def _alike(ids: np.ndarray, n: np.ndarray, sketches: list[np.ndarray], percent: int) -> np.ndarray:
-    """Distinct pairs (id, smallest id) that join the sets which the sketches can't tell to be too different."""
+def _alike(ids: np.ndarray, n: np.ndarray, sketches: list[np.ndarray], near: np.ndarray, percent: int) -> np.ndarray:
+    """Distinct pairs (id, smallest id) that join the sets which the sketches can't tell to be too different, and all near ones."""
     order = np.argsort(n, kind="stable")
-    ids, n, sketches = ids[order], n[order], [sketches[i] for i in order]
+    ids, n, sketches, near = ids[order], n[order], [sketches[i] for i in order], np.flatnonzero(near[order])
     coarse = np.array([_folded(s, CELLS) for s in sketches], np.uint8).T.copy()
     label = np.arange(len(ids))
+    label[near] = near[:1]
     reach = np.searchsorted(n * percent, n * 100, side="right")  # sets up to here aren't too large
     for i in range(len(ids)):
         a, b = i + 1, reach[i]
@@ -295,27 +331,36 @@ def _alike(ids: np.ndarray, n: np.ndarray, sketches: list[np.ndarray], percent:
     return out[out[:, 0] != out[:, 1]]
 
 
-def _block_pairs(members: DataFrame) -> DataFrame:
-    """Each member once for every pair of blocks of its bundle that its block is in. Needs root, blocks, first_id."""
-    block = F.pmod(F.xxhash64("first_id"), "blocks")
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.least(x, block).alias("i"), F.greatest(x, block).alias("j")))
-    return members.withColumn("p", F.explode(pairs)).select("*", "p.i", "p.j").drop("p")
+def _block_pairs(members: DataFrame, weight: str | int, most: int) -> DataFrame:
+    """Each member (first_id, root, near) once for every pair of blocks (i, j) of its bundle that its block is in and that is to be compared: all but
+    those of two near blocks. A block weighs about ``most`` (sums of a column, or of a number for each member)."""
+    w = F.col(weight) if isinstance(weight, str) else F.lit(weight)
+    blocks = lambda near: F.coalesce(F.ceil(F.sum(F.when(F.col("near") == near, w)) / most), F.lit(0)).cast("long")
+    sizes = members.groupBy("root").agg(blocks(False).alias("far"), blocks(True).alias("beside"))
+    sized = lookup(members, sizes, ["root"], "first_id").where("far > 0")
+    own = F.xxhash64("first_id")
+    block = F.when(F.col("near"), F.col("far") + F.pmod(own, F.greatest("beside", F.lit(1)))).otherwise(F.pmod(own, "far"))
+    others = F.sequence(F.lit(0).cast("long"), F.col("far") + F.when(F.col("near"), 0).otherwise(F.col("beside")) - 1)
+    pairs = F.transform(others, lambda x: F.struct(F.least(x, block).alias("i"), F.greatest(x, block).alias("j")))
+    return sized.withColumn("p", F.explode(pairs)).select("*", "p.i", "p.j").drop("p", "far", "beside")
 
 
-def _refined(members: DataFrame, percent: int) -> DataFrame:
-    """The bundles (first_id, n_shingles, root) after those of over SPLIT shingles have been split by sketches."""
-    sizes = members.groupBy("root").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("many"))
-    sized = members.join(sizes, "root").where("many > 1")
-    large = sized.where(F.col("total") > SPLIT).withColumn("blocks", F.ceil(F.col("many") / SKETCHES))
+def _near(sets_of: DataFrame, percent: int) -> DataFrame:
+    """first_id, pivot and near (whether the set links with its bundle's pivot, the member with the smallest id) of large bundles' members,
+    which are given as first_id, root, elements. The pivot is near itself."""
+    pivots = sets_of.groupBy("root").agg(F.min("first_id").alias("pivot"))
+    chosen = sets_of.join(pivots.withColumn("first_id", F.col("pivot")), ["root", "first_id"]).select("root", "pivot", F.col("elements").alias("of_pivot"))
 
-    def alike(rows: pa.Table) -> pa.Table:
-        out = _alike(rows["first_id"].to_numpy(), rows["n_shingles"].to_numpy(), [np.frombuffer(x.as_buffer(), np.uint8) for x in rows["sketch"]], percent)
-        return pa.table({"a": out[:, 0], "b": out[:, 1]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for a, b in zip(batch.column("elements"), batch.column("of_pivot"), strict=True):
+                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
+                both = len(np.intersect1d(a, b, assume_unique=True)) if 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)) else 0
+                near.append(100 * both >= percent * (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("first_id"), batch.column("pivot"), pa.array(near, pa.bool_())], ["first_id", "pivot", "near"])
 
-    pairs = _block_pairs(large.select("first_id", "n_shingles", "sketch", "root", "blocks")).select("first_id", "n_shingles", "sketch", "root", "i", "j").groupBy("root", "i", "j").applyInArrow(alike, "a long, b long")
-    split = members.drop("root").join(components(pairs).withColumnRenamed("node", "first_id"), "first_id")
-    columns = ["first_id", "n_shingles", "root"]
-    return sized.where(F.col("total") <= SPLIT).select(*columns).unionByName(split.select(*columns))
+    return lookup(sets_of, chosen, ["root"], "first_id").select("first_id", "pivot", "elements", "of_pivot").mapInArrow(run, "first_id long, pivot long, near boolean")
 
 
 def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -324,8 +369,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     def describe():
         def each(part: Slice) -> pa.RecordBatch:
             found, offsets = sets(part, size)
-            total = [np.concatenate([[np.uint64(0)], np.cumsum(mix(found + np.uint64(s)))]) for s in (1, 2)]
-            h1, h2 = ((t[offsets[1:]] - t[offsets[:-1]]).view(np.int64) for t in total)
+            h1, h2 = identities(found, offsets)
             sketches = pa.array([sketch(found[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(part.ids), pa.array(np.diff(offsets)), pa.array(h1), pa.array(h2), sketches], ["doc_id", "n_shingles", "h1", "h2", "sketch"])
 
@@ -335,28 +379,45 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     same = ["n_shingles", "h1", "h2"]
     classes = about.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("first_id"))
     bundles = components(candidates(docs, size, percent)).withColumnRenamed("node", "first_id")
-    members = classes.join(bundles, "first_id").select("first_id", "n_shingles", "root")
-    members = members.join(about.select(F.col("doc_id").alias("first_id"), "sketch").dropDuplicates(["first_id"]), "first_id")
-    members = _refined(table(members, "bundles"), percent)
-    sizes = members.groupBy("root").agg(F.count("*").alias("many"), F.ceil(F.sum("n_shingles") / BLOCK).alias("blocks")).where("many > 1")
-    members = table(members.join(sizes, "root").select("first_id", "root", "blocks"), "members")
+    members = table(classes.join(bundles, "first_id").select("first_id", "n_shingles", "root"), "bundles")
+    sizes = members.groupBy("root").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("many")).where("many > 1")
+    members = lookup(members, sizes, ["root"], "first_id")
+    large = table(members.where(F.col("total") > SPLIT).select("first_id", "n_shingles", "root"), "large")
+    small = members.where(F.col("total") <= SPLIT).select("first_id", "root", F.lit(False).alias("near"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))
 
     def pack():
         def each(part: Slice) -> pa.RecordBatch:
             found, offsets = sets(part, size)
-            return pa.RecordBatch.from_arrays([pa.array(part.ids), pa.array([found[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["doc_id", "elements"])
+            return pa.RecordBatch.from_arrays([pa.array(part.ids), pa.array([found[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["first_id", "elements"])
 
         return each
 
+    def sets_of(some: DataFrame) -> DataFrame:
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(some.select(F.col("first_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        return map_slices(texts, pack, "first_id long, elements binary").join(some, "first_id")
+
+    def alike(rows: pa.Table) -> pa.Table:
+        out = _alike(rows["first_id"].to_numpy(), rows["n_shingles"].to_numpy(), [np.frombuffer(x.as_buffer(), np.uint8) for x in rows["sketch"]], rows["near"].to_numpy(), percent)
+        return pa.table({"a": out[:, 0], "b": out[:, 1]})
+
     def compare(rows: pa.Table) -> pa.Table:
-        out = _linked(rows["doc_id"].to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["elements"]], percent)
+        out = _linked(rows["first_id"].to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["elements"]], rows["near"].to_numpy(), percent)
         out = out[out[:, 0] != out[:, 1]]
         return pa.table({"a": out[:, 0], "b": out[:, 1]})
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.select(F.col("first_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    packed = map_slices(texts, pack, "doc_id long, elements binary").withColumnRenamed("doc_id", "first_id")
-    packed = _block_pairs(packed.join(members, "first_id")).select(F.col("first_id").alias("doc_id"), "elements", "root", "i", "j")
-    links = packed.groupBy("root", "i", "j").applyInArrow(compare, "a long, b long")
+    pairs = "a long, b long"
+    elements = table(sets_of(large), "elements")
+    near = table(_near(elements.select("first_id", "root", "elements"), percent), "near")
+    to_pivot = near.where("near and first_id <> pivot").select(F.col("first_id").alias("a"), F.col("pivot").alias("b"))
+    sketched = about.select(F.col("doc_id").alias("first_id"), "sketch").dropDuplicates(["first_id"]).join(large.join(near.select("first_id", "near"), "first_id"), "first_id")
+    kept = ["first_id", "n_shingles", "sketch", "near", "root", "i", "j"]
+    joined = _block_pairs(sketched, 1, SKETCHES).select(*kept).groupBy("root", "i", "j").applyInArrow(alike, pairs).unionByName(to_pivot)
+    split = components(joined).withColumnRenamed("node", "first_id").join(near.select("first_id", "near"), "first_id")
+    split = _block_pairs(split.join(large.select("first_id", "n_shingles"), "first_id"), "n_shingles", BLOCK).select("first_id", "near", "root", "i", "j")
+    columns = ["first_id", "elements", "near", "root", "i", "j"]
+    packed = sets_of(small).select(*columns).unionByName(elements.select("first_id", "elements").join(split, "first_id").select(*columns))
+    links = packed.groupBy("root", "i", "j").applyInArrow(compare, pairs).unionByName(to_pivot)
     linked = components(links).select(F.col("node").alias("first_id"), "root")
     of_class = classes.join(linked, "first_id", "left").select(*same, F.coalesce("root", "first_id").alias("component_id"))
-    return about.join(of_class, same, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    full = lookup(about.where("n_shingles > 0").select("doc_id", *same), of_class, same, "doc_id").select("doc_id", "n_shingles", "component_id")
+    return full.unionByName(about.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

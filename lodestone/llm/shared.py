@@ -13,21 +13,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of text that a task works on at once; a longer document makes a slice of its own.
-SLICE_BYTES = 1 << 20
+#: Bytes of text and number of documents that a task works on at once; a longer document makes a slice of its own.
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 1 << 12
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir, or one that is set here
-    (a new temporary folder) only where the session names none, as in local tests."""
+    """The folder that all executors share: the session's spark.checkpoint.dir. A local session (as in tests) that names none
+    gets a new temporary folder; on a cluster that would be a disk of the driver's alone, so it is refused."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores as keep it apart from every column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -39,9 +49,27 @@ def table(df: DataFrame, name: str) -> DataFrame:
     file, so a lost executor costs only the tasks that it ran."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def written() -> list[str]:
+    """The folders of the tables so far, oldest first."""
+    return list(_written)
+
+
+def remove_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that table() has written and that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in set(paths) & set(_written):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _written.remove(path)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -64,8 +92,8 @@ class Slice:
         return self.buf[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
 
-def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[Slice]:
-    """Cuts a batch with the columns doc_id and text into slices of about ``most`` bytes. Null texts are empty."""
+def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[Slice]:
+    """Cuts a batch with the columns doc_id and text into slices of about ``most`` bytes and at most ``rows`` documents. Null texts are empty."""
     ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
     text = batch.column("text")
     text = (text.fill_null("") if text.null_count else text).cast(pa.large_binary())
@@ -74,20 +102,21 @@ def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[Slice]:
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     a = 0
     while a < len(ids):
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, side="right")) - 1)
+        b = min(a + rows, max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, side="right")) - 1))
         yield Slice(ids[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         a = b
 
 
-def map_slices(docs: DataFrame, make: Callable[[], Callable[[Slice | None], pa.RecordBatch | None]], schema: T.StructType | str, tail: bool = False) -> DataFrame:
+def map_slices(docs: DataFrame, make: Callable[[], Callable[[Slice | None], pa.RecordBatch | None]], schema: T.StructType | str, tail: bool = False, rows: int = SLICE_ROWS) -> DataFrame:
     """Runs a function over slices of (doc_id, text), in tasks. ``make`` runs once for each task and returns
-    the function; with ``tail`` it is called once more with None at the task's end. Rows without doc_id take no part."""
+    the function; with ``tail`` it is called once more with None at the task's end. Rows without doc_id take no part.
+    ``rows``: the most documents of a slice, for functions that need memory for each document."""
     kept = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, rows=rows):
                 out = each(part)
                 if out is not None and out.num_rows:
                     yield out
@@ -115,19 +144,29 @@ def joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in column if x.as_py() is not None)])
 
 
+def lookup(rows: DataFrame, found: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
+    """Joins rows, of which any number may share a key, with ``found``, which has one row for each key: the rows of a key are dealt
+    over as many tasks as the session has partitions, by the hash of column ``by``, and each of these gets the key's row."""
+    salt = fresh(rows, "salt")
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(partitions(rows.sparkSession))))
+    wanted = dealt.select(*on, salt).distinct().join(found, on)  # at most one row for each partition and key
+    return dealt.join(wanted, [*on, salt], how).drop(salt)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b): root is the smallest node of its component.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) until the edges no longer change. Each step
-    is an aggregate and a join by node, cut by a checkpoint; only three sums reach the driver."""
+    is a partial aggregate and a lookup() by node, so that a node with a third of all edges is no task of its own, cut by a checkpoint;
+    only three sums reach the driver."""
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     last = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = both.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m")).select("b", F.least("b", "m").alias("m"))
+        large = lookup(now, low, ["b"], "a").select("a", F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        small = lookup(large, low, ["a"], "b").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         now = cut(small.where("a <> b").distinct())
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == last:
