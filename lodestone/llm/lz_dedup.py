@@ -4,22 +4,24 @@ Words are runs of bytes other than space and \\t \\n \\v \\f \\r, unchanged. A w
 of a document is a duplicate if the same words also start in a document with a smaller doc_id; every word that
 a duplicate window covers goes. Windows are judged on the input.
 
-Parsing: each text is cut into phrases at content-defined places: a phrase holds the windows whose smallest hash of ANCHOR
-consecutive words (the leftmost, if equal) is the same one, so equal windows of any two documents lie in phrases
-with equal anchors. The reference is indexed in blocks, by hash of the anchor; every phrase is sent to the
-block that holds all phrases like it. There a phrase is factored greedily against the phrases of smaller doc_ids: a factor
-runs on as long as the next window is found. Neighbouring phrases overlap by size - 1 words, so that the windows across each
-factor boundary are checked too: every window of a text belongs to exactly one phrase. Factors that touch make one span.
-
-A window is compared by 64 bits of its anchor's hash and 40 bits of its own. Before anything is sent, a task keeps the smallest
-doc_id of each window among the documents it has read (about FLUSH words at a time) and settles the others itself, so a window that
-a third of all documents share sends one entry a flush. A document sends its first occurrence of each window; what is
-found of it holds for its later ones.
+Parsing: documents are factored, in order of words, against the documents with smaller doc_ids, block by block of reference. The index of a block
+knows one place of each window: where it first starts in the smallest document. A factor (document, first window, number of windows, reference document, its
+first window) begins at a window that the index finds and runs on greedily as long as the reference goes on with the same words; at its end the next
+window is looked up anew, so that those across each factor boundary are checked too, and a factor of one window has ``size`` words, which is long enough to go.
+
+There are two sorts of blocks. A task's block holds the documents that it has read (about FLUSH words at a time). Only windows that are new in it go on, one entry
+for each: a window that a third of all documents share sends one entry a flush. The other blocks hold phrases by anchor: each text is cut into phrases at
+content-defined places: a phrase holds the windows whose smallest hash of ANCHOR consecutive words (the leftmost, if equal) is the same one, so equal windows of any two
+documents lie in phrases with equal anchors, and meet in one block. Anchors that HOT documents of a bounded sample have (a passage that many documents hold, with other
+words around it in each) would make one block too large: their windows go by their own hash instead. Which anchors these are changes no result.
+
+A window is compared by 104 bits: 64 of its anchor's hash and 40 of its own. Among 1e13 windows the chance that any two that differ agree in them is about 1 in 400,000.
+A document sends its first occurrence of each window; what is found of it holds for its later ones.
 
 Nulls and edge cases: null and empty texts have no words and lose none; texts shorter than a window lose none; equal
 windows within one document alone are not duplicates; rows with a null doc_id take no part; rows that share a
 doc_id count as one document, whose spans apply by word position to each row. Extra columns stay, but columns of docs that
-have an output's name give way to it. An empty table gives no rows."""
+have an output's name give way to it; ``names`` gives the outputs other names. Windows of any size from one word on. An empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -32,10 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.shared import Slice, joined, map_slices, partitions, spread
+from lodestone.llm.shared import Slice, fresh, joined, map_slices, partitions, spread
 from lodestone.llm.textops import Words, in_doc, mix, shingles
 
-ANCHOR, FLUSH = 5, 1 << 20
+ANCHOR, FLUSH, SAMPLE, HOT, PHRASE = 5, 1 << 20, 1 << 12, 8, 48
 
 
 def _smallest(g: np.ndarray, n: int) -> np.ndarray:
@@ -49,9 +51,9 @@ def _smallest(g: np.ndarray, n: int) -> np.ndarray:
     return at
 
 
-def windows(part: Slice, size: int) -> tuple[np.ndarray, ...]:
+def windows(part: Slice, size: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Of each window: document (place in the slice), first word (within the document), hash, anchor's hash, and
-    the phrase, numbered."""
+    the phrase, numbered; a phrase has at most PHRASE windows. Windows with an anchor among ``hot`` (sorted) are phrases and anchors of their own."""
     words = Words(part.buf, part.offsets)
     anchor = min(ANCHOR, size)
     n = max(0, len(words.hashes) - size + 1)
@@ -60,9 +62,34 @@ def windows(part: Slice, size: int) -> tuple[np.ndarray, ...]:
         return (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
     g = shingles(words.hashes, anchor)
     place = _smallest(g, size - anchor + 1)[:n][at]
-    doc = words.doc()[at]
-    phrase = np.cumsum(np.concatenate([[True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])])) - 1
-    return doc, at - words.offsets[doc], shingles(words.hashes, size)[at], g[place], phrase
+    doc, key, of = words.doc()[at], shingles(words.hashes, size)[at], g[place]
+    new = np.ones(len(at), bool)
+    new[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
+    if hot is not None and len(hot):
+        common = hot[np.minimum(np.searchsorted(hot, of), len(hot) - 1)] == of
+        of = np.where(common, mix(of + mix(key)), of)
+        new |= common
+        new[1:] |= common[:-1]
+    every = np.arange(len(at))
+    new |= (every - np.maximum.accumulate(np.where(new, every, 0))) % PHRASE == 0
+    return doc, at - words.offsets[doc], key, of, np.cumsum(new) - 1
+
+
+def hot_anchors(docs: DataFrame, size: int) -> np.ndarray:
+    """Sorted hashes of the anchors that HOT or more of SAMPLE documents (the smallest hashes of doc_id) have."""
+    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")  # at most SAMPLE numbers
+
+    def make():
+        def each(part: Slice) -> pa.RecordBatch:
+            doc, _, _, anchor, _ = windows(part, size)
+            pairs = np.unique(np.column_stack([doc.astype(np.uint64), anchor]), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 1].view(np.int64))], ["anchor"])
+
+        return each
+
+    found = map_slices(texts, make, "anchor long").groupBy("anchor").count().where(F.col("count") >= HOT).select("anchor").toArrow()  # anchors of the sample alone
+    return np.sort(found["anchor"].to_numpy().view(np.uint64))
 
 
 def _narrow(x: np.ndarray) -> np.ndarray:
@@ -75,42 +102,71 @@ def _wide(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[len(raw) // n]).astype(np.int64)
 
 
-def _spans(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """(document, first window, number of windows) of the runs of window starts."""
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
+def _chained(doc: np.ndarray, start: np.ndarray, ref: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Factors (document, first window, number of windows, reference document, its first window) of found windows, in text order: runs whose places in
+    the reference follow on."""
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1) | (ref[1:] != ref[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(new)
-    return np.column_stack([doc[first], start[first], np.diff(np.append(first, len(doc)))]).astype(np.int64)
+    return np.column_stack([doc[first], start[first], np.diff(np.append(first, len(doc))), ref[first], at[first]]).astype(np.int64)
 
 
-def _later(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first: the entry stands for its key, found: a smaller document has the key), for entries in text order."""
+def _index(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window (those of a document in text order): the entry that the index of the block keeps for it, the first in the smallest document;
+    and whether it is the document's first."""
     order = np.argsort(doc, kind="stable")
     order = order[np.argsort(key[order], kind="stable")]
     k, d = key[order], doc[order]
     new = np.ones(len(k), bool)
     new[1:] = k[1:] != k[:-1]
-    low = d[new][np.cumsum(new) - 1] if len(d) else d
     own = np.ones(len(k), bool)
     own[1:] = new[1:] | (d[1:] != d[:-1])
-    first, found = np.zeros(len(k), bool), np.zeros(len(k), bool)
-    first[order], found[order] = new, own & (d != low)
-    return first, found
+    entry, first = np.empty(len(k), np.int64), np.empty(len(k), bool)
+    entry[order], first[order] = order[new][np.cumsum(new) - 1] if len(k) else order, own
+    return entry, first
+
+
+def parse(doc: np.ndarray, start: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Factors a block of whole texts (windows one after another, each document's in text order) against itself: (factors, the places of the
+    windows that are new in it and a document's first)."""
+    entry, first = _index(key, doc)
+    found = np.flatnonzero(doc[entry] != doc)
+    goes_on = lambda a, b: (doc[a] == doc[b]) & (start[a] + 1 == start[b]) & (a + 1 == b)
+    heads = np.ones(len(found), bool)  # where the index's places don't follow on
+    heads[1:] = ~(goes_on(found[:-1], found[1:]) & goes_on(entry[found[:-1]], entry[found[1:]]))
+    edges = np.append(np.flatnonzero(heads), len(found))
+    places = np.arange(len(doc))
+    last = np.append(np.flatnonzero(~goes_on(places[:-1], places[1:])), len(doc) - 1)  # the last window of each text
+    last = last[np.searchsorted(last, places)] if len(doc) else places
+    out, done = [], 0
+    for a, b in zip(found[edges[:-1]].tolist(), found[edges[1:] - 1].tolist(), strict=True):
+        a = max(a, done)
+        while a <= b:  # a factor: at least to the run's end, or on as long as the reference has the same windows
+            at, n = int(entry[a]), b - a + 1
+            most = min(last[a] - a, last[at] - at) + 1
+            while n < most:
+                step = min(64, most - n)
+                same = key[a + n : a + n + step] == key[at + n : at + n + step]
+                if not same.all():
+                    n += int(same.argmin())
+                    break
+                n += step
+            out.append((doc[a], start[a], n, doc[at], start[at]))
+            a = done = a + n
+    new = np.flatnonzero(first & (doc[entry] == doc))
+    return np.array(out, np.int64).reshape(-1, 5), new
 
 
 def _sent(doc: np.ndarray, start: np.ndarray, key: np.ndarray, anchor: np.ndarray, phrase: np.ndarray, n_buckets: int) -> pa.RecordBatch:
-    """Packs the windows that a task must ask about, by phrase, and the spans that it has found itself."""
-    first, found = _later(key, doc)
+    """Factors a task's block and packs what it must ask other blocks: the new windows, by phrase; and the factors that it has found."""
+    spans, new = parse(doc, start, key)
     names = ["bucket", "anchor", "doc", "start", "mask", "window", "spans"]
     batches = []
-    spans = _spans(doc[found], start[found])
     if len(spans):
-        bucket = mix(spans[:, 0].astype(np.uint64)).astype(np.int64) % n_buckets
-        own = spread(np.argsort(bucket, kind="stable"), bucket, {"spans": spans.view("V24").ravel()}, n_buckets)
+        bucket = (mix(spans[:, 0].astype(np.uint64)) >> np.uint64(33)).astype(np.int64) % n_buckets
+        own = spread(np.argsort(bucket, kind="stable"), bucket, {"spans": np.ascontiguousarray(spans).view("V40").ravel()}, n_buckets)
         batches.append(pa.RecordBatch.from_arrays([own["bucket"], *[pa.nulls(own.num_rows, pa.binary())] * 5, own["spans"]], names))
-    doc, start, key, anchor, phrase = (x[first] for x in (doc, start, key, anchor, phrase))
+    doc, start, key, anchor, phrase = (x[new] for x in (doc, start, key, anchor, phrase))
     head = np.flatnonzero(np.diff(phrase, prepend=-1))  # of each phrase its first window that is sent
     own = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(phrase))))
     mask = np.bincount(own, 2.0 ** (start - start[head][own]), len(head)).astype(np.int64)
@@ -132,7 +188,7 @@ def _sent(doc: np.ndarray, start: np.ndarray, key: np.ndarray, anchor: np.ndarra
 
 
 def _factor(rows: pa.Table) -> pa.Table:
-    """Factors the phrases of one block against each other."""
+    """Factors the phrases of blocks against each other."""
     doc, start, mask, anchor, low = [], [], [], [], []
     for r in rows.select(["anchor", "doc", "start", "mask", "window"]).to_pylist():
         if r["anchor"] is not None:
@@ -143,7 +199,7 @@ def _factor(rows: pa.Table) -> pa.Table:
             mask.append(_wide(r["mask"], len(a)))
             anchor.append(a)
             low.append(np.frombuffer(r["window"], np.uint8).reshape(-1, 5))
-    spans = [joined(rows["spans"], np.int64).reshape(-1, 3)]
+    spans = [joined(rows["spans"], np.int64).reshape(-1, 5)]
     if doc:
         doc, start, mask, anchor, low = (np.concatenate(x) for x in (doc, start, mask, anchor, low))
         bits = (mask[:, None] >> np.arange(int(mask.max()).bit_length())) & 1 > 0
@@ -153,22 +209,29 @@ def _factor(rows: pa.Table) -> pa.Table:
         phrase, offset, low = phrase[shared], offset[shared], low[shared]
         own = np.zeros((len(low), 8), np.uint8)
         own[:, :5] = low
-        _, found = _later(mix(anchor[phrase] + mix(own.view(np.uint64).ravel())), doc[phrase])
-        spans.append(_spans(doc[phrase][found], (start[phrase] + offset)[found]))
+        doc, start = doc[phrase], start[phrase] + offset
+        entry, first = _index(mix(anchor[phrase] + mix(own.view(np.uint64).ravel())), doc)
+        found = np.flatnonzero(first & (doc[entry] != doc))
+        found = found[np.lexsort((start[found], doc[found]))]
+        spans.append(_chained(doc[found], start[found], doc[entry[found]], start[entry[found]]))
     spans = np.concatenate(spans)
-    return pa.table({"doc_id": spans[:, 0], "start": spans[:, 1].astype(np.int32), "n": spans[:, 2].astype(np.int32)})
+    return pa.table({"doc_id": spans[:, 0], "start": spans[:, 1].astype(np.int32), "n": spans[:, 2].astype(np.int32), "ref_id": spans[:, 3], "ref_start": spans[:, 4].astype(np.int32)})
 
 
 def factors(docs: DataFrame, size: int = 13) -> DataFrame:
-    """doc_id, start, n: from word ``start`` on, n consecutive windows are duplicates (n + size - 1 words)."""
+    """doc_id, start, n, ref_id, ref_start: from word ``start`` on, n consecutive windows (n + size - 1 words) stand in document ref_id, from
+    its word ``ref_start`` on."""
+    if size < 1:
+        raise ValueError("a window has at least one word")
     n_buckets = 4 * partitions(docs.sparkSession)
+    hot = docs.sparkSession.sparkContext.broadcast(hot_anchors(docs, size))  # anchors of a bounded sample
 
     def make():
         held: list[tuple[np.ndarray, ...]] = []
 
         def each(part: Slice | None) -> pa.RecordBatch | None:
             if part is not None:
-                doc, start, key, anchor, phrase = windows(part, size)
+                doc, start, key, anchor, phrase = windows(part, size, hot.value)
                 if len(doc):
                     held.append((part.ids[doc], start, key, anchor, phrase + (held[-1][4][-1] + 1 if held else 0)))
                 if sum(len(h[0]) for h in held) < FLUSH:
@@ -182,7 +245,7 @@ def factors(docs: DataFrame, size: int = 13) -> DataFrame:
         return each
 
     sent = map_slices(docs, make, "bucket int, anchor binary, doc binary, start binary, mask binary, window binary, spans binary", tail=True)
-    return sent.groupBy("bucket").applyInArrow(_factor, "doc_id long, start int, n int")
+    return sent.groupBy("bucket").applyInArrow(_factor, "doc_id long, start int, n int, ref_id long, ref_start int")
 
 
 def _kept(text: bytes, spans: list[tuple[int, int]], size: int) -> tuple[bytes, int, int]:
@@ -203,20 +266,22 @@ def _kept(text: bytes, spans: list[tuple[int, int]], size: int) -> tuple[bytes,
     return b" ".join(compress(words, (~covered).tolist())), len(words), int(covered.sum())
 
 
-def remove(docs: DataFrame, size: int = 13) -> DataFrame:
-    """The columns of docs and kept_text (the kept words joined by one space), n_words, n_removed.
+def remove(docs: DataFrame, size: int = 13, names: tuple[str, str, str] = ("kept_text", "n_words", "n_removed")) -> DataFrame:
+    """The columns of docs and kept_text (the kept words joined by one space), n_words, n_removed, or what ``names`` calls these.
 
     The spans of a document are gathered to one row (at most one for each of its windows) and joined to its text."""
-    spans = factors(docs, size).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "n")).alias("_spans"))
-    own = [c for c in docs.columns if c.lower() not in ("kept_text", "n_words", "n_removed", "_spans", "_id")]
-    rows = docs.select(*own).where("doc_id is not null").join(spans.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
+    own = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
+    rows = docs.select(*own).where("doc_id is not null")
+    key, found_in = fresh(rows, "spans_of"), fresh(rows, "spans")
+    spans = factors(docs, size).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start", "n")).alias(found_in))
+    rows = rows.join(spans.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col(key), "left").drop(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
-            out = [_kept(t or b"", [(s["start"], s["n"]) for s in found or ()], size) for t, found in zip((x.as_py() for x in texts), (x.as_py() for x in batch.column("_spans")), strict=True)]
+            out = [_kept(t or b"", [(s["start"], s["n"]) for s in found or ()], size) for t, found in zip((x.as_py() for x in texts), (x.as_py() for x in batch.column(found_in)), strict=True)]
             text, words, removed = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(text, pa.binary()).cast(pa.string()), pa.array(words, pa.int64()), pa.array(removed, pa.int64())], [*own, "kept_text", "n_words", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(text, pa.binary()).cast(pa.string()), pa.array(words, pa.int64()), pa.array(removed, pa.int64())], [*own, *names])
 
-    schema = T.StructType([*(docs.schema[c] for c in own), *(T.StructField(c, k) for c, k in (("kept_text", T.StringType()), ("n_words", T.LongType()), ("n_removed", T.LongType())))])
-    return rows.select(*own, "_spans").mapInArrow(run, schema)
+    schema = T.StructType([*(docs.schema[c] for c in own), *(T.StructField(c, k) for c, k in zip(names, (T.StringType(), T.LongType(), T.LongType()), strict=True))])
+    return rows.select(*own, found_in).mapInArrow(run, schema)

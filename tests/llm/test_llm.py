@@ -71,6 +71,51 @@ def test_removed_passages(docs, texts, nothing):
     assert lz_dedup.remove(nothing, 13).count() == 0
 
 
+def naive_factors(words, size):
+    """Greedy parse of each document against those with smaller ids, one window after another."""
+    first, out = {}, []
+    for d in sorted(words):
+        i, w = 0, words[d]
+        while i <= len(w) - size:
+            if (at := first.get(tuple(w[i : i + size]))) is None:
+                i += 1
+                continue
+            n, ref = 0, words[at[0]]
+            while i + n + size <= len(w) and w[i + n : i + n + size] == ref[at[1] + n : at[1] + n + size]:
+                n += 1
+            out.append((d, i, n, *at))
+            i += n
+        for i in range(len(w) - size + 1):
+            first.setdefault(tuple(w[i : i + size]), (d, i))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("size", [3, 13])
+def test_factors(docs, texts, size):
+    words = {d: WORD.findall(t) for d, t in texts.items()}
+    once = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    got = [tuple(r) for r in lz_dedup.factors(once.coalesce(1), size).collect()]
+    assert sorted(got) == naive_factors(words, size)  # one block holds all
+    got = lz_dedup.factors(once.repartition(7), size).collect()  # many blocks
+    for r in got:
+        assert r.ref_id < r.doc_id and words[r.doc_id][r.start : r.start + r.n + size - 1] == words[r.ref_id][r.ref_start : r.ref_start + r.n + size - 1]
+
+
+@pytest.mark.parametrize(("size", "hot"), [(13, 1), (1, 8), (2, 1), (5, 8), (70, 8)])
+def test_windows_of_any_size(docs, texts, monkeypatch, size, hot):
+    monkeypatch.setattr(lz_dedup, "HOT", hot)  # 1: every anchor is split by its windows
+    low, words = {}, {d: WORD.findall(t) for d, t in texts.items()}
+    for d in sorted(words):
+        for i in range(len(words[d]) - size + 1):
+            low.setdefault(tuple(words[d][i : i + size]), d)
+    got = {r.doc_id: r for r in lz_dedup.remove(docs.repartition(5), size).collect()}
+    for d, w in words.items():
+        gone = {i + j for i in range(len(w) - size + 1) if low[tuple(w[i : i + size])] < d for j in range(size)}
+        assert got[d].kept_text == " ".join(x for i, x in enumerate(w) if i not in gone)
+    with pytest.raises(ValueError):
+        lz_dedup.factors(docs, 0)
+
+
 def brute_join(texts, size, percent):
     sets, root = {}, {d: d for d in texts}
     for d, t in texts.items():
