@@ -3,9 +3,9 @@
 Codes: the vectors' BITS signs after a rotation learned on a bounded sample (iterative quantization). A code is cut into
 substrings of 8 bits, each indexed by its value. Two codes within ``radius`` differ, by the pigeonhole principle, in at
 most t_s bits of some substring s where the sum of t_s + 1 exceeds the radius; probing all values within t_s of the query's in
-each index finds every such code. Full Hamming distances then keep those within the radius, which inner products in double
-precision rerank. The radius is learned on the sample, so that it holds ``recall`` of the sample's exact neighbours; where a block holds
-fewer than k codes within it, it grows until k are found.
+each index finds every such code. Full Hamming distances are taken for the codes found, and inner products in double precision for those of them
+within the radius. The radius is learned on the sample, so that it holds ``recall`` of the sample's exact neighbours; where a block holds
+fewer than k codes within it, it grows for that query until k are found.
 
 Plan: rows and queries are dealt into blocks of bounded size by hash; each pair of a query block and a row block is a
 task with its own index, and a window keeps the k best of each query. Every row is indexed; nothing is sampled but for learning.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.shared import table
 
-BITS, SUB, ROWS, QUERIES = 64, 8, 1 << 14, 1 << 11
+BITS, SUB, ROWS, QUERIES = 64, 8, 1 << 14, 1 << 12
 _ONES = np.array([bin(x).count("1") for x in range(256)], np.uint8)
 _APART = _ONES[np.arange(256)[:, None] ^ np.arange(256)]
 
@@ -75,22 +75,35 @@ def limits(radius: int) -> list[int]:
     return [(radius + 1) // n + (s < (radius + 1) % n) - 1 for s in range(n)]
 
 
-def probe(queries: np.ndarray, rows: np.ndarray, radius: int, k: int) -> np.ndarray:
-    """(queries, rows): true for every row whose code lies within the radius, which grows until k rows do."""
-    found = np.zeros((len(queries), len(rows)), bool)
-    for s, t in enumerate(limits(radius)):
-        by_value = np.argsort(rows[:, s], kind="stable")  # the index of substring s: rows in order of its value
-        edges = np.searchsorted(rows[by_value, s], np.arange(257))
-        near = _APART[queries[:, s]] <= t if t >= 0 else np.zeros((len(queries), 256), bool)
-        for value in np.flatnonzero(np.diff(edges)):
-            found[np.ix_(near[:, value], by_value[edges[value] : edges[value + 1]])] = True
-    d = distances(queries, rows)
-    inside = found & (d <= radius)
-    few = np.flatnonzero(inside.sum(1) < min(k, len(rows)))
-    if len(few):
-        reach = np.partition(d[few], min(k, len(rows)) - 1, axis=1)[:, min(k, len(rows)) - 1]
-        inside[few] |= d[few] <= reach[:, None]
-    return inside
+class Index:
+    """The codes of a block of rows, and for each substring the rows in order of its value."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = np.ascontiguousarray(codes)
+        self.words = self.codes.view(np.uint64)
+        self.rows = [np.argsort(codes[:, s], kind="stable") for s in range(codes.shape[1])]
+        self.edges = [np.searchsorted(codes[r, s], np.arange(257)) for s, r in enumerate(self.rows)]
+
+    def found(self, query: np.ndarray, radius: int) -> np.ndarray:
+        """The rows that probing with a query's code finds: a superset of those within the radius."""
+        hit = np.zeros(len(self.codes), bool)
+        for s, t in enumerate(limits(radius)):
+            if t < 0:
+                continue
+            e = self.edges[s]
+            for value in np.flatnonzero((_APART[query[s]] <= t) & (e[1:] > e[:-1])):
+                hit[self.rows[s][e[value] : e[value + 1]]] = True
+        return np.flatnonzero(hit)
+
+    def within(self, query: np.ndarray, radius: int, k: int) -> np.ndarray:
+        """The rows whose codes lie within the radius, which grows until k rows do (or there are no more)."""
+        k, word = min(k, len(self.codes)), query.view(np.uint64)
+        while True:
+            rows = self.found(query, radius)
+            near = rows[np.bitwise_count(self.words[rows] ^ word).sum(1) <= radius]
+            if len(near) >= k or radius >= BITS:
+                return near
+            radius = min(BITS, radius + SUB)
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -136,18 +149,16 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, sample: int = 4_096
         asks = part["asks"].to_numpy()
         x, ids = _matrix(part["embedding"], dim), part["vec_id"].to_numpy()
         codes = np.frombuffer(b"".join(part["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
-        q_ids, r_ids, r, out = ids[asks], ids[~asks], x[~asks], []
-        if len(r_ids):
-            for a in range(0, len(q_ids), 128):
-                inside = probe(codes[asks][a : a + 128], codes[~asks], coder.value.radius, k + 1)
-                score = x[asks][a : a + 128] @ r.T
-                score[~inside | (q_ids[a : a + 128, None] == r_ids)] = -np.inf
-                bar = np.partition(score, max(0, score.shape[1] - k), axis=1)[:, max(0, score.shape[1] - k), None]
-                i, j = np.nonzero((score >= bar) & (score > -np.inf))
-                order = np.lexsort((r_ids[j], -score[i, j], i))
-                i, j = i[order], j[order]
-                best = np.arange(len(i)) - np.searchsorted(i, i) < k
-                out.append((q_ids[a + i[best]], r_ids[j[best]], np.einsum("ij,ij->i", x[asks][a + i[best]], r[j[best]])))
+        r, r_ids, index, out = x[~asks], ids[~asks], Index(codes[~asks]), []
+        for q, q_id, code in zip(x[asks], ids[asks], codes[asks], strict=True):
+            near = index.within(code, coder.value.radius, k + int((r_ids == q_id).sum()))
+            near = near[r_ids[near] != q_id]
+            score = np.einsum("ij,j->i", r[near], q)
+            if len(near) > 4 * k:  # those below the k-th score can't be among the best
+                top = score >= np.partition(score, len(score) - k)[len(score) - k]
+                near, score = near[top], score[top]
+            best = np.lexsort((r_ids[near], -score))[:k]
+            out.append((np.full(len(best), q_id), r_ids[near[best]], score[best]))
         q, v, s = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"query_id": q, "vec_id": v, "score": s})
 

@@ -269,11 +269,17 @@ def test_search(spark):
 def test_radius_finds_every_code():
     rng = np.random.default_rng(2)
     codes = rng.integers(0, 256, (400, 8), dtype=np.uint8)
-    near = hamming_search.distances(codes[:50], codes)
-    for radius in (3, 17, 25, 30):
-        found = hamming_search.probe(codes[:50], codes, radius, 1)
-        assert ((near <= radius) == (found & (near <= radius))).all()
+    codes[1:9] = codes[0]
+    codes[1:9, 0] ^= np.uint8(1) << np.arange(8, dtype=np.uint8)
+    near, index = hamming_search.distances(codes[:50], codes), hamming_search.Index(codes)
+    for radius in (0, 1, 3, 17, 25, 30, 64):
         assert sum(t + 1 for t in hamming_search.limits(radius)) == radius + 1
+        for q in range(50):
+            found = set(index.found(codes[q], radius).tolist())
+            assert set(np.flatnonzero(near[q] <= radius).tolist()) <= found
+            assert set(index.within(codes[q], radius, 1).tolist()) == set(np.flatnonzero(near[q] <= radius).tolist())
+    assert len(index.found(codes[20], 3)) < 40  # the index keeps others out
+    assert len(index.within(codes[20], 0, 400)) == 400  # the radius grows until enough are found
 
 
 def rules_by_hand(text):
