@@ -3,8 +3,9 @@
 The kernel of two texts is the cosine of their blended spectra: presence of runs of one, two and three bytes (A-Z lower-cased, every
 ASCII character that is no letter read as a blank), hashed to 2**BITS flags. Nyström landmarks turn it into features:
 K(x, landmarks) K(landmarks, landmarks)^-1/2, on which kernel ridge regression separates each language from the rest.
-Scoring is one product of a batch's flags with the landmarks' and one with the weights. It learns from at most ``per_language``
-rows of each language, the smallest hashes of doc_id within 64 hash chunks.
+Scoring is one product of a batch's flags with the landmarks' and one with the weights; a batch has at most ROWS documents, as each takes 2**BITS flags. It
+learns from at most ``per_language`` rows of each language and about ``most`` in all, the smallest hashes of doc_id within up to 64 hash chunks; with more than
+``most`` languages only those of that many rows are learned.
 
 Nulls and edge cases: a null text, or one without a letter, is ``und`` with score 0; a null lang teaches nothing; rows
 with a null doc_id take no part; where there is nothing to learn from, all is ``und``. Of equal scores the first language in
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.shared import Slice, learns, map_slices
 from lodestone.llm.textops import LOWER, mix
 
-BITS = 13
+BITS, ROWS = 13, 256
 _READ = LOWER.copy()
 _READ[:128][~np.isin(np.arange(128), [*range(65, 91), *range(97, 123)])] = 32
 
@@ -84,12 +85,14 @@ def fit(flags: np.ndarray, langs: list[str], landmarks: int = 96, ridge: float =
     return kernel
 
 
-def learn(docs: DataFrame, of: int = 4, held_out: int = 2, per_language: int = 1_024, **how) -> Kernel | None:
+def learn(docs: DataFrame, of: int = 4, held_out: int = 2, per_language: int = 1_024, most: int = 16_384, **how) -> Kernel | None:
     """Fits the kernel on the driver to a bounded sample (1 kB of flags for each text), which Spark makes."""
     ids = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull()).where(learns(of, held_out)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("y"), F.xxhash64(F.col("doc_id").cast("long")).alias("h"))
-    order = Window.partitionBy("y", F.pmod("h", F.lit(64))).orderBy("h", "doc_id")
-    sample = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language // 64).select("doc_id", "y")
-    # at most per_language pairs for each language: small enough to broadcast
+    per = max(1, min(per_language, most // max(1, ids.agg(F.count_distinct("y")).first()[0])))
+    chunks = min(64, per)
+    order = Window.partitionBy("y", F.pmod("h", F.lit(chunks))).orderBy("h", "doc_id")
+    sample = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per // chunks).orderBy("n", "h", "doc_id").limit(most).select("doc_id", "y")
+    # at most ``most`` pairs: small enough to broadcast
     texts = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
 
     def make():
@@ -98,7 +101,7 @@ def learn(docs: DataFrame, of: int = 4, held_out: int = 2, per_language: int = 1
 
         return each
 
-    rows = map_slices(texts, make, "doc_id long, flags binary").join(F.broadcast(sample), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    rows = map_slices(texts, make, "doc_id long, flags binary", rows=ROWS).join(F.broadcast(sample), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
     flags = np.array([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8)) for x in rows["flags"]], bool).reshape(-1, 1 << BITS)
     return fit(flags, rows["y"].to_pylist(), **how)
 
@@ -118,4 +121,4 @@ def identify(docs: DataFrame, kernel: Kernel | None) -> DataFrame:
 
         return each
 
-    return map_slices(docs, make, "doc_id long, lang_pred string, score double")
+    return map_slices(docs, make, "doc_id long, lang_pred string, score double", rows=ROWS)

@@ -22,7 +22,7 @@ from lodestone.llm.quality_trees import labelled
 from lodestone.llm.shared import Slice, map_slices
 from lodestone.llm.textops import Words, in_doc, lines, mix, repeats, shingles, span_hashes, window_sum
 
-BITS = 15
+BITS, ROWS = 15, 256
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 
 
@@ -46,8 +46,9 @@ def counts(part: Slice) -> dict[str, np.ndarray]:
     return out
 
 
-def presence(part: Slice) -> np.ndarray:
-    """(documents, 2**BITS) flags of the n-grams that each document has."""
+def grams(part: Slice) -> tuple[np.ndarray, np.ndarray]:
+    """(document, number of a flag) for each distinct n-gram that each document has; documents and flags ascend. Takes 2**BITS bytes for each document, so that
+    slices must be bounded by rows (ROWS)."""
     out = np.zeros((len(part), 1 << BITS), bool)
     flat, shift = out.ravel(), np.uint64(64 - BITS)
     words = Words(part.buf, part.offsets)
@@ -62,7 +63,8 @@ def presence(part: Slice) -> np.ndarray:
         if n > 2 and len(code):
             same = row[: len(code)] == row[n - 1 :]
             flat[row[: len(code)][same] + (mix(code[same] + np.uint64(n << 40)) >> shift).astype(np.int64)] = True
-    return out
+    at = np.flatnonzero(flat)
+    return at >> BITS, at & ((1 << BITS) - 1)
 
 
 class Regression:
@@ -71,13 +73,12 @@ class Regression:
     def __init__(self) -> None:
         self.weights, self.base, self.slope, self.shift, self.constant = np.zeros(1 << BITS, np.float32), 0.0, 1.0, 0.0, None
 
-    def margin(self, flags: np.ndarray) -> np.ndarray:
-        return flags.astype(np.float32) @ self.weights / np.sqrt(np.maximum(flags.sum(1), 1)) + self.base
-
-    def probability(self, flags: np.ndarray) -> np.ndarray:
+    def probability(self, doc: np.ndarray, flag: np.ndarray, n: int) -> np.ndarray:
+        """Of each of n documents, given as the pairs of grams()."""
         if self.constant is not None:
-            return np.full(len(flags), self.constant)
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(flags).astype(np.float64) + self.shift, -30, 30)))
+            return np.full(n, self.constant)
+        z = np.bincount(doc, self.weights[flag], n) / np.sqrt(np.maximum(np.bincount(doc, minlength=n), 1)) + self.base
+        return 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -30, 30)))
 
 
 def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -129,12 +130,13 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", of: int |
 
     def make():
         def each(part: Slice) -> pa.RecordBatch:
-            flags = [np.flatnonzero(f).astype(np.uint16).tobytes() for f in presence(part)]
+            doc, flag = grams(part)
+            flags = [f.tobytes() for f in np.split(flag.astype(np.uint16), np.searchsorted(doc, np.arange(1, len(part))))]
             return pa.RecordBatch.from_arrays([pa.array(part.ids), pa.array(flags, pa.binary())], ["doc_id", "flags"])
 
         return each
 
-    rows = map_slices(texts, make, "doc_id long, flags binary").join(F.broadcast(sample), "doc_id").toArrow().sort_by("doc_id")
+    rows = map_slices(texts, make, "doc_id long, flags binary", rows=ROWS).join(F.broadcast(sample), "doc_id").toArrow().sort_by("doc_id")
     return fit([np.frombuffer(x.as_buffer(), np.uint16) for x in rows["flags"]], rows["y"].to_numpy().astype(np.float64), **how)
 
 
@@ -148,10 +150,10 @@ def judge(docs: DataFrame, labels: DataFrame, keep: float = 0.5, least_words: in
         def each(part: Slice) -> pa.RecordBatch:
             found = counts(part)
             failed = (found["n_words"] < least_words) | (100 * found["n_repeat_words"] > 50 * found["n_words"])
-            p = model.probability(presence(part))
+            p = model.probability(*grams(part), len(part))
             arrays = [pa.array(part.ids), *(pa.array(v) for v in found.values()), pa.array(failed), pa.array(p, mask=failed), pa.array(~failed & (p >= keep))]
             return pa.RecordBatch.from_arrays(arrays, ["doc_id", *found, "base_failed", "probability", "kept"])
 
         return each
 
-    return map_slices(docs, make, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean")
+    return map_slices(docs, make, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean", rows=ROWS)

@@ -7,7 +7,8 @@ coordinate starts from how far a bucket's toxic documents exceed their expected
 Adagrad on a bounded sample of labelled rows (``max_rows``, the smallest hashes of doc_id).
 
 Thresholds are calibrated by language: rows held back from training set one threshold (in logits) for each
-language, and the reported score is shifted by it, so that 0.5 is the threshold everywhere. The language is
+language, and the reported score is shifted by it, so that 0.5 is the threshold everywhere. A language with fewer than FEW held-back rows of either
+class takes the threshold of all held-back rows. The language is
 guessed from the words of the text (naive Bayes over hashed words); the column lang is only a label to learn that from.
 
 Nulls and edge cases: null texts count as empty; a text without letters gets the score of empty pools; null labels are no
@@ -25,7 +26,7 @@ from lodestone.llm.quality_trees import labelled
 from lodestone.llm.shared import Slice, map_slices
 from lodestone.llm.textops import LOWER, mix, runs, span_hashes
 
-BITS, DIM, FILTERS, WIDTHS, LANG_BITS = 18, 8, 8, (1, 2, 3), 12
+BITS, DIM, FILTERS, WIDTHS, LANG_BITS, FEW = 18, 8, 8, (1, 2, 3), 12, 5
 #: (prefix bytes or None, salt) of the rows that a word's embedding sums up.
 _PARTS = ((None, 11), (4, 12), (5, 13))
 _LETTER = np.zeros(256, bool)
@@ -172,7 +173,7 @@ def fit(docs: list[np.ndarray], y: np.ndarray, langs: list[str | None], epochs:
     z = np.concatenate([net.raw(*_gather(held[a : a + batch])) for a in range(0, len(held), batch)])
     guess = np.concatenate([net.languages(*_gather(held[a : a + batch])) for a in range(0, len(held), batch)])
     overall = _threshold(z, y_held)
-    few = lambda k: y_held[guess == k].sum() < 5 or (1 - y_held[guess == k]).sum() < 5
+    few = lambda k: y_held[guess == k].sum() < FEW or (1 - y_held[guess == k]).sum() < FEW
     net.shift = np.array([overall if few(k) else _threshold(z[guess == k], y_held[guess == k]) for k in range(len(net.lang))])
     return net
 

@@ -386,9 +386,45 @@ def test_pipeline(spark, texts):
             assert {r.doc_id for r in kept.collect()} == {d for d, (_, c) in want.items() if c == d}
     out = corpus_pipeline.packing(spark, kept, DATA)
     assert {r.doc_id for r in out.collect()} == {r.doc_id for r in kept.collect()}
-    odd = spark.createDataFrame(corpus(), SCHEMA).select(*columns)
+
+
+#: Names that helpers, or Spark's own steps, might use.
+CLASHING = ["_kept", "_id", "_spans", "n_words", "kept_text", "kept_id", "spans", "spans_of", "salt", "score", "predicted", "near", "component_id", "N_Removed"]
+
+
+def test_stages_on_odd_rows(spark, texts):
+    """Nulls, empty and very long texts, ties and repeated rows through every stage, with extra columns of clashing names."""
+    import corpus_pipeline
+
+    odd = spark.createDataFrame([(*r[:5], *(f"{c}-{r[0]}" for c in CLASHING)) for r in corpus()], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)).repartition(3)
+    given = Counter(r[0] for r in corpus() if r[0] is not None)
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, odd.where("false"), DATA).columns == columns, name
+        out = stage(spark, odd, DATA)
+        assert out.columns == odd.columns and out.dtypes == odd.dtypes, name
+        rows = out.collect()
+        assert all(r[c] == f"{c}-{r.doc_id}" for r in rows for c in CLASHING), name
+        many = Counter(r.doc_id for r in rows)
+        assert all(many[d] == given[d] for d in many), name  # repeated rows stay or go together
+        if name == "near_duplicates":
+            assert set(many) == {d for d, (_, c) in brute_join(texts, 5, 80).items() if c == d}
+        if name == "repeated_passages":
+            assert many == given and all(r.text is None or r.n_chars in (0, len(r.text)) for r in rows)
+            assert {r.doc_id for r in rows if r.text is None} == {d for d, t, *_ in corpus() if t is None and d is not None}
+        assert stage(spark, odd.where("false"), DATA).columns == odd.columns, name
+        assert stage(spark, odd.where("false"), DATA).count() == 0, name
+    packed = corpus_pipeline.packing(spark, odd, DATA)
+    assert {r.doc_id for r in packed.collect()} == set(given)
+    assert corpus_pipeline.packing(spark, odd.where("false"), DATA).count() == 0
+
+
+def test_run_cleans_up(spark, tmp_path):
+    """The pipeline leaves one table: its result."""
+    import corpus_pipeline
+    from lodestone.llm.shared import written
+
+    before = set(written())
+    out = corpus_pipeline.run(spark, DATA)
+    assert len(set(written()) - before) == 1 and out.count() > 0
 
 
 def test_digest_columns(spark):
