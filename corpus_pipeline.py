@@ -1,64 +1,5 @@
-"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next. See lodestone.llm.stages."""
 
-Every stage but the last returns the columns of documents. A stage works on all rows that the one before it kept."""
+from lodestone.llm.stages import ORACLE_SQL, STAGES, near_duplicates, packing, quality, repeated_passages, run, toxicity
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from lodestone.llm import bin_packing, lz_dedup, ngram_join, quality_trees, toxicity_cnn
-from lodestone.llm.queries import tokenizer_path
-from lodestone.llm.shared import table
-
-#: A pipeline's near duplicates: word shingles and the smallest similarity in percent; a repeated passage's words.
-SHINGLE, SIMILAR, PASSAGE = 5, 80, 13
-
-
-def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/labels.parquet")
-
-
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among ids. Rows without doc_id can't be judged and go."""
-    return docs.join(ids.select(F.col("doc_id").alias("_kept")).distinct(), F.col("doc_id") == F.col("_kept"), "left_semi")
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality trees don't reject."""
-    return _keep(docs, quality_trees.classify(docs, _labels(spark, sf_dir)).where("predicted = 1"))
-
-
-def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the convolutional classifier doesn't find toxic."""
-    return _keep(docs, toxicity_cnn.classify(docs, _labels(spark, sf_dir)).where("predicted = 0"))
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id."""
-    return _keep(docs, ngram_join.join(docs, SHINGLE, SIMILAR).where("doc_id = component_id"))
-
-
-def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that documents with smaller doc_ids hold; untouched texts stay as they are."""
-    out = lz_dedup.remove(docs, PASSAGE)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    changed = {"text": text} | ({"n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return out.withColumns(changed).select(*docs.columns)
-
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document, placed in a sequence."""
-    return bin_packing.pack_documents(docs, tokenizer_path())
-
-
-STAGES = [("quality", quality), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("packing", packing)]
-#: Trained classifiers and BPE can't be expressed in SQL; tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = table(stage(spark, docs, sf_dir), name)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "near_duplicates", "packing", "quality", "repeated_passages", "run", "toxicity"]
