@@ -235,13 +235,7 @@ def candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Over rows sorted by key and id: each later id of a key with its first one."""
-        key, low, found, many = None, 0, [], 0
-
-        def out() -> pa.RecordBatch:
-            pairs = _forest(np.concatenate(found))
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
+        key, low = None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -250,14 +244,9 @@ def candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
             first[1:] = keys[1:] != keys[:-1]
             first[0] = key is None or keys[0] != key
             lows = np.concatenate([[low], ids[first]])[np.cumsum(first)]
-            other = ids != lows
-            found.append(np.unique(np.column_stack([ids[other], lows[other]]), axis=0))
-            key, low, many = keys[-1], lows[-1], many + len(found[-1])
-            if many >= FLUSH:
-                yield out()
-                many = 0
-        if many:
-            yield out()
+            key, low, other = keys[-1], lows[-1], ids != lows
+            pairs = np.unique(np.column_stack([ids[other], lows[other]]), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     signed = map_slices(docs, make, "key long, id long", tail=True)
     return signed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(meet, "a long, b long").distinct()
@@ -331,13 +320,13 @@ def _alike(ids: np.ndarray, n: np.ndarray, sketches: list[np.ndarray], near: np.
     return out[out[:, 0] != out[:, 1]]
 
 
-def _block_pairs(members: DataFrame, weight: str | int, most: int) -> DataFrame:
+def _block_pairs(members: DataFrame, weight: str | int, most: int, largest: int) -> DataFrame:
     """Each member (first_id, root, near) once for every pair of blocks (i, j) of its bundle that its block is in and that is to be compared: all but
-    those of two near blocks. A block weighs about ``most`` (sums of a column, or of a number for each member)."""
+    those of two near blocks. A block weighs about ``most`` (sums of a column, or of a number for each member); no bundle has over ``largest`` members."""
     w = F.col(weight) if isinstance(weight, str) else F.lit(weight)
     blocks = lambda near: F.coalesce(F.ceil(F.sum(F.when(F.col("near") == near, w)) / most), F.lit(0)).cast("long")
     sizes = members.groupBy("root").agg(blocks(False).alias("far"), blocks(True).alias("beside"))
-    sized = lookup(members, sizes, ["root"], "first_id").where("far > 0")
+    sized = lookup(members, sizes, ["root"], "first_id", largest).where("far > 0")
     own = F.xxhash64("first_id")
     block = F.when(F.col("near"), F.col("far") + F.pmod(own, F.greatest("beside", F.lit(1)))).otherwise(F.pmod(own, "far"))
     others = F.sequence(F.lit(0).cast("long"), F.col("far") + F.when(F.col("near"), 0).otherwise(F.col("beside")) - 1)
@@ -345,7 +334,7 @@ def _block_pairs(members: DataFrame, weight: str | int, most: int) -> DataFrame:
     return sized.withColumn("p", F.explode(pairs)).select("*", "p.i", "p.j").drop("p", "far", "beside")
 
 
-def _near(sets_of: DataFrame, percent: int) -> DataFrame:
+def _near(sets_of: DataFrame, percent: int, largest: int) -> DataFrame:
     """first_id, pivot and near (whether the set links with its bundle's pivot, the member with the smallest id) of large bundles' members,
     which are given as first_id, root, elements. The pivot is near itself."""
     pivots = sets_of.groupBy("root").agg(F.min("first_id").alias("pivot"))
@@ -360,7 +349,7 @@ def _near(sets_of: DataFrame, percent: int) -> DataFrame:
                 near.append(100 * both >= percent * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column("first_id"), batch.column("pivot"), pa.array(near, pa.bool_())], ["first_id", "pivot", "near"])
 
-    return lookup(sets_of, chosen, ["root"], "first_id").select("first_id", "pivot", "elements", "of_pivot").mapInArrow(run, "first_id long, pivot long, near boolean")
+    return lookup(sets_of, chosen, ["root"], "first_id", largest).select("first_id", "pivot", "elements", "of_pivot").mapInArrow(run, "first_id long, pivot long, near boolean")
 
 
 def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -377,12 +366,13 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     about = table(map_slices(docs, describe, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary"), "sets")
     same = ["n_shingles", "h1", "h2"]
-    classes = about.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("first_id"))
+    classes = table(about.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "classes")
     bundles = components(candidates(docs, size, percent)).withColumnRenamed("node", "first_id")
-    members = table(classes.join(bundles, "first_id").select("first_id", "n_shingles", "root"), "bundles")
-    sizes = members.groupBy("root").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("many")).where("many > 1")
-    members = lookup(members, sizes, ["root"], "first_id")
-    large = table(members.where(F.col("total") > SPLIT).select("first_id", "n_shingles", "root"), "large")
+    bundled = table(classes.join(bundles, "first_id").select("first_id", "n_shingles", "root"), "bundles")
+    sizes = table(bundled.groupBy("root").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("many")).where("many > 1"), "sizes")
+    copies, largest = (df.agg(F.coalesce(F.max(c), F.lit(0))).first()[0] for df, c in ((classes, "copies"), (sizes, "many")))
+    members = table(lookup(bundled, sizes, ["root"], "first_id", largest).select("first_id", "n_shingles", "root", "total"), "members")
+    large = members.where(F.col("total") > SPLIT).select("first_id", "n_shingles", "root")
     small = members.where(F.col("total") <= SPLIT).select("first_id", "root", F.lit(False).alias("near"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))
 
     def pack():
@@ -407,17 +397,17 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     pairs = "a long, b long"
     elements = table(sets_of(large), "elements")
-    near = table(_near(elements.select("first_id", "root", "elements"), percent), "near")
+    near = table(_near(elements.select("first_id", "root", "elements"), percent, largest), "near")
     to_pivot = near.where("near and first_id <> pivot").select(F.col("first_id").alias("a"), F.col("pivot").alias("b"))
     sketched = about.select(F.col("doc_id").alias("first_id"), "sketch").dropDuplicates(["first_id"]).join(large.join(near.select("first_id", "near"), "first_id"), "first_id")
     kept = ["first_id", "n_shingles", "sketch", "near", "root", "i", "j"]
-    joined = _block_pairs(sketched, 1, SKETCHES).select(*kept).groupBy("root", "i", "j").applyInArrow(alike, pairs).unionByName(to_pivot)
+    joined = _block_pairs(sketched, 1, SKETCHES, largest).select(*kept).groupBy("root", "i", "j").applyInArrow(alike, pairs).unionByName(to_pivot)
     split = components(joined).withColumnRenamed("node", "first_id").join(near.select("first_id", "near"), "first_id")
-    split = _block_pairs(split.join(large.select("first_id", "n_shingles"), "first_id"), "n_shingles", BLOCK).select("first_id", "near", "root", "i", "j")
+    split = _block_pairs(split.join(large.select("first_id", "n_shingles"), "first_id"), "n_shingles", BLOCK, largest).select("first_id", "near", "root", "i", "j")
     columns = ["first_id", "elements", "near", "root", "i", "j"]
     packed = sets_of(small).select(*columns).unionByName(elements.select("first_id", "elements").join(split, "first_id").select(*columns))
     links = packed.groupBy("root", "i", "j").applyInArrow(compare, pairs).unionByName(to_pivot)
     linked = components(links).select(F.col("node").alias("first_id"), "root")
     of_class = classes.join(linked, "first_id", "left").select(*same, F.coalesce("root", "first_id").alias("component_id"))
-    full = lookup(about.where("n_shingles > 0").select("doc_id", *same), of_class, same, "doc_id").select("doc_id", "n_shingles", "component_id")
+    full = lookup(about.where("n_shingles > 0").select("doc_id", *same), of_class, same, "doc_id", copies).select("doc_id", "n_shingles", "component_id")
     return full.unionByName(about.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

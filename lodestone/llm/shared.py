@@ -144,32 +144,39 @@ def joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in column if x.as_py() is not None)])
 
 
-def lookup(rows: DataFrame, found: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
-    """Joins rows, of which any number may share a key, with ``found``, which has one row for each key: the rows of a key are dealt
-    over as many tasks as the session has partitions, by the hash of column ``by``, and each of these gets the key's row."""
+#: Rows of one key that a join leaves to one task (a few numbers each: some 30 MB).
+MOST_OF_KEY = 1 << 20
+
+
+def lookup(rows: DataFrame, found: DataFrame, on: list[str], by: str, most: int) -> DataFrame:
+    """Joins rows, of which up to ``most`` share a key, with ``found``, which has one row for each key. Where that is over MOST_OF_KEY, the rows of a key are
+    dealt over as many tasks as the session has partitions, by the hash of column ``by``, and each of these gets the key's row."""
+    if most <= MOST_OF_KEY:
+        return rows.join(found, on)
     salt = fresh(rows, "salt")
     dealt = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(partitions(rows.sparkSession))))
     wanted = dealt.select(*on, salt).distinct().join(found, on)  # at most one row for each partition and key
-    return dealt.join(wanted, [*on, salt], how).drop(salt)
+    return dealt.join(wanted, [*on, salt]).drop(salt)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b): root is the smallest node of its component.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014) until the edges no longer change. Each step
-    is a partial aggregate and a lookup() by node, so that a node with a third of all edges is no task of its own, cut by a checkpoint;
-    only three sums reach the driver."""
+    Alternates large-star and small-star steps (Kiveris et al., 2014) until every node but roots has one neighbour, its root. Each step is a partial
+    aggregate and a join by node, cut by a checkpoint; three numbers reach the driver. The
+    edges of a node with over MOST_OF_KEY are dealt over many tasks."""
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    last = None
+    larger = F.coalesce(F.sum(F.when(F.col("b") > F.col("a"), 1)), F.lit(0)).alias("larger")
+    smaller = F.coalesce(F.sum(F.when(F.col("b") < F.col("a"), 1)), F.lit(0)).alias("smaller")
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        unsettled = F.col("smaller") + F.least("smaller", "larger") > 1
+        state = both.groupBy("a").agg(smaller, larger).agg(F.sum(unsettled.cast("long")).alias("left"), F.max(F.col("smaller") + F.col("larger")).alias("most")).first()
+        if not state["left"]:
+            break
         low = both.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m")).select("b", F.least("b", "m").alias("m"))
-        large = lookup(now, low, ["b"], "a").select("a", F.col("m").alias("b")).where("a <> b").distinct()
+        large = lookup(now, low, ["b"], "a", state["most"]).select("a", F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = lookup(large, low, ["a"], "b").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        small = lookup(large, low, ["a"], "b", state["most"]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         now = cut(small.where("a <> b").distinct())
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == last:
-            break
-        last = state
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import bin_packing, bpe_trie, hamming_search, language_kernel, lz_dedup, ngram_join, quality_rules, quality_trees, token_counts, toxicity_cnn
+from lodestone.llm import bin_packing, bpe_trie, hamming_search, language_kernel, lz_dedup, ngram_join, quality_rules, quality_trees, shared, token_counts, toxicity_cnn
 from lodestone.llm.queries import tokenizer_path
 
 DATA = "/root/testdata/sf0.001"
@@ -142,12 +142,28 @@ def test_join(docs, texts, nothing, monkeypatch, size, percent, block, sketches)
         monkeypatch.setattr(ngram_join, "BLOCK", block)
         monkeypatch.setattr(ngram_join, "SPLIT", block)
         monkeypatch.setattr(ngram_join, "SKETCHES", sketches)
+        monkeypatch.setattr(shared, "MOST_OF_KEY", 1)  # and every key is dealt over many tasks
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(docs, size, percent).collect()}
     assert got == brute_join(texts, size, percent)
     if not block:
         assert ngram_join.join(nothing, size, percent).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 1 << 20])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(shared, "MOST_OF_KEY", most)  # 1: every join deals the edges of a node over many tasks
+    rnd = random.Random(8)
+    edges = [(0, k) for k in range(1, 60)] + [(500, k) for k in range(100, 140)] + [(k, k + 1) for k in range(200, 260)] + [(rnd.randrange(300, 400), rnd.randrange(300, 400)) for _ in range(60)] + [(7, 7), (-5, 300)]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {x: r for x, r in root.items() if x != 7 or r != 7}
+    got = shared.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node: r.root for r in got} == want and len(got) == len(want)
+    assert shared.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_linked_sets_share_a_signature(percent):
     rnd = random.Random(percent)
