@@ -13,16 +13,21 @@ METRES = {"m": 1.0, "meter": 1.0, "meters": 1.0, "metre": 1.0, "metres": 1.0, "m
 RESOURCE_TONNES = {"kg": 1e-3, "kilogram": 1e-3, "kilograms": 1e-3, "t": 1.0, "te": 1.0, "ton": 1.0, "tons": 1.0, "tonne": 1.0, "tonnes": 1.0, "mt": 1e6, "milliontonne": 1e6, "milliontonnes": 1e6}
 SEAM_BODY = r"(?:[ivxlc]{1,6}[ab]?(?:\s+(?:top|bottom|t|b))?|[a-z]{1,3}\d+[a-z]?|\d{1,3}[a-z]?)"
 LEADING_WORDS = (
-    "a an the and or of to for in on at by from with into this that these those its their as via per through across between among along what which "
-    "where when who how overlies underlies overlie underlie overlying underlying comprises comprise consists consist includes include including forms form "
-    "forming occurs occur occurring belongs belong belonging hosts host hosting contains contain containing presents present shows show showing represents represent"
-).split()
+    "a", "an", "the", "and", "or", "of", "to", "for", "in", "on", "at", "by", "from", "with", "into", "this", "that", "these", "those", "its",
+    "their", "as", "via", "per", "through", "across", "between", "among", "along", "what", "which", "where", "when", "who", "how", "overlies",
+    "underlies", "overlie", "underlie", "overlying", "underlying", "comprises", "comprise", "consists", "consist", "includes", "include", "including",
+    "forms", "form", "forming", "occurs", "occur", "occurring", "belongs", "belong", "belonging", "hosts", "host", "hosting", "contains", "contain",
+    "containing", "presents", "present", "shows", "show", "showing", "represents", "represent",
+)
 GRAMMAR_WORDS = (
-    "a an and or the this that these those its their our of to for in on at by from with into onto over under above below through across between among along "
-    "via per as is are was were be been being has have had do does did what which where when who whom whose why how not no only also such same other another "
-    "each every both all any some more most few several various said etc"
-).split()
+    "a", "an", "and", "or", "the", "this", "that", "these", "those", "its", "their", "our", "of", "to", "for", "in", "on", "at", "by", "from", "with",
+    "into", "onto", "over", "under", "above", "below", "through", "across", "between", "among", "along", "via", "per", "as", "is", "are", "was",
+    "were", "be", "been", "being", "has", "have", "had", "do", "does", "did", "what", "which", "where", "when", "who", "whom", "whose", "why", "how",
+    "not", "no", "only", "also", "such", "same", "other", "another", "each", "every", "both", "all", "any", "some", "more", "most", "few", "several",
+    "various", "said", "etc",
+)
 DESCRIPTIVE_WORDS = ("formation", "formations", "coaly", "carbonaceous", "geological", "separate", "guide", "lithology", "characteristics", "characteristic", "interpreted", "qualitative", "strata", "seam", "coal")
+NOT_FORMATIONS = r"(?i)\b(?:formation\s+characteristics|guide\s+to\s+formation|through\s+the\s+formation|lithology\s+of\s+formation|coaly\s+formation|carbonaceous\s+formations?)\b"
 METRIC_ALIASES = {
     "minimum_workable_thickness": "minimum_workable_seam_thickness",
     "workable_seam_thickness": "minimum_workable_seam_thickness",
@@ -45,6 +50,14 @@ METRIC_ALIASES = {
 METRIC_LABELS = {"resource_quantity": "Seam Resource", "reserve_quantity": "Reserve"}
 THICKNESS = ("seam_thickness", "formation_thickness", "seam_parting_thickness", "overburden_thickness", "minimum_workable_seam_thickness")
 DEPTHS = ("seam_depth", "borehole_depth", "stratigraphic_depth")
+INCOMPATIBLE = {
+    "seam_thickness": ("formation_thickness", "seam_parting_thickness", "overburden_thickness", "minimum_workable_seam_thickness", "borehole_depth", "stratigraphic_depth", "seam_depth", "resource_quantity", "reserve_quantity"),
+    "formation_thickness": ("seam_thickness", "seam_parting_thickness", "overburden_thickness", "minimum_workable_seam_thickness", "borehole_depth", "seam_depth"),
+    "seam_parting_thickness": ("seam_thickness", "formation_thickness", "overburden_thickness", "minimum_workable_seam_thickness", "borehole_depth"),
+    "minimum_workable_seam_thickness": ("seam_thickness", "formation_thickness", "seam_parting_thickness", "overburden_thickness", "borehole_depth"),
+    "seam_depth": ("seam_thickness", "formation_thickness", "borehole_depth"),
+    "borehole_depth": ("seam_thickness", "formation_thickness", "seam_depth"),
+}
 QUANTITIES = ("resource", "reserve", "resource_quantity", "reserve_quantity")
 COMPARED = {"formation": "formations", "seam": "seams", "resource_quantity": "resources", "borehole": "boreholes", "borehole_depth": "borehole_depths", "minimum_workable_seam_thickness": "minimum_workable_thickness"}
 
@@ -121,7 +134,7 @@ def formation_is_plausible(name: Column) -> Column:
     words = F.regexp_extract_all(bare, F.lit(r"([A-Za-z]+)"))
     low = F.transform(words, F.lower)
     proper = F.filter(low, lambda w: ~among(w, DESCRIPTIVE_WORDS))
-    odd = name.rlike(r"(?i)\b(?:formation\s+characteristics|guide\s+to\s+formation|through\s+the\s+formation|lithology\s+of\s+formation|coaly\s+formation|carbonaceous\s+formations?)\b")
+    odd = name.rlike(NOT_FORMATIONS)
     fine = F.size(words).between(1, 3) & ~F.exists(low, lambda w: among(w, GRAMMAR_WORDS)) & (F.size(proper) > 0)
     fine = fine & ((F.size(proper) == F.size(low)) | F.exists(proper, lambda w: F.length(w) >= 4)) & ~((F.size(proper) == 1) & (F.length(proper[0]) <= 2))
     return F.coalesce(fine & ~odd, F.lit(False))
@@ -142,12 +155,13 @@ def compare_category(kind: Column) -> Column:
 
 
 def metrics_compatible(wanted: Column, kind: Column) -> Column:
-    """Whether evidence of a kind may answer a wanted metric (FN-24): the same kind; a seam listing takes seam thickness and
+    """Whether evidence of a kind may answer a wanted metric (FN-24): the same kind; never one of INCOMPATIBLE; a seam listing takes seam thickness and
     quantities; quantities take each other and seams; an unknown kind answers all but thicknesses and depths."""
+    blocked = F.array_contains(F.split(F.coalesce(lookup({k: ",".join(v) for k, v in INCOMPATIBLE.items()}, wanted), F.lit("")), ","), kind)
     same_family = among(wanted, QUANTITIES) & among(kind, (*QUANTITIES, "seam"))
     listing = (wanted == "seam") & among(kind, ("seam_thickness", *QUANTITIES))
     unknown = F.coalesce(kind, F.lit("")) == ""
-    return F.when(wanted.isNull(), True).when(unknown, ~among(wanted, (*THICKNESS, *DEPTHS))).otherwise((wanted == kind) | same_family | listing)
+    return F.when(wanted.isNull(), True).when(unknown, ~among(wanted, (*THICKNESS, *DEPTHS))).when(wanted == kind, True).when(blocked, False).otherwise((wanted == kind) | same_family | listing)
 
 
 def infer_kind(text: Column, seam_name: Column, borehole: Column, formation_name: Column, has_thickness: Column, has_depth: Column) -> Column:

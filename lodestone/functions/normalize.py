@@ -4,6 +4,9 @@ Every function takes and returns columns built of native expressions. Null or bl
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -263,7 +266,13 @@ def family_key(filename: Column) -> Column:
 
 
 def slug(name: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(strip(name)), r"[^a-z0-9]+", "-"), r"^-|-$", "")
+    """A name for addresses (FN-34); ``topic`` where nothing is left."""
+    return F.coalesce(blank_as_null(F.regexp_replace(F.regexp_replace(F.lower(strip(name)), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")), F.lit("topic"))
+
+
+def title_words(text: Column) -> Column:
+    """Words with capitals, underscores and hyphens as blanks (FN-34)."""
+    return F.initcap(squeeze(F.translate(text, "_-", "  ")))
 
 
 def stable_id(*parts: Column) -> Column:
@@ -276,10 +285,32 @@ def fingerprint(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *(F.coalesce(p, F.lit("")) for p in parts)), 256), 1, 40)
 
 
-#: Keys of audit details that must not be shown.
-SENSITIVE = ("password", "token", "secret", "api_key", "authorization")
+# Keys of audit details that must not be shown.
+SENSITIVE = ("password", "password_hash", "token", "api_key", "secret", "authorization")
 
 
 def sanitize(details: Column) -> Column:
-    """A map without its sensitive keys (FN-37)."""
+    """A flat map without its sensitive keys (FN-37)."""
     return F.map_filter(details, lambda k, _: ~among(F.lower(k), SENSITIVE))
+
+
+def _without_secrets(value: object) -> object:
+    return {k: _without_secrets(v) for k, v in value.items() if k.lower() not in SENSITIVE} if isinstance(value, dict) else value
+
+
+def sanitize_json(details: Column) -> Column:
+    """A JSON object without its sensitive keys at any depth of objects (FN-37), its keys in order; null for an empty object and for text that is none.
+    Objects nest to any depth, which no native expression follows: Arrow batches of text go to Python."""
+
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            try:
+                value = json.loads(text) if text else None
+            except ValueError:
+                return None
+            return json.dumps(_without_secrets(value), separators=(",", ":")) if isinstance(value, dict) and value else None
+
+        return texts.map(one)
+
+    return clean(details)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import normalize as N
-from lodestone.operators.facts import best, normalized, of_latest, verified, without_open_conflicts
+from lodestone.operators.facts import best, merged, normalized, of_latest, one_per, verified, without_open_conflicts
 
 CORE = ("production", "coal", "overburden", "dispatch", "lignite")
 
@@ -23,6 +23,32 @@ def trend(facts: DataFrame) -> DataFrame:
     return points.withColumn("chart_type", F.when(F.count("*").over(series) >= 2, "line").otherwise("bar"))
 
 
+def merged_trend(rows: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """The trend over index facts and verified facts alike (ANA-1): classified rows merged; where an entity's metric has index facts, rows measured during
+    the period alone, if it has any; without the periods of open conflicts; the most trusted of each entity, metric and period, the later one of equals."""
+    known = merged(rows).where("value is not null and period is not null").withColumn("entity", N.entity(F.col("entity_name"))).where("entity is not null")
+    series = Window.partitionBy("entity", "storage_metric")
+    during = F.coalesce(F.col("measure") == "during", F.lit(False))
+    kept = known.withColumns({"indexed": F.max(F.col("source") == "index").over(series), "has_during": F.max(during).over(series)}).where(~F.col("indexed") | ~F.col("has_during") | during)
+    free = without_open_conflicts(kept.withColumn("field", F.col("storage_metric")), conflicts)
+    return best(free, ["entity", "storage_metric", "period"], "confidence", "fact_id").select("entity", "storage_metric", "period", "measure", "value", "unit", "fact_id", "source", "document_id")
+
+
+def actual_vs_target_merged(rows: DataFrame, facts: DataFrame, metrics: tuple[str, ...] = ("production", "coal", "lignite")) -> DataFrame:
+    """Actual and target (ANA-2): of each entity and period the pair that index facts of one metric give, of the first of ``metrics`` that has both; else
+    the pair of production and its target among the usable facts. ``path`` tells which."""
+    index = rows.where((F.col("source") == "index") & F.col("measure").isin("during", "target") & F.col("storage_metric").isin(*metrics) & F.col("value").isNotNull() & F.col("period").isNotNull())
+    order = F.struct("confidence", "fact_id")
+    side = lambda m: (F.max_by("value", F.when(F.col("measure") == m, order)), F.max_by("fact_id", F.when(F.col("measure") == m, order)))
+    (actual, actual_id), (target, target_id) = side("during"), side("target")
+    pairs = index.groupBy(N.entity(F.col("entity_name")).alias("entity"), "storage_metric", "period").agg(actual.alias("actual"), target.alias("target"), actual_id.alias("actual_id"), target_id.alias("target_id")).where("actual is not null and target is not null")
+    rank = F.array_position(F.array(*map(F.lit, metrics)), F.col("storage_metric"))
+    chosen = one_per(pairs, ["entity", "period"], [rank]).select("entity", "period", "actual", "target", "actual_id", "target_id", F.lit("index").alias("path"))
+    named = actual_vs_target(facts).select("entity", "period", "actual", "target", "actual_id", "target_id", F.lit("fields").alias("path"))
+    both = chosen.unionByName(named.join(chosen.select("entity", "period"), ["entity", "period"], "left_anti"))
+    return both.withColumn("achievement", F.round(F.col("actual") / F.nullif(F.col("target"), F.lit(0.0)) * 100, 2))
+
+
 def actual_vs_target(facts: DataFrame, actual: str = "production", target: str = "production_target") -> DataFrame:
     """Actual and target of each entity and period that has both, with the achievement in percent (ANA-2, JN-5). Nothing of
     an entity's period is compared unless both sides are free of conflicts."""

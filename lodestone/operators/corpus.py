@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,20 +66,30 @@ def embeddings(rows: DataFrame, id_: str = "chunk_id", text: str = "content") ->
 
 
 def cue_counts(texts: DataFrame, cues: dict[str, dict[str, float]]) -> DataFrame:
-    """How strongly each document speaks of each class (TXT-6): weights times counts of its cues, each count at most eight. One pass over the text."""
+    """How strongly each document speaks of each class (TXT-6): weights times counts of its cues, each count at most eight. One pass over the text.
+    Cues of one word count where they stand as a word, phrases anywhere."""
     low = F.lower("text")
-    score = lambda words: sum((F.least(F.regexp_count(low, F.lit(rf"(?<![\p{{L}}\p{{N}}_]){w}(?![\p{{L}}\p{{N}}_])")), F.lit(MOST_CUES)) * F.lit(x) for w, x in words.items()), F.lit(0.0))
+    plain = lambda w: re.sub(r"([^\w\s])", r"\\\1", w)
+    pattern = lambda w: plain(w) if " " in w else rf"(?<![\p{{L}}\p{{N}}_]){plain(w)}(?![\p{{L}}\p{{N}}_])"
+    score = lambda words: sum((F.least(F.regexp_count(low, F.lit(pattern(w))), F.lit(MOST_CUES)) * F.lit(x) for w, x in words.items()), F.lit(0.0))
     return texts.select("document_id", *(F.round(score(words), 6).alias(name) for name, words in cues.items()))
 
 
-def classify(texts: DataFrame, cues: dict[str, dict[str, float]], least: float = 2.5) -> DataFrame:
-    """The class with the highest cue score, ``other`` below ``least`` (TXT-6), with confidence by mass and separation."""
+def classify(texts: DataFrame, cues: dict[str, dict[str, float]], least: float = 2.5, total_least: float = 0.0, name: str | None = None) -> DataFrame:
+    """The class with the highest cue score (TXT-6), ``other`` below ``least`` or where all scores add up to less than ``total_least``, with confidence by
+    mass and separation. ``name``: a column with the file's name, in which each class's first six cues count 0.35 of their weight."""
     scores = cue_counts(texts, cues)
+    if name is not None:
+        low = F.lower(F.coalesce(F.col(name), F.lit("")))
+        hint = lambda words: sum((F.when(F.contains(low, F.lit(w)), 0.35 * x).otherwise(0.0) for w, x in list(words.items())[:6]), F.lit(0.0))
+        hints = texts.select("document_id", *(hint(words).alias(f"hint_{n}") for n, words in cues.items()))
+        scores = scores.join(hints, "document_id").select("document_id", *(F.round(F.col(n) + F.col(f"hint_{n}"), 6).alias(n) for n in cues))
     ranked = F.array_sort(F.array(*(F.struct((-F.col(n)).alias("s"), F.lit(n).alias("name")) for n in cues)))
     top, second = -F.get(ranked, 0)["s"], F.coalesce(-F.get(ranked, 1)["s"], F.lit(0.0))
     total = sum((F.col(n) for n in cues), F.lit(0.0))
-    confidence = F.least(F.lit(0.97), 0.45 + 0.35 * F.least(F.lit(1.0), top / 10) + 0.25 * (top - second) / F.greatest(total, F.lit(1.0)))
-    return scores.select("document_id", F.when(top >= least, F.get(ranked, 0)["name"]).otherwise("other").alias("domain"), top.alias("score"), F.round(F.when(top >= least, confidence).otherwise(0.0), 3).alias("confidence"))
+    confidence = F.round(F.least(F.lit(0.97), 0.45 + 0.35 * top / F.greatest(total, F.lit(1e-6)) + 0.25 * (top - second) / F.greatest(top, F.lit(1e-6))), 3)
+    fine = (top >= least) & (total >= total_least)
+    return scores.select("document_id", F.when(fine, F.get(ranked, 0)["name"]).otherwise("other").alias("domain"), top.alias("score"), F.when(fine, confidence).when(top > 0, 0.35).otherwise(0.2).alias("confidence"))
 
 
 def topics(rows: DataFrame, cues: dict[str, list[str]], least: float = 0.4) -> DataFrame:
@@ -106,31 +118,6 @@ def parse_sentences(rows: DataFrame) -> DataFrame:
     return out.where("value is not null")
 
 
-def production_facts(pages: DataFrame) -> DataFrame:
-    """Production, target and achievement that a page's prose tells of (TXT-10), one row each."""
-    num, unit = r"(\d+(?:,\d{3})*(?:\.\d+)?)", r"(MT|Mt|million tonnes|tonnes?|kt|t)\b"
-    text = F.col("text")
-    year = N.period(F.regexp_replace(found(text, r"\b(FY\s?\d{4}(?:-\d{2})?|20\d{2}-\d{2})\b"), " ", ""))
-    entity = found(text, r"\b((?:[A-Z][\w&]*\s)*(?:Mine|Pit|Area|Co)\s?[A-Z0-9]*)\b")
-    drafts = F.array(
-        F.struct(F.lit("production").alias("field"), found(text, rf"produced\s+{num}\s*{unit}").alias("value"), found(text, rf"produced\s+{num}\s*{unit}", 2).alias("unit")),
-        F.struct(F.lit("production_target").alias("field"), found(text, rf"target\s+of\s+{num}\s*{unit}").alias("value"), found(text, rf"target\s+of\s+{num}\s*{unit}", 2).alias("unit")),
-        F.struct(F.lit("achievement_percentage").alias("field"), found(text, rf"achiev\w*\s+(?:of\s+|was\s+)?{num}\s*%").alias("value"), F.lit("%").alias("unit")),
-    )
-    out = pages.select("document_id", entity.alias("entity_name"), year.alias("period"), F.explode(F.filter(drafts, lambda d: d["value"].isNotNull())).alias("d"))
-    return out.select("document_id", F.trim("entity_name").alias("entity_name"), "period", "d.field", N.plain_number(F.col("d.value")).alias("value"), "d.unit")
-
-
-def confidence(has_entity: Column, has_period: Column, has_unit: Column, in_text: Column, is_ocr: Column) -> Column:
-    """An extracted fact's confidence (TXT-11): a base and bonuses, less for scanned pages, within 0 and 1."""
-    score = F.lit(0.55) + F.when(has_entity, 0.1).otherwise(0) + F.when(has_period, 0.1).otherwise(0) + F.when(has_unit, 0.05).otherwise(0) + F.when(in_text, 0.15).otherwise(0) - F.when(is_ocr, 0.1).otherwise(0)
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 3)
-
-
-def draft_status(score: Column) -> Column:
-    return F.when(score >= 0.85, "high_confidence").otherwise("review_required")
-
-
 def geological_facts(pages: DataFrame) -> DataFrame:
     """Depths, thicknesses and quantities of a page with the nearest seam or borehole that precedes each (TXT-12, TXT-13): all matches
     of one pass with their places, then the last anchor before each measure."""

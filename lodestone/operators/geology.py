@@ -124,19 +124,55 @@ def formation_tree(rows: DataFrame) -> DataFrame:
 def compared_values(rows: DataFrame) -> DataFrame:
     """What each document tells in each category that documents are compared by: document_id, category, item, value."""
     base = verified_else_provisional(rows)
-    named = lambda category, c, test, value=None: base.where(test).where(F.col(c).isNotNull()).groupBy("document_id", F.col(c).alias("item")).agg((F.min_by(value, F.struct("source_page", "id")) if value else F.lit(None).cast("double")).alias("value")).withColumn("category", F.lit(category))
-    parts = [named("formations", "formation", F.lit(True)), named("seams", "seam", F.lit(True)), named("boreholes", "borehole_key", F.lit(True)), named("resources", "seam", among(F.col("kind"), QUANTITY), "value_num"), named("borehole_depths", "borehole_key", F.col("kind") == "borehole_depth", "metres"), named("minimum_workable_thickness", "kind", F.col("kind") == "minimum_workable_seam_thickness", "metres")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    none = F.lit(None).cast("double")
+    entry = lambda category, item, test, value: F.when(test, F.struct(F.lit(category).alias("category"), F.col(item).alias("item"), value.alias("value")))
+    kind = F.col("kind")
+    told = F.array_compact(F.array(
+        entry("formations", "formation", F.lit(True), none), entry("seams", "seam", F.lit(True), none), entry("boreholes", "borehole_key", F.lit(True), none), entry("resources", "seam", among(kind, QUANTITY), F.col("value_num")),
+        entry("borehole_depths", "borehole_key", kind == "borehole_depth", F.col("metres")), entry("minimum_workable_thickness", "kind", kind == "minimum_workable_seam_thickness", F.col("metres"))))
+    long = base.select("document_id", "source_page", "id", F.explode(told).alias("t")).select("document_id", "source_page", "id", "t.*").where("item is not null")
+    return long.groupBy("document_id", "category", "item").agg(F.min_by("value", F.struct("source_page", "id")).alias("value"))
 
 
 def compare_documents(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Two documents side by side (ANA-10, JN-15): each category's items, with each side's value and whether it has the item."""
     values = compared_values(rows.where(F.col("document_id").isin(a, b)))
-    side = lambda d, tag: values.where(F.col("document_id") == d).select("category", "item", F.col("value").alias(f"{tag}_value"), F.lit(True).alias(f"in_{tag}"))
-    return side(a, "a").join(side(b, "b"), ["category", "item"], "full_outer").na.fill(False, ["in_a", "in_b"])
+    of = lambda d: F.col("document_id") == d
+    return values.groupBy("category", "item").agg(
+        F.max(F.when(of(a), F.col("value"))).alias("a_value"), F.bool_or(of(a)).alias("in_a"), F.max(F.when(of(b), F.col("value"))).alias("b_value"), F.bool_or(of(b)).alias("in_b"))
+
+
+def analytics_rows(rows: DataFrame, documents: DataFrame, entity: str | None = None, metric: str | None = None) -> DataFrame:
+    """Geological facts as analytics rows (ANA-6): all that aren't rejected, with the document's name as entity, the metric's label, the value to show, the
+    number for a chart, what the point is called there (seam, formation, borehole or page), and the review bucket. Entities match whole; metrics by
+    compatibility."""
+    kept = with_bucket(rows)
+    kept = kept.where(G.metrics_compatible(G.metric_kind(F.lit(metric)), F.col("kind"))) if metric else kept
+    named = kept.join(documents.select("document_id", F.col("filename").alias("entity")), "document_id", "left").withColumn("entity", F.coalesce("entity", "document_id"))
+    named = named.where(F.lower("entity") == entity.strip().lower()) if entity else named
+    listed = F.when(F.col("kind") == "formation", F.col("formation")).when(F.col("kind") == "seam", F.col("seam")).when(F.col("kind") == "borehole", F.col("borehole_key"))
+    number = F.when(~among(F.col("kind"), ("formation", "seam", "borehole")), F.coalesce("metres", "value_num"))
+    point = F.coalesce("seam", "formation", "borehole_key", F.concat(F.lit("p."), F.col("source_page").cast("string")), G.metric_label(F.col("kind")))
+    return named.select(
+        F.col("id").alias("fact_id"), "document_id", "entity", F.col("kind").alias("metric"), G.metric_label(F.col("kind")).alias("metric_label"), F.coalesce(listed, F.col("value_num").cast("string")).alias("value"), number.alias("number"),
+        F.when(number.isNotNull(), point).alias("point"), F.coalesce(F.concat(F.lit("p."), F.col("source_page").cast("string")), F.lit("—")).alias("period"), "seam", "formation", F.col("borehole_key").alias("borehole"), F.col("source_page").alias("page"), "status", "bucket")
+
+
+def explorer_overview(rows: DataFrame, documents: DataFrame) -> dict[str, DataFrame]:
+    """The explorer's parts over one selection (ANA-15): facts, filters, roll-ups, and the analytics of each kind."""
+    return {
+        "facts": analytics_rows(rows, documents), "filters": filter_dimensions(rows), "summary": document_summary(rows), "formations": formations(rows), "seams": seams(rows), "boreholes": boreholes(rows), "tree": formation_tree(rows),
+        "resources": resources_by_seam(rows), "depths": borehole_depths(rows), "thickness": seam_thickness(rows),
+    }
+
+
+def overview_counts(parts: dict[str, DataFrame]) -> DataFrame:
+    """How many rows each part of the explorer has."""
+    out = None
+    for name, df in parts.items():
+        n = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
+        out = n if out is None else out.unionByName(n)
+    return out
 
 
 def locations(rows: DataFrame, documents: DataFrame) -> DataFrame:

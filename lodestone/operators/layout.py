@@ -7,18 +7,33 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import normalize as N
 
-# Glyphs that recognition confuses, as pairs.
-CONFUSABLE = "08 06 0O 0o 0D 17 1I 1l 14 2Z 2z 27 35 38 39 25 23 56 5S 5s 68 6b 6G 69 8B 89 49 7T 9g 9q".split()
+# What recognition takes each digit for.
+CONFUSIONS = {
+    "0": "8OQD",
+    "1": "7lI|",
+    "2": "Z",
+    "3": "58B",
+    "4": "A",
+    "5": "36S",
+    "6": "8G",
+    "7": "1",
+    "8": "0B3",
+    "9": "gq",
+}
 MEASURES = ("Overburden", "Lignite", "Coal", "Power Gross (NLCIL)", "Power Export (NLCIL)", "Power Gross (NTPL)", "Power Export (NTPL)")
 MOST_VALUES = 8
 
 
 def confusable(a: Column, b: Column) -> Column:
-    """Whether two numbers are equal or differ in one glyph that recognition confuses (FN of TXT-9)."""
-    pairs = F.array(*(F.lit(x) for p in CONFUSABLE for x in (p, p[::-1])))
+    """Whether two numbers are equal or differ in one glyph that recognition confuses (TXT-9), in either direction; letters of the other case count too.
+    Points are never confused."""
+    pairs = sorted({p for digit, glyphs in CONFUSIONS.items() for g in glyphs for p in (digit + g, digit + g.lower() if g.upper() in glyphs else digit + g)})
+    known = F.array(*(F.lit(p) for p in pairs))
     glyphs = lambda t: F.split(t, "")
-    differ = F.filter(F.zip_with(glyphs(a), glyphs(b), lambda x, y: F.when(x != y, F.concat(x, y))), lambda p: p.isNotNull())
-    return (a == b) | ((F.length(a) == F.length(b)) & (F.size(differ) == 1) & F.array_contains(pairs, F.get(differ, 0)))
+    differ = F.filter(F.zip_with(glyphs(a), glyphs(b), lambda x, y: F.when(x != y, F.struct(x.alias("x"), y.alias("y")))), lambda p: p.isNotNull())
+    one = F.get(differ, 0)
+    either = F.array_contains(known, F.concat(one["x"], one["y"])) | F.array_contains(known, F.concat(one["y"], one["x"]))
+    return (a == b) | ((F.length(a) == F.length(b)) & (F.size(differ) == 1) & either)
 
 
 def decimals(pages: DataFrame) -> DataFrame:
@@ -39,7 +54,7 @@ def reconciled(base: DataFrame, detail: DataFrame) -> DataFrame:
     by_left = a.where("left is not null").join(b, page & left).where(F.col("right").isNull() | right)
     by_right = a.where("left is null").join(b, page & right)
     hits = by_left.unionByName(by_right).where((F.col("number") != F.col("by")) & confusable(F.col("number"), F.col("by")))
-    return hits.groupBy("document_id", "page_number", "number").agg(F.min_by("by", F.struct("place", "d_place")).alias("by"))
+    return hits.groupBy("document_id", "page_number", "number").agg(F.min_by("by", F.struct(-F.col("place"), "d_place")).alias("by"))
 
 
 def apply_replacements(base: DataFrame, replacements: DataFrame) -> DataFrame:

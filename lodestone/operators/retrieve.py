@@ -6,11 +6,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import normalize as N
-from lodestone.functions.text import among
+from lodestone.functions.text import among, blank_as_null, found, lookup, strip
 from lodestone.operators.facts import one_per
 
-# Fixed values.
-STOP_WORDS = ("the", "of", "in", "and", "for", "what", "was", "is", "a", "an", "to", "by", "how", "much", "did", "during", "on", "with", "at", "from")
+# Words that a question doesn't ask with, names that count by themselves, names of organisations, words of metrics, and what speaks for tables.
+STOP_WORDS = ("a", "an", "the", "and", "or", "of", "in", "on", "for", "to", "was", "were", "is", "are", "did", "do", "does", "how", "much", "what", "which", "when", "year", "from", "with", "by")
+NAMES = ("nlcil", "neyveli", "lignite", "sccl", "singareni", "bailadila", "ntpl")
+ORGANISATIONS = {
+    "nlcil": ("nlcil", "nlc india", "neyveli"),
+    "sccl": ("sccl", "singareni"),
+    "ntpl": ("ntpl",),
+    "bailadila": ("bailadila",),
+}
+METRIC_WORDS = ("production", "produced", "produce", "coal", "lignite", "overburden", "output", "tonnage", "fy24", "fy25")
+PRODUCTION_ASKS = ("production", "produced", "overburden", "lignite", "coal", "output", "tonnage")
+TABLE_MARK, REPORT_MARK, TARGET_LINE = "reconstructed from source table", "production performance", r"(coal|lignite|overburden):\s*target\s+\d"
+CUES_BY_METRIC = {
+    "seam": "coal seam horizons seams identified",
+    "seam_thickness": "seam thickness metres",
+    "seam_depth": "seam depth occurrence metres",
+    "formation_thickness": "formation thickness average metres",
+    "seam_parting_thickness": "parting thickness metres",
+    "borehole_depth": "borehole depth drilled metres",
+    "overburden_thickness": "overburden thickness metres",
+    "borehole": "boreholes drilled borehole id",
+    "lithology": "lithology sandstone shale coal",
+    "formation": "geological formation",
+    "geological_structure": "fault geological structure",
+    "coal_quality": "coal quality ash moisture",
+}
+OTHER_CUE = "geological exploration"
+SEAM_NAME, BOREHOLE_NAME = r"\bseam\s+(?:i{1,3}v?|iv|v|vi{0,3}|ix|x|\d+|l\d+|[a-z]{1,4}\d*)\b", r"\b(?:bh|cmbj|skj|mprj)[-_]?\w+\b"
 LEAST_SCORE, POOL = 0.28, 50
 
 
@@ -50,24 +76,138 @@ def sparse_top_k(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
 
 
 def query_terms(text: Column) -> Column:
-    """The words that a question asks with (RET-3): no stop words; produced counts as production."""
-    words = F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+(?:-[0-9]+)?)"))), F.array(*map(F.lit, STOP_WORDS)))
-    return F.array_distinct(F.transform(words, lambda w: F.when(w.isin("produced", "produce"), "production").otherwise(w)))
-
-
-def keyword_boost(terms: Column, text: Column, entity: Column | None = None) -> Column:
-    """How much a text's words speak for it (RET-4): share of the terms that it holds, more with the entity's name, less without; within limits."""
-    low = F.lower(text)
-    share = F.size(F.filter(terms, lambda t: F.contains(low, t))) / F.greatest(F.size(terms), F.lit(1))
-    named = F.when(entity.isNull(), 0.0).when(F.contains(low, F.lower(entity)), 0.25).otherwise(-0.2) if entity is not None else F.lit(0.0)
-    return F.greatest(F.lit(-0.55), F.least(F.lit(0.75), 0.35 * share + named))
+    """The words that a question asks with (RET-3): no stop words; spans of years in both spellings; produced and production count as each other."""
+    words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z0-9][a-z0-9.\-]{1,})")), lambda w: ~among(w, STOP_WORDS)))
+    short = F.transform(F.filter(words, lambda w: w.rlike(r"^20\d{2}-20\d{2}$")), lambda w: F.concat(F.substring(w, 1, 5), F.substring(w, 8, 2)))
+    long = F.transform(F.filter(words, lambda w: w.rlike(r"^20\d{2}-\d{2}$")), lambda w: F.concat(F.substring(w, 1, 5), F.lit("20"), F.substring(w, 6, 2)))
+    both = F.when(F.arrays_overlap(words, F.array(F.lit("produced"), F.lit("production"))), F.array(F.lit("production"), F.lit("produced"))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(words, short, long, both))
+
+
+def organisations(text: Column) -> Column:
+    """Keys of the organisations that a text in lower case speaks of."""
+    return F.array_compact(F.array(*(F.when(F.exists(F.array(*map(F.lit, names)), lambda n: F.contains(text, n)), F.lit(key)) for key, names in ORGANISATIONS.items())))
+
+
+def keyword_boost(query: Column, text: Column) -> Column:
+    """How much a text's words speak for it (RET-4), from -0.55 to 0.75: the share of the question's terms that it holds; whether it holds any name that is
+    asked for, or none; tables and reports of production, where that is asked; another organisation than the one asked for."""
+    terms, hay = query_terms(query), F.lower(F.coalesce(text, F.lit("")))
+    holds = lambda t: F.contains(hay, t)
+    hits = F.size(F.filter(terms, holds))
+    names = F.array(*map(F.lit, NAMES))
+    named = F.filter(terms, lambda t: ~among(t, METRIC_WORDS) & ~t.startswith("fy") & (F.length(t) >= 3))
+    asks_name, has_name = F.size(named) > 0, F.exists(named, holds)
+    asks = F.arrays_overlap(terms, F.array(*map(F.lit, PRODUCTION_ASKS)))
+    present = ~asks_name | has_name
+    table, report = F.contains(hay, F.lit(TABLE_MARK)), F.contains(hay, F.lit(REPORT_MARK))
+    bonus = lambda c, x: F.when(c, x).otherwise(0.0)
+    score = 0.35 * hits / F.greatest(F.size(terms), F.lit(1)) + 0.12 * F.size(F.filter(names, lambda n: F.array_contains(terms, n) & holds(n)))
+    score = score + F.when(asks_name, F.when(has_name, 0.28).otherwise(-0.45)).otherwise(0.0)
+    about = (asks | F.array_contains(terms, "performance")) & present
+    score = score + bonus(about & report, 0.18) + bonus(about & table, 0.20) + bonus(about & hay.rlike(TARGET_LINE), 0.12) + bonus(~about & asks & ~present & (table | report), -0.25)
+    score = score + bonus(asks & (F.contains(hay, F.lit("authorised capital")) | F.contains(hay, F.lit("paid up equity"))), -0.15)
+    score = score + bonus(asks & F.contains(hay, F.lit("joint venture")) & ~report & ~F.contains(hay, F.lit("reconstructed")), -0.10)
+    theirs, ours = organisations(F.lower(query)), organisations(hay)
+    score = score + bonus((F.size(theirs) > 0) & (F.size(ours) > 0) & ~F.arrays_overlap(theirs, ours), -0.22)
+    clamped = F.greatest(F.lit(-0.55), F.least(F.lit(0.75), score))
+    return F.when((F.size(terms) == 0) | (hay == ""), 0.0).when((hits == 0) & ~F.exists(names, holds), -0.05).otherwise(clamped)
 
 
 def hybrid(hits: DataFrame, k: int = 10, least: float = LEAST_SCORE) -> DataFrame:
-    """Vector hits reranked by words (RET-5): hits have query_id, query, id, content and score."""
-    scored = hits.withColumn("score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") + keyword_boost(query_terms(F.col("query")), F.col("content")))), 6))
+    """Vector hits reranked by words (RET-5): hits have query_id, query, id, content and score. Of each query the pool of the max(POOL, 10 k) best hits of
+    no negative score is kept; its scores and boosts add up, within 0 and 1; the best k (50 at most) of ``least`` or more stay."""
+    pool = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    near = hits.where(F.col("score") >= 0).withColumn("rank", F.row_number().over(pool)).where(F.col("rank") <= max(POOL, 10 * k)).drop("rank")
+    scored = near.withColumn("score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") + keyword_boost(F.col("query"), F.col("content")))), 6))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.where(F.col("score") >= least).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return scored.where(F.col("score") >= least).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max(1, min(k, 50)))
+
+
+def augmented(query: Column, metric: Column) -> Column:
+    """A geological question with the words that texts on its metric use (RET-9), unless it has them."""
+    extra = F.coalesce(lookup(CUES_BY_METRIC, metric), F.lit(OTHER_CUE))
+    return F.when(F.contains(F.lower(F.coalesce(query, F.lit(""))), extra), query).otherwise(F.concat_ws(" ", query, extra))
+
+
+def geological_bonus(text: Column, metric: Column, seam: Column | None = None) -> Column:
+    """How much a text speaks of a geological metric (RET-9): the sum of its cues. ``seam``: the seam asked for, null for any."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    has = lambda *words: F.coalesce(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)), F.lit(False))
+    like, bonus = low.rlike, lambda c, x: F.when(c, x).otherwise(0.0)
+    formation, thick, workable = like(r"\bformation\b"), like(r"\bthickness|thick\b"), like(r"\bworkable\s+thickness\b")
+    of_seam = bonus(has("seam horizon"), 0.45) + bonus(like(r"\bseams?\b"), 0.2) + bonus(like(SEAM_NAME), 0.35) + bonus(like(r"\bviz\.?\b|\bnamely\b|\bincluding\b"), 0.1)
+    asked = F.lower(F.regexp_replace(strip(seam), r"(?i)^seam\s+", "")) if seam is not None else F.lit(None).cast("string")
+    quoted = F.regexp_replace(asked, r"([^\w\s])", r"\\$1")
+    named = F.regexp_like(low, F.concat(F.lit(r"\bseam\s+"), quoted, F.lit(r"\b|\b"), quoted, F.lit(r"\s+seam\b")))
+    wanted = F.when(F.coalesce(asked, F.lit("")) == "", 0.0).when(named, 0.4).when(F.regexp_like(low, F.concat(F.lit(r"\b"), quoted, F.lit(r"\b"))), 0.35).otherwise(-0.35)
+    thickness = F.when(formation & ~like(r"\bseams?\b"), -0.5).when(like(r"\b(?:minimum\s+)?workable\s+thickness\b"), -0.6).otherwise(0.25) + wanted
+    borehole = bonus(has("borehole"), 0.3) + bonus(like(BOREHOLE_NAME), 0.45) + bonus(like(r"\b(?:roof|floor|dirt\s+band)\b") & ~like(BOREHOLE_NAME), -0.35)
+    score = (
+        F.when(metric == "seam", of_seam)
+        .when(metric == "seam_thickness", of_seam + F.when(has("thickness"), thickness).otherwise(0.0))
+        .when(metric == "seam_depth", of_seam + bonus(has("depth"), 0.25))
+        .when(metric == "borehole", borehole)
+        .when(metric == "lithology", bonus(has("lithology"), 0.35) + bonus(has("sandstone", "shale", "coal", "claystone"), 0.15))
+        .when(metric == "formation", bonus(has("formation"), 0.35))
+        .when(metric == "formation_thickness", bonus(formation & thick, 0.45) + bonus(like(r"\baverage\s+thickness\b"), 0.2))
+        .when(metric == "seam_parting_thickness", bonus(has("parting"), 0.4))
+        .when(metric == "borehole_depth", bonus(has("borehole") & like(r"\bdepth|deep\b"), 0.4))
+        .when(metric == "geological_structure", bonus(has("fault", "structure"), 0.3))
+        .when(metric == "coal_quality", bonus(has("ash", "moisture", "volatile", "fixed carbon", "gcv"), 0.35))
+        .otherwise(0.0)
+    )
+    return F.round(F.coalesce(score, F.lit(0.0)), 6)
+
+
+#: A row of a reconstructed table.
+TABLE_ROW = r"(?i)((?:[A-Z][^|]{0,80}?)\|\s*reporting_period=\w+\s*\|\s*measure=\w+\s*\|\s*FY25=[\d.]+\s*MT\s*\|\s*FY24=[\d.]+\s*MT\.)"
+
+
+def focused(text: Column, entity: Column, months: Column, measures: Column) -> Column:
+    """A reconstructed table's title and the rows of the entity, months and measures asked for (RET-8); the text itself where it is no such table or
+    no row is left. ``months`` and ``measures``: arrays, empty for any."""
+    tokens = F.filter(F.regexp_extract_all(F.lower(entity), F.lit("([a-z0-9]{2,})")), lambda t: ~among(t, ("the", "and", "of")))
+    titled = F.contains(F.substring(text, 1, 160), F.lit(":"))
+    title = F.when(titled, F.concat(strip(F.substring_index(text, ":", 1)), F.lit(": "))).otherwise("")
+    body = F.when(titled, F.regexp_replace(text, r"(?s)^[^:]*:", "")).otherwise(text)
+
+    def fits(row: Column) -> Column:
+        low = F.lower(row)
+        padded = F.concat(F.lit(" "), F.regexp_replace(low, "[^a-z0-9]+", " "), F.lit(" "))
+        month = (F.size(months) == 0) | F.exists(months, lambda m: F.contains(low, F.lower(m)))
+        kind = (F.size(measures) == 0) | F.exists(measures, lambda m: F.contains(F.replace(low, F.lit(" ")), F.concat(F.lit("measure="), m)))
+        return F.forall(tokens, lambda t: F.contains(padded, F.concat(F.lit(" "), t, F.lit(" ")))) & month & kind
+
+    kept = F.transform(F.filter(F.regexp_extract_all(body, F.lit(TABLE_ROW)), fits), strip)
+    is_table = F.contains(F.lower(text), F.lit("reconstructed from source")) & (F.size(tokens) > 0) & (F.size(kept) > 0)
+    return F.when(F.coalesce(is_table, F.lit(False)), F.concat(title, F.array_join(kept, " "))).otherwise(text)
+
+
+def preferred_evidence(hits: DataFrame, specs: DataFrame, k: int = 5) -> DataFrame:
+    """The evidence of each spec (RET-7). Hits: spec_id, id, document_id, page, content, content_type, score, compat, from texts and facts alike; specs: spec_id,
+    entity, months, measures (arrays), prefers_numeric. Each hit counts once, where score and compat add up to most. Where a spec asks for a number
+    and has structured facts, these alone stay; else reconstructed tables displace other texts of their page, are cut to the rows asked for and move up.
+    The k best of each spec."""
+    total = F.col("score") + F.col("compat")
+    once = one_per(hits, ["spec_id", "id"], [F.desc(F.round(total, 6)), "content_type"]).join(specs, "spec_id")
+    own, page = Window.partitionBy("spec_id"), Window.partitionBy("spec_id", "document_id", "page")
+    structured = F.col("prefers_numeric") & (F.col("content_type") == "structured_fact")
+    table = F.contains(F.lower("content"), F.lit("reconstructed from source"))
+    rows = once.withColumns({"is_table": table, "structured": structured}).withColumns({"only": F.max("structured").over(own), "on_page": F.max("is_table").over(page)})
+    rows = rows.where(F.col("structured") | (~F.col("only") & (F.col("is_table") | ~F.col("on_page"))))
+    text = F.when(F.col("is_table") & ~F.col("only") & F.col("entity").isNotNull(), focused(F.col("content"), F.col("entity"), F.col("months"), F.col("measures"))).otherwise(F.col("content"))
+    moved = rows.withColumn("text", text).withColumn("cut", F.col("text") != F.col("content"))
+    up = lambda cut, whole: F.when(F.col("only") | ~F.col("is_table"), 0.0).when(F.col("cut"), cut).otherwise(whole)
+    ranked = moved.withColumns({"score": F.round(F.col("score") + up(0.08, 0.05), 6), "compat": F.round(F.col("compat") + up(0.15, 0.10), 6)})
+    best = Window.partitionBy("spec_id").orderBy(F.desc(F.round(total, 6)), "id")
+    return ranked.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("spec_id", "id", "document_id", "page", F.col("text").alias("content"), "content_type", "score", "compat", "rank")
+
+
+def verified_and_others(verified: DataFrame, others: DataFrame, key: str = "fact_id") -> DataFrame:
+    """Verified hits, then those of the others that aren't among them (SET-4), with ``verified`` to tell them apart."""
+    rest = others.join(verified.select(key).distinct(), key, "left_anti")
+    return verified.withColumn("verified", F.lit(True)).unionByName(rest.withColumn("verified", F.lit(False)), True)
 
 
 def names_entity(text: Column, entity: Column) -> Column:
@@ -121,13 +261,15 @@ def in_scope(hits: DataFrame, scope: DataFrame | None) -> DataFrame:
     return hits if scope is None else hits.join(scope.select("document_id").distinct(), "document_id", "left_semi")
 
 
-def resolve_documents(phrases: DataFrame, documents: DataFrame, least: float = 0.35, n: int = 3) -> DataFrame:
-    """The documents that a phrase names (JN-14): recall of the phrase's words weighs 0.75, precision of the file's 0.25. Words meet in an index."""
+def resolve_documents(phrases: DataFrame, documents: DataFrame, least: float = 0.35, n: int = 3, longest: float = 0.15) -> DataFrame:
+    """The documents that a phrase names (JN-14): recall of the phrase's words weighs 0.75, precision of the file's 0.25, and a file that holds the
+    phrase's longest word gains ``longest``. Words meet in an index."""
     words = lambda c: F.array_distinct(F.filter(F.split(N.family_key(F.col(c)), " "), lambda w: w != ""))
-    p = phrases.select("phrase", words("phrase").alias("w")).select("phrase", F.size("w").alias("p_n"), F.explode("w").alias("word"))
+    most = F.array_max(F.transform("w", F.length))
+    p = phrases.select("phrase", words("phrase").alias("w")).withColumn("longest", F.get(F.filter("w", lambda w: F.length(w) == most), 0)).select("phrase", "longest", F.size("w").alias("p_n"), F.explode("w").alias("word"))
     d = documents.select("document_id", words("filename").alias("w")).select("document_id", F.size("w").alias("d_n"), F.explode("w").alias("word"))
-    hits = p.join(d, "word").groupBy("phrase", "document_id", "p_n", "d_n").agg(F.count("*").alias("n"))
-    scored = hits.select("phrase", "document_id", F.round(0.75 * F.col("n") / F.col("p_n") + 0.25 * F.col("n") / F.col("d_n"), 6).alias("score")).where(F.col("score") >= least)
+    hits = p.join(d, "word").groupBy("phrase", "document_id", "p_n", "d_n").agg(F.count("*").alias("n"), F.max(F.when(F.col("word") == F.col("longest"), longest).otherwise(0.0)).alias("more"))
+    scored = hits.select("phrase", "document_id", F.round(0.75 * F.col("n") / F.col("p_n") + 0.25 * F.col("n") / F.col("d_n") + F.col("more"), 6).alias("score")).where(F.col("score") >= least)
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("phrase").orderBy(F.desc("score"), "document_id"))).where(F.col("rank") <= n)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import geo as G
 from lodestone.functions import normalize as N
 from lodestone.functions.text import among
 from lodestone.operators.facts import one_per
@@ -37,8 +38,24 @@ def apply_actions(facts: DataFrame, actions: DataFrame) -> DataFrame:
     open_ = (F.col("status") == "review_required") & F.col("action").isNotNull()
     corrected = open_ & (F.col("action") == "correct")
     out = facts.join(done, "id", "left")
+    version = F.coalesce("fact_version", F.lit(1)) if "fact_version" in facts.columns else F.lit(1)
     state = F.when(F.col("action") == "approve", "approved").when(F.col("action") == "reject", "rejected").otherwise("corrected")
-    return out.select("id", F.when(open_, state).otherwise(F.col("status")).alias("status"), F.when(corrected, F.col("corrected_value")).otherwise(F.col("numeric_value")).alias("numeric_value"), F.col("numeric_value").alias("original_value"), F.when(corrected, 2).otherwise(1).alias("fact_version"))
+    return out.select("id", F.when(open_, state).otherwise(F.col("status")).alias("status"), F.when(corrected, F.col("corrected_value")).otherwise(F.col("numeric_value")).alias("numeric_value"), F.col("numeric_value").alias("original_value"), (version + F.when(corrected, 1).otherwise(0)).cast("int").alias("fact_version"))
+
+
+def apply_geological_actions(rows: DataFrame, actions: DataFrame) -> DataFrame:
+    """Typed geological rows after their reviews (REV-3): an approval or rejection sets the status; a correction rewrites the value of the row's kind, keeps
+    the original and reads lengths anew in metres. Rows: id, status, kind, value, unit, metres; actions: fact_id, action, corrected_value (text), corrected_unit,
+    acted_at, seq. Rejected rows are settled; a correction that is no number keeps its text and has no metres."""
+    done = first_actions(actions).select(F.col("fact_id").alias("id"), "action", "corrected_value", "corrected_unit")
+    open_ = F.col("action").isNotNull() & (F.col("status") != "rejected")
+    corrected = open_ & (F.col("action") == "correct")
+    unit = F.coalesce("corrected_unit", "unit")
+    length = F.col("kind").rlike("thickness|depth")
+    state = F.when(F.col("action") == "approve", "approved").when(F.col("action") == "reject", "rejected").otherwise("corrected")
+    return rows.join(done, "id", "left").select(
+        "id", F.when(open_, state).otherwise(F.col("status")).alias("status"), F.when(corrected, F.col("corrected_value")).otherwise(F.col("value")).alias("value"), F.when(corrected, unit).otherwise(F.col("unit")).alias("unit"),
+        F.when(corrected & length, G.to_metres(N.plain_number(F.col("corrected_value")), unit)).when(corrected, F.lit(None)).otherwise(F.col("metres")).alias("metres"), F.when(corrected, F.col("value")).alias("original_value"))
 
 
 def history(facts: DataFrame, actions: DataFrame) -> DataFrame:
@@ -55,14 +72,15 @@ def version_numbers(documents: DataFrame) -> DataFrame:
 
 def version_roots(documents: DataFrame) -> DataFrame:
     """The first document of every chain of ``replaces`` links, by pointer doubling: each round follows links twice as far, so
-    a chain of n versions takes about log2(n) joins (REV-5)."""
+    a chain of n versions takes about log2(n) joins (REV-5). Documents whose links end in a circle have no root: null."""
     now = documents.select("document_id", F.coalesce("replaces", "document_id").alias("root"))
-    while True:
+    for _ in range(documents.count().bit_length() + 1):
         step = now.select(F.col("document_id").alias("root"), F.col("root").alias("next"))
         new = now.join(step, "root", "left").select("document_id", F.coalesce("next", "root").alias("root"), (F.col("next") != F.col("root")).alias("moved")).checkpoint()
         now = new.select("document_id", "root")
         if not new.where("moved").limit(1).count():
             return now
+    return new.select("document_id", F.when(~F.coalesce("moved", F.lit(False)), F.col("root")).alias("root"))
 
 
 def audit(log: DataFrame, n: int = 500) -> DataFrame:

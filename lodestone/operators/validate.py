@@ -62,6 +62,16 @@ def calculated_achievements(facts: DataFrame) -> DataFrame:
     return wide.where("production_target <> 0 and production is not null").select("document_id", "entity", "period", F.lit("achievement_percentage").alias("field"), F.round(F.col("production") / F.col("production_target") * 100, 2).alias("numeric_value"), F.lit(True).alias("is_calculated"))
 
 
+def downgraded_achievements(facts: DataFrame, points: float = 2.0) -> DataFrame:
+    """Facts with the status that they have once calculated achievements are known (VAL-11): a reported achievement of high confidence that differs
+    from its document's production over target by over ``points`` goes to review, and ``warning`` says so."""
+    off = achievement_discrepancies(facts, points).select("document_id", "entity", "period", F.lit(True).alias("off"))
+    rows = facts.withColumns({"entity": N.entity(F.col("entity_name")), "period": N.period(F.col("financial_year"))}).join(off, ["document_id", "entity", "period"], "left")
+    disagrees = F.coalesce(F.col("off"), F.lit(False)) & (N.field(F.col("field_name")) == "achievement_percentage")
+    status = F.when(disagrees & (F.col("status") == "high_confidence"), "review_required").otherwise(F.col("status"))
+    return rows.select(*(c for c in facts.columns if c != "status"), status.alias("status"), F.when(disagrees, "achievement_discrepancy").alias("warning"))
+
+
 def merge_state(stored: DataFrame, found: DataFrame) -> DataFrame:
     """The next snapshot of conflicts (VAL-5, SET-5): ``stored`` and ``found`` have fingerprint, stored also status. New ones are created, open
     ones refreshed, terminal ones kept, and open ones that are found no more dismissed. ``outcome`` tells which."""

@@ -15,12 +15,14 @@ from lodestone.functions import normalize as N
 from lodestone.operators import analytics as A
 from lodestone.operators import corpus as C
 from lodestone.operators import evidence as D
+from lodestone.operators import extract as T
 from lodestone.operators import facts as X
 from lodestone.operators import geology as E
 from lodestone.operators import layout as Y
 from lodestone.operators import retrieve as R
 from lodestone.operators import review as W
 from lodestone.operators import validate as V
+from lodestone.sources.cut import ensure_checkpoints
 from lodestone.sources.store import sheets_to_pages, upserted
 from lodestone.sources.views import VIEWS, expanded, table, view
 
@@ -36,7 +38,7 @@ class Tables:
         self.spark, self.sf_dir, self.whole = spark, sf_dir, whole
 
     def __getattr__(self, name: str) -> DataFrame:
-        return view(self.spark, self.sf_dir, f"v_{name}_whole" if self.whole and f"v_{name}_whole" in VIEWS else f"v_{name}") if name in ("fact", "document", "upload", "index", "geo", "conflict", "review", "page") else table(self.spark, self.sf_dir, name)
+        return view(self.spark, self.sf_dir, f"v_{name}_whole" if self.whole and f"v_{name}_whole" in VIEWS else f"v_{name}") if name in ("fact", "document", "upload", "index", "geo", "conflict", "review", "page", "report_page") else table(self.spark, self.sf_dir, name)
 
     @property
     def index_facts(self) -> DataFrame:
@@ -237,7 +239,7 @@ REPS = """, rp AS (SELECT f.*, lower(d.filename) AS file FROM fx f JOIN {v_docum
 pairs AS (SELECT a.entity, a.field, a.period, a.id AS a_id, b.id AS b_id, a.document_id AS ad, b.document_id AS bd, a.base_value AS a_base, b.base_value AS b_base, a.review OR b.review AS review,
   abs(a.base_value - b.base_value) <= 0.01 OR abs(a.base_value - b.base_value) / greatest(abs(a.base_value), abs(b.base_value), 1e-12) <= 0.002 AS same
  FROM rp a JOIN rp b ON a.entity = b.entity AND a.field = b.field AND a.period = b.period AND a.document_id < b.document_id),
-found AS (SELECT CASE WHEN review THEN left(sha256('unit|' || entity || '|' || field || '|' || period || '|' || least(a_id, b_id) || '|' || greatest(a_id, b_id)), 40) ELSE left(sha256('contra|' || entity || '|' || field || '|' || period || '|' || ad || '|' || bd), 40) END AS fingerprint,
+found AS MATERIALIZED (SELECT CASE WHEN review THEN left(sha256('unit|' || entity || '|' || field || '|' || period || '|' || least(a_id, b_id) || '|' || greatest(a_id, b_id)), 40) ELSE left(sha256('contra|' || entity || '|' || field || '|' || period || '|' || ad || '|' || bd), 40) END AS fingerprint,
   CASE WHEN review THEN 'unit_review' ELSE 'contradiction' END AS conflict_type, CASE WHEN review THEN 'low' ELSE 'high' END AS severity, entity, field, period, a_id, b_id, a_base, b_base FROM pairs WHERE review OR NOT same)
 """
 
@@ -247,6 +249,12 @@ def cross_document_conflicts(t: Tables) -> DataFrame:
     return V.cross_document(t.fact, t.document)
 
 
+def _found(t: Tables) -> DataFrame:
+    """The conflicts between documents, found once: a checkpoint, because the queries below read them several times."""
+    ensure_checkpoints(t.spark)
+    return V.cross_document(t.fact, t.document).checkpoint()
+
+
 def _stored(found: DataFrame) -> DataFrame:
     """A former snapshot: the conflicts of even first digits, by first digit open or settled, and one that is found no more."""
     digit = F.conv(F.substring("fingerprint", 1, 1), 16, 10).cast("int")
@@ -259,22 +267,22 @@ STORED = """, digits AS (SELECT fingerprint, strpos('0123456789abcdef', left(fin
 stored AS (SELECT fingerprint, CASE WHEN d % 4 = 0 THEN 'review_required' WHEN d % 8 = 2 THEN 'confirmed' ELSE 'dismissed' END AS status FROM digits WHERE d % 2 = 0
  UNION SELECT reverse(fingerprint), 'review_required' FROM digits WHERE d % 2 = 1 AND reverse(fingerprint) NOT IN (SELECT fingerprint FROM found)),
 merged AS (SELECT coalesce(s.fingerprint, f.fingerprint) AS fingerprint, s.status AS old, f.fingerprint IS NOT NULL AS seen, s.fingerprint IS NOT NULL AS known FROM stored s FULL JOIN (SELECT DISTINCT fingerprint FROM found) f ON s.fingerprint = f.fingerprint),
-state AS (SELECT fingerprint, CASE WHEN NOT known OR (seen AND old = 'review_required') THEN 'review_required' WHEN old = 'review_required' THEN 'dismissed' ELSE old END AS status,
+state AS MATERIALIZED (SELECT fingerprint, CASE WHEN NOT known OR (seen AND old = 'review_required') THEN 'review_required' WHEN old = 'review_required' THEN 'dismissed' ELSE old END AS status,
  CASE WHEN NOT known THEN 'created' WHEN seen AND old = 'review_required' THEN 'refreshed' WHEN old = 'review_required' THEN 'auto_cleared' WHEN seen THEN 'unchanged_terminal' ELSE 'kept' END AS outcome FROM merged)
 """
 
 
 @query(REPS + STORED + "SELECT * FROM state")
 def conflict_state_merge(t: Tables) -> DataFrame:
-    found = V.cross_document(t.fact, t.document)
+    found = _found(t)
     return V.merge_state(_stored(found), found)
 
 
-@query(REPS + STORED + """, acts AS (SELECT fingerprint, a.action, CAST(a.corrected_value AS VARCHAR) AS value FROM state s JOIN (SELECT *, seq % 16 AS d FROM {v_review} r) a ON strpos('0123456789abcdef', substr(fingerprint, 2, 1)) - 1 = a.d
- QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY acted_at DESC, action_id DESC) = 1)
+@query(REPS + STORED + """, newest AS MATERIALIZED (SELECT seq % 16 AS d, action, corrected_value FROM {v_review} r QUALIFY row_number() OVER (PARTITION BY seq % 16 ORDER BY acted_at DESC, action_id DESC) = 1),
+acts AS (SELECT fingerprint, a.action, CAST(a.corrected_value AS VARCHAR) AS value FROM state s JOIN newest a ON strpos('0123456789abcdef', substr(fingerprint, 2, 1)) - 1 = a.d)
 SELECT fingerprint, CASE WHEN action = 'approve' THEN 'confirmed' WHEN action = 'reject' THEN 'dismissed' ELSE 'resolved' END AS status FROM state JOIN acts USING (fingerprint)""")
 def conflict_transitions(t: Tables) -> DataFrame:
-    found = V.cross_document(t.fact, t.document)
+    found = _found(t)
     state = V.merge_state(_stored(found), found).select("fingerprint", "status")
     digit = F.conv(F.substring("fingerprint", 2, 1), 16, 10).cast("long")
     last = X.one_per(t.review.withColumn("digit", F.col("seq") % 16), ["digit"], [F.desc("acted_at"), F.desc("action_id")])
@@ -285,7 +293,7 @@ def conflict_transitions(t: Tables) -> DataFrame:
 
 @query(REPS + STORED + "SELECT count(*) FILTER (status = 'review_required') AS review_required, count(*) FILTER (status = 'dismissed') AS dismissed, count(*) FILTER (status = 'confirmed') AS confirmed, count(*) FILTER (status = 'resolved') AS resolved, (SELECT count(*) FROM fx) AS facts, greatest(0, (SELECT count(*) FROM fx) - count(*) FILTER (status = 'review_required')) AS validated FROM state")
 def conflict_stats(t: Tables) -> DataFrame:
-    found = V.cross_document(t.fact, t.document)
+    found = _found(t)
     return V.conflict_stats(V.merge_state(_stored(found), found), t.fact)
 
 
@@ -414,8 +422,8 @@ def formation_tree(t: Tables) -> DataFrame:
     return E.formation_tree(t.typed).withColumn("seams", F.array_sort(F.transform("seams", lambda s: F.concat_ws(":", s["seam"], s["n"].cast("string")))))
 
 
-COMPARED = """, base AS (SELECT * FROM gx WHERE bucket = 'verified'),
-vals AS (SELECT document_id, 'formations' AS category, formation AS item, CAST(NULL AS DOUBLE) AS value FROM base WHERE formation IS NOT NULL GROUP BY ALL
+COMPARED = """, base AS MATERIALIZED (SELECT * FROM gx WHERE bucket = 'verified' AND document_id IN ('doc1', 'doc3')),
+vals AS MATERIALIZED (SELECT document_id, 'formations' AS category, formation AS item, CAST(NULL AS DOUBLE) AS value FROM base WHERE formation IS NOT NULL GROUP BY ALL
  UNION ALL SELECT document_id, 'seams', seam, NULL FROM base WHERE seam IS NOT NULL GROUP BY ALL UNION ALL SELECT document_id, 'boreholes', borehole_key, NULL FROM base GROUP BY ALL
  UNION ALL SELECT document_id, 'resources', seam, arg_min(value_num, source_page || '|' || id) FROM base WHERE kind = 'resource_quantity' AND seam IS NOT NULL GROUP BY ALL
  UNION ALL SELECT document_id, 'borehole_depths', borehole_key, arg_min(metres, source_page || '|' || id) FROM base WHERE kind = 'borehole_depth' GROUP BY ALL
@@ -526,7 +534,7 @@ def filled_slots(t: Tables) -> DataFrame:
     return R.fill_slots(spec, t.usable).select("spec_id", "entity", "field", "period", "n", "value")
 
 
-@query("""SELECT phrase, document_id, round(CAST(0.75 AS DOUBLE) * n / 2 + CAST(0.25 AS DOUBLE) * n / 2, 6) AS score, CAST(row_number() OVER (PARTITION BY phrase ORDER BY n DESC, document_id) AS INT) AS rank
+@query("""SELECT phrase, document_id, round(CAST(0.75 AS DOUBLE) * n / 2 + CAST(0.25 AS DOUBLE) * n / 2 + 0.15, 6) AS score, CAST(row_number() OVER (PARTITION BY phrase ORDER BY n DESC, document_id) AS INT) AS rank
 FROM (SELECT c.phrase, u.document_id, 1 + CAST(split_part(u.filename, '_', 2) = c.num || '.pdf' AS INT) AS n FROM {v_upload} u JOIN (SELECT 'file ' || n AS phrase, n AS num FROM (SELECT DISTINCT CAST(o_custkey % 3 AS VARCHAR) AS n FROM orders)) c ON true) QUALIFY rank <= 3""")
 def resolved_documents(t: Tables) -> DataFrame:
     phrases = t.orders.select(F.concat(F.lit("File "), (F.col("o_custkey") % 3).cast("string")).alias("phrase")).distinct()
@@ -583,8 +591,6 @@ def version_chain(t: Tables) -> DataFrame:
 
 @query("SELECT document_id, first_value(document_id) OVER (PARTITION BY filename ORDER BY created_at, document_id) AS root FROM {v_upload} u")
 def version_roots(t: Tables) -> DataFrame:
-    from lodestone.sources.cut import ensure_checkpoints
-
     ensure_checkpoints(t.spark)
     return W.version_roots(W.version_numbers(t.upload))
 
@@ -687,7 +693,7 @@ def document_locations(t: Tables) -> DataFrame:
 def facts_from_prose(t: Tables) -> DataFrame:
     more = (F.col("value").cast("long") + 1).cast("string")
     text = F.concat(F.col("entity_name"), F.lit(" produced "), F.col("value"), F.lit(" MT during "), F.col("financial_year"), F.lit(" against a target of "), more, F.lit(" MT."))
-    return C.production_facts(t.fact.select(F.col("id").alias("document_id"), text.alias("text")))
+    return T.production_facts(t.fact.select(F.col("id").alias("document_id"), text.alias("text")))
 
 
 @query("SELECT id AS document_id, metric_kind, 'Seam ' || seam_name AS seam_name, borehole_id, value_num + CASE metric_kind WHEN 'seam_thickness' THEN 0 ELSE 1 END AS value FROM (SELECT id, unnest(['seam_thickness', 'borehole_depth']) AS metric_kind, seam_name, borehole_id, value_num FROM gx WHERE seam_name IS NOT NULL)")
@@ -698,11 +704,17 @@ def geological_facts_from_prose(t: Tables) -> DataFrame:
     return C.geological_facts(pages).select("document_id", "metric_kind", "seam_name", "borehole_id", "value")
 
 
-@query("SELECT id, round(CAST(0.9 AS DOUBLE) + CASE WHEN unit IS NULL THEN 0 ELSE 0.05 END - CASE WHEN page_number = 1 THEN 0.1 ELSE 0 END, 3) AS score, CASE WHEN CAST(0.9 AS DOUBLE) + CASE WHEN unit IS NULL THEN 0 ELSE 0.05 END - CASE WHEN page_number = 1 THEN 0.1 ELSE 0 END >= 0.849 THEN 'high_confidence' ELSE 'review_required' END AS status FROM fx")
+SCORED = """CAST(0.55 + 0.12 + 0.12 + CASE WHEN page_number <> 3 THEN 0.10 ELSE 0 END + CASE WHEN unit IS NULL THEN 0 ELSE 0.05 END + 0.04 + 0.03 + CASE WHEN field = 'dispatch' THEN -0.15 ELSE 0.06 END - CASE WHEN page_number = 2 THEN 0.22 ELSE 0 END
+ - CASE WHEN page_number = 1 THEN 0.10 + CASE WHEN CAST(value AS BIGINT) % 2 = 0 THEN 0.12 + 0.08 ELSE 0 END + CASE WHEN confidence_score < 0.5 THEN 0.12 + 0.10 WHEN confidence_score < 0.75 THEN 0.12 ELSE 0 END ELSE 0 END
+ + CASE WHEN page_number <> 3 THEN 0.04 ELSE 0 END - CASE WHEN page_number = 1 AND confidence_score < 0.8 THEN 0.05 ELSE 0 END AS DOUBLE)"""
+
+
+@query(f"SELECT id, greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), round({SCORED}, 3))) AS score, CASE WHEN round({SCORED}, 3) >= 0.85 THEN 'high_confidence' ELSE 'review_required' END AS status FROM fx")
 def draft_scores(t: Tables) -> DataFrame:
-    yes = F.lit(True)
-    score = C.confidence(yes, yes, F.col("unit").isNotNull(), yes, F.col("page_number") == 1)
-    return t.fact.select("id", score.alias("score"), C.draft_status(score).alias("status"))
+    yes, mean = F.lit(True), F.col("confidence_score") * 100
+    evidence = F.concat(F.lit("Mine told "), F.when(F.col("value").cast("long") % 2 == 0, "what?").otherwise("what."))
+    score = T.confidence(F.col("value"), evidence, F.col("unit"), F.col("entity_name"), F.col("financial_year"), F.col("field_name"), F.col("page_number") == 2, F.col("page_number") == 1, F.col("field_name") != "dispatch", F.col("page_number") != 3, mean)
+    return t.fact.select("id", score.alias("score"), T.draft_status(score).alias("status"))
 
 
 @query("SELECT event_id AS id, ts AS created_at, 'type=' || event_type AS details FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")

@@ -8,7 +8,9 @@ from pyspark.sql import SparkSession
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Leaves the session's spark.checkpoint.dir alone; sets a temporary folder only where there is none, as in local tests."""
+    """Leaves the session's spark.checkpoint.dir alone; sets a temporary folder only where a local session has none, as in tests. A cluster must name one."""
     sc = spark.sparkContext
     if not (sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))

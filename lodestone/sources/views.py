@@ -64,6 +64,18 @@ SELECT 'doc' || CAST(d AS VARCHAR(20)) AS document_id, 'Report_' || CAST(CAST((d
        CAST(d % 4 + 1 AS INT) AS version, CASE d % 3 WHEN 0 THEN 'COMPLETED' WHEN 1 THEN 'PROCESSING' ELSE 'UPLOADED' END AS status, n AS weight
 FROM (SELECT s_suppkey AS d, count(*) AS n FROM {supplier} GROUP BY s_suppkey) b"""
 
+#: Pages of reports in six forms, with several facts, none, or the noise of recognition; their number grows with the tables.
+VIEWS["v_report_page"] = """
+SELECT 'p' || CAST(p AS VARCHAR(20)) || '/' || CAST(s AS VARCHAR(20)) || '/' || CAST(y AS VARCHAR(20)) AS document_id, 1 AS page_number, (p + s) % 3 = 0 AS is_ocr, CAST(q AS INT) AS q, CAST((p + s + y) % 6 AS INT) AS form, 'Production_Report_' || CAST(s % 3 AS VARCHAR(20)) || '.pdf' AS filename,
+       CASE (p + s + y) % 6
+         WHEN 0 THEN 'Annual report of NLC India. Mine ' || CAST(p AS VARCHAR(20)) || ' produced ' || CAST(CAST(q AS INT) AS VARCHAR(20)) || ' MT of coal during FY' || CAST(y AS VARCHAR(20)) || ' against a target of ' || CAST(CAST(q AS INT) + 5 AS VARCHAR(20)) || '.5 MT. Achievement of ' || CAST(CAST(q AS INT) + 40 AS VARCHAR(20)) || '.5 %. Mine 99 produced 1 MT during FY2001.'
+         WHEN 1 THEN 'Scanned sheet' || chr(10) || 'Pr0ducti0n: ' || CAST(CAST(q AS INT) AS VARCHAR(20)) || '.9 M? of overburden'
+         WHEN 2 THEN 'Mine | Production | Target' || chr(10) || 'Mine ' || CAST(p AS VARCHAR(20)) || ' | ' || CAST(CAST(q AS INT) AS VARCHAR(20)) || ' | ' || CAST(CAST(q AS INT) + 2 AS VARCHAR(20)) || '.25' || chr(10) || 'Mine X' || CAST(s AS VARCHAR(20)) || '|n.a.|' || CAST(CAST(q AS INT) AS VARCHAR(20)) || chr(10) || 'Total|1|2'
+         WHEN 3 THEN 'Ore grade: ' || CAST(CAST(q AS INT) AS VARCHAR(20)) || '.5 % was met in the shale. Reserves of ' || CAST(CAST(q AS INT) AS VARCHAR(20)) || ' tonnes; reserve = 7 MT. The borehole and its coal seam lie in the formation.'
+         WHEN 4 THEN 'The north pit' || chr(10) || 'Block-' || CAST(p AS VARCHAR(20)) || ' produced ' || CAST(CAST(q AS INT) AS VARCHAR(20)) || ' kt. Targets were not set. Achieved 12 % by May. Emission and safety were reviewed.'
+         ELSE 'Nothing was told of output in this period.' END AS text
+FROM (SELECT l_partkey AS p, l_suppkey AS s, year(l_shipdate) AS y, sum(l_quantity) AS q FROM {lineitem} GROUP BY l_partkey, l_suppkey, year(l_shipdate)) b"""
+
 
 def expanded(sql: str) -> str:
     """A query's text for an engine that knows the tables by name: {view} and {table} become their definitions and names."""

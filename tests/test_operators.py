@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import analytics as A
 from lodestone.operators import corpus as C
+from lodestone.operators import extract as T
 from lodestone.operators import facts as X
 from lodestone.operators import geology as E
 from lodestone.operators import retrieve as R
@@ -131,7 +132,7 @@ def test_embedding(spark):
 
 def test_text_facts(spark):
     pages = spark.createDataFrame([("d", 1, "Mine B produced 3.9 MT during FY2024 against a target of 5.0 MT.")], "document_id string, page_number int, text string")
-    assert {(r.field, r.value, r.unit, r.period) for r in C.production_facts(pages).collect()} == {("production", 3.9, "MT", "FY2024"), ("production_target", 5.0, "MT", "FY2024")}
+    assert {(r.field, r.value, r.unit, r.period) for r in T.production_facts(pages).collect()} == {("production", 3.9, "MT", "FY2024"), ("production_target", 5.0, "MT", "FY2024")}
     log = spark.createDataFrame([("d", 1, "Borehole BH-27 met Seam III at depth 142.6 m with thickness 3.42 m in Barakar Formation.")], "document_id string, page_number int, text string")
     assert {(r.metric_kind, r.seam_name, r.borehole_id, r.value) for r in C.geological_facts(log).collect()} == {("borehole_depth", "Seam III", "BH-27", 142.6), ("seam_thickness", "Seam III", "BH-27", 3.42)}
 
