@@ -13,14 +13,18 @@ documents and tokens are left out of the totals. Extra columns are ignored. No c
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import shared_dir
+from lodestone.llm.bpe_trie import vocabulary, worker_bpe
+from lodestone.llm.shared import Slice, lookup, shared_dir, slices, table
 
 KEYS = ["source", "lang", "tokenizer"]
-#: Tokenizer versions that can be counted by a pattern: runs of non-space, and words or single marks.
+#: Tokenizer versions that are counted by a pattern: runs of non-space, and words or single marks. Others come from bpe_ledger().
 TOKENIZERS = {"words-1": r"[^\x20\x09-\x0D]+", "marks-1": r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]"}
 ROLLUP, LOG = "batch_id long, attempt string, source string, lang string, tokenizer string, docs long, tokens long", "batch_id long, attempt string"
 
@@ -58,13 +62,47 @@ def count(text: F.Column, tokenizer: str) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(TOKENIZERS[tokenizer])), F.lit(0)).cast("long")
 
 
+#: Characters whose absence a revision counts.
+SYMBOLS = "#*$%&|<>"
+
+
 def ledger(docs: DataFrame) -> DataFrame:
-    """For each document and tokenizer: its count, its count without symbols, and the first document with its text."""
-    plain = F.translate("text", "#*$%&|<>", "")
+    """For each document and pattern tokenizer: its count, its count without symbols, and the first document with its text."""
+    plain = F.translate("text", SYMBOLS, "")
     sizes = F.array(*(F.struct(F.lit(t).alias("tokenizer"), count(F.col("text"), t).alias("tokens"), count(plain, t).alias("plain_tokens")) for t in TOKENIZERS))
     rows = docs.where("doc_id is not null").select("doc_id", "source", "lang", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.explode(sizes).alias("s")).select("doc_id", "source", "lang", "digest", "s.*")
-    first = rows.groupBy("digest", "tokenizer").agg(F.min("doc_id").alias("first_id"))
-    return rows.join(first, ["digest", "tokenizer"])
+    return _with_first(rows)
+
+
+def bpe_ledger(docs: DataFrame, path: str, tokenizer: str) -> DataFrame:
+    """The same by a tokenizers file of byte-level BPE, through the encoder of whole texts (bpe_trie), under the version name ``tokenizer``."""
+    sent = vocabulary(docs, path)
+    read = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.col("text").cast("string").alias("text"))
+    symbol = np.isin(np.arange(256), list(SYMBOLS.encode()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = worker_bpe(sent.value)
+        for batch in batches:
+            at = 0
+            for part in slices(batch):
+                own = batch.slice(at, len(part))
+                at += len(part)
+                keep = ~symbol[part.buf]
+                edges = np.concatenate([[0], np.cumsum(keep)])[part.offsets]
+                counts = [np.diff(bpe.encode(x)[1]) for x in (part, Slice(part.ids, part.buf[keep], edges))]
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("doc_id", "source", "lang", "digest")), *(pa.array(c) for c in counts)], ["doc_id", "source", "lang", "digest", "tokens", "plain_tokens"])
+
+    rows = read.mapInArrow(run, "doc_id long, source string, lang string, digest string, tokens long, plain_tokens long")
+    return _with_first(rows.withColumn("tokenizer", F.lit(tokenizer)))
+
+
+def _with_first(rows: DataFrame) -> DataFrame:
+    """Adds the first document with the text. Copies of one text, of which there may be any number, meet it over many tasks."""
+    table_ = table(rows, "counts")
+    keys = ["digest", "tokenizer"]
+    first = table(table_.groupBy(*keys).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "firsts")
+    most = first.agg(F.coalesce(F.max("copies"), F.lit(0))).first()[0]
+    return lookup(table_, first.drop("copies"), keys, "doc_id", most)
 
 
 def change_feed(rows: DataFrame, batch_id: int, old: F.Column | None, new: F.Column | None) -> DataFrame:

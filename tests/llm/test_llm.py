@@ -387,6 +387,22 @@ def test_token_counts(spark):
     assert empty.totals().count() == 0
 
 
+def test_token_counts_of_bpe(spark):
+    from lodestone.llm.queries import token_counts_of_bpe
+
+    tk, want, seen = library(), Counter(), set()
+    for r in sorted(spark.read.parquet(f"{DATA}/documents.parquet").collect(), key=lambda r: r.doc_id):
+        text = r.text or ""
+        if text not in seen:  # copies are deleted, what is left loses its symbols
+            seen.add(text)
+            plain = text.translate({ord(c): None for c in token_counts.SYMBOLS})
+            want[r.source, r.lang] += len(tk.encode(plain, add_special_tokens=False).ids)
+            want[r.source, r.lang, "n"] += 1
+    got = token_counts_of_bpe(spark, DATA).collect()
+    assert {(r.source, r.lang): (r.n_tokens, r.n_docs) for r in got} == {k: (want[k], want[(*k, "n")]) for k in want if len(k) == 2}
+    assert {r.tokenizer for r in got} == {"byte-bpe-50k"}
+
+
 def test_pipeline(spark, texts):
     import corpus_pipeline
 
