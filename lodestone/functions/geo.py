@@ -90,7 +90,7 @@ def seam_is_valid(name: Column) -> Column:
 def seam(name: Column) -> Column:
     """``Seam R4``, ``Seam III Top``; null for what isn't a seam's identifier (FN-20)."""
     body = _seam_body(name)
-    core = F.upper(F.regexp_extract(body, r"(?i)^([ivxlc]{1,6}[ab]?|[a-z]{1,3}\d+[a-z]?|\d{1,3}[a-z]?)", 1))
+    core = F.upper(F.regexp_extract(body, r"(?i)^([a-z]{1,3}\d+[a-z]?|\d{1,3}[a-z]?|[ivxlc]{1,6}[ab]?)", 1))
     side = F.lower(F.regexp_extract(body, r"(?i)\s(top|bottom|t|b)$", 1))
     return F.when(seam_is_valid(name), F.concat(F.lit("Seam "), core, F.when(side.startswith("t"), " Top").when(side.startswith("b"), " Bottom").otherwise("")))
 

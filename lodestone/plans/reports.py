@@ -17,6 +17,7 @@ from lodestone.operators import geology as E
 from lodestone.operators import layout as Y
 from lodestone.operators import retrieve as R
 from lodestone.operators import review as W
+from lodestone.operators import strata as S
 from lodestone.operators import validate as V
 from lodestone.plans.catalog import Tables, query
 
@@ -94,6 +95,17 @@ def number_replacements(t: Tables) -> DataFrame:
     return Y.apply_replacements(base, Y.reconciled(base, pages.select("document_id", "page_number", F.col("detail").alias("text")))).select("document_id", "text")
 
 
+@query("""SELECT document_id, metric_kind, seam_name, borehole_id, depth, thickness, original_value, metres FROM (SELECT document_id, unnest([
+ {'metric_kind': 'seam_thickness', 'seam_name': 'Seam ' || seam, 'borehole_id': borehole, 'depth': n || '.5', 'thickness': n || '.25', 'original_value': NULL, 'metres': CAST(n || '.25' AS DOUBLE)},
+ {'metric_kind': NULL, 'seam_name': 'Seam ' || seam, 'borehole_id': NULL, 'depth': NULL, 'thickness': NULL, 'original_value': NULL, 'metres': NULL}, {'metric_kind': NULL, 'seam_name': 'Seam ' || seam, 'borehole_id': NULL, 'depth': NULL, 'thickness': NULL, 'original_value': NULL, 'metres': NULL},
+ {'metric_kind': 'minimum_workable_seam_thickness', 'seam_name': NULL, 'borehole_id': NULL, 'depth': NULL, 'thickness': '0.90', 'original_value': NULL, 'metres': CAST('0.90' AS DOUBLE)}, {'metric_kind': 'resource_quantity', 'seam_name': 'Seam ' || seam, 'borehole_id': NULL, 'depth': NULL, 'thickness': NULL, 'original_value': n || '.75', 'metres': NULL},
+ {'metric_kind': 'formation', 'seam_name': NULL, 'borehole_id': NULL, 'depth': NULL, 'thickness': NULL, 'original_value': NULL, 'metres': NULL}], recursive := true) FROM {v_core_page} p)""")
+def strata_facts(t: Tables) -> DataFrame:
+    """Six facts a page: a borehole's depth and thickness with its seam, the seam twice, the workable thickness, a resource, a formation."""
+    rows = S.scored(S.drafts(t.core_page))
+    return rows.select("document_id", "metric_kind", "seam_name", "borehole_id", "depth", "thickness", "original_value", F.col("thickness_normalized_m").alias("metres"))
+
+
 # Retrieval ------------------------------------------------------------------------------------------------------
 
 ASKED = "(VALUES (1, 'How much coal did Block produce in FY2024?'), (2, 'What was the production of SCCL in 2023-24'), (3, 'Which grade was met?'))"
