@@ -197,7 +197,8 @@ def drafts(pages: DataFrame) -> DataFrame:
     def rock(w: Column) -> Column:
         """The rock that a label names, else the first that stands in the text."""
         low = F.lower(w)
-        first = F.array_sort(F.filter(F.transform(F.array(*map(F.lit, ROCKS)), lambda r: F.struct(F.regexp_instr(low, F.concat(F.lit("(?<![a-z])"), r, F.lit("(?![a-z])"))).alias("at"), r.alias("rock"))), lambda x: x["at"] > 0))
+        places = F.array(*(F.struct(F.regexp_instr(low, F.lit(rf"(?<![a-z]){r}(?![a-z])")).alias("at"), F.lit(r).alias("rock")) for r in ROCKS))
+        first = F.array_sort(F.filter(places, lambda x: x["at"] > 0))
         labelled = F.lower(found(w, rf"(?i)\blithology\s*[:=\-]\s*({'|'.join(sorted(ROCKS, key=len, reverse=True))})\b"))
         return F.initcap(F.coalesce(labelled, F.get(first, 0)["rock"]))
 

@@ -77,10 +77,10 @@ SELECT 'p' || CAST(p AS VARCHAR(20)) || '/' || CAST(s AS VARCHAR(20)) || '/' ||
 FROM (SELECT l_partkey AS p, l_suppkey AS s, year(l_shipdate) AS y, sum(l_quantity) AS q FROM {lineitem} GROUP BY l_partkey, l_suppkey, year(l_shipdate)) b"""
 
 VIEWS["v_core_page"] = """
-SELECT 'k' || CAST(p AS VARCHAR(20)) || '/' || CAST(s AS VARCHAR(20)) AS document_id, 1 AS page_number, 'BH-' || CAST(p AS VARCHAR(20)) AS borehole, 'R' || CAST(s % 9 + 1 AS VARCHAR(20)) AS seam, CAST(n AS VARCHAR(20)) AS n,
-       'Borehole No. BH-' || CAST(p AS VARCHAR(20)) || ' was drilled to a depth of ' || CAST(n AS VARCHAR(20)) || '.5 m. Seam R' || CAST(s % 9 + 1 AS VARCHAR(20)) || ' was met; thickness ' || CAST(n AS VARCHAR(20)) || '.25 m. The hole was closed soon after. The minimum workable thickness considered is 0.90 m. Total coal resources of Seam R'
+SELECT 'k' || CAST(s AS VARCHAR(20)) || '/' || r AS document_id, 1 AS page_number, 'BH-' || CAST(s AS VARCHAR(20)) AS borehole, 'R' || CAST(s % 9 + 1 AS VARCHAR(20)) AS seam, CAST(n AS VARCHAR(20)) AS n,
+       'Borehole No. BH-' || CAST(s AS VARCHAR(20)) || ' was drilled to a depth of ' || CAST(n AS VARCHAR(20)) || '.5 m. Seam R' || CAST(s % 9 + 1 AS VARCHAR(20)) || ' was met; thickness ' || CAST(n AS VARCHAR(20)) || '.25 m. The hole was closed soon after. The minimum workable thickness considered is 0.90 m. Total coal resources of Seam R'
        || CAST(s % 9 + 1 AS VARCHAR(20)) || ' are ' || CAST(n AS VARCHAR(20)) || '.75 MT. The Barakar Formation follows.' AS text
-FROM (SELECT l_partkey AS p, l_suppkey AS s, CAST(sum(l_quantity) AS INT) AS n FROM {lineitem} GROUP BY l_partkey, l_suppkey) b"""
+FROM (SELECT l_suppkey AS s, l_returnflag AS r, CAST(sum(l_quantity) AS INT) AS n FROM {lineitem} GROUP BY l_suppkey, l_returnflag) b"""
 
 
 def expanded(sql: str) -> str:
