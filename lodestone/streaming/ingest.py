@@ -1,4 +1,4 @@
-"""Incremental ingest: new page files become chunks, replacing what their documents had before."""
+"""Incremental ingest: new page files become documents with a domain, chunks, production facts and geological facts, replacing what their documents had before."""
 
 from __future__ import annotations
 
@@ -6,24 +6,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lodestone.operators.corpus import chunks
+from lodestone.functions.cues import DOMAIN_CUES
+from lodestone.operators import corpus as C
+from lodestone.operators import extract as T
+from lodestone.operators import strata as S
+from lodestone.operators.evidence import gated
 
 PAGES = "document_id string, text string, version int"
+PARTS = ("documents", "chunks", "production", "geology")
+GEOLOGY = "geological_exploration"
+
+
+def parts_of(pages: DataFrame) -> dict[str, DataFrame]:
+    """What a set of documents (document_id, text, version) gives: a row for each with its domain (TXT-6), chunks (TXT-1), production drafts with their
+    scores (TXT-10, TXT-11), and geological rows of documents of that domain, or with its score (TXT-12, TXT-15, TXT-16)."""
+    versions = pages.select("document_id", "version")
+    texts = pages.select("document_id", F.lit(1).alias("page_number"), "text")
+    domains = C.classify(pages, DOMAIN_CUES, 2.5, 3.0)
+    scores = C.cue_counts(pages, {GEOLOGY: DOMAIN_CUES[GEOLOGY]}).select("document_id", F.col(GEOLOGY).alias("score")).join(domains.select("document_id", "domain"), "document_id")
+    found = {
+        "documents": domains,
+        "chunks": C.chunks(pages),
+        "production": T.scored_drafts(T.production_drafts(texts)).drop("text"),
+        "geology": S.scored(S.drafts(gated(texts, scores, GEOLOGY))),
+    }
+    return {name: df.join(versions, "document_id") for name, df in found.items()}
 
 
 def apply_batch(batch: DataFrame, batch_id: int, path: str) -> None:
-    """Adds one micro-batch (STR-1): its chunks go to a folder of the batch's number. A batch that comes again overwrites
-    its own folder, so that it counts once."""
-    newest = batch.groupBy("document_id").agg(F.max_by("text", F.struct("version", "text")).alias("text"), F.max("version").alias("version"))
-    out = chunks(newest).join(newest.select("document_id", "version"), "document_id")
-    out.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    """Adds one micro-batch (STR-1): its parts go to folders of the batch's number. A batch that comes again overwrites
+    its own folders, so that it counts once; documents are written last, so that a batch without them doesn't count yet."""
+    newest = batch.groupBy("document_id").agg(F.max_by("text", F.struct("version", "text")).alias("text"), F.max("version").alias("version")).persist()
+    try:
+        parts = parts_of(newest)
+        for name in sorted(parts, key=lambda n: n == "documents"):
+            parts[name].withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+    finally:
+        newest.unpersist()
 
 
-def current(spark: SparkSession, path: str) -> DataFrame:
-    """The chunks of each document's newest version, the later batch for equal ones."""
-    rows = spark.read.parquet(path)
+def current(spark: SparkSession, path: str, part: str = "chunks") -> DataFrame:
+    """A part's rows of each document's newest version, the later batch for equal ones. A document that now has no rows of the part has none."""
+    rows = spark.read.option("basePath", f"{path}/documents").parquet(f"{path}/documents")
     last = rows.groupBy("document_id").agg(F.max(F.struct("version", "batch")).alias("last")).select("document_id", "last.version", "last.batch")
-    return rows.join(last, ["document_id", "version", "batch"], "left_semi")
+    return spark.read.parquet(f"{path}/{part}").join(last, ["document_id", "version", "batch"], "left_semi")
+
+
+def compacted(spark: SparkSession, path: str, to: str) -> None:
+    """Writes what counts of every part to a new store as its batch -1, where later batches are added: the old one may go once readers have moved."""
+    for part in sorted(PARTS, key=lambda n: n == "documents"):
+        current(spark, path, part).withColumn("batch", F.lit(-1)).write.mode("overwrite").parquet(f"{to}/{part}/batch=-1")
 
 
 def ingest(spark: SparkSession, source: str, path: str, checkpoint: str) -> StreamingQuery:

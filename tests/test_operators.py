@@ -170,12 +170,55 @@ def test_store(spark, tmp_path):
 
 
 def test_ingest(spark, tmp_path):
-    source, path, marks = (str(tmp_path / n) for n in ("pages", "chunks", "marks"))
-    spark.createDataFrame([("d1", "One. Two.", 1), ("d2", "Other.", 1)], ingest.PAGES).write.parquet(source)
+    source, path, marks = (str(tmp_path / n) for n in ("pages", "store", "marks"))
+    told = "Mine B produced 3.9 MT during FY2024. Target of 5 MT."
+    log = "Borehole No. BH-7 was drilled to a depth of 80 m through sandstone and shale. Coal seam: Seam IV thickness 2.5 m."
+    spark.createDataFrame([("d1", "One. Two. " + told, 1), ("d2", "Other.", 1), ("d3", log, 1)], ingest.PAGES).write.parquet(source)
     ingest.ingest(spark, source, path, marks).awaitTermination()
+    assert {(r.document_id, r.field) for r in ingest.current(spark, path, "production").collect()} == {("d1", "production"), ("d1", "production_target")}
+    assert {(r.document_id, r.domain) for r in ingest.current(spark, path, "documents").collect()} == {("d1", "mining_production"), ("d2", "other"), ("d3", "geological_exploration")}
+    depths = ingest.current(spark, path, "geology").where("depth is not null").collect()
+    assert [(r.document_id, r.borehole_id, r.depth) for r in depths] == [("d3", "BH-7", "80")]
     spark.createDataFrame([("d1", "Three.", 2)], ingest.PAGES).write.mode("append").parquet(source)
     ingest.ingest(spark, source, path, marks).awaitTermination()
-    assert {(r.document_id, r.content) for r in ingest.current(spark, path).collect()} == {("d1", "Three."), ("d2", "Other.")}
+    for at in (path, str(tmp_path / "less")):
+        chunks = ingest.current(spark, at).where("document_id <> 'd3'").collect()
+        assert {(r.document_id, r.content) for r in chunks} == {("d1", "Three."), ("d2", "Other.")}
+        assert ingest.current(spark, at, "production").count() == 0  # the new version tells of none
+        ingest.compacted(spark, path, str(tmp_path / "less"))
+
+
+def test_circles_of_versions_end(spark):
+    rows = [("a", None), ("b", "a"), ("c", "b"), ("x", "z"), ("y", "x"), ("z", "y"), ("t", "x"), ("m", "gone")]
+    docs = spark.createDataFrame(rows, "document_id string, replaces string")
+    from lodestone.sources.cut import ensure_checkpoints
+
+    ensure_checkpoints(spark)
+    got = {r.document_id: r.root for r in W.version_roots(docs).collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "m": "gone", "x": None, "y": None, "z": None, "t": None}
+
+
+def test_secrets_at_any_depth(spark):
+    from lodestone.functions import normalize as N
+
+    given = ['{"a":1,"Token":"x","b":{"password_hash":"y","c":[{"secret":1}],"d":{"API_KEY":{"e":1}}}}', "{}", "no json", None]
+    got = [r.d for r in spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, t string").orderBy("i").select(N.sanitize_json(F.col("t")).alias("d")).collect()]
+    assert got == ['{"a":1,"b":{"c":[{"secret":1}],"d":{}}}', None, None, None]
+
+
+def test_boosts(spark):
+    """Question and text against the rules of RET-4, term by term."""
+    cases = [
+        ("How much coal did Alpha produce in FY2024?", "Alpha coal output", 0.35 * 2 / 4 + 0.28),
+        ("How much coal did Alpha produce in FY2024?", "coal of others", 0.35 * 1 / 4 - 0.45),
+        ("lignite production of nlcil", "nlc india nlcil lignite production performance: Lignite: target 5", min(0.75, 0.35 * 3 / 4 + 0.24 + 0.28 + 0.18 + 0.12)),
+        ("production of sccl", "reconstructed from source table of neyveli production", -0.45 + 0.35 * 1 / 3 - 0.25 - 0.22),
+        ("production of sccl", "nothing at all", -0.05),
+        ("the of", "anything", 0.0),
+    ]
+    rows = spark.createDataFrame([(q, t) for q, t, _ in cases], "q string, t string")
+    for r, (q, t, want) in zip(rows.select(R.keyword_boost(F.col("q"), F.col("t")).alias("b")).collect(), cases, strict=True):
+        assert r.b == pytest.approx(max(-0.55, want)), (q, t)
 
 
 def test_index_facts(spark):
