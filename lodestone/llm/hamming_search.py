@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.shared import table
 
-BITS, SUB, ROWS, QUERIES = 64, 8, 1 << 14, 1 << 12
+BITS, SUB, ROWS, QUERIES = 128, 8, 1 << 14, 1 << 12
 _ONES = np.array([bin(x).count("1") for x in range(256)], np.uint8)
 _APART = _ONES[np.arange(256)[:, None] ^ np.arange(256)]
 
@@ -111,7 +111,7 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return flat.astype(np.float64).reshape(-1, dim)
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = 20, sample: int = 4_096, recall: float = 0.97) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, k: int = 20, sample: int = 4_096, recall: float = 0.95) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found of every query among the rows with another vec_id.
     Both inputs have vec_id and embedding. The coder is fitted on ``sample`` rows with the smallest hashes of vec_id."""
     spark = rows.sparkSession

@@ -284,11 +284,11 @@ def test_search(spark):
 
 def test_radius_finds_every_code():
     rng = np.random.default_rng(2)
-    codes = rng.integers(0, 256, (400, 8), dtype=np.uint8)
+    codes = rng.integers(0, 256, (400, hamming_search.BITS // 8), dtype=np.uint8)
     codes[1:9] = codes[0]
     codes[1:9, 0] ^= np.uint8(1) << np.arange(8, dtype=np.uint8)
     near, index = hamming_search.distances(codes[:50], codes), hamming_search.Index(codes)
-    for radius in (0, 1, 3, 17, 25, 30, 64):
+    for radius in (0, 1, 3, 17, 25, 30, 64, hamming_search.BITS):
         assert sum(t + 1 for t in hamming_search.limits(radius)) == radius + 1
         for q in range(50):
             found = set(index.found(codes[q], radius).tolist())
