@@ -60,7 +60,7 @@ def embedding_terms(text: Column, dimensions: int = DIMENSIONS) -> Column:
 
 def embeddings(rows: DataFrame, id_: str = "chunk_id", text: str = "content") -> DataFrame:
     """Sparse unit vectors in long form (TXT-5): id, idx, weight."""
-    terms = rows.select(id_, F.explode(embedding_terms(F.col(text))).alias("t")).groupBy(id_, "t.idx").agg(F.sum("t.weight").alias("weight")).where("weight <> 0")
+    terms = rows.select(id_, F.explode(embedding_terms(F.col(text))).alias("t")).groupBy(id_, "t.idx").agg(F.sum("t.weight").alias("weight")).where("round(weight, 9) <> 0")
     norm = terms.groupBy(id_).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     return terms.join(norm, id_).select(id_, "idx", (F.col("weight") / F.col("norm")).alias("weight"))
 

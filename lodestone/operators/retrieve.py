@@ -70,7 +70,7 @@ def exact_top_k(queries: DataFrame, rows: DataFrame, k: int = 10, least: float =
 def sparse_top_k(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
     """The same for sparse unit vectors in long form (id, idx, weight): an inverted index joins on idx and products add up (RET-2)."""
     q = queries.select(F.col("id").alias("query_id"), "idx", F.col("weight").alias("q"))
-    scored = q.join(rows.select("id", "idx", "weight"), "idx").groupBy("query_id", "id").agg(F.round(F.sum(F.col("q") * F.col("weight")), 9).alias("score"))
+    scored = q.join(rows.select("id", "idx", "weight"), "idx").groupBy("query_id", "id").agg(F.round(F.sum(F.col("q") * F.col("weight")), 6).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

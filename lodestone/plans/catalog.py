@@ -101,7 +101,7 @@ gx AS MATERIALIZED (SELECT v.*, CASE metric_kind WHEN 'workable_thickness' THEN
 # Facts ---------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT id, entity, field, period, CASE WHEN unit IS NULL THEN 'unknown' ELSE 'tonnes' END AS canonical, review, CAST(base_value AS DOUBLE) AS base_value FROM fx")
+@query("SELECT id, entity, field, period, CASE WHEN unit IS NULL THEN 'unknown' ELSE 'tonnes' END AS canonical, review, CAST(base_value AS DOUBLE) AS base_value FROM fx", whole=True)
 def normalized_facts(t: Tables) -> DataFrame:
     return X.normalized(t.fact).select("id", "entity", "field", "period", F.col("unit_norm.canonical").alias("canonical"), F.col("unit_norm.review").alias("review"), "base_value")
 
@@ -111,7 +111,7 @@ def latest_verified_facts(t: Tables) -> DataFrame:
     return X.with_document(X.of_latest(X.verified(t.fact), t.document), t.document).select("id", "document_id", "document_name", "document_version", "page_number")
 
 
-@query("SELECT chunk_id, entity_name, metric, reporting_month, period, measure, value, confidence, page FROM ix")
+@query("SELECT chunk_id, entity_name, metric, reporting_month, period, measure, value, confidence, page FROM ix", whole=True)
 def index_facts_from_chunks(t: Tables) -> DataFrame:
     return t.index_facts.select("chunk_id", "entity_name", "metric", "reporting_month", "period", "measure", "value", "confidence", "page")
 
@@ -121,7 +121,7 @@ def index_fact_filter(t: Tables) -> DataFrame:
     return X.filter_index_facts(t.index_facts, "mine-7", "coal", None, "March", "actual").select("chunk_id", "entity_name", "period", "value")
 
 
-@query("SELECT fact_id, entity_name, commodity, metric, measure, storage_metric, period, value, source FROM cx")
+@query("SELECT fact_id, entity_name, commodity, metric, measure, storage_metric, period, value, source FROM cx", whole=True)
 def classified_facts(t: Tables) -> DataFrame:
     return t.classified.select("fact_id", "entity_name", "commodity", "metric", "measure", "storage_metric", "period", "value", "source")
 
@@ -151,28 +151,28 @@ def compare_entities(t: Tables) -> DataFrame:
 
 
 @query("""SELECT coalesce(p.entity, q.entity) AS entity, coalesce(p.period, q.period) AS period, p.numeric_value AS trend_value, q.actual, q.target, q.achievement
-FROM (SELECT * FROM px WHERE field = 'production') p FULL JOIN (SELECT a.entity, a.period, a.numeric_value AS actual, b.numeric_value AS target, round(a.numeric_value / nullif(b.numeric_value, 0) * 100, 2) AS achievement FROM px a JOIN px b ON a.entity = b.entity AND a.period = b.period WHERE a.field = 'production' AND b.field = 'production_target') q ON p.entity = q.entity AND p.period = q.period""")
+FROM (SELECT * FROM px WHERE field = 'production') p FULL JOIN (SELECT a.entity, a.period, a.numeric_value AS actual, b.numeric_value AS target, round(a.numeric_value / nullif(b.numeric_value, 0) * 100, 2) AS achievement FROM px a JOIN px b ON a.entity = b.entity AND a.period = b.period WHERE a.field = 'production' AND b.field = 'production_target') q ON p.entity = q.entity AND p.period = q.period""", whole=True)
 def period_table(t: Tables) -> DataFrame:
     return A.period_table(t.usable)
 
 
-@query("SELECT count(*) AS verified_facts, count(DISTINCT entity) AS entities, count(DISTINCT field) AS metrics, round(avg(confidence_score), 3) AS mean_confidence FROM ver")
+@query("SELECT count(*) AS verified_facts, count(DISTINCT entity) AS entities, count(DISTINCT field) AS metrics, round(avg(confidence_score), 3) AS mean_confidence FROM ver", whole=True)
 def overview(t: Tables) -> DataFrame:
     return A.overview(t.fact)
 
 
-@query("SELECT entity, CAST(sum(base_value) AS DOUBLE) AS total, count(*) AS fact_count FROM ver WHERE field = 'production' GROUP BY entity ORDER BY total DESC, entity LIMIT 8")
+@query("SELECT entity, CAST(sum(base_value) AS DOUBLE) AS total, count(*) AS fact_count FROM ver WHERE field = 'production' GROUP BY entity ORDER BY total DESC, entity LIMIT 8", whole=True)
 def top_entities(t: Tables) -> DataFrame:
     return A.top_entities(t.fact)
 
 
-@query("SELECT storage_metric, unit, sum(value) AS total, count(*) AS n FROM cx WHERE storage_metric IN ('production', 'coal', 'overburden', 'dispatch', 'lignite') GROUP BY storage_metric, unit")
+@query("SELECT storage_metric, unit, sum(value) AS total, count(*) AS n FROM cx WHERE storage_metric IN ('production', 'coal', 'overburden', 'dispatch', 'lignite') GROUP BY storage_metric, unit", whole=True)
 def production_by_commodity(t: Tables) -> DataFrame:
     return A.by_commodity(t.classified)
 
 
 @query("""SELECT bucket, count(id) AS n FROM (VALUES ('0.9-1.0'), ('0.8-0.9'), ('0.7-0.8'), ('below 0.7')) b(bucket)
-LEFT JOIN (SELECT id, CASE WHEN confidence_score >= 0.9 THEN '0.9-1.0' WHEN confidence_score >= 0.8 THEN '0.8-0.9' WHEN confidence_score >= 0.7 THEN '0.7-0.8' ELSE 'below 0.7' END AS bucket FROM ver) v USING (bucket) GROUP BY bucket""")
+LEFT JOIN (SELECT id, CASE WHEN confidence_score >= 0.9 THEN '0.9-1.0' WHEN confidence_score >= 0.8 THEN '0.8-0.9' WHEN confidence_score >= 0.7 THEN '0.7-0.8' ELSE 'below 0.7' END AS bucket FROM ver) v USING (bucket) GROUP BY bucket""", whole=True)
 def confidence_histogram(t: Tables) -> DataFrame:
     return A.confidence_histogram(t.fact)
 
@@ -182,12 +182,12 @@ def monthly_uploads(t: Tables) -> DataFrame:
     return A.monthly_uploads(t.upload)
 
 
-@query("SELECT DISTINCT axis, value FROM (SELECT unnest(['entity_name', 'commodity', 'metric', 'measure', 'period', 'reporting_month']) AS axis, unnest([entity_name, commodity, metric, measure, period, reporting_month]) AS value FROM cx) WHERE value IS NOT NULL")
+@query("SELECT DISTINCT axis, value FROM (SELECT unnest(['entity_name', 'commodity', 'metric', 'measure', 'period', 'reporting_month']) AS axis, unnest([entity_name, commodity, metric, measure, period, reporting_month]) AS value FROM cx) WHERE value IS NOT NULL", whole=True)
 def dimensions(t: Tables) -> DataFrame:
     return A.dimensions(t.classified)
 
 
-@query("SELECT entity_name, CAST(sum(CASE WHEN storage_metric IN ('production', 'coal', 'overburden', 'dispatch', 'lignite') THEN 3 ELSE 1 END) AS BIGINT) AS score FROM cx GROUP BY entity_name")
+@query("SELECT entity_name, CAST(sum(CASE WHEN storage_metric IN ('production', 'coal', 'overburden', 'dispatch', 'lignite') THEN 3 ELSE 1 END) AS BIGINT) AS score FROM cx GROUP BY entity_name", whole=True)
 def entity_scores(t: Tables) -> DataFrame:
     return A.entity_scores(t.classified)
 
@@ -272,7 +272,7 @@ state AS MATERIALIZED (SELECT fingerprint, CASE WHEN NOT known OR (seen AND old
 """
 
 
-@query(REPS + STORED + "SELECT * FROM state")
+@query(REPS + STORED + "SELECT * FROM state", whole=True)
 def conflict_state_merge(t: Tables) -> DataFrame:
     found = _found(t)
     return V.merge_state(_stored(found), found)
@@ -325,7 +325,7 @@ def achievement_discrepancies(t: Tables) -> DataFrame:
     return V.achievement_discrepancies(rows.unionByName(told, True)).select("document_id", "entity", "period", "production", "target", "reported", "calculated", "fingerprint")
 
 
-@query("""SELECT document_id, entity, period, 'achievement_percentage' AS field, round(p / t * 100, 2) AS numeric_value, true AS is_calculated FROM (SELECT document_id, entity, period, max(base_value) FILTER (field = 'production') AS p, max(base_value) FILTER (field = 'production_target') AS t FROM fx WHERE status <> 'rejected' GROUP BY ALL) WHERE t <> 0 AND p IS NOT NULL""")
+@query("""SELECT document_id, entity, period, 'achievement_percentage' AS field, round(p / t * 100, 2) AS numeric_value, true AS is_calculated FROM (SELECT document_id, entity, period, max(base_value) FILTER (field = 'production') AS p, max(base_value) FILTER (field = 'production_target') AS t FROM fx WHERE status <> 'rejected' GROUP BY ALL) WHERE t <> 0 AND p IS NOT NULL""", whole=True)
 def calculated_achievements(t: Tables) -> DataFrame:
     return V.calculated_achievements(t.fact)
 
@@ -468,14 +468,23 @@ def topic_counts(t: Tables) -> DataFrame:
     return C.topic_counts(C.topics(t.page.select("document_id", F.col("document_id").alias("chunk_id"), F.col("text").alias("content")), TOPICS)).select("topic", "documents", "chunks")
 
 
-@query("SELECT id, entity_name, CAST(value AS DOUBLE) AS value, period, field FROM fx")
+@query("SELECT id, entity_name, CAST(value AS DOUBLE) AS value, period, field FROM fx", whole=True)
 def facts_from_sentences(t: Tables) -> DataFrame:
     return C.parse_sentences(C.fact_sentences(t.fact)).select("id", "entity_name", "value", "period", "field")
 
 
-@query()
+#: wx: the unit vectors of the facts' sentences, from the grams and their md5 digests.
+VECTORS = r""", said AS MATERIALIZED (SELECT id, list_transform(regexp_extract_all(lower(entity_name || ' produced ' || value || ' ' || coalesce(unit, 'units') || ' during ' || financial_year || ' (' || field_name || ').'), '[a-z0-9]+'), lambda w: CASE WHEN length(w) > 4 THEN regexp_replace(w, '(ing|ed|es|s)$', '') ELSE w END) AS w FROM vf),
+grams AS (SELECT id, unnest(w) AS g FROM said UNION ALL SELECT id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1])) FROM said UNION ALL SELECT id, unnest(list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3))) FROM (SELECT id, unnest(w) AS x FROM said) UNION ALL SELECT id, unnest(list_transform(range(1, length(x) - 2), lambda i: substr(x, i, 4))) FROM (SELECT id, unnest(w) AS x FROM said)),
+digest AS MATERIALIZED (SELECT g, CAST(('0x' || md5(g))::UHUGEINT % 768 AS INT) AS rest FROM (SELECT DISTINCT g FROM grams)),
+summed AS (SELECT id, rest % 384 AS idx, sum(CASE WHEN rest < 384 THEN 1 + ln(1 + length(g)) ELSE -1 - ln(1 + length(g)) END) AS w FROM grams JOIN digest USING (g) GROUP BY 1, 2 HAVING round(w, 9) <> 0),
+wx AS MATERIALIZED (SELECT id, idx, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM summed)"""
+
+
+@query(VECTORS + " SELECT id, CAST(idx AS INT) AS idx, round(w, 6) AS weight, (SELECT count(*) FROM fx) AS facts FROM wx")
 def hashed_embeddings(t: Tables) -> DataFrame:
-    return C.embeddings(C.fact_sentences(t.fact), "id")
+    count = t.fact.agg(F.count("*").alias("facts"))
+    return C.embeddings(C.fact_sentences(t.fact), "id").withColumn("weight", F.round("weight", 6)).join(F.broadcast(count))  # one row
 
 
 @query("""SELECT document_id, entity_name, CASE field WHEN 'production_target' THEN 'target' ELSE 'during' END AS measure, period, CAST(value AS DOUBLE) AS value FROM fx WHERE field IN ('production', 'production_target')""")
@@ -506,10 +515,12 @@ def vector_top_k_of_hundredth(t: Tables) -> DataFrame:
     return R.exact_top_k(rows.where("id % 100 = 0"), rows, 10, -1.0).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(VECTORS + """, qx AS MATERIALIZED (SELECT * FROM wx WHERE id IN (SELECT id FROM fx WHERE CAST('0x' || left(md5(id), 8) AS BIGINT) % 100 = 0))
+SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM (SELECT q.id AS query_id, v.id AS id, round(sum(q.w * v.w), 6) AS score FROM qx q JOIN wx v ON q.idx = v.idx GROUP BY q.id, v.id) QUALIFY rank <= 10""")
 def sparse_top_k(t: Tables) -> DataFrame:
-    vectors = C.embeddings(C.fact_sentences(t.fact), "id")
-    asked = t.fact.where(F.pmod(F.xxhash64("id"), F.lit(100)) == 0).select("id")  # one fact in a hundred, as for the other searches
+    ensure_checkpoints(t.spark)
+    vectors = C.embeddings(C.fact_sentences(t.fact), "id").checkpoint()  # read as queries and as rows
+    asked = t.fact.where(F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("long") % 100 == 0).select("id")  # one fact in a hundred, as for the other searches
     return R.sparse_top_k(vectors.join(asked, "id", "left_semi"), vectors)
 
 
@@ -541,7 +552,7 @@ def resolved_documents(t: Tables) -> DataFrame:
     return R.resolve_documents(phrases, t.upload).withColumn("phrase", F.lower("phrase"))
 
 
-@query("SELECT v.id, CASE WHEN c.document_id IS NOT NULL THEN 'CONFLICT' WHEN v.status IN ('high_confidence', 'approved', 'corrected') THEN 'VERIFIED' ELSE 'EVIDENCE' END AS tag FROM fx v LEFT JOIN (SELECT DISTINCT document_id FROM fx WHERE unit IS NULL) c ON v.document_id = c.document_id")
+@query("SELECT v.id, CASE WHEN c.document_id IS NOT NULL THEN 'CONFLICT' WHEN v.status IN ('high_confidence', 'approved', 'corrected') THEN 'VERIFIED' ELSE 'EVIDENCE' END AS tag FROM fx v LEFT JOIN (SELECT DISTINCT document_id FROM fx WHERE unit IS NULL) c ON v.document_id = c.document_id", whole=True)
 def tagged_evidence(t: Tables) -> DataFrame:
     conflicts = t.fact.where("unit is null").select("document_id", F.lit(None).cast("int").alias("page"), N.fingerprint(F.col("id")).alias("fingerprint"))
     return R.tagged(t.fact.withColumnRenamed("page_number", "page"), conflicts).select("id", "tag")
@@ -550,7 +561,7 @@ def tagged_evidence(t: Tables) -> DataFrame:
 # Stewardship ---------------------------------------------------------------------------------------------------
 
 
-@query("SELECT id AS fact_id, 'pending' AS status, CAST(CASE WHEN confidence_score < 0.5 THEN 3 WHEN confidence_score < 0.7 THEN 2 ELSE 1 END AS INT) AS priority FROM fx WHERE status = 'review_required'")
+@query("SELECT id AS fact_id, 'pending' AS status, CAST(CASE WHEN confidence_score < 0.5 THEN 3 WHEN confidence_score < 0.7 THEN 2 ELSE 1 END AS INT) AS priority FROM fx WHERE status = 'review_required'", whole=True)
 def review_queue(t: Tables) -> DataFrame:
     return W.queue(t.fact)
 
@@ -565,12 +576,12 @@ def _actions(t: Tables) -> DataFrame:
     return t.fact.select(F.col("id").alias("fact_id"), "entity_name").join(first, "entity_name")
 
 
-@query(ACTS + " SELECT f.id, CASE WHEN f.status = 'review_required' AND action = 'approve' THEN 'approved' WHEN f.status = 'review_required' AND action = 'reject' THEN 'rejected' WHEN f.status = 'review_required' AND action = 'correct' THEN 'corrected' ELSE f.status END AS status, CASE WHEN f.status = 'review_required' AND action = 'correct' THEN corrected_value ELSE numeric_value END AS numeric_value, numeric_value AS original_value, CAST(CASE WHEN f.status = 'review_required' AND action = 'correct' THEN 2 ELSE 1 END AS INT) AS fact_version FROM fx f LEFT JOIN acts a ON f.id = a.id")
+@query(ACTS + " SELECT f.id, CASE WHEN f.status = 'review_required' AND action = 'approve' THEN 'approved' WHEN f.status = 'review_required' AND action = 'reject' THEN 'rejected' WHEN f.status = 'review_required' AND action = 'correct' THEN 'corrected' ELSE f.status END AS status, CASE WHEN f.status = 'review_required' AND action = 'correct' THEN corrected_value ELSE numeric_value END AS numeric_value, numeric_value AS original_value, CAST(CASE WHEN f.status = 'review_required' AND action = 'correct' THEN 2 ELSE 1 END AS INT) AS fact_version FROM fx f LEFT JOIN acts a ON f.id = a.id", whole=True)
 def reviewed_facts(t: Tables) -> DataFrame:
     return W.apply_actions(t.fact, _actions(t))
 
 
-@query(ACTS + " SELECT f.id, numeric_value AS original_value, corrected_value, reviewer, acted_at FROM fx f JOIN acts a ON f.id = a.id WHERE f.status = 'review_required' AND action = 'correct'")
+@query(ACTS + " SELECT f.id, numeric_value AS original_value, corrected_value, reviewer, acted_at FROM fx f JOIN acts a ON f.id = a.id WHERE f.status = 'review_required' AND action = 'correct'", whole=True)
 def correction_history(t: Tables) -> DataFrame:
     return W.history(t.fact, _actions(t))
 
@@ -595,7 +606,7 @@ def version_roots(t: Tables) -> DataFrame:
     return W.version_roots(W.version_numbers(t.upload))
 
 
-@query("SELECT document_id, count(*) AS facts, list_sort(list(page_number || '|' || id))[1] AS first_fact FROM fx GROUP BY document_id")
+@query("SELECT document_id, count(*) AS facts, list_sort(list(page_number || '|' || id))[1] AS first_fact FROM fx GROUP BY document_id", whole=True)
 def document_details(t: Tables) -> DataFrame:
     found = V.cross_document(t.fact, t.document).select(F.col("a_id").alias("fact_id"), "fingerprint", F.lit("review_required").alias("status"))
     rows = W.detail(t.document, t.fact, found)
@@ -605,12 +616,12 @@ def document_details(t: Tables) -> DataFrame:
 # Evidence and reports -------------------------------------------------------------------------------------------
 
 
-@query("SELECT document_id, count(*) AS facts, count(*) FILTER (status = 'high_confidence') AS high, count(*) FILTER (status = 'review_required') AS review, round(avg(confidence_score), 3) AS confidence FROM fx GROUP BY document_id")
+@query("SELECT document_id, count(*) AS facts, count(*) FILTER (status = 'high_confidence') AS high, count(*) FILTER (status = 'review_required') AS review, round(avg(confidence_score), 3) AS confidence FROM fx GROUP BY document_id", whole=True)
 def extraction_stats(t: Tables) -> DataFrame:
     return D.job_stats(t.fact)
 
 
-@query("SELECT f.id, d.filename, d.version, CASE WHEN f.status IN ('high_confidence', 'approved', 'corrected') THEN 'Verified.' WHEN f.status = 'rejected' THEN 'Rejected by a reviewer.' ELSE 'Pending human review.' END AS note FROM fx f LEFT JOIN {v_document} d ON f.document_id = d.document_id")
+@query("SELECT f.id, d.filename, d.version, CASE WHEN f.status IN ('high_confidence', 'approved', 'corrected') THEN 'Verified.' WHEN f.status = 'rejected' THEN 'Rejected by a reviewer.' ELSE 'Pending human review.' END AS note FROM fx f LEFT JOIN {v_document} d ON f.document_id = d.document_id", whole=True)
 def fact_details(t: Tables) -> DataFrame:
     return D.fact_detail(t.fact, t.document).select("id", "filename", "version", "note")
 
@@ -649,7 +660,7 @@ def text_evidence(t: Tables) -> DataFrame:
     return D.text_compatible(rows, spec).select("spec_id", "document_id", "score")
 
 
-@query("""SELECT period AS spec_id, CASE WHEN count(DISTINCT lower(coalesce(unit, ''))) > 1 THEN 'unit_mismatch' ELSE 'ok' END AS status, CASE WHEN count(DISTINCT lower(coalesce(unit, ''))) = 1 THEN arg_max(entity, (numeric_value, entity)) END AS higher FROM px WHERE field = 'production' GROUP BY period""")
+@query("""SELECT period AS spec_id, CASE WHEN count(DISTINCT lower(coalesce(unit, ''))) > 1 THEN 'unit_mismatch' ELSE 'ok' END AS status, CASE WHEN count(DISTINCT lower(coalesce(unit, ''))) = 1 THEN arg_max(entity, (numeric_value, entity)) END AS higher FROM px WHERE field = 'production' GROUP BY period""", whole=True)
 def comparison_verdicts(t: Tables) -> DataFrame:
     rows = A.trend(t.usable).where("field = 'production'").select(F.col("period").alias("spec_id"), F.col("entity").alias("label"), F.col("numeric_value").alias("value"), "unit", F.lit(False).alias("conflict"))
     return D.compared(rows).select("spec_id", "status", "higher")
@@ -673,7 +684,7 @@ def formations_in_texts(t: Tables) -> DataFrame:
     return D.formations_in(said.withColumn("text", F.concat(F.lit("Above the "), "text")))
 
 
-@query("SELECT document_id, content_type, count(*) AS n FROM (SELECT document_id, 'structured_fact' AS content_type FROM ix UNION ALL SELECT document_id, 'verified_fact' FROM ver UNION ALL SELECT document_id, 'text' FROM fx) GROUP BY ALL")
+@query("SELECT document_id, content_type, count(*) AS n FROM (SELECT document_id, 'structured_fact' AS content_type FROM ix UNION ALL SELECT document_id, 'verified_fact' FROM ver UNION ALL SELECT document_id, 'text' FROM fx) GROUP BY ALL", whole=True)
 def corpus_index(t: Tables) -> DataFrame:
     text = t.fact.select("document_id", F.col("id").alias("content"))
     rows = D.index_rows(text, t.index.select("document_id", F.col("chunk_id").alias("content")), C.fact_sentences(X.verified(t.fact)).select("document_id", "content"))
@@ -735,7 +746,7 @@ def evidence_without_near_copies(t: Tables) -> DataFrame:
     return R.without_near_copies(hits).select("id")
 
 
-@query("SELECT id, tag FROM (SELECT id, 'structured' AS tag, document_id, page_number AS page, value FROM ver UNION ALL SELECT id, 'text', document_id, page_number, value FROM fx WHERE status = 'review_required') QUALIFY row_number() OVER (PARTITION BY document_id, page, value ORDER BY tag, id) = 1")
+@query("SELECT id, tag FROM (SELECT id, 'structured' AS tag, document_id, page_number AS page, value FROM ver UNION ALL SELECT id, 'text', document_id, page_number, value FROM fx WHERE status = 'review_required') QUALIFY row_number() OVER (PARTITION BY document_id, page, value ORDER BY tag, id) = 1", whole=True)
 def citations(t: Tables) -> DataFrame:
     rows = t.fact.select("id", "status", F.col("document_id").alias("filename"), F.col("page_number").alias("page"), "value")
     a = X.verified(t.fact).select("id", F.col("document_id").alias("filename"), F.col("page_number").alias("page"), "value").withColumn("tag", F.lit("structured"))
@@ -746,7 +757,7 @@ def citations(t: Tables) -> DataFrame:
 # Sources and sinks ---------------------------------------------------------------------------------------------
 
 
-@query("SELECT document_id, sheet_name, 'Mine | Page | Value' AS header, count(*) AS row_count FROM (SELECT document_id, financial_year AS sheet_name FROM fx) GROUP BY ALL")
+@query("SELECT document_id, sheet_name, 'Mine | Page | Value' AS header, count(*) AS row_count FROM (SELECT document_id, financial_year AS sheet_name FROM fx) GROUP BY ALL", whole=True)
 def sheet_pages(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
