@@ -213,6 +213,41 @@ def first_value(*pairs: tuple[Column, Column]) -> Column:
     return F.coalesce(*(F.when(F.length(strip(v)) > 0, F.struct(v.alias("value"), u.alias("unit"), plain_number(v).alias("numeric"))) for v, u in pairs))
 
 
+def workable_value(corrected: Column, corrected_unit: Column, thickness: Column, thickness_unit: Column, low: Column, high: Column, original: Column, original_unit: Column, evidence: Column) -> Column:
+    """The workable thickness that a row gives, as {value, unit, numeric} (FN-28): corrected, else its thickness, else its range, else the original value, else
+    what the evidence says after "workable thickness"."""
+    pattern = r"(?i)workable\s+thickness\D{0,60}?(\d+(?:[.,]\d+)?)\s*(m|cm|mm|ft|metres?|meters?)?\b"
+    span = F.when((F.length(low) > 0) & (F.length(high) > 0), F.concat(low, F.lit("–"), high))
+    return first_value((corrected, F.coalesce(corrected_unit, original_unit)), (thickness, thickness_unit), (span, thickness_unit), (original, original_unit), (found(evidence, pattern), F.coalesce(found(evidence, pattern, 2), F.lit("m"))))
+
+
+def display_value(row: dict[str, Column]) -> Column:
+    """What to show of a geological row, as {value, unit, numeric} (FN-29). ``row`` names its columns: kind, corrected_value, corrected_unit, original_value,
+    original_unit, thickness, thickness_min, thickness_max, thickness_unit, depth, depth_min, depth_max, depth_unit, quality_value, quality_unit, seam, formation,
+    borehole, evidence; missing ones are null. In order: the correction, a quantity, a range of thickness, a thickness, a workable thickness, a range of
+    depth, a depth, the original value, a quality; a listed seam, formation or borehole where the row is of that kind or of none. Numbers are metres and tonnes."""
+    c = lambda name: row.get(name, F.lit(None).cast("string"))
+    show = lambda value, unit, numeric: F.when(F.length(value) > 0, F.struct(value.alias("value"), unit.cast("string").alias("unit"), numeric.cast("double").alias("numeric")))
+    none = F.lit(None)
+    metres = lambda value, unit: to_metres(plain_number(value), unit)
+    span = lambda a, b: F.when((F.length(a) > 0) & (F.length(b) > 0), F.concat(a, F.lit("–"), b))
+    quantity = resource(c("kind"), c("corrected_value"), c("corrected_unit"), c("original_value"), c("original_unit"), c("evidence"))
+    workable = workable_value(c("corrected_value"), c("corrected_unit"), c("thickness"), c("thickness_unit"), c("thickness_min"), c("thickness_max"), c("original_value"), c("original_unit"), c("evidence"))
+    listed = lambda kind: F.when(c("kind").isNull() | (c("kind") == kind), c(kind))
+    return F.coalesce(
+        show(c("corrected_value"), F.coalesce(c("corrected_unit"), c("original_unit")), none),
+        F.when(among(c("kind"), QUANTITIES), show(quantity["value"], quantity["unit"], F.coalesce(plain_number(quantity["value"]), quantity["tonnes"]))),
+        show(span(c("thickness_min"), c("thickness_max")), c("thickness_unit"), metres(c("thickness_min"), c("thickness_unit"))),
+        show(c("thickness"), c("thickness_unit"), metres(c("thickness"), c("thickness_unit"))),
+        F.when(c("kind") == "minimum_workable_seam_thickness", show(workable["value"], workable["unit"], workable["numeric"])),
+        show(span(c("depth_min"), c("depth_max")), c("depth_unit"), metres(c("depth_min"), c("depth_unit"))),
+        show(c("depth"), c("depth_unit"), metres(c("depth"), c("depth_unit"))),
+        show(c("original_value"), c("original_unit"), none),
+        show(c("quality_value"), c("quality_unit"), none),
+        show(listed("seam"), none, none), show(listed("formation"), none, none), show(listed("borehole"), none, none),
+    )
+
+
 def latitude_longitude(text: Column) -> Column:
     """{latitude, longitude} from a labelled pair or one with hemispheres; null if out of range or unlabelled (FN-31)."""
     num = r"([+-]?\d{1,3}(?:\.\d+)?)"

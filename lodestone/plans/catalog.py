@@ -503,10 +503,11 @@ def facts_from_tables(t: Tables) -> DataFrame:
 # Retrieval -----------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT query_id, id, rank, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) DESC, v.vec_id) AS INT) AS rank FROM embeddings q, embeddings v WHERE q.vec_id < 20) WHERE rank <= 10""")
+@query("""SELECT query_id, id, rank, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) DESC, v.vec_id) AS INT) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0) WHERE rank <= 10 AND round(score, 9) >= 0.28""")
 def vector_top_k(t: Tables) -> DataFrame:
+    """The nearest of every hundredth row that reach the floor of a search."""
     rows = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return R.exact_top_k(rows.where("id < 20"), rows, 10, -1.0).withColumn("score", F.round("score", 6))
+    return R.exact_top_k(rows.where("id % 100 = 0"), rows, 10, R.LEAST_SCORE).withColumn("score", F.round("score", 6))
 
 
 @query("""SELECT query_id, id, rank, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) DESC, v.vec_id) AS INT) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0) WHERE rank <= 10""")

@@ -85,3 +85,25 @@ def test_geology(value):
     assert value(G.seam_label(L(None), L("uncorrelated"))) == "Uncorrelated coal seam"
     assert value(G.resource(L("resource_quantity"), L(None), L(None), L("1.67"), L("MT"), L(None)))["tonnes"] == pytest.approx(1_670_000)
     assert value(G.resource(L("seam"), L(None), L(None), L(None), L(None), L("resources of 2.5 MT proved")))["value"] == "2.5"
+
+
+def test_display_values(spark):
+    """One row for each step of the order."""
+    names = ("kind", "corrected_value", "original_value", "original_unit", "thickness", "thickness_min", "thickness_max", "thickness_unit", "depth", "depth_unit", "quality_value", "seam", "borehole", "evidence")
+    cases = [
+        ({"kind": "seam_thickness", "corrected_value": "2.5", "original_unit": "m", "thickness": "3"}, ("2.5", "m", None)),
+        ({"kind": "resource_quantity", "original_value": "14.25", "original_unit": "MT"}, ("14.25", "MT", 14.25)),
+        ({"kind": "resource_quantity", "evidence": "Total resource 3.5 million tonnes"}, ("3.5", "MT", 3.5)),
+        ({"kind": "seam_thickness", "thickness": "1.2–3.5", "thickness_min": "1.2", "thickness_max": "3.5", "thickness_unit": "m"}, ("1.2–3.5", "m", 1.2)),
+        ({"kind": "seam_thickness", "thickness": "120", "thickness_unit": "cm"}, ("120", "cm", 1.2)),
+        ({"kind": "minimum_workable_seam_thickness", "evidence": "minimum workable thickness considered is 0.9 m"}, ("0.9", "m", 0.9)),
+        ({"kind": "borehole_depth", "depth": "80", "depth_unit": "m"}, ("80", "m", 80.0)),
+        ({"kind": "coal_quality", "quality_value": "21.5"}, ("21.5", None, None)),
+        ({"kind": "seam", "seam": "Seam L1", "borehole": "BH-7"}, ("Seam L1", None, None)),
+        ({"kind": None, "borehole": "BH-7"}, ("BH-7", None, None)),
+        ({"kind": "lithology"}, None),
+    ]
+    rows = spark.createDataFrame([(i, *(c.get(n) for n in names)) for i, (c, _) in enumerate(cases)], "i int, " + ", ".join(f"{n} string" for n in names))
+    got = rows.orderBy("i").select(G.display_value({n: F.col(n) for n in names}).alias("d")).collect()
+    for r, (case, want) in zip(got, cases, strict=True):
+        assert (r.d and (r.d.value, r.d.unit, r.d.numeric and round(r.d.numeric, 9))) == want, case
