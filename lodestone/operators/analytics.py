@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import normalize as N
@@ -49,28 +49,39 @@ def actual_vs_target_merged(rows: DataFrame, facts: DataFrame, metrics: tuple[st
     return both.withColumn("achievement", F.round(F.col("actual") / F.nullif(F.col("target"), F.lit(0.0)) * 100, 2))
 
 
+def _sides(facts: DataFrame, actual: str, target: str) -> DataFrame:
+    """entity, period and the best fact of each of two fields (structs a and t, null where there is none), ranked once."""
+    points = best(facts.where(F.col("field").isin(actual, target) & F.col("entity").isNotNull() & F.col("period").isNotNull()), ["entity", "field", "period"])
+    side = lambda name: F.max(F.when(F.col("field") == name, F.struct("numeric_value", "base_value", "unit", "id")))
+    return points.groupBy("entity", "period").agg(side(actual).alias("a"), side(target).alias("t"))
+
+
+def _achievement() -> Column:
+    return F.round(F.col("actual") / F.nullif(F.col("target"), F.lit(0.0)) * 100, 2)
+
+
 def actual_vs_target(facts: DataFrame, actual: str = "production", target: str = "production_target") -> DataFrame:
     """Actual and target of each entity and period that has both, with the achievement in percent (ANA-2, JN-5). Nothing of
     an entity's period is compared unless both sides are free of conflicts."""
-    points = trend(facts)
-    side = lambda name, tag: points.where(F.col("field") == name).select("entity", "period", F.col("numeric_value").alias(tag), F.col("base_value").alias(f"{tag}_base"), F.col("unit").alias(f"{tag}_unit"), F.col("id").alias(f"{tag}_id"))
-    both = side(actual, "actual").join(side(target, "target"), ["entity", "period"]).where("actual_id <> target_id")
-    return both.withColumn("achievement", F.round(F.col("actual") / F.nullif(F.col("target"), F.lit(0.0)) * 100, 2))
+    both = _sides(facts, actual, target).where("a is not null and t is not null and a.id <> t.id")
+    columns = [F.col(f"{side}.{c}").alias(f"{tag}{name}") for side, tag in (("a", "actual"), ("t", "target")) for c, name in (("numeric_value", ""), ("base_value", "_base"), ("unit", "_unit"), ("id", "_id"))]
+    return both.select("entity", "period", *columns).withColumn("achievement", _achievement())
 
 
 def compare_entities(facts: DataFrame, field: str = "production") -> DataFrame:
     """Each entity's fact of its newest period (ANA-3, WIN-3); ``withheld`` where the entities' units differ."""
     rows = facts.where((F.col("field") == field) & F.col("period").isNotNull())
-    bars = best(rows.join(rows.groupBy("entity").agg(F.max("period").alias("period")), ["entity", "period"], "left_semi"), ["entity"])
+    bars = one_per(rows, ["entity"], [F.desc("period"), F.desc("confidence_score"), F.desc("id")])
     units = bars.agg((F.count_distinct(F.lower(F.coalesce("unit", F.lit("")))) > 1).alias("withheld"))
     return bars.join(F.broadcast(units), how="left")  # one row
 
 
 def period_table(facts: DataFrame) -> DataFrame:
     """Every period of an entity's production trend or actual/target pair (ANA-4, JN-6)."""
-    line = trend(facts).where("field = 'production'").select("entity", "period", F.col("numeric_value").alias("trend_value"))
-    pairs = actual_vs_target(facts).select("entity", "period", "actual", "target", "achievement")
-    return line.join(pairs, ["entity", "period"], "full_outer")
+    rows = _sides(facts, "production", "production_target").where("a is not null")
+    paired = F.col("t").isNotNull() & (F.col("a.id") != F.col("t.id"))
+    out = rows.select("entity", "period", F.col("a.numeric_value").alias("trend_value"), F.when(paired, F.col("a.numeric_value")).alias("actual"), F.when(paired, F.col("t.numeric_value")).alias("target"))
+    return out.withColumn("achievement", _achievement())
 
 
 def overview(facts: DataFrame) -> DataFrame:
