@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import normalize as N
-from lodestone.functions.text import among, blank_as_null, found, lookup, strip
+from lodestone.functions.text import among, found, lookup, strip
 from lodestone.operators.facts import one_per
 
 # Words that a question doesn't ask with, names that count by themselves, names of organisations, words of metrics, and what speaks for tables.
@@ -89,10 +89,10 @@ def organisations(text: Column) -> Column:
     return F.array_compact(F.array(*(F.when(F.exists(F.array(*map(F.lit, names)), lambda n: F.contains(text, n)), F.lit(key)) for key, names in ORGANISATIONS.items())))
 
 
-def keyword_boost(query: Column, text: Column) -> Column:
+def keyword_boost(query: Column, text: Column, terms: Column | None = None) -> Column:
     """How much a text's words speak for it (RET-4), from -0.55 to 0.75: the share of the question's terms that it holds; whether it holds any name that is
-    asked for, or none; tables and reports of production, where that is asked; another organisation than the one asked for."""
-    terms, hay = query_terms(query), F.lower(F.coalesce(text, F.lit("")))
+    asked for, or none; tables and reports of production, where that is asked; another organisation than the one asked for. ``terms``: the question's, where they are known already."""
+    terms, hay = query_terms(query) if terms is None else terms, F.lower(F.coalesce(text, F.lit("")))
     holds = lambda t: F.contains(hay, t)
     hits = F.size(F.filter(terms, holds))
     names = F.array(*map(F.lit, NAMES))

@@ -78,7 +78,7 @@ def report_domains(t: Tables) -> DataFrame:
 _TOPIC = " UNION ALL ".join(f"SELECT document_id, '{topic}' AS topic, " + " + ".join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in words) + " AS n, " + " + ".join(f"CASE WHEN contains(lower(text), '{w}') THEN {len(w)} ELSE 0 END" for w in words) + " AS len FROM {v_report_page} p" for topic, words in TOPIC_CUES.items())
 
 
-@query(f"SELECT topic, count(DISTINCT document_id) AS documents, count(*) AS chunks, round(avg(score), 3) AS confidence FROM (SELECT topic, document_id, round(least(1.0, 0.35 + 0.15 * n + 0.05 * len / 40), 6) AS score FROM ({_TOPIC}) WHERE n > 0) WHERE score >= 0.4 GROUP BY topic")
+@query(f"SELECT topic, count(DISTINCT document_id) AS documents, count(*) AS chunks, CAST((2 * sum(m) + 1000 * count(*)) // (2000 * count(*)) AS DOUBLE) / 1000 AS confidence FROM (SELECT topic, document_id, score, CAST(round(score * 1000000) AS BIGINT) AS m FROM (SELECT topic, document_id, round(least(1.0, 0.35 + 0.15 * n + 0.05 * len / 40), 6) AS score FROM ({_TOPIC}) WHERE n > 0)) WHERE score >= 0.4 GROUP BY topic")
 def report_topics(t: Tables) -> DataFrame:
     return C.topic_counts(C.topics(t.report_page.select("document_id", F.col("document_id").alias("chunk_id"), F.col("text").alias("content")), TOPIC_CUES))
 
@@ -125,8 +125,9 @@ BOOSTED = f"""boosted AS MATERIALIZED (SELECT query_id, document_id, text, CASE
 
 @query("WITH " + BOOSTED + " SELECT query_id, document_id, round(CAST(boost AS DOUBLE), 6) AS boost FROM boosted")
 def keyword_boosts(t: Tables) -> DataFrame:
-    rows = t.report_page.select("document_id", "text").crossJoin(F.broadcast(_questions(t)))  # three questions
-    return rows.select("query_id", "document_id", F.round(R.keyword_boost(F.col("query"), F.col("text")), 6).alias("boost"))
+    asked = _questions(t).withColumn("terms", R.query_terms(F.col("query")))
+    rows = t.report_page.select("document_id", "text").crossJoin(F.broadcast(asked))  # three questions
+    return rows.select("query_id", "document_id", F.round(R.keyword_boost(F.col("query"), F.col("text"), F.col("terms")), 6).alias("boost"))
 
 
 @query("WITH " + BOOSTED + """, near AS (SELECT b.*, CAST(form AS DOUBLE) / 10 AS score FROM boosted b JOIN (SELECT document_id, form FROM {v_report_page} p) USING (document_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) <= 100)
