@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bin_packing, bpe_trie, hamming_search, language_kernel, lz_dedup, ngram_join, quality_rules, quality_trees, token_counts, toxicity_cnn
+from lodestone.llm import bin_packing, bpe_trie, exact_dedup, hamming_search, language_kernel, lz_dedup, ngram_join, quality_rules, quality_trees, token_counts, toxicity_cnn
 from lodestone.llm.shared import table
 
 
@@ -88,13 +88,17 @@ def op10_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lz_dedup, op3_hamming_search, op4_toxicity_cnn, op5_language_kernel, op6_quality_trees, op7_quality_rules, op8_ngram_join, op9_bpe_trie, op10_bin_packing, pipeline, token_counts_of_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lz_dedup, op3_hamming_search, op4_toxicity_cnn, op5_language_kernel, op6_quality_trees, op7_quality_rules, op8_ngram_join, op9_bpe_trie, op10_bin_packing, op12_exact_dedup, pipeline, token_counts_of_bpe)}
 
 ORACLE = {
     "op1_token_counts": r"""
@@ -116,4 +120,9 @@ each AS (SELECT w.doc_id, p AS pos, ws[p + 1] AS word FROM w, range(0, len(ws))
 kept AS (SELECT e.doc_id, count(*) AS n, string_agg(e.word, ' ' ORDER BY e.pos) AS text FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.pos = g.pos GROUP BY e.doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op12_exact_dedup": r"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents WHERE doc_id IS NOT NULL)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+  doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
+FROM d""",
 }

@@ -148,15 +148,15 @@ def joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
 MOST_OF_KEY = 1 << 20
 
 
-def lookup(rows: DataFrame, found: DataFrame, on: list[str], by: str, most: int) -> DataFrame:
+def lookup(rows: DataFrame, found: DataFrame, on: list[str], by: str, most: int, how: str = "inner") -> DataFrame:
     """Joins rows, of which up to ``most`` share a key, with ``found``, which has one row for each key. Where that is over MOST_OF_KEY, the rows of a key are
-    dealt over as many tasks as the session has partitions, by the hash of column ``by``, and each of these gets the key's row."""
+    dealt over as many tasks as the session has partitions, by the hash of column ``by``, and each of these gets the key's row. ``how``: inner or left."""
     if most <= MOST_OF_KEY:
-        return rows.join(found, on)
+        return rows.join(found, on, how)
     salt = fresh(rows, "salt")
     dealt = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(partitions(rows.sparkSession))))
     wanted = dealt.select(*on, salt).distinct().join(found, on)  # at most one row for each partition and key
-    return dealt.join(wanted, [*on, salt]).drop(salt)
+    return dealt.join(wanted, [*on, salt], how).drop(salt)
 
 
 def components(edges: DataFrame) -> DataFrame:
