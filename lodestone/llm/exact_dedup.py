@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.shared import lookup, partitions, table
 
 #: Bits of a pseudo-key; bits beyond the first directory that its histogram has; keys of copies that are broadcast at most.
-BITS, FINER, BROADCAST = 63, 6, 1 << 20
+BITS, FINER, BROADCAST = 63, 3, 1 << 20
 
 
 @dataclass

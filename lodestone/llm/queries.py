@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bin_packing, bpe_trie, exact_dedup, hamming_search, language_kernel, lz_dedup, ngram_join, quality_rules, quality_trees, token_counts, toxicity_cnn
+from lodestone.llm import bin_packing, bpe_trie, exact_dedup, hamming_search, language_kernel, lz_dedup, ngram_join, periodic_runs, quality_rules, quality_trees, token_counts, toxicity_cnn
 from lodestone.llm.shared import table
 
 
@@ -92,13 +92,35 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(_read(spark, sf_dir, "documents"))
 
 
+def _repeating(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where a tenth of the documents (by crc32 of doc_id) repeat some of their words from a place on."""
+    h, n = F.crc32(F.col("doc_id").cast("string").cast("binary")), F.size("words")
+    g = F.floor(F.col("h") / 10)
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    chosen = docs.select("doc_id", "text", h.alias("h")).where("h % 10 = 0").withColumn("words", words)
+    placed = chosen.withColumn("a", F.when(n > 0, g % n).otherwise(0)).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + g % 8)))
+    at = F.expr("transform(sequence(0L, size(words) - 1L), i -> get(words, cast(if(i < a, i, a + (i - a) % p) as int)))")
+    changed = placed.select("doc_id", F.when(n > 0, F.array_join(at, " ")).otherwise("").alias("text"))
+    return docs.select("doc_id", "text", h.alias("h")).where("h % 10 <> 0").select("doc_id", "text").unionByName(changed)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.detect(_repeating(_read(spark, sf_dir, "documents")))
+    longest = F.expr("array_min(transform(runs, r -> struct(-r.length as n, r.start as start, r.period as period)))")
+    listed = F.array_join(F.expr("transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n'))"), "")
+    hashed = [F.sha2(F.encode(text, "UTF-8"), 256).alias(name) for name, text in (("runs_sha256", listed), ("collapsed_sha256", F.col("collapsed")))]
+    length = -F.col("top.n")
+    milli = F.expr("(1000 * -top.n) div top.period").alias("exponent_milli")
+    return out.withColumn("top", longest).select("doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", length.alias("length"), "top.period", milli, *hashed)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lz_dedup, op3_hamming_search, op4_toxicity_cnn, op5_language_kernel, op6_quality_trees, op7_quality_rules, op8_ngram_join, op9_bpe_trie, op10_bin_packing, op12_exact_dedup, pipeline, token_counts_of_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lz_dedup, op3_hamming_search, op4_toxicity_cnn, op5_language_kernel, op6_quality_trees, op7_quality_rules, op8_ngram_join, op9_bpe_trie, op10_bin_packing, op12_exact_dedup, op13_periodic_runs, pipeline, token_counts_of_bpe)}
 
 ORACLE = {
     "op1_token_counts": r"""
@@ -125,4 +147,33 @@ WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVW
 SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
   doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
 FROM d""",
+    "op13_periodic_runs": r"""
+WITH crc_table AS (
+  SELECT b AS ix, list_reduce(list_prepend(CAST(b AS BIGINT), range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+  FROM range(0, 256) AS r(b)),
+crcs AS (SELECT list(v ORDER BY ix) AS t FROM crc_table),
+d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents WHERE doc_id IS NOT NULL),
+h AS (
+  SELECT doc_id, ws, CAST(len(ws) AS BIGINT) AS n, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]))) AS h
+  FROM d, crcs),
+p AS (SELECT *, h // 10 AS g, CASE WHEN n > 0 THEN (h // 10) % n END AS a FROM h),
+q AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM p),
+w AS (
+  SELECT doc_id, i, CASE WHEN h % 10 = 0 AND i >= a THEN ws[1 + a + (i - a) % p] ELSE ws[1 + i] END AS word FROM q, range(0, n) AS r(i)),
+grams AS (
+  SELECT doc_id, i, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o, lead(word, 5) OVER o) AS k, lead(word, 5) OVER o AS last_word
+  FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+pairs AS (SELECT x.doc_id, x.i, x.i - y.i AS lag FROM grams x JOIN grams y ON x.doc_id = y.doc_id AND x.k = y.k AND y.i < x.i WHERE x.last_word IS NOT NULL AND y.last_word IS NOT NULL),
+isles AS (
+  SELECT doc_id, lag, min(i) - lag AS start, count(*) + 5 + lag AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, lag ORDER BY i) AS isle FROM pairs) GROUP BY doc_id, lag, isle),
+runs AS (SELECT doc_id, start, length, min(lag) AS period FROM isles WHERE length >= greatest(12, 2 * lag) GROUP BY doc_id, start, length),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs,
+    min(row(-length, start, period)) AS top FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, start + period + j AS i FROM runs, range(0, length - period) AS r(j)),
+kept AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.i) AS text FROM w ANTI JOIN gone g ON w.doc_id = g.doc_id AND w.i = g.i GROUP BY w.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(top[2] AS BIGINT) AS start, CAST(-top[1] AS BIGINT) AS length, CAST(top[3] AS BIGINT) AS period,
+  CAST(1000 * -top[1] // top[3] AS BIGINT) AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)""",
 }
