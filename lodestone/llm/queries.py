@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bin_packing, bpe_trie, exact_dedup, hamming_search, language_kernel, lz_dedup, ngram_join, periodic_runs, quality_rules, quality_trees, token_counts, toxicity_cnn
+from lodestone.llm import bin_packing, bpe_trie, exact_dedup, hamming_search, language_kernel, lexical_search, lz_dedup, ngram_join, periodic_runs, quality_rules, quality_trees, token_counts, toxicity_cnn
 from lodestone.llm.shared import table
 
 
@@ -88,6 +88,10 @@ def op10_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), 20)
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(_read(spark, sf_dir, "documents"))
 
@@ -120,7 +124,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lz_dedup, op3_hamming_search, op4_toxicity_cnn, op5_language_kernel, op6_quality_trees, op7_quality_rules, op8_ngram_join, op9_bpe_trie, op10_bin_packing, op12_exact_dedup, op13_periodic_runs, pipeline, token_counts_of_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lz_dedup, op3_hamming_search, op4_toxicity_cnn, op5_language_kernel, op6_quality_trees, op7_quality_rules, op8_ngram_join, op9_bpe_trie, op10_bin_packing, op11_lexical_search, op12_exact_dedup, op13_periodic_runs, pipeline, token_counts_of_bpe)}
 
 ORACLE = {
     "op1_token_counts": r"""
@@ -142,6 +146,20 @@ each AS (SELECT w.doc_id, p AS pos, ws[p + 1] AS word FROM w, range(0, len(ws))
 kept AS (SELECT e.doc_id, count(*) AS n, string_agg(e.word, ' ' ORDER BY e.pos) AS text FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.pos = g.pos GROUP BY e.doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op11_lexical_search": r"""
+WITH pattern AS (SELECT '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+' AS re, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS upper, 'abcdefghijklmnopqrstuvwxyz' AS low),
+held AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, upper, low), re)) AS term FROM documents, pattern WHERE doc_id IS NOT NULL),
+asked AS (SELECT item_id, unnest(regexp_extract_all(translate(text, upper, low), re)) AS term FROM benchmark, pattern WHERE item_id IS NOT NULL),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM held GROUP BY doc_id, term),
+lens AS (SELECT doc_id, count(*) AS n FROM held GROUP BY doc_id),
+total AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM lens),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term),
+items AS (SELECT item_id, term, count(*) AS times FROM asked GROUP BY item_id, term),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l)))) AS BIGINT) AS score
+  FROM items JOIN weights USING (term) JOIN tf USING (term) JOIN lens USING (doc_id), total GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 20""",
     "op12_exact_dedup": r"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents WHERE doc_id IS NOT NULL)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
