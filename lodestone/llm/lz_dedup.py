@@ -15,8 +15,11 @@ content-defined places: a phrase holds the windows whose smallest hash of ANCHOR
 documents lie in phrases with equal anchors, and meet in one block. Anchors that HOT documents of a bounded sample have (a passage that many documents hold, with other
 words around it in each) would make one block too large: their windows go by their own hash instead. Which anchors these are changes no result.
 
-A window is compared by 104 bits: 64 of its anchor's hash and 40 of its own. Among 1e13 windows the chance that any two that differ agree in them is about 1 in 400,000.
-A document sends its first occurrence of each window; what is found of it holds for its later ones.
+Hashes only propose: 64 bits of a window within a task, 40 bits and those of its anchor between tasks. Words decide (``remove``): each factor is compared, word by word, with its reference, whose
+words travel in chunks of CHUNK. A window that its factor's words don't bear out, or that differs from another of its document with the same hash, is disputed; every window with a disputed hash is
+then grouped by its words over all documents, which settles it. With 64 bits that hardly ever happens; ``bits`` makes it happen in tests.
+
+A document sends its first occurrence of each window; what is found of it holds for its later ones, if their words are the same.
 
 Nulls and edge cases: null and empty texts have no words and lose none; texts shorter than a window lose none; equal
 windows within one document alone are not duplicates; rows with a null doc_id take no part; rows that share a
@@ -34,10 +37,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.shared import Slice, fresh, joined, map_slices, partitions, spread
+from lodestone.llm.shared import Slice, fresh, joined, lookup, map_slices, partitions, spread, table
 from lodestone.llm.textops import Words, in_doc, mix, shingles
 
-ANCHOR, FLUSH, SAMPLE, HOT, PHRASE = 5, 1 << 20, 1 << 12, 8, 48
+ANCHOR, FLUSH, SAMPLE, HOT, PHRASE, CHUNK, DISPUTED = 5, 1 << 20, 1 << 12, 8, 48, 32, 1 << 20
 
 
 def _smallest(g: np.ndarray, n: int) -> np.ndarray:
@@ -51,7 +54,12 @@ def _smallest(g: np.ndarray, n: int) -> np.ndarray:
     return at
 
 
-def windows(part: Slice, size: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+def _keys(words: Words, size: int, bits: int = 64) -> np.ndarray:
+    """Hashes of all windows of ``size`` words, to ``bits`` bits."""
+    return shingles(words.hashes, size) & np.uint64(2**bits - 1)
+
+
+def windows(part: Slice, size: int, hot: np.ndarray | None = None, bits: int = 64) -> tuple[np.ndarray, ...]:
     """Of each window: document (place in the slice), first word (within the document), hash, anchor's hash, and
     the phrase, numbered; a phrase has at most PHRASE windows. Windows with an anchor among ``hot`` (sorted) are phrases and anchors of their own."""
     words = Words(part.buf, part.offsets)
@@ -62,7 +70,7 @@ def windows(part: Slice, size: int, hot: np.ndarray | None = None) -> tuple[np.n
         return (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
     g = shingles(words.hashes, anchor)
     place = _smallest(g, size - anchor + 1)[:n][at]
-    doc, key, of = words.doc()[at], shingles(words.hashes, size)[at], g[place]
+    doc, key, of = words.doc()[at], _keys(words, size, bits)[at], g[place]
     new = np.ones(len(at), bool)
     new[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
     if hot is not None and len(hot):
@@ -157,9 +165,33 @@ def parse(doc: np.ndarray, start: np.ndarray, key: np.ndarray) -> tuple[np.ndarr
     return np.array(out, np.int64).reshape(-1, 5), new
 
 
-def _sent(doc: np.ndarray, start: np.ndarray, key: np.ndarray, anchor: np.ndarray, phrase: np.ndarray, n_buckets: int) -> pa.RecordBatch:
-    """Factors a task's block and packs what it must ask other blocks: the new windows, by phrase; and the factors that it has found."""
+def clashes(part: Slice, doc: np.ndarray, start: np.ndarray, key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and keys of windows whose words differ from those of an earlier one of the document with the same key."""
+    order = np.argsort(key, kind="stable")
+    order = order[np.argsort(doc[order], kind="stable")]
+    again = np.zeros(len(order), bool)
+    again[1:] = (key[order][1:] == key[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+    later = np.flatnonzero(again)
+    if not len(later):
+        return doc[:0], key[:0]
+    head = np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))[later]
+    numbers: dict[bytes, int] = {}
+    base, words = np.zeros(len(part), np.int64), []
+    for d in np.unique(doc[order][later]).tolist():
+        base[d] = len(words)
+        words += [numbers.setdefault(w, len(numbers)) for w in part.text(d).split()]
+    ids, d = np.array(words, np.int64), doc[order][later]
+    a, b = base[d] + start[order][head], base[d] + start[order][later]
+    apart = np.zeros(len(later), bool)
+    for j in range(size):
+        apart |= ids[a + j] != ids[b + j]
+    return d[apart], key[order][later][apart]
+
+
+def _sent(doc: np.ndarray, start: np.ndarray, key: np.ndarray, anchor: np.ndarray, phrase: np.ndarray, clash: np.ndarray, n_buckets: int) -> pa.RecordBatch:
+    """Factors a task's block and packs what it must ask other blocks: the new windows, by phrase; the factors that it has found, and its clashes."""
     spans, new = parse(doc, start, key)
+    spans = np.concatenate([spans, clash])
     names = ["bucket", "anchor", "doc", "start", "mask", "window", "spans"]
     batches = []
     if len(spans):
@@ -218,29 +250,34 @@ def _factor(rows: pa.Table) -> pa.Table:
     return pa.table({"doc_id": spans[:, 0], "start": spans[:, 1].astype(np.int32), "n": spans[:, 2].astype(np.int32), "ref_id": spans[:, 3], "ref_start": spans[:, 4].astype(np.int32)})
 
 
-def factors(docs: DataFrame, size: int = 13) -> DataFrame:
-    """doc_id, start, n, ref_id, ref_start: from word ``start`` on, n consecutive windows (n + size - 1 words) stand in document ref_id, from
-    its word ``ref_start`` on."""
-    if size < 1:
-        raise ValueError("a window has at least one word")
+def _found(docs: DataFrame, size: int, bits: int) -> DataFrame:
+    """Factors by their hashes; rows without windows (n = 0) hold a clashing key as ref_id."""
+    if size < 1 or not 1 <= bits <= 64:
+        raise ValueError("a window has at least one word, and a hash 1 to 64 bits")
     n_buckets = 4 * partitions(docs.sparkSession)
     hot = docs.sparkSession.sparkContext.broadcast(hot_anchors(docs, size))  # anchors of a bounded sample
 
     def make():
         held: list[tuple[np.ndarray, ...]] = []
+        clash: list[np.ndarray] = [np.zeros((0, 5), np.int64)]
 
         def each(part: Slice | None) -> pa.RecordBatch | None:
             if part is not None:
-                doc, start, key, anchor, phrase = windows(part, size, hot.value)
+                doc, start, key, anchor, phrase = windows(part, size, hot.value, bits)
                 if len(doc):
+                    d, k = clashes(part, doc, start, key, size)
+                    zero = np.zeros(len(d), np.int64)
+                    clash.append(np.column_stack([part.ids[d], zero, zero, k.view(np.int64), zero]))
                     held.append((part.ids[doc], start, key, anchor, phrase + (held[-1][4][-1] + 1 if held else 0)))
                 if sum(len(h[0]) for h in held) < FLUSH:
                     return None
             if not held:
                 return None
             columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            apart = np.unique(np.concatenate(clash), axis=0)
             held.clear()
-            return _sent(*columns, n_buckets)
+            clash[1:] = []
+            return _sent(*columns, apart, n_buckets)
 
         return each
 
@@ -248,40 +285,126 @@ def factors(docs: DataFrame, size: int = 13) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(_factor, "doc_id long, start int, n int, ref_id long, ref_start int")
 
 
-def _kept(text: bytes, spans: list[tuple[int, int]], size: int) -> tuple[bytes, int, int]:
-    """(kept words joined by one space, words, words removed) of one text."""
+def factors(docs: DataFrame, size: int = 13) -> DataFrame:
+    """doc_id, start, n, ref_id, ref_start: from word ``start`` on, n consecutive windows (n + size - 1 words) have the hashes of those in document ref_id from
+    its word ``ref_start`` on."""
+    return _found(docs, size, 64).where("n > 0")
+
+
+def _claims(docs: DataFrame, found: DataFrame, size: int) -> DataFrame:
+    """claim_of (a doc_id) and its claims (start, n, offset, words): from word ``start`` on it has the n windows that begin at word ``offset`` of the words, which are the chunks of the reference
+    that the factor touches. Each chunk of a document is asked for once, however many factors lie on it."""
+    chunks = F.sequence(F.floor(F.col("ref_start") / CHUNK), F.floor((F.col("ref_start") + F.col("n") + (size - 2)) / CHUNK))
+    pieces = found.where("n > 0").select("*", F.explode(chunks).alias("chunk"))
+    wanted = table(pieces.groupBy("ref_id", "chunk").agg(F.count("*").alias("many")), "wanted")
+    most = wanted.agg(F.coalesce(F.max("many"), F.lit(0))).first()[0]
+    asked = wanted.groupBy("ref_id").agg(F.collect_list(F.col("chunk").cast("long")).alias("chunks"))  # at most the chunks of a text
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("ref_id"), F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text, some in zip(batch.column("ref_id").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("chunks").to_pylist(), strict=True):
+                words = (text.as_py() or b"").split()
+                some = [c for c in some if c * CHUNK < len(words)]
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(some), pa.int64()), pa.array(some, pa.int64()), pa.array([b" ".join(words[c * CHUNK : (c + 1) * CHUNK]) for c in some], pa.binary())], ["ref_id", "chunk", "words"])
+
+    held = texts.join(asked.hint("shuffle_hash"), "ref_id").select("ref_id", "text", "chunks").mapInArrow(run, "ref_id long, chunk long, words binary")
+    one = held.groupBy("ref_id", "chunk").agg(F.min("words").alias("words"))  # rows may share a doc_id
+    piece = F.struct("ref_id", "ref_start", "start", "n", "chunk", "words")
+    return lookup(pieces, one, ["ref_id", "chunk"], "doc_id", most).groupBy(F.col("doc_id").alias("claim_of")).agg(F.collect_list(piece).alias("claims"))
+
+
+def _settled(docs: DataFrame, keys: DataFrame, size: int, bits: int) -> DataFrame:
+    """claim_of and claims as above, for every window with one of the keys that a smaller doc_id has, compared by words over all documents."""
+    known = keys.count() <= DISPUTED
+    wanted = docs.sparkSession.sparkContext.broadcast(np.sort(keys.toArrow()["key"].to_numpy())) if known else None
+
+    def make():
+        def each(part: Slice) -> pa.RecordBatch:
+            doc, start, key, _, _ = windows(part, size, None, bits)
+            key = key.view(np.int64)
+            some = np.flatnonzero(np.isin(key, wanted.value)) if known else np.arange(len(key))
+            words, of = [], -1
+            texts: list[bytes] = []
+            for d, at in zip(doc[some].tolist(), start[some].tolist(), strict=True):
+                texts, of = (texts, of) if d == of else (part.text(d).split(), d)
+                words.append(b" ".join(texts[at : at + size]))
+            return pa.RecordBatch.from_arrays([pa.array(part.ids[doc[some]]), pa.array(start[some]), pa.array(key[some]), pa.array(words, pa.binary())], ["doc_id", "start", "key", "words"])
+
+        return each
+
+    seen = map_slices(docs, make, "doc_id long, start long, key long, words binary")
+    seen = table(seen if known else seen.join(keys, "key", "left_semi"), "disputed")
+    lows = table(seen.groupBy("words").agg(F.min("doc_id").alias("low"), F.count("*").alias("many")), "lows")
+    most = lows.agg(F.coalesce(F.max("many"), F.lit(0))).first()[0]
+    later = lookup(seen, lows.select("words", "low"), ["words"], "doc_id", most).where(F.col("doc_id") > F.col("low"))
+    zero = F.lit(0)
+    piece = F.struct(F.col("low").alias("ref_id"), zero.alias("ref_start"), F.col("start").cast("int").alias("start"), F.lit(1).alias("n"), zero.cast("long").alias("chunk"), "words")
+    return later.groupBy(F.col("doc_id").alias("claim_of")).agg(F.collect_list(piece).alias("claims"))
+
+
+def _kept(text: bytes, claims: list[dict], size: int, bits: int) -> tuple[bytes, int, int, list[int]]:
+    """(kept words joined by one space, words, words removed, keys of claimed windows that the words don't bear out) of one text."""
     words = text.split()
-    if not spans:
-        return b" ".join(words), len(words), 0
-    found = Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-    keys = shingles(found.hashes, size)
-    hit = np.zeros(len(keys), bool)
-    for start, n in spans:
-        hit[start : start + n] = True
-    hit |= np.isin(keys, keys[hit])
+    if not claims or len(words) < size:
+        return b" ".join(words), len(words), 0, []
+    factors: dict[tuple[int, int, int, int], dict[int, list[bytes]]] = {}
+    for c in claims:
+        factors.setdefault((c["start"], c["n"], c["ref_id"], c["ref_start"]), {})[c["chunk"]] = c["words"].split(b" ")
+    keys = _keys(Words(np.frombuffer(text, np.uint8), np.array([0, len(text)])), size, bits)
+    hit, claimed = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+    for (start, n, _, ref_start), chunks in factors.items():
+        first = min(chunks)
+        theirs = [w for c in range(first, first + len(chunks)) for w in chunks.get(c, ())][ref_start - first * CHUNK :][: n + size - 1]
+        mine = words[start : start + n + size - 1]
+        claimed[start : start + n] = True
+        if mine == theirs:
+            hit[start : start + n] = True
+        else:
+            same = np.zeros(n + size - 1, np.int64)
+            same[: min(len(mine), len(theirs))] = [a == b for a, b in zip(mine, theirs, strict=False)]
+            whole = np.convolve(same, np.ones(size, np.int64), "valid") == size
+            hit[start : start + n] |= whole[: max(0, len(hit) - start)]
+    first_of = {int(keys[i]): i for i in np.flatnonzero(hit)[::-1].tolist()}
+    for i in np.flatnonzero(np.isin(keys, keys[hit]) & ~hit).tolist():  # later occurrences of what is found
+        j = first_of[int(keys[i])]
+        hit[i] = words[i : i + size] == words[j : j + size]
     edge = np.zeros(len(words) + 1, np.int64)
     edge[:-1][: len(hit)] += hit
     edge[size : size + len(hit)] -= hit
     covered = np.cumsum(edge[:-1]) > 0
-    return b" ".join(compress(words, (~covered).tolist())), len(words), int(covered.sum())
+    return b" ".join(compress(words, (~covered).tolist())), len(words), int(covered.sum()), np.unique(keys[claimed & ~hit]).view(np.int64).tolist()
 
 
-def remove(docs: DataFrame, size: int = 13, names: tuple[str, str, str] = ("kept_text", "n_words", "n_removed")) -> DataFrame:
+def remove(docs: DataFrame, size: int = 13, names: tuple[str, str, str] = ("kept_text", "n_words", "n_removed"), bits: int = 64) -> DataFrame:
     """The columns of docs and kept_text (the kept words joined by one space), n_words, n_removed, or what ``names`` calls these.
 
-    The spans of a document are gathered to one row (at most one for each of its windows) and joined to its text."""
+    The claims of a document, with the words of its references, are gathered to one row and compared with its text. ``bits``: of the windows' hashes; fewer make more disputes."""
     own = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
     rows = docs.select(*own).where("doc_id is not null")
-    key, found_in = fresh(rows, "spans_of"), fresh(rows, "spans")
-    spans = factors(docs, size).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start", "n")).alias(found_in))
-    rows = rows.join(spans.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col(key), "left").drop(key)
+    key, found_in = fresh(rows, "claim_of"), fresh(rows, "claims")
+    disputed_in = fresh(rows.select("*", *(F.lit(0).alias(n) for n in names)), "disputed")
+    found = table(_found(docs, size, bits), "factors")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
-            out = [_kept(t or b"", [(s["start"], s["n"]) for s in found or ()], size) for t, found in zip((x.as_py() for x in texts), (x.as_py() for x in batch.column(found_in)), strict=True)]
-            text, words, removed = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(text, pa.binary()).cast(pa.string()), pa.array(words, pa.int64()), pa.array(removed, pa.int64())], [*own, *names])
-
-    schema = T.StructType([*(docs.schema[c] for c in own), *(T.StructField(c, k) for c, k in zip(names, (T.StringType(), T.LongType(), T.LongType()), strict=True))])
-    return rows.select(*own, found_in).mapInArrow(run, schema)
+            out = [_kept(t or b"", c or [], size, bits) for t, c in zip((x.as_py() for x in texts), (x.as_py() for x in batch.column(found_in)), strict=True)]
+            text, words, removed, keys = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(text, pa.binary()).cast(pa.string()), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], [*own, *names, disputed_in])
+
+    schema = T.StructType([*(docs.schema[c] for c in own), *(T.StructField(c, k) for c, k in zip((*names, disputed_in), (T.StringType(), T.LongType(), T.LongType(), T.ArrayType(T.LongType())), strict=True))])
+
+    def compared(claims: DataFrame) -> DataFrame:
+        claims = claims.select(F.col("claim_of").alias(key), F.col("claims").alias(found_in)).hint("shuffle_hash")
+        return rows.join(claims, F.col("doc_id").cast("long") == F.col(key), "left").select(*own, found_in).mapInArrow(run, schema)
+
+    claims = _claims(docs, found, size)
+    out = table(compared(claims), "compared")
+    keys = out.select(F.explode(disputed_in).alias("key")).unionByName(found.where("n = 0").select(F.col("ref_id").alias("key"))).distinct()
+    keys = table(keys, "keys")
+    if not keys.isEmpty():
+        settled = _settled(docs, keys, size, bits).withColumnRenamed("claims", "more")
+        every = claims.join(settled, "claim_of", "full").select("claim_of", F.concat(F.coalesce("claims", F.array()), F.coalesce("more", F.array())).alias("claims"))
+        out = compared(every)
+    return out.drop(disputed_in)

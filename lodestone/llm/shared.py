@@ -6,6 +6,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -38,36 +40,51 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: The folders that the running block of ``tables`` has written, oldest first; each thread or task of the driver has its own.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written as Parquet to the shared folder and read back: later steps start from the
-    file, so a lost executor costs only the tasks that it ran."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+@contextmanager
+def tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Within the block, table() lists what it writes. What ends it with an error leaves no table; else the caller removes what it needs no more."""
+    mine: list[str] = []
+    token = _written.set(mine)
+    try:
+        yield mine
+    except BaseException:
+        remove_tables(spark, mine)
+        raise
+    finally:
+        _written.reset(token)
 
 
-_written: list[str] = []
+def table(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written as Parquet to the shared folder and read back: later steps start from the
+    file, so a lost executor costs only the tasks that it ran. The write's shuffle files go when it ends."""
+    spark = df.sparkSession
+    path, before = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(_CLEANUP)
+    if (mine := _written.get()) is not None:
+        mine.append(path)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def written() -> list[str]:
-    """The folders of the tables so far, oldest first."""
-    return list(_written)
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows with their lineage cut by a table in the shared folder."""
+    return table(df, "cut")
 
 
 def remove_tables(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes tables that table() has written and that nothing reads any more."""
+    """Deletes tables that nothing reads any more, and takes them off the list."""
     jvm = spark.sparkContext._jvm
-    for path in set(paths) & set(_written):
-        at = jvm.org.apache.hadoop.fs.Path(path)
+    while paths:
+        at = jvm.org.apache.hadoop.fs.Path(paths.pop())
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        _written.remove(path)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -71,6 +72,29 @@ def test_removed_passages(docs, texts, nothing):
     assert lz_dedup.remove(nothing, 13).count() == 0
 
 
+def test_words_decide_where_anchors_agree(spark):
+    """Two windows with one anchor, whose hashes agree in 40 bits: five shared words are no copy."""
+    one = "w3829 w3406 w1877 w2793 w1158 w856 w1607 w3087 w584 w1372 w3932 w60 w3864"
+    two = "w1640 w809 w974 w1201 w1158 w856 w1607 w3087 w584 w3585 w3516 w2398 w2493"
+    docs = spark.createDataFrame([(1, one)], "doc_id long, text string").union(spark.createDataFrame([(2, two)], "doc_id long, text string"))
+    assert sorted((r.doc_id, r.n_removed, r.kept_text) for r in lz_dedup.remove(docs, 13).collect()) == [(1, 0, one), (2, 0, two)]
+
+
+@pytest.mark.parametrize(("bits", "disputed"), [(12, 1 << 20), (4, 0)])
+def test_words_decide_where_hashes_agree(docs, texts, monkeypatch, bits, disputed):
+    monkeypatch.setattr(lz_dedup, "DISPUTED", disputed)  # 0: disputed keys are joined, not broadcast
+    low, words = {}, {d: WORD.findall(t) for d, t in texts.items() if len(t) < 100_000}
+    for d in sorted(words):
+        for i in range(len(words[d]) - 4):
+            low.setdefault(tuple(words[d][i : i + 5]), d)
+    some = docs.where("text is null or length(text) < 100000")
+    got = {r.doc_id: r for r in lz_dedup.remove(some.repartition(3), 5, bits=bits).collect()}
+    assert set(got) == set(words)
+    for d, w in words.items():
+        gone = {i + j for i in range(len(w) - 4) if low[tuple(w[i : i + 5])] < d for j in range(5)}
+        assert got[d].kept_text == " ".join(x for i, x in enumerate(w) if i not in gone)
+
+
 def naive_factors(words, size):
     """Greedy parse of each document against those with smaller ids, one window after another."""
     first, out = {}, []
@@ -449,14 +473,46 @@ def test_stages_on_odd_rows(spark, texts):
     assert corpus_pipeline.packing(spark, odd.where("false"), DATA).count() == 0
 
 
-def test_run_cleans_up(spark, tmp_path):
-    """The pipeline leaves one table: its result."""
+def folders(spark):
+    return {p.name for p in Path(shared.shared_dir(spark).removeprefix("file:")).iterdir()}
+
+
+def test_run_cleans_up(spark):
+    """The pipeline leaves one table, its result, and other jobs' tables alone."""
     import corpus_pipeline
-    from lodestone.llm.shared import written
 
-    before = set(written())
+    others = shared.table(spark.range(5), "others")
+    before = folders(spark)
     out = corpus_pipeline.run(spark, DATA)
-    assert len(set(written()) - before) == 1 and out.count() > 0
+    assert len(folders(spark) - before) == 1 and out.count() > 0 and before <= folders(spark) and others.count() == 5
+
+
+def test_two_runs_at_once(spark, monkeypatch):
+    """Each run removes its own tables, while the other's are being read."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from lodestone.llm import stages
+
+    slow = lambda spark, docs, sf_dir: shared.table(docs.withColumn("n_chars", F.col("n_chars") + 1), "step")
+    monkeypatch.setattr(stages, "STAGES", [(f"stage{i}", slow) for i in range(4)])
+    before = folders(spark)
+    with ThreadPoolExecutor(2) as pool:
+        runs = list(pool.map(lambda _: stages.run(spark, DATA).count(), range(2)))
+    assert runs == [200, 200] and len(folders(spark) - before) == 2
+
+
+def test_a_failed_run_leaves_nothing(spark, monkeypatch):
+    from lodestone.llm import stages
+
+    def fails(spark, docs, sf_dir):
+        shared.table(docs, "step")
+        raise RuntimeError("no")
+
+    monkeypatch.setattr(stages, "STAGES", [("kept", lambda spark, docs, sf_dir: docs), ("fails", fails)])
+    before = folders(spark)
+    with pytest.raises(RuntimeError):
+        stages.run(spark, DATA)
+    assert folders(spark) == before
 
 
 def test_digest_columns(spark):
