@@ -9,7 +9,7 @@ learns from at most ``per_language`` rows of each language and about ``most`` in
 
 Nulls and edge cases: a null text, or one without a letter, is ``und`` with score 0; a null lang teaches nothing; rows
 with a null doc_id take no part; where there is nothing to learn from, all is ``und``. Of equal scores the first language in
-alphabetical order counts. Extra columns are ignored. An empty table gives no rows."""
+alphabetical order counts. Repeated rows get a row each, with equal predictions. Extra columns are ignored. An empty table gives no rows."""
 
 from __future__ import annotations
 

@@ -27,8 +27,9 @@ blocks but those of two near ones is compared by a task of its own, as with sket
 others in it meet all. The links that are found make the components. Joins by bundle, by node and by exact copy deal the rows of one key over all partitions.
 
 Nulls and edge cases: null and empty texts (and texts without words) have empty sets, which link with nothing; exact
-copies always link; rows with a null doc_id take no part; equal doc_ids are taken as one document for components
-but each row is returned. Extra columns are ignored. An empty table gives no rows."""
+copies always link; rows with a null doc_id take no part; equal doc_ids are taken as one document for components (whose smallest
+text is compared), but each row is returned. Shingles are compared by 64-bit hashes, never by their words: two sets of 1,000 shingles each that share none have a chance of 5e-14 that any two hashes agree, and a
+wrong link needs 90 of 100 to agree; exact copies are told by their size and two more 64-bit sums. Extra columns are ignored. An empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -359,12 +360,11 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         def each(part: Slice) -> pa.RecordBatch:
             found, offsets = sets(part, size)
             h1, h2 = identities(found, offsets)
-            sketches = pa.array([sketch(found[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(part.ids), pa.array(np.diff(offsets)), pa.array(h1), pa.array(h2), sketches], ["doc_id", "n_shingles", "h1", "h2", "sketch"])
+            return pa.RecordBatch.from_arrays([pa.array(part.ids), pa.array(np.diff(offsets)), pa.array(h1), pa.array(h2)], ["doc_id", "n_shingles", "h1", "h2"])
 
         return each
 
-    about = table(map_slices(docs, describe, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary"), "sets")
+    about = table(map_slices(docs, describe, "doc_id long, n_shingles long, h1 long, h2 long"), "sets")
     same = ["n_shingles", "h1", "h2"]
     classes = table(about.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "classes")
     bundles = components(candidates(docs, size, percent)).withColumnRenamed("node", "first_id")
@@ -372,19 +372,21 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     sizes = table(bundled.groupBy("root").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("many")).where("many > 1"), "sizes")
     copies, largest = (df.agg(F.coalesce(F.max(c), F.lit(0))).first()[0] for df, c in ((classes, "copies"), (sizes, "many")))
     members = table(lookup(bundled, sizes, ["root"], "first_id", largest).select("first_id", "n_shingles", "root", "total"), "members")
-    large = members.where(F.col("total") > SPLIT).select("first_id", "n_shingles", "root")
-    small = members.where(F.col("total") <= SPLIT).select("first_id", "root", F.lit(False).alias("near"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))
 
     def pack():
         def each(part: Slice) -> pa.RecordBatch:
             found, offsets = sets(part, size)
-            return pa.RecordBatch.from_arrays([pa.array(part.ids), pa.array([found[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["first_id", "elements"])
+            some = [found[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            packed = [pa.array([f(x) for x in some], pa.binary()) for f in (np.ndarray.tobytes, sketch)]
+            return pa.RecordBatch.from_arrays([pa.array(part.ids), *packed], ["first_id", "elements", "sketch"])
 
         return each
 
-    def sets_of(some: DataFrame) -> DataFrame:
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(some.select(F.col("first_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        return map_slices(texts, pack, "first_id long, elements binary").join(some, "first_id")
+    # the one shuffle of texts: those of bundles' members (of rows that share a doc_id, the smallest)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.select(F.col("first_id").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    packed = table(map_slices(texts, pack, "first_id long, elements binary, sketch binary").join(members, "first_id"), "packed")
+    beyond = packed.where(F.col("total") > SPLIT)
+    large = beyond.select("first_id", "n_shingles", "root")
 
     def alike(rows: pa.Table) -> pa.Table:
         out = _alike(rows["first_id"].to_numpy(), rows["n_shingles"].to_numpy(), [np.frombuffer(x.as_buffer(), np.uint8) for x in rows["sketch"]], rows["near"].to_numpy(), percent)
@@ -396,17 +398,17 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         return pa.table({"a": out[:, 0], "b": out[:, 1]})
 
     pairs = "a long, b long"
-    elements = table(sets_of(large), "elements")
-    near = table(_near(elements.select("first_id", "root", "elements"), percent, largest), "near")
+    near = table(_near(beyond.select("first_id", "root", "elements"), percent, largest), "near")
     to_pivot = near.where("near and first_id <> pivot").select(F.col("first_id").alias("a"), F.col("pivot").alias("b"))
-    sketched = about.select(F.col("doc_id").alias("first_id"), "sketch").dropDuplicates(["first_id"]).join(large.join(near.select("first_id", "near"), "first_id"), "first_id")
+    sketched = beyond.select("first_id", "n_shingles", "root", "sketch").join(near.select("first_id", "near"), "first_id")
     kept = ["first_id", "n_shingles", "sketch", "near", "root", "i", "j"]
     joined = _block_pairs(sketched, 1, SKETCHES, largest).select(*kept).groupBy("root", "i", "j").applyInArrow(alike, pairs).unionByName(to_pivot)
     split = components(joined).withColumnRenamed("node", "first_id").join(near.select("first_id", "near"), "first_id")
     split = _block_pairs(split.join(large.select("first_id", "n_shingles"), "first_id"), "n_shingles", BLOCK, largest).select("first_id", "near", "root", "i", "j")
     columns = ["first_id", "elements", "near", "root", "i", "j"]
-    packed = sets_of(small).select(*columns).unionByName(elements.select("first_id", "elements").join(split, "first_id").select(*columns))
-    links = packed.groupBy("root", "i", "j").applyInArrow(compare, pairs).unionByName(to_pivot)
+    whole = packed.where(F.col("total") <= SPLIT).select("first_id", "elements", F.lit(False).alias("near"), "root", *(F.lit(0).cast("long").alias(c) for c in "ij"))
+    compared = whole.unionByName(beyond.select("first_id", "elements").join(split, "first_id").select(*columns))
+    links = compared.groupBy("root", "i", "j").applyInArrow(compare, pairs).unionByName(to_pivot)
     linked = components(links).select(F.col("node").alias("first_id"), "root")
     of_class = classes.join(linked, "first_id", "left").select(*same, F.coalesce("root", "first_id").alias("component_id"))
     full = lookup(about.where("n_shingles > 0").select("doc_id", *same), of_class, same, "doc_id", copies).select("doc_id", "n_shingles", "component_id")

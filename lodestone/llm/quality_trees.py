@@ -6,7 +6,7 @@ order, so that scoring walks all trees for all documents of a slice at once.
 
 Nulls and edge cases: a null text counts as empty; an empty text gets the score that the trees give to zero
 statistics; rows with a null doc_id take no part; null labels are no labels; where no label, or only one class,
-is there, every score is the share of label 1 (0.5 without labels). Extra columns are ignored."""
+is there, every score is the share of label 1 (0.5 without labels). Extra columns are ignored. Repeated rows get a row each, with equal scores. An empty table gives no rows."""
 
 from __future__ import annotations
 

@@ -13,7 +13,7 @@ guessed from the words of the text (naive Bayes over hashed words); the column l
 
 Nulls and edge cases: null texts count as empty; a text without letters gets the score of empty pools; null labels are no
 labels, a null lang teaches no language; rows with a null doc_id take no part; where no label, or only one class, is
-there, every score is the share of label 1 (0 without labels). Extra columns are ignored."""
+there, every score is the share of label 1 (0 without labels). Extra columns are ignored. Repeated rows get a row each, with equal scores. An empty table gives no rows."""
 
 from __future__ import annotations
 
