@@ -291,24 +291,24 @@ def factors(docs: DataFrame, size: int = 13) -> DataFrame:
     return _found(docs, size, 64).where("n > 0")
 
 
-def _claims(docs: DataFrame, found: DataFrame, size: int) -> DataFrame:
-    """claim_of (a doc_id) and its claims (start, n, offset, words): from word ``start`` on it has the n windows that begin at word ``offset`` of the words, which are the chunks of the reference
-    that the factor touches. Each chunk of a document is asked for once, however many factors lie on it."""
+def _claims(rows: DataFrame, found: DataFrame, size: int) -> DataFrame:
+    """claim_of (a doc_id) and its claims (start, n, ref_id, ref_start, chunk, words): from word ``start`` on it has the n windows that begin at word ``ref_start`` of document ref_id, whose
+    words stand in chunks. A chunk is asked for once, however many factors lie on it. All columns of rows are read, so that this and the comparison share one shuffle of them."""
     chunks = F.sequence(F.floor(F.col("ref_start") / CHUNK), F.floor((F.col("ref_start") + F.col("n") + (size - 2)) / CHUNK))
     pieces = found.where("n > 0").select("*", F.explode(chunks).alias("chunk"))
     wanted = table(pieces.groupBy("ref_id", "chunk").agg(F.count("*").alias("many")), "wanted")
     most = wanted.agg(F.coalesce(F.max("many"), F.lit(0))).first()[0]
-    asked = wanted.groupBy("ref_id").agg(F.collect_list(F.col("chunk").cast("long")).alias("chunks"))  # at most the chunks of a text
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("ref_id"), F.col("text").cast("string").alias("text"))
+    of, some = fresh(rows, "asked_of"), fresh(rows, "asked")
+    asked = wanted.groupBy(F.col("ref_id").alias(of)).agg(F.collect_list(F.col("chunk").cast("long")).alias(some))  # at most the chunks of a text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, text, some in zip(batch.column("ref_id").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("chunks").to_pylist(), strict=True):
+            for i, text, wished in zip(batch.column(of).to_pylist(), batch.column("text").cast(pa.binary()), batch.column(some).to_pylist(), strict=True):
                 words = (text.as_py() or b"").split()
-                some = [c for c in some if c * CHUNK < len(words)]
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(some), pa.int64()), pa.array(some, pa.int64()), pa.array([b" ".join(words[c * CHUNK : (c + 1) * CHUNK]) for c in some], pa.binary())], ["ref_id", "chunk", "words"])
+                wished = [c for c in wished if c * CHUNK < len(words)]
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(wished), pa.int64()), pa.array(wished, pa.int64()), pa.array([b" ".join(words[c * CHUNK : (c + 1) * CHUNK]) for c in wished], pa.binary())], ["ref_id", "chunk", "words"])
 
-    held = texts.join(asked.hint("shuffle_hash"), "ref_id").select("ref_id", "text", "chunks").mapInArrow(run, "ref_id long, chunk long, words binary")
+    held = rows.join(asked.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col(of)).select(*rows.columns, of, some).mapInArrow(run, "ref_id long, chunk long, words binary")
     one = held.groupBy("ref_id", "chunk").agg(F.min("words").alias("words"))  # rows may share a doc_id
     piece = F.struct("ref_id", "ref_start", "start", "n", "chunk", "words")
     return lookup(pieces, one, ["ref_id", "chunk"], "doc_id", most).groupBy(F.col("doc_id").alias("claim_of")).agg(F.collect_list(piece).alias("claims"))
@@ -399,7 +399,7 @@ def remove(docs: DataFrame, size: int = 13, names: tuple[str, str, str] = ("kept
         claims = claims.select(F.col("claim_of").alias(key), F.col("claims").alias(found_in)).hint("shuffle_hash")
         return rows.join(claims, F.col("doc_id").cast("long") == F.col(key), "left").select(*own, found_in).mapInArrow(run, schema)
 
-    claims = _claims(docs, found, size)
+    claims = _claims(rows, found, size)
     out = table(compared(claims), "compared")
     keys = out.select(F.explode(disputed_in).alias("key")).unionByName(found.where("n = 0").select(F.col("ref_id").alias("key"))).distinct()
     keys = table(keys, "keys")

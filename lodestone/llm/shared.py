@@ -68,7 +68,7 @@ def table(df: DataFrame, name: str) -> DataFrame:
         mine.append(path)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
