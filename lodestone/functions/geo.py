@@ -26,7 +26,18 @@ GRAMMAR_WORDS = (
     "not", "no", "only", "also", "such", "same", "other", "another", "each", "every", "both", "all", "any", "some", "more", "most", "few", "several",
     "various", "said", "etc",
 )
-DESCRIPTIVE_WORDS = ("formation", "formations", "coaly", "carbonaceous", "geological", "separate", "guide", "lithology", "characteristics", "characteristic", "interpreted", "qualitative", "strata", "seam", "coal")
+DESCRIPTIVE_WORDS = (
+    "may", "might", "can", "could", "should", "would", "will", "shall", "respective", "entire", "whole", "upper", "lower", "middle", "main", "local", "regional", "general", "typical",
+    "following", "preceding", "concerned", "present", "given", "mentioned", "described", "interpreted", "identified", "established", "reported", "observed", "studied", "mapped",
+    "geological", "geology", "stratigraphic", "stratigraphy", "sedimentary", "lithology", "lithologic", "lithological", "guide", "guides", "coaly", "carbonaceous", "separate",
+    "associated", "underlying", "overlying", "intervening", "host", "parent", "source", "target", "subject", "corresponding", "equivalent", "probable", "possible", "potential", "major",
+    "minor", "thick", "thin", "hard", "soft", "new", "old", "first", "second", "third", "overlies", "underlies", "overlie", "underlie", "comprises", "comprise", "consists", "consist",
+    "includes", "include", "including", "forms", "form", "forming", "occurs", "occur", "occurring", "belongs", "belong", "belonging", "hosts", "hosting", "contains", "contain",
+    "containing", "formation", "formations", "member", "group", "horizon", "seam", "seams", "borehole", "boreholes", "shale", "sandstone", "siltstone", "claystone", "mudstone",
+    "limestone", "ironstone", "coal", "rock", "rocks", "bed", "beds", "unit", "units", "sequence", "sequences", "section", "sections", "part", "parts", "type", "types", "nature",
+    "character", "presence", "absence", "occurrence", "occurrences", "boundary", "boundaries", "contact", "contacts", "thickness", "depth", "information", "description", "chapter",
+    "table", "figure", "page", "block", "area", "zone", "region", "characteristics", "characteristic", "qualitative", "strata",
+)
 NOT_FORMATIONS = r"(?i)\b(?:formation\s+characteristics|guide\s+to\s+formation|through\s+the\s+formation|lithology\s+of\s+formation|coaly\s+formation|carbonaceous\s+formations?)\b"
 METRIC_ALIASES = {
     "minimum_workable_thickness": "minimum_workable_seam_thickness",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import normalize as N
+from lodestone.functions.text import blank_as_null, strip
 from lodestone.operators.facts import best, merged, normalized, of_latest, one_per, verified, without_open_conflicts
 
 CORE = ("production", "coal", "overburden", "dispatch", "lignite")
@@ -121,6 +122,47 @@ def dimensions(rows: DataFrame) -> DataFrame:
     return rows.unpivot([], axes, "axis", "value").where("value is not null").distinct()
 
 
+#: Storage metrics that are offered as metrics too, and the metrics that are suggested first, in order.
+LEGACY_METRICS = ("coal", "lignite", "coking_coal", "production_target")
+SUGGESTED_METRICS = ("production", "overburden", "dispatch")
+
+
+def facets(rows: DataFrame, entity: str | None = None, commodity: str | None = None, metric: str | None = None) -> DataFrame:
+    """The values of each axis under criteria (AGG-1, dependent filters), from one aggregate: axis, value, n (rows that meet all criteria), n_open (rows that fail none but
+    the axis's own), score (entities: three points for a core metric, one for others) and listed (whether the axis offers the value: entities and legacy
+    metrics always, others if n > 0).
+
+    Each row carries a mask of the criteria that it fails, so that it is read and shuffled once for all axes, however many criteria there are. A criterion that is
+    None or blank asks for nothing; a metric may also name a storage metric. Null values are no values; an empty table has no facets."""
+    same = lambda test: F.coalesce(test, F.lit(False))
+    key = blank_as_null(strip(F.lit(metric).cast("string")))
+    want = F.coalesce(N.field(key), F.lower(key))
+    tests = {
+        1: blank_as_null(strip(F.lit(entity).cast("string"))).isNull() | same(F.lower("entity_name") == F.lower(strip(F.lit(entity).cast("string")))),
+        2: N.commodity(F.lit(commodity).cast("string")).isNull() | same(F.col("commodity") == N.commodity(F.lit(commodity).cast("string"))),
+        4: want.isNull() | same(F.col("metric") == want) | same(F.col("storage_metric") == want),
+    }
+    fails = sum((F.when(test, 0).otherwise(bit) for bit, test in tests.items()), F.lit(0))
+    own = {"entity_name": 1, "commodity": 2, "metric": 4, "legacy_metric": 4, "measure": 0, "period": 0, "reporting_month": 0}
+    legacy = F.when(F.col("storage_metric").isin(*LEGACY_METRICS), F.col("storage_metric"))
+    wide = rows.withColumns({"legacy_metric": legacy, "fails": fails, "points": F.when(F.col("storage_metric").isin(*CORE), 3).otherwise(1)})
+    long = wide.unpivot(["fails", "points"], list(own), "axis", "value").where("value is not null")
+    bit = F.element_at(F.create_map(*(F.lit(x) for pair in own.items() for x in pair)), F.col("axis"))
+    out = long.groupBy("axis", "value").agg(F.count_if(F.col("fails") == 0).alias("n"), F.count_if(F.col("fails").bitwiseAND(7 - bit) == 0).alias("n_open"), F.sum("points").alias("points"))
+    always = F.col("axis").isin("entity_name", "legacy_metric")
+    return out.select("axis", "value", "n", "n_open", F.when(F.col("axis") == "entity_name", F.col("points")).alias("score"), (always | (F.col("n") > 0)).alias("listed"))
+
+
+def suggested(found: DataFrame) -> DataFrame:
+    """One row: the entity, metric, commodity and month that facets suggest (AGG-1): the best covered entity (shorter, then smaller names first), the first of the preferred
+    metrics, coal, the first March; else the smallest, and for months none."""
+    at = lambda axis, test=True: F.when((F.col("axis") == axis) & F.col("listed") & test, F.col("value"))
+    metrics = [F.max(at("metric", F.col("value") == m)) for m in SUGGESTED_METRICS]
+    entity = F.min_by(at("entity_name"), F.when(at("entity_name").isNotNull(), F.struct(-F.col("score"), F.length("value"), "value")))
+    month = F.min_by(at("reporting_month"), F.when(at("reporting_month", F.lower("value").contains("march")).isNotNull(), F.struct(F.lower("value"), "value")))
+    return found.agg(entity.alias("entity"), F.coalesce(*metrics, F.min(at("metric"))).alias("metric"), F.coalesce(F.max(at("commodity", F.col("value") == "coal")), F.min(at("commodity"))).alias("commodity"), month.alias("reporting_month"))
+
+
 def entity_scores(rows: DataFrame) -> DataFrame:
     """How well each entity is covered: three points for a core metric, one for others (AGG-1)."""
     return rows.groupBy("entity_name").agg(F.sum(F.when(F.col("storage_metric").isin(*CORE), 3).otherwise(1)).alias("score"))

@@ -67,10 +67,10 @@ def embeddings(rows: DataFrame, id_: str = "chunk_id", text: str = "content") ->
 
 def cue_counts(texts: DataFrame, cues: dict[str, dict[str, float]]) -> DataFrame:
     """How strongly each document speaks of each class (TXT-6): weights times counts of its cues, each count at most eight. One pass over the text.
-    Cues of one word count where they stand as a word, phrases anywhere."""
-    low = F.lower("text")
+    Blanks and line breaks are squeezed first. Cues of one word count where no letter a-z or digit stands beside them, phrases anywhere."""
+    low = F.regexp_replace(F.lower("text"), r"\s+", " ")
     plain = lambda w: re.sub(r"([^\w\s])", r"\\\1", w)
-    pattern = lambda w: plain(w) if " " in w else rf"(?<![\p{{L}}\p{{N}}_]){plain(w)}(?![\p{{L}}\p{{N}}_])"
+    pattern = lambda w: plain(w) if " " in w else rf"(?<![a-z0-9]){plain(w)}(?![a-z0-9])"
     score = lambda words: sum((F.least(F.regexp_count(low, F.lit(pattern(w))), F.lit(MOST_CUES)) * F.lit(x) for w, x in words.items()), F.lit(0.0))
     return texts.select("document_id", *(F.round(score(words), 6).alias(name) for name, words in cues.items()))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import normalize as N
@@ -34,14 +34,31 @@ def cross_document(facts: DataFrame, documents: DataFrame) -> DataFrame:
     return pairs.select(F.when(review, unit).otherwise(contra).alias("fingerprint"), F.when(review, "unit_review").otherwise("contradiction").alias("conflict_type"), F.when(review, "low").otherwise("high").alias("severity"), "entity", "field", "period", "a_id", "b_id", F.col("c.left_base").alias("a_base"), F.col("c.right_base").alias("b_base"))
 
 
+def rarest_first(names: DataFrame) -> DataFrame:
+    """entity and words (of two letters at least, the rarest first) of distinct names; a word's rarity is the number of names that hold it. One order holds for
+    all names, which prefix filtering needs; ties go by the word."""
+    words = names.select("entity", F.explode(F.array_distinct(F.filter(F.split("entity", " "), lambda t: F.length(t) > 1))).alias("word"))
+    common = words.groupBy("word").agg(F.count("*").alias("n"))
+    listed = words.join(common, "word").groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("words"))  # a name's own words
+    return listed.select("entity", F.col("words.word").alias("words"))
+
+
 def ambiguous_entities(facts: DataFrame) -> DataFrame:
-    """Names of one field and period in different documents that may mean the same entity (VAL-3, JN-4). Distinct names that
-    share a word meet through an index of their words; each pair of names is reported once, with its first documents."""
+    """Names of one field and period in different documents that may mean the same entity (VAL-3, JN-4); each pair of names is reported once.
+
+    Names meet by prefix filtering over their words, the rarest first. If all words of one are among the other's, the rarest of the shorter name is a word of the longer: that one word asks, all words
+    answer. Else the names share 0.6 of the longer one's words at least, and then one of the first size - ceil(0.6 * size) + 1 words of both. So a word that all names hold brings together only
+    names that have nothing rarer, and candidates grow with the pairs that are reported. Names without such words match nothing."""
     rows = normalized(facts.where("status <> 'rejected' and numeric_value is not null")).where("entity is not null and field is not null")
     names = rows.groupBy("entity", "field", F.coalesce("period", F.lit("")).alias("period")).agg(F.min("document_id").alias("first_document"), F.max("document_id").alias("last_document"))
-    words = names.select("*", F.explode(F.array_distinct(F.filter(F.split("entity", " "), lambda t: F.length(t) > 1))).alias("word"))
-    side = lambda tag: words.select("field", "period", "word", *(F.col(c).alias(f"{tag}_{c}") for c in ("entity", "first_document", "last_document")))
-    pairs = side("a").join(side("b"), ["field", "period", "word"]).where("a_entity < b_entity and (a_first_document <> b_last_document or a_last_document <> b_first_document)").drop("word").distinct()
+    sized = names.join(rarest_first(names.select("entity").distinct()), "entity").withColumn("size", F.size("words"))
+    keys = ["field", "period", "word"]
+    side = lambda tag, words: sized.select("field", "period", F.explode(words).alias("word"), *(F.col(c).alias(f"{tag}_{c}") for c in ("entity", "first_document", "last_document", "size")))
+    prefix = F.slice("words", 1, F.col("size") - F.ceil(F.col("size") * 6 / 10).cast("int") + 1)
+    within = side("x", F.slice("words", 1, 1)).join(side("y", F.col("words")), keys).where("x_size <= y_size")
+    across = side("x", prefix).join(side("y", prefix), keys)
+    found = within.unionByName(across).where("x_entity <> y_entity and (x_first_document <> y_last_document or x_last_document <> y_first_document)")
+    pairs = found.select("field", "period", F.least("x_entity", "y_entity").alias("a_entity"), F.greatest("x_entity", "y_entity").alias("b_entity")).distinct()
     pairs = pairs.where(N.entity_match(F.col("a_entity"), F.col("b_entity")) == "ambiguous")
     return pairs.select(N.fingerprint(F.lit("entity"), F.col("field"), F.col("period"), F.col("a_entity"), F.col("b_entity")).alias("fingerprint"), "field", "period", "a_entity", "b_entity")
 
@@ -107,6 +124,46 @@ def range_conflicts(rows: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     return pairs.withColumn("conflict_type", F.when(same, "mismatch").otherwise("discrepancy")).withColumn("severity", F.when(same, "high").otherwise("medium"))
 
 
+#: Events of a key that one window sorts; cuts that a larger key gets.
+SWEEP, CUTS = 1 << 20, 64
+
+
+def _swept(events: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Events (keys, at, end: whether a range ends here, document_id, low, high) with the number of ends before them and the last of these.
+
+    A window of running extremes by key. A key with over ``most`` events is cut at CUTS of its places, whose exactness doesn't matter: the totals of a cut's earlier neighbours are added."""
+    cuts = F.percentile_approx("at", [i / (CUTS + 1) for i in range(1, CUTS + 1)], 1000)
+    large = events.groupBy(*keys).agg(F.count("*").alias("n"), cuts.alias("cuts")).where(F.col("n") > most).drop("n")
+    dealt = events.join(large, keys, "left").withColumn("part", F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("at"))), F.lit(0))).drop("cuts")
+    order = Window.partitionBy(*keys, "part").orderBy("at", "end", F.desc("document_id"), "low", "high").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ended = F.when(F.col("end"), F.struct("document_id", "low", "high"))
+    run = dealt.withColumns({"count_here": F.count_if(F.col("end")).over(order), "last_here": F.last(ended, True).over(order)})
+    parts = run.groupBy(*keys, "part").agg(F.max("count_here").alias("count"), F.max_by("last_here", "count_here").alias("last"))
+    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select(*keys, "part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("count_before"), F.last("last", True).over(earlier).alias("last_before"))
+    return run.where(~F.col("end")).join(before, [*keys, "part"]).select(*keys, "document_id", "low", "high", (F.col("count_here") + F.col("count_before")).alias("n"), F.coalesce("last_here", "last_before").alias("nearest"))
+
+
+def range_disagreements(rows: DataFrame, tolerance: float = 1e-6, most: int = SWEEP) -> DataFrame:
+    """Each range that disagrees with others of its (entity key, metric, borehole), once (VAL-7): n (how many ranges it doesn't overlap), n_in_document (those of its own document), the nearest
+    of them (document, low, high; of equal gaps the one below, then the smallest document), gap, and severity: high where its own document disagrees, else medium.
+
+    Ranges and their mirror images are swept once each in order of their ends, so that work and rows are linear in the ranges, where pairs are not. Equal ranges of a document are
+    one; ranges without both ends take no part; no rows give no rows."""
+    keys = ["entity_key", "metric", "borehole"]
+    r = rows.where("low is not null and high is not null").select(*keys, "document_id", F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high")).distinct()
+    r = r.join(r.groupBy(*keys).agg(F.max("low").alias("l"), F.min("high").alias("h")).where(F.col("h") + tolerance < F.col("l")).drop("l", "h"), keys, "left_semi")  # all others agree
+    sides = F.explode(F.array(*(F.struct(F.lit(up).alias("up"), start.alias("start"), stop.alias("stop")) for up, start, stop in ((False, F.col("low"), F.col("high") + tolerance), (True, -F.col("high") - tolerance, -F.col("low"))))))
+    sided = r.select("*", sides.alias("s")).select(*r.columns, "s.*")
+    events = sided.select(*keys, "document_id", "low", "high", "up", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(False).alias("end")), F.struct(F.col("stop").alias("at"), F.lit(True).alias("end")))).alias("e")).select("*", "e.*").drop("e")
+    whole = _swept(events, [*keys, "up"], most).withColumn("own", F.lit(False))
+    within = _swept(events.withColumn("of", F.col("document_id")), [*keys, "up", "of"], most).drop("of").withColumn("own", F.lit(True))
+    found = whole.unionByName(within).where("n > 0")
+    gap = F.when(F.col("up"), F.col("nearest.low") - F.col("high")).otherwise(F.col("low") - F.col("nearest.high"))
+    out = found.groupBy(*keys, "document_id", "low", "high").agg(F.sum(F.when(~F.col("own"), F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(F.col("own"), F.col("n")).otherwise(0)).alias("n_in_document"), F.min(F.when(~F.col("own"), F.struct(F.round(gap, 9).alias("gap"), "up", F.col("nearest.document_id").alias("document_id"), F.col("nearest.low").alias("low"), F.col("nearest.high").alias("high")))).alias("b"))
+    return out.select(*keys, "document_id", "low", "high", "n", "n_in_document", F.col("b.document_id").alias("nearest_document"), F.col("b.low").alias("nearest_low"), F.col("b.high").alias("nearest_high"), "b.gap", F.when(F.col("n_in_document") > 0, "high").otherwise("medium").alias("severity"))
+
+
 def quality_issues(rows: DataFrame) -> DataFrame:
     """Issues of geological rows (VAL-8), one row each: id, issue. Rows have id, kind, value, seam_name, geological_formation, unit_known."""
     kind, has_seam = F.col("kind"), F.coalesce(F.length("seam_name") > 0, F.lit(False))

@@ -227,7 +227,7 @@ def year_changes(t: Tables) -> DataFrame:
     return A.year_changes(t.usable).select("id", "entity", "field", "period", "base_value", "before", "change", "percent")
 
 
-@query("""SELECT entity_name, storage_metric, period, measure, reporting_month, unit, count(*) AS n, min(value) AS low, max(value) AS high, arg_min(fact_id, document_id || '|' || fact_id) AS fact_id, max(value) - min(value) > 1e-6 AS conflict FROM cx GROUP BY ALL""", whole=True)
+@query("""SELECT entity_name, storage_metric, period, measure, reporting_month, unit, count(*) AS n, min(value) AS low, max(value) AS high, arg_min(fact_id, row(document_id, fact_id)) AS fact_id, max(value) - min(value) > 1e-6 AS conflict FROM cx GROUP BY ALL""", whole=True)
 def unique_facts(t: Tables) -> DataFrame:
     return A.unique_facts(t.classified)
 
@@ -401,13 +401,13 @@ def formation_rollup(t: Tables) -> DataFrame:
     return E.formations(t.typed)
 
 
-@query("""SELECT document_id, seam, arg_min(formation, source_page || '|' || id) FILTER (formation IS NOT NULL) AS formation, arg_min(metres, source_page || '|' || id) FILTER (kind = 'seam_thickness') AS thickness, arg_min(value_num, source_page || '|' || id) FILTER (kind IN ('resource_quantity', 'reserve_quantity')) AS quantity,
+@query("""SELECT document_id, seam, arg_min(formation, row(source_page, id)) FILTER (formation IS NOT NULL) AS formation, arg_min(metres, row(source_page, id)) FILTER (kind = 'seam_thickness') AS thickness, arg_min(value_num, row(source_page, id)) FILTER (kind IN ('resource_quantity', 'reserve_quantity')) AS quantity,
  list_sort(list(DISTINCT borehole_key)) AS boreholes, list_sort(list(DISTINCT source_page)) AS pages, count(*) AS evidence_count FROM gx WHERE bucket <> 'rejected' AND seam IS NOT NULL GROUP BY document_id, seam""")
 def seam_rollup(t: Tables) -> DataFrame:
     return E.seams(t.typed)
 
 
-@query("""SELECT document_id, borehole_key, arg_min(metres, source_page || '|' || id) FILTER (kind = 'borehole_depth') AS depth, coalesce(list_sort(list(DISTINCT seam) FILTER (seam IS NOT NULL)), []) AS seams, coalesce(list_sort(list(DISTINCT formation) FILTER (formation IS NOT NULL)), []) AS formations, count(*) AS evidence_count FROM gx WHERE bucket <> 'rejected' GROUP BY document_id, borehole_key""")
+@query("""SELECT document_id, borehole_key, arg_min(metres, row(source_page, id)) FILTER (kind = 'borehole_depth') AS depth, coalesce(list_sort(list(DISTINCT seam) FILTER (seam IS NOT NULL)), []) AS seams, coalesce(list_sort(list(DISTINCT formation) FILTER (formation IS NOT NULL)), []) AS formations, count(*) AS evidence_count FROM gx WHERE bucket <> 'rejected' GROUP BY document_id, borehole_key""")
 def borehole_rollup(t: Tables) -> DataFrame:
     return E.boreholes(t.typed)
 
@@ -425,9 +425,9 @@ def formation_tree(t: Tables) -> DataFrame:
 COMPARED = """, base AS MATERIALIZED (SELECT * FROM gx WHERE bucket = 'verified' AND document_id IN ('doc1', 'doc3')),
 vals AS MATERIALIZED (SELECT document_id, 'formations' AS category, formation AS item, CAST(NULL AS DOUBLE) AS value FROM base WHERE formation IS NOT NULL GROUP BY ALL
  UNION ALL SELECT document_id, 'seams', seam, NULL FROM base WHERE seam IS NOT NULL GROUP BY ALL UNION ALL SELECT document_id, 'boreholes', borehole_key, NULL FROM base GROUP BY ALL
- UNION ALL SELECT document_id, 'resources', seam, arg_min(value_num, source_page || '|' || id) FROM base WHERE kind = 'resource_quantity' AND seam IS NOT NULL GROUP BY ALL
- UNION ALL SELECT document_id, 'borehole_depths', borehole_key, arg_min(metres, source_page || '|' || id) FROM base WHERE kind = 'borehole_depth' GROUP BY ALL
- UNION ALL SELECT document_id, 'minimum_workable_thickness', kind, arg_min(metres, source_page || '|' || id) FROM base WHERE kind = 'minimum_workable_seam_thickness' GROUP BY ALL)"""
+ UNION ALL SELECT document_id, 'resources', seam, arg_min(value_num, row(source_page, id)) FROM base WHERE kind = 'resource_quantity' AND seam IS NOT NULL GROUP BY ALL
+ UNION ALL SELECT document_id, 'borehole_depths', borehole_key, arg_min(metres, row(source_page, id)) FROM base WHERE kind = 'borehole_depth' GROUP BY ALL
+ UNION ALL SELECT document_id, 'minimum_workable_thickness', kind, arg_min(metres, row(source_page, id)) FROM base WHERE kind = 'minimum_workable_seam_thickness' GROUP BY ALL)"""
 
 
 @query(COMPARED + " SELECT coalesce(a.category, b.category) AS category, coalesce(a.item, b.item) AS item, a.value AS a_value, a.item IS NOT NULL AS in_a, b.value AS b_value, b.item IS NOT NULL AS in_b FROM (SELECT * FROM vals WHERE document_id = 'doc1') a FULL JOIN (SELECT * FROM vals WHERE document_id = 'doc3') b ON a.category = b.category AND a.item = b.item")
@@ -438,7 +438,7 @@ def compare_documents(t: Tables) -> DataFrame:
 # Corpus --------------------------------------------------------------------------------------------------------
 
 CUES = {"en": {"the": 1.0, "of": 1.0, "and": 0.5}, "de": {"der": 1.0, "und": 1.0, "die": 0.5}, "fr": {"les": 1.0, "des": 1.0, "une": 0.5}, "es": {"los": 1.0, "las": 1.0, "una": 0.5}}
-_SCORE = {n: " + ".join(f"least(len(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: w = '{w}')), 8) * CAST({x} AS DOUBLE)" for w, x in words.items()) for n, words in CUES.items()}
+_SCORE = {n: " + ".join(f"least(len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w = '{w}')), 8) * CAST({x} AS DOUBLE)" for w, x in words.items()) for n, words in CUES.items()}
 
 
 @query("SELECT document_id, " + ", ".join(f"round({s}, 6) AS {n}" for n, s in _SCORE.items()) + " FROM {v_page} p")
@@ -568,7 +568,7 @@ def review_queue(t: Tables) -> DataFrame:
 
 
 #: Reviewers act on the facts of an entity; items exist for the facts of documents 0 to 3, and for some that have gone.
-ACTS = """, acts AS (SELECT f.id, a.action, a.corrected_value, a.reviewer, a.acted_at FROM fx f JOIN {v_review} a ON f.entity_name = a.entity_name QUALIFY row_number() OVER (PARTITION BY f.id ORDER BY acted_at, seq) = 1)"""
+ACTS = """, acts AS (SELECT f.id, a.action, a.corrected_value, a.reviewer, a.acted_at FROM fx f JOIN (SELECT * FROM {v_review} r QUALIFY row_number() OVER (PARTITION BY entity_name ORDER BY acted_at, seq) = 1) a ON f.entity_name = a.entity_name)"""
 
 
 def _actions(t: Tables) -> DataFrame:

@@ -61,10 +61,10 @@ def report_fact_scores(t: Tables) -> DataFrame:
 
 
 def _count(w: str) -> str:
-    text = "lower(text)"
+    text = "regexp_replace(lower(text), '\\s+', ' ', 'g')"
     if " " in w:
         return f"(length({text}) - length(replace({text}, '{w}', ''))) // {len(w)}"
-    return f"len(list_filter(regexp_extract_all({text}, '[\\p{{L}}\\p{{N}}_]+'), lambda x: x = '{w}'))"
+    return f"len(list_filter(regexp_extract_all({text}, '[a-z0-9]+'), lambda x: x = '{w}'))"
 
 
 _DOMAINS = {d: "round(" + " + ".join(f"least({_count(w)}, 8) * CAST({x} AS DOUBLE)" for w, x in cues.items()) + " + " + " + ".join(f"CASE WHEN contains(lower(filename), '{w}') THEN CAST({0.35 * x} AS DOUBLE) ELSE 0 END" for w, x in list(cues.items())[:6]) + ", 6)" for d, cues in DOMAIN_CUES.items()}

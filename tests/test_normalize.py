@@ -32,6 +32,7 @@ L = lambda x: F.lit(x).cast("string") if x is None or isinstance(x, str) else F.
         (N.number, "1,142.55 t", 1142.55), (N.number, "n.a.", None), (N.number, "12", 12.0), (N.family_key, "Alpha_Geo (v2).pdf", "alpha geo v2"), (N.slug, "Coal & Lignite", "coal-lignite"),
         (G.seam, "Seam R4", "Seam R4"), (G.seam, "R4 seam", "Seam R4"), (G.seam, "Seam III Top", "Seam III Top"), (G.seam, "III b", "Seam III Bottom"), (G.seam, "coal seam", None), (G.seam, "seam found", None), (G.seam, "seam wise", None),
         (G.borehole_key, "NP-01", "np01"), (G.formation, "the barakar formation", "Barakar Formation"), (G.formation_is_plausible, "Raniganj Formation", True), (G.formation_is_plausible, "through the Formation", False), (G.formation_is_plausible, None, False),
+        (G.formation_is_plausible, "Main Formation", False), (G.formation_is_plausible, "Regional Formation", False), (G.formation_is_plausible, "Observed Formation", False), (G.formation_is_plausible, "Upper Barakar Formation", True),
         (G.metric_kind, "workable thickness", "minimum_workable_seam_thickness"), (G.metric_kind, "resources", "resource_quantity"), (G.qualifier, "1.2 - 3.4 m", "range"),
     ],
 )
