@@ -16,6 +16,14 @@ def one_per(df: DataFrame, keys: list, order: list) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def first_of(df: DataFrame, keys: list, order: list, n: int, what: list, name: str) -> DataFrame:
+    """Each group's first ``n`` rows as an array ``name`` of structs of ``what``, with their ``place`` from 1: rows are ranked, and all but the first n left out, before lists are made, so that
+    no list outgrows n."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    ranked = df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+    return ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", *what))).alias(name))
+
+
 def normalized(facts: DataFrame) -> DataFrame:
     """Adds entity, field, period, unit_norm and base_value."""
     out = facts.withColumns({"entity": N.entity(F.col("entity_name")), "field": N.field(F.col("field_name")), "period": N.period(F.col("financial_year")), "unit_norm": N.unit(F.col("unit"))})

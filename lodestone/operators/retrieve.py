@@ -246,9 +246,14 @@ def verified_and_others(verified: DataFrame, others: DataFrame, key: str = "fact
     return verified.withColumn("verified", F.lit(True)).unionByName(rest.withColumn("verified", F.lit(False)), True)
 
 
+def significant_words(name: Column) -> Column:
+    """The words of a name that tell it from others (FN-9)."""
+    return F.filter(F.split(N.entity(name), " "), lambda w: (w != "") & ~among(w, ("the", "of", "and", "ltd", "limited", "co", "company", "mine", "mines", "pvt", "corporation")))
+
+
 def names_entity(text: Column, entity: Column) -> Column:
     """Whether a text holds every significant word of a name, as whole words (FN-9)."""
-    words = F.filter(F.split(N.entity(entity), " "), lambda w: ~among(w, ("the", "of", "and", "ltd", "limited", "co", "company", "mine", "mines", "pvt", "corporation")))
+    words = significant_words(entity)
     padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), F.lit(" "))
     return F.coalesce((F.size(words) > 0) & F.forall(words, lambda w: F.contains(padded, F.concat(F.lit(" "), w, F.lit(" ")))), F.lit(False))
 
