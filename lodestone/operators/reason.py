@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import normalize as N
-from lodestone.functions.text import among, found
+from lodestone.functions.text import among
 from lodestone.operators.facts import first_of, one_per
-from lodestone.operators.retrieve import resolve_documents, significant_words
+from lodestone.operators.retrieve import route, significant_words
 
 # Ways of comparing that ask for a year's value each, and the metrics that a question about coal or production accepts.
 YEARLY = ("change", "rank", "compare")
@@ -24,11 +24,6 @@ def given(name: str) -> Column:
     return F.array_distinct(F.array_compact(F.coalesce(F.col(name), F.array().cast(TEXTS))))
 
 
-def year_key(text: Column) -> Column:
-    """The two digits that fiscal years are sorted by: FY2024, FY24 and 2024-25 are 24; 0 where there are none."""
-    return F.coalesce(found(F.upper(text), r"(?:20)?(\d{2})").cast("int"), F.lit(0))
-
-
 def required_slots(specs: DataFrame) -> DataFrame:
     """The slots that each spec needs (JN-13): one for each entity, period, month, measure and metric, in this order, numbered from 0.
 
@@ -131,7 +126,7 @@ def _measured(at: Column) -> list[Column]:
     has = F.col("best").isNotNull()
     item = F.struct(F.col("best.value").alias("value"), F.col("best.unit").alias("unit"), F.col("best.entity_name").alias("entity"), F.col("best.period").alias("period"))
     key = lambda *c: F.when(has, F.struct(*c))
-    year, value = year_key(F.col("f_period")), F.col("best.value")
+    year, value = F.coalesce(N.year_start(F.col("f_period")), F.lit(0)), F.col("best.value")
     several = lambda c: F.coalesce(F.min(F.when(has, F.col(c))) != F.max(F.when(has, F.col(c))), F.lit(False))
     return [
         F.count_if(has).alias("n"),
@@ -156,7 +151,7 @@ def reasoned(specs: DataFrame, facts: DataFrame) -> DataFrame:
     missing = first_of(slots.where(lost & ~F.col("aligned")).withColumn("label", label), ["spec_id"], ["slot"], 4, ["label"], "missing")
     each = rows.where("aligned and best is not null").groupBy("spec_id", "n_entities", F.col("f_period").alias("year"), "entity_at").agg(*_first_filling())
     shared = each.groupBy("spec_id", "n_entities", "year").agg(*_measured(F.col("entity_at"))).where("n = n_entities")
-    latest = one_per(shared, ["spec_id"], [F.desc(year_key(F.col("year"))), F.desc("year")])
+    latest = one_per(shared, ["spec_id"], [F.desc(F.coalesce(N.year_start(F.col("year")), F.lit(0))), F.desc("year")])
     parts = ("n", "oldest", "newest", "top", "bottom", "entities", "years", "units")
     found_ = plain.join(latest.select("spec_id", F.col("year"), *(F.col(c).alias(f"l_{c}") for c in parts)), "spec_id", "left")
     found_ = found_.select("spec_id", "aligned", "conflict", "n_missing", "year", *(F.when(F.col("aligned"), F.col(f"l_{c}")).otherwise(F.col(c)).alias(c) for c in parts))
@@ -180,3 +175,47 @@ def reasoned(specs: DataFrame, facts: DataFrame) -> DataFrame:
         higher.alias("higher"), lower.alias("lower"), side("old").alias("from_label"), side("new").alias("to_label"), F.col("old.value").alias("from_value"), F.col("new.value").alias("to_value"),
         F.col("new.unit").alias("unit"), (F.col("new.value") - F.col("old.value")).alias("change"), F.round(change["value"], 2).alias("percent"), change["undefined"].alias("percent_undefined"))
 
+
+
+#: What a pack warns of, in this order.
+WARNINGS = {
+    "conflict": "Conflicting evidence: no single value was selected.",
+    "missing": "A required value was not found.",
+    "unverified": "Only unverified facts were found.",
+    "nothing": "No reliable evidence was found.",
+}
+
+
+def packs(specs: DataFrame, facts: DataFrame, texts: DataFrame, conflicts: DataFrame, most: int = 10) -> DataFrame:
+    """One evidence pack for each spec (RET-12): the first ``most`` of its structured facts (the preferred fact of each dimension that fills a slot, by slot), texts (by score), stored conflicts
+    and missing slots, with the number of all of them, what to warn of, and how the spec can be answered (RET-13).
+
+    Facts as in resolved(), with status; texts: spec_id, id, document_id, page, score; conflicts: fingerprint, entity_name, metric, period, which reach the specs that one of their facts
+    fills. Rows are ranked before lists are made, so that no list outgrows ``most``; a pack without evidence has empty lists."""
+    rows = candidates(specs, facts)
+    hit = rows.where("best is not null").groupBy("spec_id", "f_entity", "f_metric", "f_month", "f_period", "f_measure", "f_unit").agg(F.min("slot").alias("slot"), F.first("best").alias("best"), F.first("conflict").alias("conflict"))
+    structured = hit.select("spec_id", "slot", "best.*", "conflict").join(facts.select("fact_id", among(F.col("status"), N.VERIFIED).alias("verified")).groupBy("fact_id").agg(F.max("verified").alias("verified")), "fact_id")
+    missing = _by_slot(rows).where("best is null").select("spec_id", "slot", "entity", "metric", "month", "period", "measure")
+    low = lambda c: F.lower(F.trim(c))
+    stored = conflicts.select("fingerprint", low("entity_name").alias("f_entity"), low("metric").alias("f_metric"), F.replace(low("period"), F.lit(" ")).alias("f_period"))
+    open_ = hit.select("spec_id", "f_entity", "f_metric", "f_period").distinct().join(stored, ["f_entity", "f_metric", "f_period"]).select("spec_id", "fingerprint").distinct()
+    parts = {
+        "structured": (structured, ["slot", "fact_id"], ["fact_id", "entity_name", "period", "value", "unit", "conflict", "verified"]),
+        "texts": (texts, [F.desc("score"), "id"], ["id", "document_id", "page", "score"]),
+        "conflicts": (open_, ["fingerprint"], ["fingerprint"]),
+        "missing": (missing, ["slot"], ["entity", "metric", "month", "period", "measure"]),
+    }
+    out = specs.select("spec_id")
+    for name, (df, order, what) in parts.items():
+        flags = [F.max("conflict").alias("disputed"), F.max("verified").alias("verified")] if name == "structured" else []
+        out = out.join(df.groupBy("spec_id").agg(F.count("*").alias(f"n_{name}"), *flags), "spec_id", "left").join(first_of(df, ["spec_id"], order, most, what, name), "spec_id", "left")
+    counted = {f"n_{name}": F.coalesce(f"n_{name}", F.lit(0)) for name in parts}
+    out = out.withColumns(counted | {name: F.coalesce(name, F.array()) for name in parts})
+    signs = {
+        "conflict": F.coalesce("disputed", F.lit(False)) | (F.col("n_conflicts") > 0),
+        "missing": F.col("n_missing") > 0,
+        "unverified": (F.col("n_structured") > 0) & ~F.coalesce("verified", F.lit(False)),
+        "nothing": F.col("n_structured") + F.col("n_texts") == 0,
+    }
+    warnings = F.array_compact(F.array(*(F.when(sign, WARNINGS[k]) for k, sign in signs.items())))
+    return out.select("spec_id", route(F.col("n_structured"), F.col("n_texts")).alias("route"), *counted, *parts, warnings.alias("warnings"))

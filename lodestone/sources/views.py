@@ -57,7 +57,13 @@ FROM {events}""",
     "v_page": "SELECT 'd' || CAST(doc_id AS VARCHAR(20)) AS document_id, doc_id, coalesce(text, '') AS text, source FROM {documents}",
 }
 
-VIEWS |= {f"{v}_whole": VIEWS[v].replace("l_suppkey % 7", "l_suppkey").replace("l_partkey % 50", "l_partkey").replace("d = 6", "d % 7 = 6").replace("CASE n % 5", "CASE (d + e + y) % 5") for v in ("v_fact", "v_index", "v_conflict")}
+#: Questions about each mine and the next one, in six forms.
+VIEWS["v_ask"] = """
+SELECT p AS spec_id, CAST(p % 6 AS INT) AS form, 'Mine ' || CAST(p AS VARCHAR(20)) AS e1, 'Mine ' || CAST(p + 1 AS VARCHAR(20)) AS e2,
+       'FY' || CAST(a AS VARCHAR(20)) || '-' || lpad(CAST((a + 1) % 100 AS VARCHAR(20)), 2, '0') AS first_period, 'FY' || CAST(z AS VARCHAR(20)) || '-' || lpad(CAST((z + 1) % 100 AS VARCHAR(20)), 2, '0') AS last_period
+FROM (SELECT l_partkey % 50 AS p, min(year(l_shipdate)) AS a, max(year(l_shipdate)) AS z FROM {lineitem} WHERE l_returnflag = 'A' AND l_linenumber % 3 = 0 GROUP BY l_partkey % 50) b"""
+
+VIEWS |= {f"{v}_whole": VIEWS[v].replace("l_suppkey % 7", "l_suppkey").replace("l_partkey % 50", "l_partkey").replace("d = 6", "d % 7 = 6").replace("CASE n % 5", "CASE (d + e + y) % 5") for v in ("v_fact", "v_index", "v_conflict", "v_ask")}
 #: Files of four versions each, so that the latest documents grow with the suppliers too.
 VIEWS["v_document_whole"] = """
 SELECT 'doc' || CAST(d AS VARCHAR(20)) AS document_id, 'Report_' || CAST(CAST((d - d % 4) / 4 AS BIGINT) AS VARCHAR(20)) || '.pdf' AS filename,
