@@ -9,6 +9,7 @@ from lodestone.functions import normalize as N
 from lodestone.functions.text import among
 from lodestone.operators.facts import first_of, one_per
 from lodestone.operators.retrieve import route, significant_words
+from lodestone.sources.cut import ensure_checkpoints
 
 # Ways of comparing that ask for a year's value each, and the metrics that a question about coal or production accepts.
 YEARLY = ("change", "rank", "compare")
@@ -104,6 +105,12 @@ def candidates(specs: DataFrame, facts: DataFrame) -> DataFrame:
     return reach.join(have, fits, "left")
 
 
+def _kept_candidates(specs: DataFrame, facts: DataFrame) -> DataFrame:
+    """The candidates as a checkpoint: several aggregates read them, and facts are to be scanned and grouped once."""
+    ensure_checkpoints(facts.sparkSession)
+    return candidates(specs, facts).checkpoint()
+
+
 def _first_filling() -> list[Column]:
     order = F.when(F.col("best").isNotNull(), F.struct("rank.untitled", "rank.page", "rank.fact_id"))
     return [F.coalesce(F.bool_or("conflict"), F.lit(False)).alias("conflict"), F.min_by("best", order).alias("best"), F.min_by("f_unit", order).alias("f_unit"), F.min_by("f_entity", order).alias("f_entity"), F.min_by("f_period", order).alias("f_period"), F.min(F.when(F.col("conflict"), F.col("low"))).alias("low"), F.max(F.when(F.col("conflict"), F.col("high"))).alias("high")]
@@ -143,7 +150,7 @@ def reasoned(specs: DataFrame, facts: DataFrame) -> DataFrame:
     year that all entities share; unit_mismatch; else ok. One entity with several years: the change from the oldest to the newest, the years of the higher and the lower value (none if equal). Several entities: the
     highest and the lowest, and the change from low to high if there are two values. Several entities without a year are compared in the latest year that all of them have (``year``), with one
     value each. A change from zero has no percentage. Specs that share an id are an error of the caller's."""
-    rows = candidates(specs, facts)
+    rows = _kept_candidates(specs, facts)
     slots = _by_slot(rows)
     label = F.concat_ws(" ", "entity", "metric", "month", "period", "measure")
     lost = F.col("best").isNull()
@@ -192,7 +199,7 @@ def packs(specs: DataFrame, facts: DataFrame, texts: DataFrame, conflicts: DataF
 
     Facts as in resolved(), with status; texts: spec_id, id, document_id, page, score; conflicts: fingerprint, entity_name, metric, period, which reach the specs that one of their facts
     fills. Rows are ranked before lists are made, so that no list outgrows ``most``; a pack without evidence has empty lists."""
-    rows = candidates(specs, facts)
+    rows = _kept_candidates(specs, facts)
     hit = rows.where("best is not null").groupBy("spec_id", "f_entity", "f_metric", "f_month", "f_period", "f_measure", "f_unit").agg(F.min("slot").alias("slot"), F.first("best").alias("best"), F.first("conflict").alias("conflict"))
     structured = hit.select("spec_id", "slot", "best.*", "conflict").join(facts.select("fact_id", among(F.col("status"), N.VERIFIED).alias("verified")).groupBy("fact_id").agg(F.max("verified").alias("verified")), "fact_id")
     missing = _by_slot(rows).where("best is null").select("spec_id", "slot", "entity", "metric", "month", "period", "measure")
