@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import normalize as N
+from lodestone.operators.facts import first_of
 
 # What recognition takes each digit for.
 CONFUSIONS = {
@@ -115,12 +116,15 @@ def actual_target_blocks(pages: DataFrame) -> DataFrame:
 
 
 def page_confidence(words: DataFrame, low: int = 70, keep_words: int = 40, keep_decimals: int = 20) -> DataFrame:
-    """Recognition quality of each page (AGG-22): mean confidence, and its first uncertain words and numbers. Words: document_id, page_number, place, word, confidence."""
+    """Recognition quality of each page (AGG-22): mean confidence, and its first uncertain words and numbers, each once, null where there are none. Words: document_id, page_number,
+    place, word, confidence (below 0: not read). Words are ranked before lists are made."""
+    page = ["document_id", "page_number"]
     known = words.where("confidence >= 0")
-    poor = F.when(F.col("confidence") < low, F.struct("place", "word"))
-    number = F.when((F.col("confidence") < low) & F.col("word").rlike(r"^\d+\.\d+$"), F.struct("place", "word"))
-    first = lambda c, n: F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["word"])), 1, n)
-    return known.groupBy("document_id", "page_number").agg(F.round(F.avg("confidence"), 3).alias("mean_confidence"), first(poor, keep_words).alias("low_words"), first(number, keep_decimals).alias("low_decimals"))
+    poor = known.where((F.col("confidence") < low) & F.col("word").isNotNull()).groupBy(*page, "word").agg(F.min("place").alias("at"))
+    out = known.groupBy(*page).agg(F.round(F.avg("confidence"), 3).alias("mean_confidence"))
+    for name, rows, n in (("low_words", poor, keep_words), ("low_decimals", poor.where(F.col("word").rlike(r"^\d+\.\d+$")), keep_decimals)):
+        out = out.join(first_of(rows, page, ["at", "word"], n, ["word"], name).withColumn(name, F.col(f"{name}.word")), page, "left")
+    return out
 
 
 def scanned(pages: DataFrame, least: float = 40.0) -> DataFrame:

@@ -89,7 +89,8 @@ def audit(log: DataFrame, n: int = 500) -> DataFrame:
 
 
 def detail(documents: DataFrame, facts: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """Each document with its facts as a list in page order, each with its open conflicts (JN-10, JN-17)."""
+    """Each document with its facts, one row for each, which carries the fact as a struct (in page order where sorted by it) with its open conflicts (JN-10, JN-17); a document
+    without facts has one row without. A document may hold any number of facts, so they make no list; a page of them is facts.first_of."""
     open_ = conflicts.where(among(F.col("status"), ("review_required", "detected", "confirmed"))).groupBy("fact_id").agg(F.array_sort(F.collect_set("fingerprint")).alias("conflicts"))
-    rows = facts.join(open_, facts["id"] == open_["fact_id"], "left").select("document_id", F.struct("page_number", "id", "field_name", "value", "status", "conflicts").alias("f"))
-    return documents.join(rows.groupBy("document_id").agg(F.array_sort(F.collect_list("f")).alias("facts")), "document_id", "left")
+    rows = facts.join(open_, facts["id"] == open_["fact_id"], "left").select("document_id", F.struct("page_number", "id", "field_name", "value", "status", "conflicts").alias("fact"))
+    return documents.join(rows, "document_id", "left")

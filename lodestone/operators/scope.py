@@ -9,6 +9,7 @@ from lodestone.functions import normalize as N
 from lodestone.functions.text import blank_as_null
 from lodestone.operators.facts import one_per
 from lodestone.operators.retrieve import resolve_documents
+from lodestone.sources.cut import ensure_checkpoints
 
 # How many documents a name resolves to, by route.
 NAMED_WHEN_COMPARED, NAMED_BESIDE_SELECTED, NAMED_ALONE = 3, 5, 8
@@ -41,6 +42,7 @@ def scopes(asks: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]
     (of a comparison the newest of that family). An open scope is no rows with ``open``; an empty one no rows without it. Asks: spec_id, entity, entities (array), selected_id, session_id,
     geological, cross, deictic, names_place; documents: document_id, filename, version, created_at. Null flags are false. A selected document that isn't there stays in scope, so that nothing else is.
     Returns (spec_id, mode, reason, open, primary_id, n_families) and (spec_id, document_id)."""
+    ensure_checkpoints(asks.sparkSession)
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     names = F.when(F.size(F.coalesce("entities", F.array())) > 0, F.col("entities")).otherwise(F.array("entity"))
     a = asks.select("spec_id", "entity", _active().alias("active"), *(yes(c).alias(c) for c in ("geological", "cross", "deictic", "names_place")), names.alias("names"))
@@ -50,7 +52,7 @@ def scopes(asks: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]
     hits = resolve_documents(said.select("phrase").distinct(), documents, n=NAMED_ALONE).select("phrase", "document_id", F.col("rank").alias("match"))
     met = said.join(hits, "phrase").join(kin, "document_id")
     own = a.where("active is not null and not cross and geological").select("spec_id", F.col("active").alias("document_id")).join(kin, "document_id").select("spec_id", F.col("family").alias("own_family"))
-    met = met.join(own, "spec_id", "left").withColumn("inside", F.coalesce(F.col("family") == F.col("own_family"), F.lit(False)))
+    met = met.join(own, "spec_id", "left").withColumn("inside", F.coalesce(F.col("family") == F.col("own_family"), F.lit(False))).checkpoint()  # names resolve once
     beside = met.where(f"match <= {NAMED_BESIDE_SELECTED}").groupBy("spec_id").agg(F.count("*").alias("n_beside"), F.bool_or("inside").alias("any_inside"))
     routed = a.join(beside, "spec_id", "left").withColumn("n_beside", F.coalesce("n_beside", F.lit(0)))
     chosen = F.col("active").isNotNull() & F.col("geological")
@@ -64,7 +66,7 @@ def scopes(asks: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]
         .when(F.col("n_beside") > 0, "entity_resolved")
         .otherwise("unscoped")
     )
-    routed = routed.select("spec_id", "active", reason.alias("reason"))
+    routed = routed.select("spec_id", "active", reason.alias("reason")).checkpoint()
     most = F.when(F.col("reason") == "cross_document_comparison", NAMED_WHEN_COMPARED).when(F.col("reason") == "entity_other_document", NAMED_BESIDE_SELECTED).when(F.col("reason") == "entity_resolved", NAMED_ALONE)
     named = met.join(routed.select("spec_id", "reason"), "spec_id").where(F.col("match") <= most)
     found = named.groupBy("spec_id", "reason", "family").agg(F.min(F.struct("at", "match", "document_id")).alias("first"), F.max_by("document_id", _newest()).alias("newest"))

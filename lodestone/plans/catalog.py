@@ -542,7 +542,7 @@ def fact_evidence(t: Tables) -> DataFrame:
 
 @query("""SELECT 1 AS spec_id, s.entity, s.field, s.period, count(u.id) AS n, arg_max(u.base_value, (u.confidence_score, u.id)) AS value FROM (SELECT DISTINCT entity, f.field, p.period FROM fx, (SELECT unnest(['production', 'dispatch']) AS field) f, (SELECT unnest(['FY1995', 'FY1997', 'FY2050']) AS period) p) s LEFT JOIN ux u ON s.entity = u.entity AND s.field = u.field AND s.period = u.period GROUP BY ALL""")
 def filled_slots(t: Tables) -> DataFrame:
-    spec = t.fact.agg(F.collect_set("entity_name").alias("entities")).select(F.lit(1).alias("spec_id"), "entities", F.array(F.lit("output"), F.lit("dispatch")).alias("metrics"), F.array(F.lit("FY 1995"), F.lit("1997"), F.lit("FY2050")).alias("periods"))
+    spec = t.fact.select(F.array("entity_name").alias("entities")).distinct().select(F.lit(1).alias("spec_id"), "entities", F.array(F.lit("output"), F.lit("dispatch")).alias("metrics"), F.array(F.lit("FY 1995"), F.lit("1997"), F.lit("FY2050")).alias("periods"))
     return R.fill_slots(spec, t.usable).select("spec_id", "entity", "field", "period", "n", "value")
 
 
@@ -607,11 +607,11 @@ def version_roots(t: Tables) -> DataFrame:
     return W.version_roots(W.version_numbers(t.upload))
 
 
-@query("SELECT document_id, count(*) AS facts, list_sort(list(page_number || '|' || id))[1] AS first_fact FROM fx GROUP BY document_id", whole=True)
+@query("SELECT document_id, count(*) AS facts, arg_min(page_number || '|' || id, (page_number, id)) AS first_fact FROM fx GROUP BY document_id", whole=True)
 def document_details(t: Tables) -> DataFrame:
     found = V.cross_document(t.fact, t.document).select(F.col("a_id").alias("fact_id"), "fingerprint", F.lit("review_required").alias("status"))
-    rows = W.detail(t.document, t.fact, found)
-    return rows.select("document_id", F.size("facts").cast("long").alias("facts"), F.concat_ws("|", F.get("facts", 0)["page_number"].cast("string"), F.get("facts", 0)["id"]).alias("first_fact"))
+    rows = W.detail(t.document, t.fact, found).where("fact is not null").groupBy("document_id").agg(F.count("*").alias("facts"), F.min(F.struct("fact.page_number", "fact.id")).alias("first"))
+    return rows.select("document_id", "facts", F.concat_ws("|", F.col("first.page_number").cast("string"), F.col("first.id")).alias("first_fact"))
 
 
 # Evidence and reports -------------------------------------------------------------------------------------------
@@ -735,10 +735,19 @@ def audit_log(t: Tables) -> DataFrame:
     return W.audit(log).withColumn("details", F.array_join(F.transform(F.map_entries("details"), lambda e: F.concat_ws("=", e["key"], e["value"])), ","))
 
 
-@query("SELECT 'doc' || CAST(l_suppkey % 7 AS VARCHAR) AS document_id, CAST(l_partkey % 50 AS INT) AS page_number, round(avg(l_quantity * 2), 3) AS mean_confidence FROM lineitem WHERE l_quantity * 2 >= 0 GROUP BY ALL")
+_WORDS = "SELECT 'doc' || CAST(l_suppkey % 7 AS VARCHAR) AS document_id, CAST(l_partkey % 50 AS INT) AS page_number, l_orderkey * 10 + l_linenumber AS place, CASE WHEN l_linenumber <= 2 THEN CAST(l_suppkey AS VARCHAR) || '.' || CAST(l_orderkey % 10 AS VARCHAR) ELSE l_returnflag || CAST(l_orderkey % 50 AS VARCHAR) END AS word, l_quantity * 2 - 4 AS confidence FROM lineitem"
+
+
+@query(f"""WITH words AS ({_WORDS}), poor AS (SELECT document_id, page_number, word, min(place) AS seen FROM words WHERE confidence BETWEEN 0 AND 69.99 GROUP BY ALL),
+a AS (SELECT document_id, page_number, string_agg(word, ' ' ORDER BY seen, word) AS low_words FROM (SELECT * FROM poor QUALIFY row_number() OVER (PARTITION BY document_id, page_number ORDER BY seen, word) <= 40) GROUP BY ALL),
+b AS (SELECT document_id, page_number, string_agg(word, ' ' ORDER BY seen, word) AS low_decimals FROM (SELECT * FROM poor WHERE contains(word, '.') QUALIFY row_number() OVER (PARTITION BY document_id, page_number ORDER BY seen, word) <= 20) GROUP BY ALL)
+SELECT document_id, page_number, round(avg(confidence), 3) AS mean_confidence, any_value(low_words) AS low_words, any_value(low_decimals) AS low_decimals FROM words LEFT JOIN a USING (document_id, page_number) LEFT JOIN b USING (document_id, page_number) WHERE confidence >= 0 GROUP BY ALL""")
 def recognition_quality(t: Tables) -> DataFrame:
-    words = t.lineitem.select(F.concat(F.lit("doc"), (F.col("l_suppkey") % 7).cast("string")).alias("document_id"), (F.col("l_partkey") % 50).cast("int").alias("page_number"), F.col("l_orderkey").alias("place"), F.col("l_returnflag").alias("word"), (F.col("l_quantity") * 2).alias("confidence"))
-    return Y.page_confidence(words).select("document_id", "page_number", "mean_confidence")
+    line, order = F.col("l_linenumber"), F.col("l_orderkey")
+    word = F.when(line <= 2, F.concat(F.col("l_suppkey").cast("string"), F.lit("."), (order % 10).cast("string"))).otherwise(F.concat("l_returnflag", (order % 50).cast("string")))
+    words = t.lineitem.select(F.concat(F.lit("doc"), (F.col("l_suppkey") % 7).cast("string")).alias("document_id"), (F.col("l_partkey") % 50).cast("int").alias("page_number"), (order * 10 + line).alias("place"), word.alias("word"), (F.col("l_quantity") * 2 - 4).alias("confidence"))
+    out = Y.page_confidence(words)
+    return out.select("document_id", "page_number", "mean_confidence", F.array_join("low_words", " ").alias("low_words"), F.array_join("low_decimals", " ").alias("low_decimals"))
 
 
 @query("SELECT doc_id AS id FROM documents QUALIFY row_number() OVER (PARTITION BY source, left(regexp_replace(lower(coalesce(text, '')), '[ \t\n\v\f\r]+', ' ', 'g'), 80) ORDER BY doc_id) = 1")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import reason as Q
+from lodestone.operators import scope as S
 from lodestone.plans.catalog import Tables, query
 
 
@@ -78,3 +79,44 @@ def evidence_packs(t: Tables) -> DataFrame:
     ids = lambda c: F.array_join(F.col(c), ",")
     out = Q.packs(_specs(t), _facts(t), texts, conflicts)
     return out.select("spec_id", "route", "n_structured", "n_texts", "n_conflicts", "n_missing", ids("structured.fact_id").alias("first_facts"), ids("texts.id").alias("first_texts"), F.array_join("warnings", " ").alias("warnings"))
+
+
+def _asks(t: Tables) -> DataFrame:
+    """One spec for each document, in seven forms, about its own block or the next one."""
+    d, k = F.substring("document_id", 4, 20).cast("long"), F.regexp_extract("filename", r"(\d+)", 1).cast("long")
+    form = F.col("d") % 7
+    block = lambda n: F.concat(F.lit("Block "), n.cast("string"))
+    own, other = block(F.col("k")), block(F.col("k") + 1)
+    return t.document.withColumns({"d": d, "k": k}).select(
+        F.col("d").alias("spec_id"), F.when(form == 3, other).when(form.isin(4, 5), own).alias("entity"), F.when(form == 0, F.array(own, other)).alias("entities"),
+        F.when(form.isin(2, 3), F.col("document_id")).alias("selected_id"), F.when(form == 4, F.col("document_id")).alias("session_id"),
+        (form < 5).alias("geological"), (form == 0).alias("cross"), form.isin(1, 2).alias("deictic"), form.isin(3, 4).alias("names_place"))
+
+
+def _scopes(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return S.scopes(_asks(t), t.document.withColumn("created_at", F.col("weight")))
+
+
+SCOPES = """docs AS (SELECT document_id, CAST(substr(document_id, 4) AS BIGINT) AS d, CAST(regexp_extract(filename, '([0-9]+)', 1) AS BIGINT) AS k, version, weight FROM {v_document} v),
+fam AS (SELECT k, arg_max(document_id, (version, weight, document_id)) AS head, list(document_id) AS ids FROM docs GROUP BY k),
+scoped AS (SELECT a.d AS spec_id, CASE a.d % 7 WHEN 0 THEN 'cross_document_comparison' WHEN 1 THEN 'deictic_missing_current_document' WHEN 2 THEN 'current_document_deictic' WHEN 3 THEN CASE WHEN y.k IS NULL THEN 'current_document_geological_default' ELSE 'entity_other_document' END
+    WHEN 4 THEN 'current_document_geological_default' WHEN 5 THEN 'entity_resolved' ELSE 'unscoped' END AS reason,
+  CASE WHEN a.d % 7 = 0 THEN list_concat(x.ids, coalesce(y.ids, [])) WHEN a.d % 7 = 5 THEN x.ids WHEN a.d % 7 = 3 AND y.k IS NOT NULL THEN y.ids WHEN a.d % 7 IN (2, 3, 4) THEN [a.document_id] ELSE [] END AS ids,
+  CASE WHEN a.d % 7 IN (0, 5) THEN x.head WHEN a.d % 7 = 3 AND y.k IS NOT NULL THEN y.head WHEN a.d % 7 IN (2, 3, 4) THEN a.document_id END AS primary_id, CASE WHEN a.d % 7 = 0 AND y.k IS NOT NULL THEN 2 WHEN a.d % 7 IN (1, 6) THEN 0 ELSE 1 END AS n
+  FROM docs a JOIN fam x ON a.k = x.k LEFT JOIN fam y ON a.k + 1 = y.k)"""
+
+
+@query(f"""WITH {SCOPES} SELECT spec_id, reason, primary_id, CAST(n AS BIGINT) AS n_families, CASE WHEN reason = 'cross_document_comparison' THEN reason WHEN n = 1 OR starts_with(reason, 'deictic') THEN 'single_document' ELSE 'multi_document' END AS mode, CAST(len(ids) AS BIGINT) AS n_documents, list_aggregate(ids, 'min') AS first_id FROM scoped""", whole=True)
+def document_scopes(t: Tables) -> DataFrame:
+    scope, allowed = _scopes(t)
+    sizes = allowed.groupBy("spec_id").agg(F.count("*").alias("n_documents"), F.min("document_id").alias("first_id"))
+    return scope.drop("open").join(sizes, "spec_id", "left").withColumn("n_documents", F.coalesce("n_documents", F.lit(0)))
+
+
+#: Each fact is a hit of the spec of its document, in this document or one of the next, by its page.
+@query(f"""WITH {SCOPES}, hits AS (SELECT CAST(substr(document_id, 4) AS BIGINT) AS spec_id, 'doc' || CAST(CAST(substr(document_id, 4) AS BIGINT) + page_number - 1 AS VARCHAR) AS document_id FROM {{v_fact}} f)
+SELECT spec_id, document_id, count(*) AS n FROM hits h JOIN scoped s USING (spec_id) WHERE reason = 'unscoped' OR list_contains(ids, document_id) GROUP BY ALL""", whole=True)
+def scoped_hits(t: Tables) -> DataFrame:
+    own = F.substring("document_id", 4, 20).cast("long")
+    hits = t.fact.select(own.alias("spec_id"), F.concat(F.lit("doc"), (own + F.col("page_number") - 1).cast("string")).alias("document_id"))
+    return S.in_scopes(hits, *_scopes(t)).groupBy("spec_id", "document_id").agg(F.count("*").alias("n"))
