@@ -24,6 +24,20 @@ CONFUSIONS = {
 MEASURES = ("Overburden", "Lignite", "Coal", "Power Gross (NLCIL)", "Power Export (NLCIL)", "Power Gross (NTPL)", "Power Export (NTPL)")
 MOST_VALUES = 8
 
+# What a page of production by period must and must not say, in lower case.
+YEAR_MARK = r"(?i)\bfy\s*2[0-9]\b"
+THERMAL = r"table\s+1\.1:\s*coal\s+production|state-wise\s+coal\s+production"
+COKING = r"coking\s+coal\s+production"
+STRIPPING = r"\bobr\b|overburden"
+COKING_SECTION = r"(?is)table\s+1\.1\s*\(\s*b\s*\).*?(?=table\s+1\.2|\bobr\b|$)"
+BY_STATE = r"state[- ]wise"
+TITLES = {
+    "interleaved": "Production table (reconstructed from source layout)",
+    "grid": "State-wise production (reconstructed from source table)",
+    "coal grid": "State-wise coal production (reconstructed from source table)",
+}
+LEAST_ROWS = 3
+
 
 def confusable(a: Column, b: Column) -> Column:
     """Whether two numbers are equal or differ in one glyph that recognition confuses (TXT-9), in either direction; letters of the other case count too.
@@ -69,7 +83,7 @@ def apply_replacements(base: DataFrame, replacements: DataFrame) -> DataFrame:
 def lines(pages: DataFrame) -> DataFrame:
     """Non-empty lines with their places and kinds: number, label, growth (a percentage or a sign) or other."""
     out = pages.select("document_id", "page_number", F.posexplode(F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n")).alias("place", "line")).withColumn("line", F.trim("line")).where("line <> ''")
-    kind = F.when(F.col("line").rlike(r"^\d+\.\d{1,3}$"), "number").when(F.col("line").rlike(r"^\d{1,3}$"), "serial").when(F.col("line").rlike(r"(?i)^[-+]\d|%$|^growth"), "growth").when(N.plausible_entity(F.col("line")) & F.col("line").rlike("^[A-Za-z]") & ~F.col("line").rlike(r"(?i)\bfy\s*\d|table|production|target|month|during|upto"), "label").otherwise("other")
+    kind = F.when(F.col("line").rlike(r"^\d+\.\d{1,3}$"), "number").when(F.col("line").rlike(r"^\d{1,3}$"), "serial").when(F.col("line").rlike(r"(?i)^[-+]\d|%$|^growth|^[▲▼]"), "growth").when(N.plausible_entity(F.col("line")) & F.col("line").rlike("^[A-Za-z]") & ~F.col("line").rlike(r"(?i)\bfy\s*\d|table|production|target|month|during|upto"), "label").otherwise("other")
     return out.withColumn("kind", kind)
 
 
@@ -83,26 +97,76 @@ def label_runs(pages: DataFrame, least: int = 4) -> DataFrame:
     return runs.join(head, ["document_id", "page_number", "island"]).where(F.size("values") >= least).drop("island")
 
 
-def period_rows(runs: DataFrame) -> DataFrame:
-    """Runs as rows (label, measure, period, value) (TXT-18): with an achievement among the first four the actuals stand second and fourth."""
+def period_rows(runs: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """Runs as rows (label, measure, period, value) (TXT-18): with an achievement among the first four the actuals stand second and fourth. ``more``: columns to keep."""
     v = lambda k: F.get("values", k)
     achievement = F.exists(F.slice("values", 1, 4), lambda x: x.between(70.0, 160.0)) & (F.size("values") >= 6)
     picks = (("during", "later", 1, 0), ("during", "earlier", 3, 1), ("upto", "later", 4, 2), ("upto", "earlier", 5, 3))
     rows = F.array(*(F.struct(F.lit(m).alias("measure"), F.lit(p).alias("year"), F.when(achievement, v(a)).otherwise(v(b)).alias("value")) for m, p, a, b in picks))
-    return runs.where("head = 'label'").select("document_id", "page_number", "label", F.explode(rows).alias("r")).select("document_id", "page_number", "label", "r.*")
+    return runs.where("head = 'label'").select("document_id", "page_number", "label", *(more or []), F.explode(rows).alias("r")).select("document_id", "page_number", "label", *(more or []), "r.*")
 
 
 def zipped_grid(pages: DataFrame) -> DataFrame:
-    """Labels and numeric rows that a page lists apart, zipped in order (JN-12, TXT-18): label k with the run of the k-th serial number."""
+    """Labels and numeric rows that a page lists apart, zipped in order (JN-12, TXT-18): label k with the run of the k-th serial number. Labels stand before a number each, up to the
+    first line with a year after them."""
     w = Window.partitionBy("document_id", "page_number").orderBy("label_place")
     runs = label_runs(pages)
     grid = runs.where("head = 'serial'").withColumn("k", F.row_number().over(w)).select("document_id", "page_number", "k", "values")
     own = Window.partitionBy("document_id", "page_number").orderBy("place")
     after = lines(pages).withColumn("next", F.lead("kind").over(own))
-    labels = after.where("kind = 'label' and next = 'number'").withColumn("k", F.row_number().over(own)).select("document_id", "page_number", "k", F.col("line").alias("label"))
+    whole = Window.partitionBy("document_id", "page_number")
+    pair = (F.col("kind") == "label") & (F.col("next") == "number")
+    after = after.withColumn("first_pair", F.min(F.when(pair, F.col("place"))).over(whole))
+    year = F.col("line").rlike(YEAR_MARK) & (F.col("place") > F.col("first_pair"))
+    after = after.withColumn("listed_to", F.min(F.when(year, F.col("place"))).over(whole)).where(F.col("listed_to").isNull() | (F.col("place") < F.col("listed_to")))
+    labels = after.where(pair).withColumn("k", F.row_number().over(own)).select("document_id", "page_number", "k", F.col("line").alias("label"))
     return labels.join(grid, ["document_id", "page_number", "k"])
 
 
+def production_pages(pages: DataFrame) -> DataFrame:
+    """Pages that may hold a table of production by period (TXT-18), with metric, month (Unknown where none is told) and by_state. They tell of production in a fiscal year of the twenties and of coal,
+    lignite or overburden; pages of coking coal or stripping alone are left out, and the section on coking coal is cut out of others."""
+    low = F.lower("text")
+    has = lambda word: F.contains(low, F.lit(word))
+    metric = F.when(has("coal"), "coal").when(has("lignite"), "lignite")
+    thermal = low.rlike(THERMAL)
+    other = (F.col("metric") == "coal") & ~thermal & (low.rlike(COKING) | (low.rlike(STRIPPING) & ~has("coal production")))
+    out = pages.withColumn("metric", metric).where(has("production") & low.rlike(YEAR_MARK) & F.col("metric").isNotNull() & ~other)
+    # the month's rules stand in a lambda, so that the text is bound once and generated code stays small
+    cut = F.when(F.col("metric") == "coal", F.regexp_replace("text", COKING_SECTION, "\n")).otherwise(F.col("text"))
+    out = out.withColumn("text", cut)
+    return out.withColumns({"month": F.coalesce(F.get(F.transform(F.array("text"), N.reporting_month), 0), F.lit("Unknown")), "by_state": low.rlike(BY_STATE)})
+
+
+def period_tables(pages: DataFrame) -> DataFrame:
+    """Production by label, month, measure (during, upto) and year (later, earlier) of pages whose tables lost their layout (TXT-18, WIN-14, JN-12): numbers after their labels, or, on pages by state
+    first, labels and numbers listed apart. Three rows at least make a table; a page has one form. Null and empty texts, and pages without tables, give nothing; rows that share a page's key
+    are an error of the caller's."""
+    own = production_pages(pages.select("document_id", "page_number", "text"))
+    key = ["document_id", "page_number"]
+    rows = label_runs(own).where("head = 'label'").select(*key, "label", "values", F.col("label_place").alias("at"), F.lit("interleaved").alias("form"))
+    grid = zipped_grid(own).select(*key, "label", "values", F.col("k").alias("at"), F.lit("grid").alias("form"))
+    both = rows.unionByName(grid).join(own.select(*key, "metric", "month", "by_state"), key)
+    page = Window.partitionBy(*key)
+    both = both.withColumn("n", F.count("*").over(Window.partitionBy(*key, "form"))).where(F.col("n") >= LEAST_ROWS)
+    first = F.when(F.col("by_state"), F.when(F.col("form") == "grid", 0).otherwise(1)).otherwise(F.when(F.col("form") == "grid", 1).otherwise(0))
+    both = both.withColumn("turn", first).withColumn("best", F.min("turn").over(page)).where("turn = best")
+    out = period_rows(both.withColumn("head", F.lit("label")), ["metric", "month", "by_state", "form", "at"])
+    return out.where("value is not null")
+
+
+def period_table_texts(tables: DataFrame) -> DataFrame:
+    """The evidence text of each page's table (TXT-18): a title, then a sentence for each label and measure, in the page's order. A page's own rows make the text."""
+    key = ["document_id", "page_number"]
+    plain = lambda v: F.regexp_replace(F.regexp_replace(F.format_string("%.6f", v), r"0+$", ""), r"\.$", "")
+    side = lambda y: F.max(F.when(F.col("year") == y, F.col("value")))
+    rows = tables.groupBy(*key, "form", "by_state", "at", "label", "metric", "month", "measure").agg(side("later").alias("later"), side("earlier").alias("earlier")).where("later is not null and earlier is not null")
+    said = F.format_string("%s %s production | reporting_period=%s | measure=%s | FY25=%s MT | FY24=%s MT.", "label", "metric", "month", "measure", plain(F.col("later")), plain(F.col("earlier")))
+    title = F.when(F.col("form") == "interleaved", TITLES["interleaved"]).when(F.col("by_state"), TITLES["coal grid"]).otherwise(TITLES["grid"])
+    lines_ = F.transform(F.array_sort(F.collect_list(F.struct("at", "measure", said.alias("said")))), lambda x: x["said"])
+    return rows.groupBy(*key, title.alias("title")).agg(lines_.alias("lines")).select(*key, F.concat(F.col("title"), F.lit(": "), F.array_join("lines", " ")).alias("content"))
+
+
 def actual_target_blocks(pages: DataFrame) -> DataFrame:
     """Seven measures with their actual and target columns (TXT-19): the numbers after the word Actual, then those after Target, or the next seven."""
     numbers = lambda t: F.transform(F.regexp_extract_all(t, F.lit(r"(?<!\()\b(\d+\.\d{2})\b")), lambda x: x.cast("double"))

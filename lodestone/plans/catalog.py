@@ -38,7 +38,7 @@ class Tables:
         self.spark, self.sf_dir, self.whole = spark, sf_dir, whole
 
     def __getattr__(self, name: str) -> DataFrame:
-        return view(self.spark, self.sf_dir, f"v_{name}_whole" if self.whole and f"v_{name}_whole" in VIEWS else f"v_{name}") if name in ("fact", "document", "upload", "index", "geo", "conflict", "review", "page", "report_page", "core_page", "ask") else table(self.spark, self.sf_dir, name)
+        return view(self.spark, self.sf_dir, f"v_{name}_whole" if self.whole and f"v_{name}_whole" in VIEWS else f"v_{name}") if name in ("fact", "document", "upload", "index", "geo", "conflict", "review", "page", "report_page", "core_page", "ask", "layout_page") else table(self.spark, self.sf_dir, name)
 
     @property
     def index_facts(self) -> DataFrame:

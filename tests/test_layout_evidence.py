@@ -128,3 +128,38 @@ def test_every_spec_meets_every_text(spark):
         assert {(r.spec_id, r.document_id) for r in D.text_compatible(texts, specs).collect()} == want
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_period_tables(spark):
+    rows = lambda *labels: "\n".join(f"{k + 1}\n{name}\n{k + 1}.10\n▲ 2.5\n{k + 1}.20\n{k + 1}.30\n{k + 1}.40" for k, name in enumerate(labels))
+    head = "Table 1.1: Coal Production\nduring Mar\nFY 25\nFY 24\n"
+    three = rows("Odisha", "Assam", "Kerala")
+    grid = "State-wise coal production\nupto Dec\nOdisha\n9.10\nAssam\n9.20\nKerala\n9.30\nFY 25\n" + "\n".join(f"{k}\n{k}.10\n{k}.20\n{k}.30\n{k}.40" for k in (1, 2, 3)) + "\nBihar\n8.80"
+    pages = {
+        "plain": head + three,
+        "two": head + rows("Odisha", "Assam"),
+        "no year": head.replace("FY", "Y") + three,
+        "no metal": "Production\nFY 25\n" + three,
+        "coking": "Coking coal production\nFY 25\n" + three,
+        "stripping": "OBR and coal\nproduction\nFY 25\n" + three,
+        "section": head + three + "\nTable 1.1 (b) coking coal production\n" + rows("Bihar", "Gujarat"),
+        "grid": grid,
+        "by state": "State-wise coal production\nFY 25\n" + three,
+        "achieved": head + three + "\nBihar\n5.10\n5.20\n98.00\n5.30\n5.40\n5.50",
+        "null": None,
+        "empty": "",
+    }
+    df = spark.createDataFrame([(k, 1, t, "x") for k, t in pages.items()], PAGE + ", values string")
+    out = Y.period_tables(df)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.document_id, {}).setdefault((r.label, r.measure, r.year), r.value)
+        assert (r.metric, r.month) == ("coal", {"grid": "December", "by state": "Unknown"}.get(r.document_id, "March"))
+    want = {(name, m, y): k + 1 + v for k, name in enumerate(("Odisha", "Assam", "Kerala")) for m, y, v in (("during", "later", 0.1), ("during", "earlier", 0.2), ("upto", "later", 0.3), ("upto", "earlier", 0.4))}
+    same = lambda a, b: a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    assert got.keys() == {"plain", "section", "grid", "by state", "achieved"}
+    assert all(same(got[k], want) for k in ("plain", "section", "grid", "by state"))
+    assert same(got["achieved"], want | {("Bihar", "during", "later"): 5.2, ("Bihar", "during", "earlier"): 5.3, ("Bihar", "upto", "later"): 5.4, ("Bihar", "upto", "earlier"): 5.5})
+    texts = {r.document_id: r.content for r in Y.period_table_texts(out).collect()}
+    assert texts["grid"].startswith("State-wise coal production (reconstructed from source table): Odisha coal production | reporting_period=December | measure=during | FY25=1.1 MT | FY24=1.2 MT. Odisha coal")
+    assert Y.period_tables(df.where("false")).count() == 0
