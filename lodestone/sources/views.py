@@ -58,16 +58,19 @@ FROM {events}""",
 }
 
 #: Pages whose tables lost their layout, in four forms: numbers after labels, labels and numbers apart, coking coal alone, actual and target in one block.
-_ROWS = " || ".join(f"'{k + 1}' || chr(10) || '{label}' || chr(10) || w{k} || '.10' || chr(10) || w{k} || '.20' || chr(10) || '▲ 4.5' || chr(10) || {extra}w{k} || '.30' || chr(10) || w{k} || '.40' || chr(10) || {last}'▼ 1.25' || chr(10)" for k, (label, extra, last) in enumerate((("Odisha", "", ""), ("Jharkhand", "", ""), ("Telangana", "'95.50' || chr(10) || ", "w2 || '.50' || chr(10) || "))))
-_GRID = " || ".join(f"'{k + 1}' || chr(10) || w{k} || '.15' || chr(10) || w{k} || '.25' || chr(10) || w{k} || '.35' || chr(10) || w{k} || '.45' || chr(10)" for k in range(3))
+#: @0 to @2 stand for the numbers of a page, ~ for the end of a line.
+_ROWS = "".join(f"{k + 1}~{label}~@{k}.10~@{k}.20~▲ 4.5~{extra}@{k}.30~@{k}.40~{last}▼ 1.25~" for k, (label, extra, last) in enumerate((("Odisha", "", ""), ("Jharkhand", "", ""), ("Telangana", "95.50~", "@2.50~"))))
+_GRID = "".join(f"{k + 1}~@{k}.15~@{k}.25~@{k}.35~@{k}.45~" for k in range(3))
+_FORMS = (
+    f"Table 1.1: Coal Production in MT~Production during Mar~FY 25~FY 24~{_ROWS}Table 1.2",
+    f"State-wise Lignite Production~as it stood upto Dec~Gujarat~1.5~Rajasthan~2.5~Kerala~3.5~FY 25~{_GRID}Assam~9.5",
+    f"Coking Coal Production~FY 25~{_ROWS}End",
+    "Production Performance~2023-24 Actual @0.11 @1.22 @2.33 9.44 9.55 9.66 9.77~@1.12 @2.23 @0.34 8.44 8.55 8.66 8.77",
+)
 VIEWS["v_layout_page"] = f"""
 SELECT document_id, 1 AS page_number, form, n,
-       CASE form
-         WHEN 0 THEN 'Table 1.1: Coal Production in MT' || chr(10) || 'Production during Mar' || chr(10) || 'FY 25' || chr(10) || 'FY 24' || chr(10) || {_ROWS} || 'Table 1.2'
-         WHEN 1 THEN 'State-wise Lignite Production' || chr(10) || 'as it stood upto Dec' || chr(10) || 'Gujarat' || chr(10) || '1.5' || chr(10) || 'Rajasthan' || chr(10) || '2.5' || chr(10) || 'Kerala' || chr(10) || '3.5' || chr(10) || 'FY 25' || chr(10) || {_GRID} || 'Assam' || chr(10) || '9.5'
-         WHEN 2 THEN 'Coking Coal Production' || chr(10) || 'FY 25' || chr(10) || {_ROWS} || 'End'
-         ELSE 'Production Performance' || chr(10) || '2023-24 Actual ' || w0 || '.11 ' || w1 || '.22 ' || w2 || '.33 9.44 9.55 9.66 9.77' || chr(10) || w1 || '.12 ' || w2 || '.23 ' || w0 || '.34 8.44 8.55 8.66 8.77' END AS text
-FROM (SELECT 'y' || CAST(s AS VARCHAR(20)) || '/' || r AS document_id, CAST(s % 4 AS INT) AS form, n, CAST(n AS VARCHAR(20)) AS w0, CAST(n + 1 AS VARCHAR(20)) AS w1, CAST(n + 2 AS VARCHAR(20)) AS w2
+       replace(replace(replace(replace(CASE form WHEN 0 THEN '{_FORMS[0]}' WHEN 1 THEN '{_FORMS[1]}' WHEN 2 THEN '{_FORMS[2]}' ELSE '{_FORMS[3]}' END, '@0', CAST(n AS VARCHAR(20))), '@1', CAST(n + 1 AS VARCHAR(20))), '@2', CAST(n + 2 AS VARCHAR(20))), '~', chr(10)) AS text
+FROM (SELECT 'y' || CAST(s AS VARCHAR(20)) || '/' || r AS document_id, CAST(s % 4 AS INT) AS form, n
       FROM (SELECT l_suppkey AS s, l_returnflag AS r, CAST(sum(l_quantity) AS INT) AS n FROM {{lineitem}} GROUP BY l_suppkey, l_returnflag) g) b"""
 
 #: Questions about each mine and the next one, in six forms.
