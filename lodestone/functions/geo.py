@@ -271,3 +271,19 @@ def latitude_longitude(text: Column) -> Column:
 
 def is_verified(status: Column) -> Column:
     return among(F.lower(status), VERIFIED)
+
+
+# A district whose name a country shares, and how it is shown.
+DISTRICT = (r"(?i)\b(?:district\s*[:\-]?\s*)?korea\s*[,/]?\s*chhattisgarh\b", r"(?i)\bdistrict\s*[:\-]?\s*korea\b(?!\s*,?\s*republic|\s*,?\s*south)")
+DISTRICT_LABEL = "Korea District, Chhattisgarh, India"
+
+
+def location_label(text: Column) -> Column:
+    """The label of the district that a text names (FN-34), null where it names none."""
+    return F.when(F.coalesce(text.rlike(DISTRICT[0]) | text.rlike(DISTRICT[1]), F.lit(False)), DISTRICT_LABEL)
+
+
+def annotated(text: Column) -> Column:
+    """A text with its district's label in a line before it (FN-34), unless it begins with the label; other texts, empty and null ones as they are."""
+    label = location_label(text)
+    return F.when(label.isNotNull() & ~F.startswith(strip(text), label), F.concat(F.lit("["), label, F.lit("]\n"), text)).otherwise(text)

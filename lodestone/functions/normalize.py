@@ -270,9 +270,32 @@ def slug(name: Column) -> Column:
     return F.coalesce(blank_as_null(F.regexp_replace(F.regexp_replace(F.lower(strip(name)), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")), F.lit("topic"))
 
 
+# Words that a title keeps small, but for the first.
+SMALL_WORDS = ("of", "the", "and", "in", "on", "for", "to", "a", "an")
+
+
 def title_words(text: Column) -> Column:
-    """Words with capitals, underscores and hyphens as blanks (FN-34)."""
-    return F.initcap(squeeze(F.translate(text, "_-", "  ")))
+    """Words with capitals, underscores as blanks (FN-34); small words stay small but for the first, abbreviations of up to four capitals stay as they are."""
+
+    def word(w: Column, k: Column) -> Column:
+        low = F.lower(w)
+        short = (w == F.upper(w)) & (w != low) & (F.length(w) <= 4)
+        return F.when((k > 0) & among(low, SMALL_WORDS), low).when(short, w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(low, 2, 2**31 - 1)))
+
+    return F.array_join(F.transform(F.filter(F.split(strip(text), r"[\s_]+"), lambda w: w != ""), word), " ")
+
+
+def general(value: Column) -> Column:
+    """A number with six significant digits and no zeros at its end, with an exponent where it is 1e6 or more or below 1e-4 (as C's %g); null, NaN and infinite values as Spark writes them."""
+    said = F.format_string("%.5e", F.abs(value))
+    digits, power = F.replace(F.substring_index(said, "e", 1), F.lit(".")), F.substring_index(said, "e", -1).try_cast("int")
+    short = lambda x: F.regexp_replace(F.regexp_replace(x, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    tail = lambda n: F.substring(digits, n, F.lit(6))
+    whole = F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), tail(power + 2))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), F.greatest(-power - 1, F.lit(0))), digits)
+    wide = F.concat(short(F.concat(F.substring(digits, 1, 1), F.lit("."), tail(F.lit(2)))), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
+    plain = F.when(power.between(0, 5), short(whole)).when(power.between(-4, -1), short(small)).otherwise(wide)
+    return F.when(F.isnan(value) | (F.abs(value) == float("inf")), value.cast("string")).when(value == 0, "0").otherwise(F.concat(F.when(value < 0, "-").otherwise(""), plain))
 
 
 def stable_id(*parts: Column) -> Column:

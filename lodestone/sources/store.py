@@ -25,6 +25,16 @@ def replaced(stored: DataFrame, new: DataFrame, key: str = "document_id") -> Dat
     return stored.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def page_table(pages: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Pages as they are kept (SRC-5): document_id, page_number, text (empty for null), source_type, sheet_name, source_location (the given one, else the sheet, else the page) and char_count. All stored
+    pages of a document that comes again give way to the new ones, however many these are. Columns that ``pages`` lacks are null; other columns are left out."""
+    has = lambda c: F.col(c) if c in pages.columns else F.lit(None).cast("string")
+    text = F.coalesce("text", F.lit(""))
+    place = F.coalesce(has("source_location"), F.concat(F.lit("sheet "), has("sheet_name")), F.concat(F.lit("page "), F.col("page_number").cast("string")))
+    new = pages.select("document_id", "page_number", text.alias("text"), has("source_type").alias("source_type"), has("sheet_name").alias("sheet_name"), place.alias("source_location"), F.length(text).alias("char_count"))
+    return new if stored is None else replaced(stored, new)
+
+
 def upserted(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Chunks after an upsert (SNK-1): a document's old chunks go, the last of equal chunk ids stays (by ``version``)."""
     return replaced(stored, one_per(new, ["chunk_id"], [F.desc("version"), F.desc("content")]))

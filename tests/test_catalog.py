@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from lodestone.plans import bounded, catalog, layouts, reasons, reports  # noqa: F401
+from lodestone.plans import answers, bounded, catalog, layouts, reasons, reports  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
