@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import normalize as N
 from lodestone.operators import facts as X
+from lodestone.operators import geology as E
 
 CHUNK = "chunk_id string, document_id string, meta string, is_active boolean, content_type string"
 FACT = "id string, document_id string, entity_name string, field_name string, financial_year string, numeric_value double, unit string, status string, is_calculated boolean, confidence_score double"
@@ -22,3 +23,15 @@ def test_filters_do_not_copy_the_reading_of_names(spark):
 def test_periods_and_fields_by_one_pattern_each(spark):
     row = spark.range(1).select(*(N.period(F.lit(x)).alias(f"p{i}") for i, x in enumerate(("FY2024", " 2023-2024 ", "fy 2023–24", "2024-2", "202425", "Q1 2024", "", " "))), *(N.field(F.lit(x)).alias(f"f{i}") for i, x in enumerate((" Ore -_ Grade ", "a - b__c", ""))))
     assert list(row.first()) == ["FY2024", "FY2023-24", "FY2023-24", "2024-2", "202425", "q12024", None, "", "grade", "a_b_c", None]
+
+
+def test_filters_do_not_copy_the_reading_of_geological_names(spark):
+    schema = "id string, document_id string, metric_kind string, seam_name string, seam_status string, geological_formation string, borehole_id string, value_num double, length_unit string, source_page int, status string"
+    base = ("resources", "seam R4", "named", "the Barakar Formation", "BH-1", 250.0, "cm", 1, "approved")
+    rows = spark.createDataFrame([("a", "d", *base), ("b", "d", *base[:3], "through the Formation", *base[4:]), ("c", "d", None, None, None, None, None, None, None, None, None)], schema)
+    typed = E.typed(rows)
+    kept = typed.where("formation <> 'x' and seam is not null and kind <> ''")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?i)^seam\\s+") == 1 and plan.count("([A-Za-z]+)") == 1
+    assert [(r.id, r.kind, r.seam, r.formation, r.borehole_key, r.metres) for r in kept.collect()] == [("a", "resource_quantity", "Seam R4", "Barakar Formation", "bh1", 2.5)]
+    assert {r.id: r.formation for r in typed.collect()} == {"a": "Barakar Formation", "b": None, "c": None}
