@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import normalize as N
 from lodestone.functions.text import among
 from lodestone.operators.facts import normalized, one_per
+from lodestone.sources.cut import ensure_checkpoints
 
 TERMINAL = ("confirmed", "dismissed", "resolved")
 OPEN = ("review_required", "detected")
@@ -37,7 +38,7 @@ def cross_document(facts: DataFrame, documents: DataFrame) -> DataFrame:
 def rarest_first(names: DataFrame) -> DataFrame:
     """entity and words (of two letters at least, the rarest first) of distinct names; a word's rarity is the number of names that hold it. One order holds for
     all names, which prefix filtering needs; ties go by the word."""
-    words = names.select("entity", F.explode(F.array_distinct(F.filter(F.split("entity", " "), lambda t: F.length(t) > 1))).alias("word"))
+    words = names.select("entity", F.explode(N.long_words(F.col("entity"))).alias("word"))
     common = words.groupBy("word").agg(F.count("*").alias("n"))
     listed = words.join(common, "word").groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("words"))  # a name's own words
     return listed.select("entity", F.col("words.word").alias("words"))
@@ -48,18 +49,23 @@ def ambiguous_entities(facts: DataFrame) -> DataFrame:
 
     Names meet by prefix filtering over their words, the rarest first. If all words of one are among the other's, the rarest of the shorter name is a word of the longer: that one word asks, all words
     answer. Else the names share 0.6 of the longer one's words at least, and then one of the first size - ceil(0.6 * size) + 1 words of both. So a word that all names hold brings together only
-    names that have nothing rarer, and candidates grow with the pairs that are reported. Names without such words match nothing."""
+    names that have nothing rarer, and candidates grow with the pairs that are reported. Names without such words match nothing.
+
+    Facts are read and grouped once: the names, and then the names with their words, are checkpoints. A pair that meets at several words is kept at the first that both prefixes share, or, where they
+    share none, at the word that asks (which only one of the two does then, as words have one order), so that no pairs are sorted to leave out repeated ones."""
+    ensure_checkpoints(facts.sparkSession)
     rows = normalized(facts.where("status <> 'rejected' and numeric_value is not null")).where("entity is not null and field is not null")
-    names = rows.groupBy("entity", "field", F.coalesce("period", F.lit("")).alias("period")).agg(F.min("document_id").alias("first_document"), F.max("document_id").alias("last_document"))
+    names = rows.groupBy("entity", "field", F.coalesce("period", F.lit("")).alias("period")).agg(F.min("document_id").alias("first_document"), F.max("document_id").alias("last_document")).checkpoint()
     sized = names.join(rarest_first(names.select("entity").distinct()), "entity").withColumn("size", F.size("words"))
-    keys = ["field", "period", "word"]
-    side = lambda tag, words: sized.select("field", "period", F.explode(words).alias("word"), *(F.col(c).alias(f"{tag}_{c}") for c in ("entity", "first_document", "last_document", "size")))
-    prefix = F.slice("words", 1, F.col("size") - F.ceil(F.col("size") * 6 / 10).cast("int") + 1)
-    within = side("x", F.slice("words", 1, 1)).join(side("y", F.col("words")), keys).where("x_size <= y_size")
-    across = side("x", prefix).join(side("y", prefix), keys)
-    found = within.unionByName(across).where("x_entity <> y_entity and (x_first_document <> y_last_document or x_last_document <> y_first_document)")
-    pairs = found.select("field", "period", F.least("x_entity", "y_entity").alias("a_entity"), F.greatest("x_entity", "y_entity").alias("b_entity")).distinct()
-    pairs = pairs.where(N.entity_match(F.col("a_entity"), F.col("b_entity")) == "ambiguous")
+    sized = sized.withColumn("prefix", F.slice("words", 1, F.col("size") - F.ceil(F.col("size") * 6 / 10).cast("int") + 1)).checkpoint()
+    keys, columns = ["field", "period", "word"], ["entity", "first_document", "last_document", "words", "size", "prefix"]
+    side = lambda tag, words: sized.select("field", "period", F.explode(words).alias("word"), *(F.col(c).alias(f"{tag}_{c}") for c in columns))
+    shared = F.array_intersect("x_prefix", "y_prefix")
+    within = side("x", F.slice("words", 1, 1)).join(side("y", F.col("words")), keys).where((F.col("x_size") <= F.col("y_size")) & (F.col("x_entity") != F.col("y_entity")) & (F.size(shared) == 0))
+    across = side("x", F.col("prefix")).join(side("y", F.col("prefix")), keys).where((F.col("x_entity") < F.col("y_entity")) & (F.get(shared, F.lit(0)) == F.col("word")))
+    found = within.unionByName(across).where("x_first_document <> y_last_document or x_last_document <> y_first_document")
+    pairs = found.where(N.name_match(F.col("x_entity"), F.col("y_entity"), F.col("x_words"), F.col("y_words")) == "ambiguous")
+    pairs = pairs.select("field", "period", F.least("x_entity", "y_entity").alias("a_entity"), F.greatest("x_entity", "y_entity").alias("b_entity"))
     return pairs.select(N.fingerprint(F.lit("entity"), F.col("field"), F.col("period"), F.col("a_entity"), F.col("b_entity")).alias("fingerprint"), "field", "period", "a_entity", "b_entity")
 
 

@@ -71,6 +71,23 @@ def test_a_common_word_brings_no_pairs(spark):
     assert all(w[-1] == "mine" for w in words.values())
 
 
+def test_ambiguous_names_read_facts_once(spark):
+    """Facts are read once, and a pair that meets at several words comes once without a sort of all pairs."""
+    names = [(f"d{i % 3}", f"mine number{i % 40:04} field{i % 4} block{i % 2}", "FY2000") for i in range(80)] + [("d0", "mine number0001", "FY2000")]
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(value):
+        read.add(1)
+        return value
+
+    rows = facts(spark, names).withColumn("numeric_value", seen.asNondeterministic()("numeric_value"))
+    got = V.ambiguous_entities(rows)
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    pairs = [tuple(r) for r in got.select("period", "a_entity", "b_entity").collect()]
+    assert pairs and len(pairs) == len(set(pairs)) and read.value == len(names)
+
+
 @pytest.mark.parametrize("most", [1 << 20, 20])
 def test_range_disagreements(spark, most):
     rnd = random.Random(3)
