@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lodestone.functions import normalize as N
+from lodestone.operators import analytics as A
 from lodestone.operators import facts as X
 from lodestone.operators import geology as E
 
@@ -35,3 +36,27 @@ def test_filters_do_not_copy_the_reading_of_geological_names(spark):
     assert plan.count("(?i)^seam\\s+") == 1 and plan.count("([A-Za-z]+)") == 1
     assert [(r.id, r.kind, r.seam, r.formation, r.borehole_key, r.metres) for r in kept.collect()] == [("a", "resource_quantity", "Seam R4", "Barakar Formation", "bh1", 2.5)]
     assert {r.id: r.formation for r in typed.collect()} == {"a": "Barakar Formation", "b": None, "c": None}
+
+
+def counted(spark, df, column):
+    """The rows with a column that counts how often it is read, and the counter."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf(df.schema[column].dataType)
+    def seen(value):
+        read.add(1)
+        return value
+
+    return df.withColumn(column, seen.asNondeterministic()(column)), read
+
+
+def test_merged_pairs_read_index_facts_once(spark):
+    base = ("index", "P", "MT", 0.9)
+    rows = [(*base, "A", "coal", "during", 4.0, "a1"), (*base, "A", "coal", "target", 5.0, "a2"), (*base, "A", "production", "during", 1.0, "a3"), (*base, "A", "lignite", "during", 7.0, "a4"), (*base, "A", "lignite", "target", 8.0, "a5"), (*base, "B", "coal", "during", 2.0, "b1")]
+    index = spark.createDataFrame(rows, "source string, period string, unit string, confidence double, entity_name string, storage_metric string, measure string, value double, fact_id string")
+    named = [(e, f, "P", v, v, "MT", 0.9, f"{e}/{f}") for e in ("a", "b") for f, v in (("production", 3.0), ("production_target", 6.0))]
+    facts = spark.createDataFrame(named, "entity string, field string, period string, numeric_value double, base_value double, unit string, confidence_score double, id string")
+    index, read = counted(spark, index, "value")
+    got = {(r.entity, r.actual, r.target, r.actual_id, r.path, r.achievement) for r in A.actual_vs_target_merged(index, facts).collect()}
+    assert got == {("a", 4.0, 5.0, "a1", "index", 80.0), ("b", 3.0, 6.0, "b/production", "fields", 50.0)}
+    assert read.value == len(rows)
