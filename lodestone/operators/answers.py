@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import normalize as N
 from lodestone.functions.text import among, blank_as_null, strip
-from lodestone.operators.facts import OPEN
+from lodestone.operators.facts import OPEN, once
 from lodestone.operators.reason import PRODUCTION, TEXTS, given, names_that_answer
 from lodestone.operators.retrieve import significant_words
 
@@ -123,7 +123,7 @@ def entity_bars(rows: DataFrame, conflicts: DataFrame, entities: DataFrame, metr
     during = (F.col("source") != "index") | F.coalesce(F.col("measure") == "during", F.lit(False))
     order = F.struct(during.alias("during"), F.coalesce("period", F.lit("")).alias("period"), F.col("confidence"), F.col("fact_id"))
     best = rows.where((F.col("storage_metric") == key) & F.col("value").isNotNull()).groupBy(N.entity(F.col("entity_name")).alias("entity")).agg(F.max_by(F.struct("value", "unit", "period", "fact_id", "document_id"), order).alias("bar"))
-    asked = entities.select(N.entity(F.col("entity_name")).alias("entity")).where("entity is not null").distinct()
+    asked = once(entities.select("entity_name").distinct(), entity=N.entity(F.col("entity_name"))).where("entity is not null").select("entity").distinct()  # each name is read once
     open_ = conflicts.where(among(F.col("status"), OPEN) & (N.field(F.col("field_name")) == key)).select(N.entity(F.col("entity_name")).alias("entity"), F.lit(True).alias("open")).distinct()
     state = F.when(F.coalesce("open", F.lit(False)), "conflict").when(F.col("bar").isNull(), "missing").otherwise("ok")
     bars = asked.join(best, "entity", "left").join(open_, "entity", "left").withColumn("status", state)
