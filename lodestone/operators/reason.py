@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import normalize as N
 from lodestone.functions.text import among
-from lodestone.operators.facts import first_of, one_per
+from lodestone.operators.facts import HASH, by_hash, first_of, once, one_per
 from lodestone.operators.retrieve import route, significant_words
 from lodestone.sources.cut import ensure_checkpoints
 
@@ -52,18 +52,28 @@ def required_slots(specs: DataFrame) -> DataFrame:
     return out.select("spec_id", "mode", "n_entities", "aligned", slot.alias("slot"), F.col("entity_at").alias("entity_at"), *axes)
 
 
+DIMENSION = ("f_entity", "f_metric", "f_month", "f_period", "f_measure", "f_unit")
+
+
+def _valued(facts: DataFrame) -> DataFrame:
+    """Facts with a value: what is told of them (``best``), table_title, page, and the keys of their dimension (DIMENSION)."""
+    low = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    keys = {"f_entity": low("entity_name"), "f_metric": low("metric"), "f_month": low("reporting_month"), "f_period": F.replace(low("period"), F.lit(" ")), "f_measure": low("measure"), "f_unit": low("unit")}
+    return facts.where("value is not null and not isnan(value)").select(F.struct("fact_id", "entity_name", "period", "unit", "value").alias("best"), "table_title", "page", *(keys[k].alias(k) for k in DIMENSION))
+
+
+def _by_dimension(valued: DataFrame) -> DataFrame:
+    untitled = F.when(F.coalesce(F.col("table_title"), F.lit("")).rlike(r"(?i)table\s+\d"), 0).otherwise(1)
+    order = F.struct(untitled.alias("untitled"), F.coalesce("page", F.lit(0)).alias("page"), F.col("best.fact_id"))
+    out = by_hash(valued, DIMENSION).agg(F.count("*").alias("n"), F.min("best.value").alias("low"), F.max("best.value").alias("high"), F.min(order).alias("rank"), F.min_by("best", order).alias("best")).drop(HASH)
+    return out.withColumn("conflict", F.col("high") - F.col("low") > TOLERANCE)
+
+
 def resolved(facts: DataFrame) -> DataFrame:
     """One row for each dimension (entity, metric, month, period, measure and unit, without regard to case) of facts (ANA-12): the number of its facts, the range of their
     values, ``conflict`` where they differ by over 1e-6, and the preferred fact: with a numbered table in its title, of the smallest page (none counts as 0), of the smallest id.
     Facts: fact_id, entity_name, metric, reporting_month, period, measure, value, unit, table_title, page; without a value a fact takes no part."""
-    low = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
-    keys = [low("entity_name").alias("f_entity"), low("metric").alias("f_metric"), low("reporting_month").alias("f_month"), F.replace(low("period"), F.lit(" ")).alias("f_period"), low("measure").alias("f_measure"), low("unit").alias("f_unit")]
-    untitled = F.when(F.coalesce(F.col("table_title"), F.lit("")).rlike(r"(?i)table\s+\d"), 0).otherwise(1)
-    order = F.struct(untitled.alias("untitled"), F.coalesce("page", F.lit(0)).alias("page"), F.col("fact_id"))
-    best = F.struct("fact_id", "entity_name", "period", "unit", "value")
-    rows = facts.where("value is not null and not isnan(value)").groupBy(*keys)
-    out = rows.agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.min(order).alias("rank"), F.min_by(best, order).alias("best"))
-    return out.withColumn("conflict", F.col("high") - F.col("low") > TOLERANCE)
+    return _by_dimension(_valued(facts))
 
 
 def disagreements(facts: DataFrame, most: int = 6) -> DataFrame:
@@ -95,14 +105,15 @@ def names_that_answer(asked: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def candidates(specs: DataFrame, facts: DataFrame) -> DataFrame:
-    """Every required slot with the resolved dimensions that fill it; a slot that nothing fills stays, with nulls."""
-    need, have = required_slots(specs), resolved(facts)
-    names = names_that_answer(need.select("entity").distinct(), have.select("f_entity").distinct())
+    """Every required slot with the resolved dimensions that fill it; a slot that nothing fills stays, with nulls. A slot takes whole dimensions, so that facts which fill none go before they are grouped."""
+    need, valued = required_slots(specs), _valued(facts)
+    names = names_that_answer(need.select("entity").distinct(), valued.select("f_entity").distinct())
     month = F.col("month").isNull() | (F.lower("month") == F.col("f_month"))
-    period = F.col("period").isNull() | F.array_contains(F.transform(N.period_forms(F.col("period")), lambda p: F.replace(p, F.lit(" "))), F.col("f_period")) | (F.lower("period") == F.col("f_period"))
+    spelled = F.array_append(F.transform(N.period_forms(F.col("period")), lambda p: F.replace(p, F.lit(" "))), F.lower("period"))
+    period = F.col("period").isNull() | F.array_contains("spelled", F.col("f_period"))
     fits = (F.col("a_entity") == F.col("f_entity")) & (F.lower("measure") == F.col("f_measure")) & answers_metric(F.lower("metric"), F.col("f_metric")) & month & period
-    reach = need.join(names.withColumnRenamed("f_entity", "a_entity"), "entity", "left")
-    return reach.join(have, fits, "left")
+    reach = once(need, spelled=spelled).join(names.withColumnRenamed("f_entity", "a_entity"), "entity", "left")  # spelled once for each slot, not for each pair
+    return reach.join(_by_dimension(valued.join(reach, fits, "left_semi")), fits, "left").drop("spelled")
 
 
 def _kept_candidates(specs: DataFrame, facts: DataFrame) -> DataFrame:

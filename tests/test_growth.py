@@ -23,3 +23,16 @@ def test_bars_read_asked_names_once_each(spark):
     bars = B.entity_bars(df, conflicts, spark.createDataFrame([("Mine-1",), ("mine 1",), ("Mine 2",), (None,)], "entity_name string"), "coal")
     assert "Aggregate [entity_name" in plan(bars)
     assert {(r.entity, r.status, r.fact_id) for r in bars.collect()} == {("mine 1", "ok", "1"), ("mine 2", "missing", None)}
+
+
+def test_slots_group_what_fills_them_and_spell_periods_once(spark):
+    of = lambda i, e, k, p, v: (i, e, "coal", "March", p, k, v, "MT", None, 1)
+    facts = [of("a", "Mine 1", "during", "FY2023-24", 1.0), of("b", "mine 1 ", "during", "FY 2023-24", 1.0), of("c", "Mine 1", "upto", "FY2023-24", 9.0), of("d", "Mine 2", "during", "FY2023-24", 8.0), of("e", "Mine 1", "during", "q1", 3.0), of("f", "Mine 1", "during", "FY2020-21", 5.0)]
+    specs = spark.createDataFrame([(1, ["Mine 1"], ["coal"], None, ["2023-2024", "Q1", "FY1999"], None, None), (2, ["Mine 1"], ["coal"], None, None, None, None)], SPEC)
+    rows = Q.candidates(specs, spark.createDataFrame(facts, FACT))
+    assert "LeftSemi" in plan(rows)
+    conditions = [line for line in plan(rows).splitlines() if "Join " in line and "f_period" in line]  # of slots and facts
+    assert len(conditions) == 2 and not any("lambda" in line or "regexp" in line for line in conditions)
+    assert "spelled" not in rows.columns
+    got = {(r.spec_id, r.slot, r.best and r.best.fact_id, r.n) for r in rows.collect()}
+    assert got == {(1, 0, "a", 2), (1, 1, "e", 1), (1, 2, None, None), (2, 0, "a", 2), (2, 0, "e", 1), (2, 0, "f", 1)}
