@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import normalize as N
@@ -77,13 +77,16 @@ def resolved(facts: DataFrame) -> DataFrame:
 
 
 def disagreements(facts: DataFrame, most: int = 6) -> DataFrame:
-    """Dimensions of facts whose values differ (VAL-9), with the number of their distinct values (to six places) and the ``most`` smallest as evidence, each with its first fact."""
+    """Dimensions of facts whose values differ (VAL-9), with the number of their distinct values (to six places) and the ``most`` smallest as evidence, each with its first fact.
+    Facts are read and shuffled once, by dimension; what agrees goes before values are told apart."""
     keys = ["entity_name", "metric", "reporting_month", "period", "measure", "unit"]
-    values = facts.where("value is not null and not isnan(value)").groupBy(*keys, F.round("value", 6).alias("value")).agg(F.count("*").alias("n_facts"), F.min("fact_id").alias("fact_id"))
-    odd = values.groupBy(*keys).agg(F.count("*").alias("n_values"), (F.max("value") - F.min("value") > TOLERANCE).alias("differ")).where("differ").drop("differ")
-    same = [F.col(f"o.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys]
-    listed = first_of(values, keys, ["value"], most, ["value", "fact_id", "n_facts"], "evidence")
-    return odd.alias("o").join(listed.alias("e"), same).select(*(f"o.{k}" for k in keys), "n_values", "evidence")
+    rows = facts.where("value is not null and not isnan(value)").select(*keys, F.round("value", 6).alias("value"), "fact_id", F.xxhash64(*keys).alias(HASH))
+    dimension = Window.partitionBy(HASH, *keys)
+    odd = rows.withColumn("spread", F.max("value").over(dimension) - F.min("value").over(dimension)).where(F.col("spread") > TOLERANCE)
+    values = odd.groupBy(HASH, *keys, "value").agg(F.count("*").alias("n_facts"), F.min("fact_id").alias("fact_id"))
+    ranked = values.withColumn("place", F.row_number().over(dimension.orderBy("value")))
+    first = F.when(F.col("place") <= most, F.struct("place", "value", "fact_id", "n_facts"))  # null beyond, which lists leave out
+    return ranked.groupBy(HASH, *keys).agg(F.count("*").alias("n_values"), F.array_sort(F.collect_list(first)).alias("evidence")).drop(HASH)
 
 
 def answers_metric(want: Column, have: Column) -> Column:

@@ -36,3 +36,20 @@ def test_slots_group_what_fills_them_and_spell_periods_once(spark):
     assert "spelled" not in rows.columns
     got = {(r.spec_id, r.slot, r.best and r.best.fact_id, r.n) for r in rows.collect()}
     assert got == {(1, 0, "a", 2), (1, 1, "e", 1), (1, 2, None, None), (2, 0, "a", 2), (2, 0, "e", 1), (2, 0, "f", 1)}
+
+
+def test_disagreements_read_facts_once(spark):
+    of = lambda i, v, unit="MT": (i, "A", "coal", None, "P", "during", v, unit, None, 1)
+    facts = [of(f"f{k}", float(k % 4)) for k in range(8)] + [of("x", 2.0, None), of("y", 2.0000001, None), of("z", float("nan")), of("n", None)]
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(value):
+        read.add(1)
+        return value
+
+    rows = spark.createDataFrame(facts, FACT).withColumn("value", seen.asNondeterministic()("value"))
+    (r,) = Q.disagreements(rows, most=3).collect()
+    assert (r.entity_name, r.reporting_month, r.unit, r.n_values) == ("A", None, "MT", 4)
+    assert [(e.place, e.value, e.fact_id, e.n_facts) for e in r.evidence] == [(1, 0.0, "f0", 2), (2, 1.0, "f1", 2), (3, 2.0, "f2", 2)]
+    assert read.value == len(facts)
