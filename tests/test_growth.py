@@ -53,3 +53,13 @@ def test_disagreements_read_facts_once(spark):
     assert (r.entity_name, r.reporting_month, r.unit, r.n_values) == ("A", None, "MT", 4)
     assert [(e.place, e.value, e.fact_id, e.n_facts) for e in r.evidence] == [(1, 0.0, "f0", 2), (2, 1.0, "f1", 2), (3, 2.0, "f2", 2)]
     assert read.value == len(facts)
+
+
+def test_groups_made_by_sorting_stand_under_a_hash(spark):
+    rows = [("A", "coal", "P", None, None, "t", 1.0, "d2", "1", "index"), ("a", "coal", "P", "", None, "t", 1.0, "d1", "2", "extracted"), ("A", "coal", "P", None, None, "t", 3.0, "d1", "3", "index"), ("A", "coal", None, None, None, "t", -0.0, "d1", "4", "index"), ("A", "coal", None, None, None, "t", 0.0, "d1", "5", "index")]
+    df = spark.createDataFrame(rows, ROW)
+    unique, merged = A.unique_facts(df), X.merged(df)
+    assert "xxhash64" in plan(unique) and "xxhash64" in plan(merged)
+    assert not {X.HASH, "_n"} & {*unique.columns, *merged.columns}
+    assert {(r.entity_name, r.period, r.measure, r.n, r.fact_id, r.conflict) for r in unique.collect()} == {("A", "P", None, 2, "3", True), ("a", "P", "", 1, "2", False), ("A", None, None, 2, "4", False)}
+    assert {r.fact_id for r in merged.collect()} == {"1", "3", "4"}
