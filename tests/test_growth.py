@@ -63,3 +63,15 @@ def test_groups_made_by_sorting_stand_under_a_hash(spark):
     assert not {X.HASH, "_n"} & {*unique.columns, *merged.columns}
     assert {(r.entity_name, r.period, r.measure, r.n, r.fact_id, r.conflict) for r in unique.collect()} == {("A", "P", None, 2, "3", True), ("a", "P", "", 1, "2", False), ("A", None, None, 2, "4", False)}
     assert {r.fact_id for r in merged.collect()} == {"1", "3", "4"}
+
+
+def test_usual_periods_take_one_pattern(spark):
+    said = {"FY2024": "FY2024", "2024": "FY2024", "1998-99": "FY1998-99", "fy1998-99": "FY1998-99", "FY 1998-1999": "FY1998-99", "1998–99": "FY1998-99", "FY2024X": "fy2024x", "20245": "20245", "1998-9": "1998-9", "FY2024\n": "FY2024"}
+    row = spark.range(1).select(*(N.period(F.lit(x)).alias(f"p{i}") for i, x in enumerate(said)), *(N.period_of(F.lit(x)).alias(f"k{i}") for i, x in enumerate(("FY2024\n", "1998-99\r\n")))).first()
+    assert list(row) == [*said.values(), "FY2024", "FY1998-99"]
+    names = {"Mine 7": True, "%x": False, "(x": False, "1, 2-3": False, "M": False, "te": False, "12 a": True, " 1/2": False}
+    rows = spark.createDataFrame([(x,) for x in names] + [(None,)], "x string")
+    assert {r.x: r.p for r in rows.select("x", N.plausible(F.col("x")).alias("p")).collect()} == names | {None: False}
+    text = plan(rows.select(N.period_of(F.col("x")).alias("p"), N.plausible(F.col("x")).alias("q")))
+    assert text.index("\\z") < text.index("REGEXP_REPLACE" if "REGEXP_REPLACE" in text else "regexp_replace")
+    assert text.count("rlike(") + text.count("RLIKE(") == 3
