@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lodestone.functions import normalize as N
 from lodestone.functions.text import among, found, lookup, strip
@@ -51,19 +59,82 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm).otherwise(0.0)
 
 
-def exact_top_k(queries: DataFrame, rows: DataFrame, k: int = 10, least: float = 0.0, most_queries: int | None = None, block: int = 256) -> DataFrame:
-    """The k rows nearest to each query by cosine (RET-1, WIN-9, JN-16), for any number of queries: they meet rows in blocks of about ``block``,
-    and each query keeps k of a block. Callers may state ``most_queries``; over that the set is refused."""
-    asked = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"), F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("query_norm"))
-    if most_queries is not None and asked.limit(most_queries + 1).count() > most_queries:
+#: Queries whose scores a task holds at once.
+QUERIES_AT_ONCE = 128
+
+
+def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths of vectors (-1 for null ones and those with a null), their elements one after another, and where each begins."""
+    flat = column.flatten()
+    n = np.where(column.is_null().to_numpy(zero_copy_only=False), 0, column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+    start, holes = np.cumsum(n) - n, np.flatnonzero(flat.is_null().to_numpy(zero_copy_only=False))
+    length = np.where(column.is_null().to_numpy(zero_copy_only=False), -1, n)
+    length[np.searchsorted(start + n, holes, side="right")] = -1
+    return length, flat.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64), start
+
+
+def _rounded(scores: np.ndarray) -> np.ndarray:
+    """Nine digits, half up, as Spark rounds; each distinct score once."""
+    kinds, at = np.unique(scores, return_inverse=True)
+    digits = Decimal("1e-9")
+    return np.array([float(Decimal(repr(x)).quantize(digits, ROUND_HALF_UP)) if math.isfinite(x) else x for x in kinds.tolist()])[at]
+
+
+def _nearest(asked: pa.Array, rows: pa.Array, k: int, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query its place, and the places and rounded cosines of the k nearest rows that reach ``least``; of equals the first ones. NaN is above all numbers, as in SQL."""
+    (q_length, q_flat, q_start), (length, flat, start) = _vectors(asked), _vectors(rows)
+    with np.errstate(all="ignore"):
+        norm = lambda flat, start, n: np.sqrt(np.array([flat[s : s + m] @ flat[s : s + m] for s, m in zip(start, np.maximum(n, 0), strict=True)], np.float64))
+        q_norm, r_norm = norm(q_flat, q_start, q_length), norm(flat, start, length)
+        for n in np.unique(q_length):
+            among, places = np.flatnonzero(length == n) if n >= 0 else np.zeros(0, np.int64), np.flatnonzero(q_length == n)
+            matrix = flat[start[among][:, None] + np.arange(max(n, 0))]
+            for some in np.array_split(places, -(-len(places) // QUERIES_AT_ONCE)):
+                score = np.zeros((len(some), len(length)))
+                if len(among):
+                    norms = q_norm[some][:, None] * r_norm[among]
+                    score[:, among] = np.where((norms > 0) | np.isnan(norms), q_flat[q_start[some][:, None] + np.arange(n)] @ matrix.T / norms, 0.0)
+                order = np.where(np.isnan(score), np.inf, score)
+                kth = np.partition(order, len(length) - k, axis=1)[:, len(length) - k] if len(length) > k else np.full(len(some), -np.inf)
+                floor = np.maximum(kth, least) - 1e-8  # more than rounding moves a score
+                for place, own, by, low in zip(some, score, order, floor, strict=True):
+                    near = np.flatnonzero(by >= low)
+                    exact = _rounded(own[near])
+                    by = np.where(np.isnan(exact), np.inf, exact)
+                    best = np.lexsort((near, -by))[:k]
+                    best = best[by[best] >= least]
+                    yield place, near[best], exact[best]
+
+
+def exact_top_k(queries: DataFrame, rows: DataFrame, k: int = 10, least: float = 0.0, most_queries: int | None = None, block: int = 4096) -> DataFrame:
+    """The k rows nearest to each query by cosine (RET-1, WIN-9, JN-16), for any number of queries: each block of about ``block`` queries meets each block of as many rows in a task, which multiplies
+    matrices, and each query keeps k of a block. Callers may state ``most_queries``; over that the set is refused."""
+    if most_queries is not None and queries.limit(most_queries + 1).count() > most_queries:
         raise ValueError(f"over {most_queries} queries: use sparse_top_k")
-    cut = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-rows.count() // block))))
-    blocks = rows.groupBy(cut).agg(F.collect_list(F.struct("id", "vector", F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("norm"))).alias("block"))
-    norm = lambda r: r["norm"] * F.col("query_norm")
-    score = lambda r: F.when((F.size(r["vector"]) == F.size("query_vector")) & (norm(r) > 0), dot(F.col("query_vector"), r["vector"]) / norm(r)).otherwise(0.0)
-    scored = F.transform("block", lambda r: F.struct((-F.round(score(r), 9)).alias("away"), r["id"].alias("id")))
-    near = F.slice(F.array_sort(F.filter(scored, lambda r: -r["away"] >= least)), 1, k)
-    pairs = blocks.crossJoin(asked).select("query_id", F.explode(near).alias("r")).select("query_id", "r.id", (-F.col("r.away")).alias("score"))
+    n_rows, n_queries = (max(1, -(-df.count() // block)) for df in (rows, queries))
+    id_type, asked_type = rows.schema["id"].dataType, queries.schema["id"].dataType
+
+    def dealt(df: DataFrame, own: str, n: int, other: str, m: int, asks: bool) -> DataFrame:
+        ids = {"query_id": F.col("id") if asks else F.lit(None).cast(asked_type), "id": F.lit(None).cast(id_type) if asks else F.col("id")}
+        at = {own: F.pmod(F.xxhash64("id", "vector"), F.lit(n)), other: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))}
+        return df.select(F.lit(asks).alias("asks"), F.col("vector"), *(c.alias(name) for name, c in (ids | at).items()))
+
+    if queries.schema["vector"].dataType != rows.schema["vector"].dataType:
+        rows, queries = (df.withColumn("vector", F.col("vector").cast("array<double>")) for df in (rows, queries))
+    both = dealt(rows, "r", n_rows, "q", n_queries, False).unionByName(dealt(queries, "q", n_queries, "r", n_rows, True))
+
+    def nearest(part: pa.Table) -> pa.Table:
+        part = part.combine_chunks()
+        asks = part["asks"]
+        asked, given = part.filter(asks), part.filter(pc.invert(asks))
+        given = given.take(pc.sort_indices(given["id"], null_placement="at_start"))  # of equal scores the first ids count
+        found = list(_nearest(asked["vector"].combine_chunks(), given["vector"].combine_chunks(), k, least)) if asked.num_rows and given.num_rows else []
+        places = np.concatenate([np.full(len(near), place) for place, near, _ in found]) if found else np.zeros(0, np.int64)
+        near, score = (np.concatenate([f[i] for f in found]) if found else np.zeros(0) for i in (1, 2))
+        return pa.table({"query_id": asked["query_id"].take(pa.array(places)), "id": given["id"].take(pa.array(near.astype(np.int64))), "score": pa.array(score.astype(np.float64))})
+
+    schema = StructType([StructField("query_id", asked_type), StructField("id", id_type), StructField("score", DoubleType())])
+    pairs = both.groupBy("q", "r").applyInArrow(nearest, schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
