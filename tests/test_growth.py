@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import normalize as N
 from lodestone.operators import analytics as A
 from lodestone.operators import answers as B
+from lodestone.operators import corpus as C
 from lodestone.operators import facts as X
 from lodestone.operators import reason as Q
 
@@ -75,3 +76,15 @@ def test_usual_periods_take_one_pattern(spark):
     text = plan(rows.select(N.period_of(F.col("x")).alias("p"), N.plausible(F.col("x")).alias("q")))
     assert text.index("\\z") < text.index("REGEXP_REPLACE" if "REGEXP_REPLACE" in text else "regexp_replace")
     assert text.count("rlike(") + text.count("RLIKE(") == 3
+
+
+def test_chunks_are_shuffled_once_before_their_texts(spark):
+    schema = "document_id string, entity string, metric string, reporting_month string, measurement_type string, fiscal_year string, value double, unit string, page int, table_id string, table_title string, column_path string"
+    row = lambda d, unit, page, month=None: (d, "A", "coal", month, "during", "FY24", 1.0, unit, page, "t1", "", "FY24")
+    facts = spark.createDataFrame([row("d", "t", 1), row("d", "MT", 1), row("d", "MT", 1), row("d", "MT", 2), row(None, "t", None), row("", "t", None), row("d", "kt", 1, "May"), row("e", "t", 1, "May"), row("e", "t", 1, "")], schema)
+    documents = spark.createDataFrame([("d", "x.pdf", 3)], "document_id string, filename string, version int")
+    out = C.structured_chunks(facts, documents)
+    text = plan(out)
+    assert text.count("RepartitionByExpression") == 1 and text.index("STRUCTURED_FACT") < text.index("RepartitionByExpression")
+    got = sorted((r.document_id or "", r.document_name or "", r.document_version, r.page_number or 0, r.chunk_index, r.content.split(" | ")[3][17:], r.content.split(" | ")[7], r.token_count) for r in out.collect())
+    assert got == [("", "", 1, 0, 0, "Unknown", "unit=t", 21), ("d", "x.pdf", 3, 1, 0, "May", "unit=kt", 21), ("d", "x.pdf", 3, 1, 1, "Unknown", "unit=MT", 21), ("d", "x.pdf", 3, 2, 0, "Unknown", "unit=MT", 21), ("e", "e", 1, 1, 0, "", "unit=t", 21), ("e", "e", 1, 1, 1, "May", "unit=t", 21)]
