@@ -60,3 +60,15 @@ def test_merged_pairs_read_index_facts_once(spark):
     got = {(r.entity, r.actual, r.target, r.actual_id, r.path, r.achievement) for r in A.actual_vs_target_merged(index, facts).collect()}
     assert got == {("a", 4.0, 5.0, "a1", "index", 80.0), ("b", 3.0, 6.0, "b/production", "fields", 50.0)}
     assert read.value == len(rows)
+
+
+def test_parts_of_the_explorer_read_rows_once(spark):
+    schema = "id string, document_id string, metric_kind string, seam_name string, seam_status string, geological_formation string, borehole_id string, value_num double, length_unit string, source_page int, status string"
+    kinds = ("resources", "borehole_depth", "seam_thickness", "formation")
+    rows = [(f"f{n}", f"d{n % 2}", kinds[n % 4], "R4", "named", "Barakar Formation", f"BH-{n}", 2.0, "m", n, "rejected" if n == 7 else "approved") for n in range(8)]
+    base, read = counted(spark, spark.createDataFrame(rows, schema), "seam_name")
+    parts = E.explorer_overview(E.typed(base), spark.createDataFrame([("d0", "x.pdf")], "document_id string, filename string"))
+    got = {r.part: r.n for r in E.overview_counts(parts).collect()}
+    assert got == {"facts": 7, "filters": 15, "summary": 3, "formations": 1, "seams": 2, "boreholes": 7, "tree": 1, "resources": 1, "depths": 2, "thickness": 1}
+    assert {(r.fact_id, r.entity) for r in parts["facts"].collect()} == {(f"f{n}", "x.pdf" if n % 2 == 0 else "d1") for n in range(7)}
+    assert read.value == len(rows)
