@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import normalize as N
 from lodestone.functions.text import among, found, strip
+from lodestone.operators.facts import once
 
 # What a page may say of production, and the units and fields that count.
-PRODUCED = r"(?iU)([\w\s\-/]+?)\s+produced\s+(\d+(?:\.\d+)?)\s*(MT|tonnes|tons|kt)\b(?:[^\n.]{0,80}?during\s+(FY\s?\d{4}|\d{4}-\d{2}|\d{4}/\d{2}))?"
+#: A name begins where its run of letters and blanks does, so that a text is read once and not once from each of its places.
+PRODUCED = r"(?iU)(?<![\w\s\-/])([\w\s\-/]+?)\s+produced\s+(\d+(?:\.\d+)?)\s*(MT|tonnes|tons|kt)\b(?:[^\n.]{0,80}?during\s+(FY\s?\d{4}|\d{4}-\d{2}|\d{4}/\d{2}))?"
 TARGET = r"(?iU)(?:against\s+a\s+)?target\s+of\s+(\d+(?:\.\d+)?)\s*(MT|tonnes|tons|kt)\b"
 ACHIEVED = r"(?iU)(?:achievement|achieved)\s*(?:of|=|:)?\s*(\d+(?:\.\d+)?)\s*%"
 NOISY = r"(?iU)Pr[o0]ducti[o0]n\s*[:=]\s*(\d+(?:\.\d+)?)\s*M\??"
 GRADE = r"(?iU)(?:grade|ore grade)\s*(?:of|=|:)?\s*(\d+(?:\.\d+)?)\s*%"
 RESERVES = r"(?iU)reserves?\s*(?:of|=|:)?\s*(\d+(?:\.\d+)?)\s*(MT|tonnes)"
+#: Each with letters, of one case only each, that no text can do without in which it is found.
+STATEMENTS = {"produced": (PRODUCED, "produced"), "target": (TARGET, "target"), "achieved": (ACHIEVED, "ach"), "noisy": (NOISY, "duct"), "grade": (GRADE, "grade"), "reserves": (RESERVES, "erve")}
 SUSPICIOUS = r"(?i)[0O]{2,}|[Il1]{3,}|\?|Pr0duct|M\?|rn|vv"
 ALLOWED_UNITS = ("MT", "Mt", "mt", "tonnes", "tons", "kt", "kg", "%", "pct", "ha", "hectares", "sq km", "km2", "m", "million tonnes", "Mm3", "m3")
 NUMERIC_FIELDS = ("production", "production_target", "achievement_percentage", "overburden", "lignite", "coal", "dispatch", "grade", "capacity", "reserves")
@@ -48,21 +52,24 @@ def production_drafts(pages: DataFrame) -> DataFrame:
     document_id, page_number, is_ocr, text, field, value, unit, entity, year, evidence, ambiguous."""
     page = F.col("page_number") if "page_number" in pages.columns else F.lit(None).cast("int")
     ocr = F.coalesce(F.col("is_ocr"), F.lit(False)) if "is_ocr" in pages.columns else F.lit(False)
-    rows = pages.select("document_id", page.alias("page_number"), ocr.alias("is_ocr"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = once(pages.select("document_id", page.alias("page_number"), ocr.alias("is_ocr"), F.coalesce("text", F.lit("")).alias("text")), _low=F.lower("text"))
     text, is_ocr, none = F.col("text"), F.col("is_ocr"), F.lit(None).cast("string")
-    told = found(text, PRODUCED, 2).isNotNull()
-    mine, year = F.when(told, strip(F.regexp_extract(text, PRODUCED, 1))), F.replace(found(text, PRODUCED, 4), F.lit(" "))
-    one = lambda field, pattern, unit, of, fy, ambiguous: F.when(found(text, pattern, 1).isNotNull(), _draft(field, found(text, pattern, 1), unit, of, fy, F.regexp_extract(text, pattern, 0), ambiguous))
+    # each pattern runs over a text once, and only where the text holds a word that it can't do without; its parts are read from what it has matched
+    rows = once(rows, **{f"_{p}": F.when(F.contains("_low", F.lit(word)), F.regexp_extract(text, pattern, 0)).otherwise("") for p, (pattern, word) in STATEMENTS.items()})
+    part = lambda p, k: found(F.col(f"_{p}"), STATEMENTS[p][0], k)
+    is_said = lambda p: F.col(f"_{p}") != ""
+    told = is_said("produced")
+    mine, year = F.when(told, strip(F.regexp_extract("_produced", PRODUCED, 1))), F.replace(part("produced", 4), F.lit(" "))
+    one = lambda field, p, unit, of, fy, ambiguous: F.when(is_said(p), _draft(field, part(p, 1), unit, of, fy, F.col(f"_{p}"), ambiguous))
     said = F.array(
-        F.when(told, _draft("production", found(text, PRODUCED, 2), found(text, PRODUCED, 3), mine, year, F.regexp_extract(text, PRODUCED, 0), is_ocr)),
-        one("production_target", TARGET, found(text, TARGET, 2), mine, year, is_ocr),
-        one("achievement_percentage", ACHIEVED, F.lit("%"), mine, year, is_ocr),
-        F.when(~told, one("production", NOISY, F.lit("MT"), none, none, F.lit(True))),
-        one("grade", GRADE, F.lit("%"), none, none, is_ocr),
-        one("reserves", RESERVES, found(text, RESERVES, 2), none, none, is_ocr),
+        F.when(told, _draft("production", part("produced", 2), part("produced", 3), mine, year, F.col("_produced"), is_ocr)),
+        one("production_target", "target", part("target", 2), mine, year, is_ocr),
+        one("achievement_percentage", "achieved", F.lit("%"), mine, year, is_ocr),
+        F.when(~told, one("production", "noisy", F.lit("MT"), none, none, F.lit(True))),
+        one("grade", "grade", F.lit("%"), none, none, is_ocr),
+        one("reserves", "reserves", part("reserves", 2), none, none, is_ocr),
     )
-    drafts = F.array_compact(F.concat(said, _table_rows(text)))
-    return rows.withColumn("d", F.explode(drafts)).select("document_id", "page_number", "is_ocr", "text", "d.*")
+    return rows.withColumn("d", F.explode(F.concat(said, _table_rows(text)))).where("d is not null").select("document_id", "page_number", "is_ocr", "text", "d.*")
 
 
 def production_facts(pages: DataFrame) -> DataFrame:
@@ -97,12 +104,11 @@ def draft_status(score: Column) -> Column:
 def scored_drafts(drafts: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """Drafts with confidence and status. ``words``: recognition quality of pages (document_id, page_number, mean_confidence, low_decimals),
     which drafts of scanned pages are held against."""
-    rows = drafts
+    flat = lambda c: F.lower(F.regexp_replace(c, r"\s+", " "))
+    rows = drafts.withColumn("_inside", F.contains(flat(F.col("text")), flat(F.col("evidence"))))  # before the join, which needn't carry texts then
     if words is not None:
         rows = rows.join(words.select("document_id", "page_number", "mean_confidence", "low_decimals"), ["document_id", "page_number"], "left")
     mean, low = (F.col("mean_confidence"), F.col("low_decimals")) if words is not None else (None, None)
-    flat = lambda c: F.lower(F.regexp_replace(c, r"\s+", " "))
-    inside = F.contains(flat(F.col("text")), flat(F.col("evidence")))
     schema_ok = among(F.col("field"), NUMERIC_FIELDS) & N.plain_number(F.col("value")).isNotNull()
-    score = confidence(F.col("value"), F.col("evidence"), F.col("unit"), F.col("entity"), F.col("year"), F.col("field"), F.col("ambiguous"), F.col("is_ocr"), schema_ok, inside, mean, low)
-    return rows.withColumn("confidence", score).withColumn("status", draft_status(F.col("confidence"))).drop("mean_confidence", "low_decimals")
+    score = confidence(F.col("value"), F.col("evidence"), F.col("unit"), F.col("entity"), F.col("year"), F.col("field"), F.col("ambiguous"), F.col("is_ocr"), schema_ok, F.col("_inside"), mean, low)
+    return rows.withColumn("confidence", score).withColumn("status", draft_status(F.col("confidence"))).drop("mean_confidence", "low_decimals", "_inside")
