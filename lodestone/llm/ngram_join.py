@@ -15,8 +15,8 @@ The first two partitions are of uncommon shingles alone (sets differ in no more
 common passage. Common are shingles that two documents of a sample of SAMPLE have, by hash cell; which they are changes no result.
 
 Plan: a task keeps one document of each set of exact copies that it reads, and of those one for each signature; the pairs that it has found itself
-go out as a signature of their own. So a signature that a third of all documents have sends one row a flush of a task. Rows are dealt and sorted by signature, as
-Spark does it, with spilling; a pass over them, which holds nothing but the last signature, joins each document to the smallest that shares one.
+go out as a signature of their own. So a signature that a third of all documents have is sent once a flush of a task. What a flush sends is cut into ranges of
+signatures, one row each; there are as many ranges as keep each small, whatever the size of the input. A task sorts one range and joins each document to the smallest that shares a signature.
 The components of these joins ("bundles") hold every linked pair. One document of each set of exact copies is compared, exactly, within its bundle.
 
 Texts that share a long passage may chain many others into one bundle, and many near copies of one text make a large one. In a bundle of over SPLIT
@@ -40,11 +40,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import Slice, components, lookup, map_slices, table
+from lodestone.llm.shared import Slice, components, lookup, map_slices, partitions, table
 from lodestone.llm.textops import Words, in_doc, mix, repeats, shingles
 
 N2, K2, SLACK, LEAST, LAST, GROWTH, BLOCK, FLUSH = 3, 1, 0.25, 2, 6, 1.3, 1 << 20, 1 << 20
 CELLS, SPLIT, SKETCHES, COMMON, SAMPLE = 64, 1 << 17, 1 << 12, 22, 1 << 13
+#: Shingles of all documents for each partition of signatures, of which there are some one and a half times as many.
+PART = 1 << 20
 
 
 def sets(part: Slice, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,14 +137,18 @@ def signatures(elements: np.ndarray, offsets: np.ndarray, percent: int, common:
 
 def first_of_key(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct keys, smallest id of each, distinct pairs (other id, smallest id) that share a key)."""
-    order = np.argsort(ids, kind="stable")
-    order = order[np.argsort(keys[order], kind="stable")]
+    order = np.argsort(keys)
     keys, ids = keys[order], ids[order]
+    first, low = _smallest(keys, ids)
+    other = ids != low
+    return keys[first], low[first], np.unique(np.column_stack([ids[other], low[other]]), axis=0)
+
+
+def _smallest(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Over sorted keys: whether each is the first of its run, and the smallest id of the run, whatever the order of ids in it."""
     first = np.ones(len(keys), bool)
     first[1:] = keys[1:] != keys[:-1]
-    low = ids[first][np.cumsum(first) - 1] if len(keys) else ids
-    other = ids != low
-    return keys[first], ids[first], np.unique(np.column_stack([ids[other], low[other]]), axis=0)
+    return first, np.minimum.reduceat(ids, np.flatnonzero(first))[np.cumsum(first) - 1] if len(keys) else ids
 
 
 def _forest(pairs: np.ndarray) -> np.ndarray:
@@ -169,13 +175,19 @@ def _pair_key(pairs: np.ndarray) -> np.ndarray:
     return mix(mix(pairs[:, 0].astype(np.uint64)) + pairs[:, 1].astype(np.uint64) + np.uint64(77))
 
 
-def _signed(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    """What a task sends: one row for each key, and both ends of the pairs that it has found itself under a key of their own."""
+def _signed(keys: np.ndarray, ids: np.ndarray, parts: int) -> pa.RecordBatch:
+    """What a task sends: each key with its smallest id, and both ends of the pairs that it has found itself under a key of their own; the keys and ids of each part, a range of keys, in one row."""
     keys, ids, pairs = first_of_key(keys, ids)
     pairs = _forest(pairs)
     own = _pair_key(pairs)
-    key, id_ = np.concatenate([keys, own, own]), np.concatenate([ids, pairs[:, 0], pairs[:, 1]])
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(id_.astype(np.int64))], ["key", "id"])
+    key, id_ = np.concatenate([keys, own, own]), np.concatenate([ids, pairs[:, 0], pairs[:, 1]]).astype(np.int64)
+    order = np.argsort(key)
+    key, id_ = key[order], id_[order]
+    part = ((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    edge = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+    some = np.flatnonzero(np.diff(edge))
+    packed = [pa.array([x[edge[p] : edge[p + 1]].tobytes() for p in some], pa.binary()) for x in (key, id_)]
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *packed], ["part", "keys", "ids"])
 
 
 def identities(elements: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -211,8 +223,8 @@ def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
     return flags
 
 
-def candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) that join documents which share a signature, directly or over others that do."""
+def candidates(docs: DataFrame, size: int, percent: int, parts: int) -> DataFrame:
+    """Distinct pairs (a, b) that join documents which share a signature, directly or over others that do. Signatures are dealt over ``parts`` partitions, each of which a task holds."""
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))  # of fixed size
 
     def make():
@@ -230,27 +242,19 @@ def candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 return None
             keys, ids = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            return _signed(keys, ids)
+            return _signed(keys, ids, parts)
 
         return each
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Over rows sorted by key and id: each later id of a key with its first one."""
-        key, low = None, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys, ids = batch.column("key").to_numpy(), batch.column("id").to_numpy()
-            first = np.ones(len(keys), bool)
-            first[1:] = keys[1:] != keys[:-1]
-            first[0] = key is None or keys[0] != key
-            lows = np.concatenate([[low], ids[first]])[np.cumsum(first)]
-            key, low, other = keys[-1], lows[-1], ids != lows
-            pairs = np.unique(np.column_stack([ids[other], lows[other]]), axis=0)
+        """Over all rows of a partition: each id of a key with the smallest one."""
+        held = [(np.frombuffer(k.as_buffer(), np.uint64), np.frombuffer(i.as_buffer(), np.int64)) for b in batches for k, i in zip(b.column("keys"), b.column("ids"), strict=True)]
+        if held:
+            pairs = first_of_key(*(np.concatenate(x) for x in zip(*held, strict=True)))[2]
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    signed = map_slices(docs, make, "key long, id long", tail=True)
-    return signed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(meet, "a long, b long").distinct()
+    signed = map_slices(docs, make, "part int, keys binary, ids binary", tail=True)
+    return signed.repartitionById(parts, "part").mapInArrow(meet, "a long, b long").distinct()
 
 
 def _linked(ids: np.ndarray, packed: list[np.ndarray], near: np.ndarray, percent: int) -> np.ndarray:
@@ -367,7 +371,9 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     about = table(map_slices(docs, describe, "doc_id long, n_shingles long, h1 long, h2 long"), "sets")
     same = ["n_shingles", "h1", "h2"]
     classes = table(about.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "classes")
-    bundles = components(candidates(docs, size, percent)).withColumnRenamed("node", "first_id")
+    shingles_in_all = about.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    parts = max(partitions(docs.sparkSession), -(-shingles_in_all // PART))  # as many as keep the signatures of a partition few, whatever the input's size
+    bundles = components(candidates(docs, size, percent, parts)).withColumnRenamed("node", "first_id")
     bundled = table(classes.join(bundles, "first_id").select("first_id", "n_shingles", "root"), "bundles")
     sizes = table(bundled.groupBy("root").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("many")).where("many > 1"), "sizes")
     copies, largest = (df.agg(F.coalesce(F.max(c), F.lit(0))).first()[0] for df, c in ((classes, "copies"), (sizes, "many")))
